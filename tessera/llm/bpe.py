@@ -2,8 +2,9 @@
 
 encode() splits every text into the matches of the pattern and keeps, for blocks of documents, each distinct word once
 with its number in the block; the texts themselves become arrays of those numbers, in order of position. All blocks'
-words are shuffled by word, each distinct word is encoded once, its ids go back to the blocks that hold it, and every
-document is put together by position. A frequent word thus travels once for each block and not once for each use.
+words are shuffled by a hash of the word, each distinct word is encoded once, its ids go back to the blocks that hold it,
+and every document is put together by position. A frequent word thus travels once for each block and not once for each
+use; the words of a block that go to one place travel together, compressed.
 decode() joins ids with the table of the tokens' bytes, whose size is that of the vocabulary.
 
 The blocks are made twice, once for their words and once for their texts, from the same scan; each block checks that it
@@ -23,8 +24,11 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Characters after which a block ends; a longer text is a block of its own.
-BLOCK_CHARS = 12_000_000
-BLOCK_DOCS = 50_000
+BLOCK_CHARS = 4_000_000
+BLOCK_DOCS = 20_000
+#: Places that words are dealt to, for each shuffle partition, and words that an encoder remembers at most.
+PLACES = 2
+KNOWN_WORDS = 500_000
 
 
 def ranks(path: str) -> dict[bytes, int]:
@@ -88,6 +92,31 @@ def numbered(found: Iterator[Block]) -> Iterator[tuple[int, Block]]:
         yield (part << 32) + k, block
 
 
+def squeezed(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, their bytes dealt out by significance, compressed."""
+    import zstandard
+
+    planes = np.ascontiguousarray(numbers.astype("<u4").view("u1").reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def restored(data: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype="u1").reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
+def dealt(words: dict[str, int], places: int) -> list[tuple[int, list[str]]]:
+    """(place, its words, sorted), by place; the place follows from the word alone."""
+    import zlib
+
+    parts: dict[int, list[str]] = {}
+    for word in words:
+        parts.setdefault(zlib.crc32(word.encode()) % places, []).append(word)
+    return [(place, sorted(parts[place])) for place in sorted(parts)]
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, ids (array of int) for each row of docs.
 
@@ -97,51 +126,70 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """
     spark = docs.sparkSession
     table = spark.sparkContext.broadcast(ranks(ranks_path))  # one row for each id of the vocabulary
+    places = PLACES * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.whole_text().alias("text"))
 
     def words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for k, block in numbered(blocks(batches, pattern)):
-            words = list(block.words)
-            for at in range(0, len(words), 50_000):
-                part = words[at : at + 50_000]
-                yield pd.DataFrame({"word": part, "block": k, "at": np.arange(at, at + len(part), dtype=np.int32)})
-
-    def texts_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=1).compress
         for k, block in numbered(blocks(batches, pattern)):
-            yield pd.DataFrame({"block": k, "n_words": len(block.words), "doc_id": pd.array(block.docs, dtype="Int64"), "codes": [pack(c) for c in block.codes]})
+            parts = dealt(block.words, places)
+            sizes = [squeezed(np.fromiter(map(len, words), dtype="<u4", count=len(words))) for _, words in parts]
+            yield pd.DataFrame({"place": [p for p, _ in parts], "block": k, "sizes": sizes, "words": [pack("".join(words).encode()) for _, words in parts]})
+
+    def texts_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for k, block in numbered(blocks(batches, pattern)):
+            order = np.fromiter((block.words[w] for _, words in dealt(block.words, places) for w in words), dtype="<u4", count=len(block.words))
+            sizes = np.array([len(c) // 4 for c in block.codes], dtype="int32")
+            ids = np.array([None if pd.isna(x) else x for x in block.docs], dtype=object)
+            yield pd.DataFrame({"block": [k], "doc_ids": [ids], "sizes": [sizes], "order": [squeezed(order)], "codes": [squeezed(np.frombuffer(b"".join(block.codes), dtype="<u4"))]})
 
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import tiktoken
+        import zstandard
 
+        unpack = zstandard.ZstdDecompressor().decompress
         library = tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=table.value, special_tokens={})
-        last, ids = None, b""
+        known, here = {}, None
         for batch in batches:
             out = []
-            for word in batch["word"]:  # equal words follow one another
-                if word != last:
-                    last, ids = word, np.array(library.encode_ordinary(word), dtype="<u4").tobytes()
-                out.append(ids)
-            yield pd.DataFrame({"block": batch["block"], "at": batch["at"], "ids": out})
+            for place, sizes, words in zip(batch["place"], batch["sizes"], batch["words"]):
+                if place != here or len(known) > KNOWN_WORDS:  # a word has one place
+                    known, here = {}, place
+                text, at, found = unpack(words).decode(), 0, []
+                for size in restored(sizes).tolist():
+                    word = text[at : at + size]
+                    ids = known.get(word)
+                    if ids is None:
+                        ids = known[word] = library.encode_ordinary(word)
+                    found.append(ids)
+                    at += size
+                flat = np.fromiter((x for ids in found for x in ids), dtype="<u4")
+                out.append((squeezed(np.fromiter(map(len, found), dtype="<u4", count=len(found))), squeezed(flat)))
+            yield pd.DataFrame({"block": batch["block"], "place": batch["place"], "sizes": [a for a, _ in out], "ids": [b for _, b in out]})
 
     def assembled(key, words: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
-        import zstandard
-
-        unpack = zstandard.ZstdDecompressor().decompress
-        n = int(texts["n_words"].iloc[0]) if len(texts) else 0
-        if len(words) != n:
-            raise RuntimeError(f"block {key[0]} has {n} words and got {len(words)}")
-        ids = np.empty(n, dtype=object)
-        ids[words["at"].to_numpy()] = words["ids"].to_numpy()
-        look = ids.tolist().__getitem__
-        out = [np.frombuffer(b"".join(map(look, np.frombuffer(unpack(c), dtype="<u4").tolist())), dtype="<i4") for c in texts["codes"]]
-        return pd.DataFrame({"doc_id": texts["doc_id"].astype("Int64"), "ids": out})
-
-    words = docs.mapInPandas(words_of, "word string, block long, at int")
-    words = words.repartition("word").sortWithinPartitions("word").mapInPandas(encoded, "block long, at int, ids binary")
-    texts = docs.mapInPandas(texts_of, "block long, n_words int, doc_id long, codes binary")
+        words = words.sort_values("place")
+        (text,) = texts.itertuples()
+        order, codes = restored(text.order), restored(text.codes)
+        got = np.concatenate([restored(x) for x in words["sizes"]] or [np.zeros(0, dtype="<u4")]).astype(np.int64)
+        if len(got) != len(order):
+            raise RuntimeError(f"block {key[0]} has {len(order)} words and got {len(got)}")
+        flat = np.concatenate([restored(x) for x in words["ids"]] or [np.zeros(0, dtype="<u4")]).astype(np.int32)
+        sizes, starts = np.empty_like(got), np.empty_like(got)
+        sizes[order], starts[order] = got, np.cumsum(got) - got
+        ends, rows, at = np.cumsum(text.sizes), [], 0
+        for end in ends.tolist():
+            own = codes[at:end]
+            n = sizes[own]
+            rows.append(flat[np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+            at = end
+        return pd.DataFrame({"doc_id": pd.array([None if pd.isna(x) else int(x) for x in text.doc_ids], dtype="Int64"), "ids": rows})
+
+    words = docs.mapInPandas(words_of, "place int, block long, sizes binary, words binary")
+    words = words.repartition("place").sortWithinPartitions("place").mapInPandas(encoded, "block long, place int, sizes binary, ids binary")
+    texts = docs.mapInPandas(texts_of, "block long, doc_ids array<long>, sizes array<int>, order binary, codes binary")
     return words.groupBy("block").cogroup(texts.groupBy("block")).applyInPandas(assembled, "doc_id long, ids array<int>")
 
 
