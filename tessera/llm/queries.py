@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, language, lines, near, neighbours, packing, pii, quality
+from . import bpe, fingerprints, language, licences, lines, near, neighbours, packing, pii, quality
 from .common import documents
 
 
@@ -15,6 +15,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classified(documents(spark, sf_dir), labels).drop("mark")
 
 
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(documents(spark, sf_dir))
+
+
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.grouped(documents(spark, sf_dir)).select("doc_id", "class_id", "kept")
 
@@ -53,6 +57,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_licences": op2_licences,
     "op3_order_minhash": op3_order_minhash,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_nearest_neighbours": op5_nearest_neighbours,
