@@ -25,10 +25,10 @@ def real_per_batch(max_batch: int = MAX_BATCH, ratio: float = DECOY_RATIO) -> in
     return max(1, int(max_batch // (1 + ratio)))
 
 
-def lookup_batches(terms: DataFrame, max_batch: int = MAX_BATCH, ratio: float = DECOY_RATIO) -> DataFrame:
-    """term, shard, batch: terms in batches of bounded size. Shards follow from a hash, so that numbering is spread out."""
+def lookup_batches(terms: DataFrame, max_batch: int = MAX_BATCH, ratio: float = DECOY_RATIO, shard: Column | None = None) -> DataFrame:
+    """term, shard, batch: terms in batches of bounded size. Shards, of a hash unless given, spread the numbering out."""
     size = real_per_batch(max_batch, ratio)
-    shard = F.pmod(F.xxhash64("term"), F.lit(64)).cast("int")
+    shard = F.pmod(F.xxhash64("term"), F.lit(64)).cast("int") if shard is None else shard
     nth = F.row_number().over(Window.partitionBy("shard").orderBy("term")) - 1
     return terms.withColumn("shard", shard).withColumn("batch", F.floor(nth / size).cast("int"))
 

@@ -1,4 +1,477 @@
-"""The library's queries by name, and the SQL that each is held against."""
+"""The library's queries by name over the tables of a folder, and the SQL that each is held against.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Conversations are the sessions: a turn is a document, a conversation a session. Entities of the graph are customers and
+suppliers, in documents that orders and line items make. Dictionaries are made from the words of `benchmark`.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import text as T
+from tessera.functions.lexicon import DEFAULT
+from tessera.operators import detect, entities, graph, lookups, rewrite
+from tessera.operators.tokenize import spans, tokens
+from tessera.plans import anonymize as plan
+from tessera.sources import files
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations")
+    return rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("doc_ord"), "text")
+
+
+def sql_text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def sql_list(values: list[str]) -> str:
+    return "(" + ", ".join(map(sql_text, values)) + ")"
+
+
+# Patterns -------------------------------------------------------------------------------------------------------------
+
+
+def pattern_query(name: str, table: str, key: str, column: str, pattern: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = T.matches(F.coalesce(F.col(column), F.lit("")), "x", pattern)
+        rows = read(spark, sf_dir, table).select(key, found.alias("found")).where(F.size("found") > 0)
+        chars = F.aggregate("found", F.lit(0), lambda a, s: a + s["end"] - s["start"])
+        return rows.select(key, F.size("found").cast("long").alias("n"), chars.cast("long").alias("chars"), F.get("found", F.lit(0))["start"].cast("long").alias("first_start"))
+
+    QUERIES[name] = run
+    p = sql_text(pattern)
+    ORACLE_SQL[name] = f"""
+        SELECT {key}, n, chars, first_start FROM (
+            SELECT {key}, len(m)::BIGINT AS n, list_sum(list_transform(m, lambda x: length(x)))::BIGINT AS chars, length(g[1])::BIGINT AS first_start
+            FROM (SELECT {key}, regexp_extract_all({column}, {p}) AS m, regexp_split_to_array({column}, {p}) AS g FROM {table}) WHERE len(m) > 0)"""
+
+
+for name, (_, pattern) in zip(("url", "email", "iban", "ssn", "phone_fr", "phone_uk"), T.PATTERNS):
+    pattern_query(f"pattern_{name}", "documents", "doc_id", "text", pattern)
+pattern_query("pattern_url_pages", "pages", "page_id", "url", T.PATTERNS[0][1])
+
+IBANS = ["FR76 3000 6000 0112 3456 7890 189", "FR00 1234 5678 9012 3456 7890 123", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"]
+
+
+@query(f"""
+    WITH t AS (SELECT unnest({"[" + ", ".join(map(sql_text, IBANS)) + "]"}) AS iban),
+    c AS (SELECT iban, substr(replace(iban, ' ', ''), 5) || substr(replace(iban, ' ', ''), 1, 4) AS turned FROM t)
+    SELECT iban, (list_reduce(list_prepend(0::BIGINT, list_transform(string_split(turned, ''), lambda c: CASE WHEN ascii(c) >= 65 THEN 1000 + ascii(c) - 55 ELSE ascii(c) - 48 END::BIGINT)),
+        lambda r, d: CASE WHEN d >= 1000 THEN (r * 100 + d - 1000) % 97 ELSE (r * 10 + d) % 97 END))::BIGINT AS remainder FROM c""")
+def iban_mod97(spark, sf_dir):
+    rows = spark.range(1).select(F.explode(F.array(*map(F.lit, IBANS))).alias("iban"))
+    return rows.select("iban", T.iban_remainder(F.col("iban")).cast("long").alias("remainder"))
+
+
+def spans_sql(table: str, key: str) -> str:
+    """CTEs that end with `spans` (key, kind, s, e): accepted spans, for tables without valid IBANs."""
+    parts, taken = [], []
+    for k, (kind, pattern) in enumerate(T.PATTERNS):
+        if kind == "iban":
+            continue
+        p = sql_text(pattern)
+        parts.append(f"""raw{k} AS (SELECT {key} AS key, unnest(range(1, len(m) + 1)) AS k, m, g FROM (SELECT {key}, regexp_extract_all(text, {p}) AS m, regexp_split_to_array(text, {p}) AS g FROM {table})),
+        pos{k} AS (SELECT key, '{kind}' AS kind, (list_sum(list_transform(g[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k-1], lambda x: length(x))), 0))::BIGINT AS s, length(m[k]) AS n FROM raw{k}),
+        ok{k} AS (SELECT key, kind, s, s + n AS e FROM pos{k} p WHERE true {" ".join(f"AND NOT EXISTS (SELECT 1 FROM ok{j} a WHERE a.key = p.key AND a.s < p.s + p.n AND a.e > p.s)" for j in taken)})""")
+        taken.append(k)
+    return ",\n".join(parts) + ",\nspans AS (" + " UNION ALL ".join(f"SELECT * FROM ok{j}" for j in taken) + ")"
+
+
+@query(f"""
+    WITH {spans_sql("documents", "doc_id")}
+    SELECT d.lang, s.kind, count(*) AS spans, count(DISTINCT d.doc_id) AS documents, sum(s.e - s.s)::BIGINT AS chars
+    FROM spans s JOIN documents d ON d.doc_id = s.key GROUP BY ALL""")
+def pattern_spans_resolved(spark, sf_dir):
+    found = spans(read(spark, sf_dir, "documents").select("doc_id", "lang", "text")).select("doc_id", "lang", F.explode("spans").alias("s"))
+    return found.groupBy("lang", F.col("s.kind").alias("kind")).agg(F.count("*").alias("spans"), F.countDistinct("doc_id").alias("documents"), F.sum(F.col("s.end") - F.col("s.start")).cast("long").alias("chars"))
+
+
+# Tokens and detection -------------------------------------------------------------------------------------------------
+
+BASIC_SQL = sql_text(T.BASIC)
+TOKENS_SQL = f"""
+    docs AS (SELECT conv_id * 1000 + turn AS doc_id, coalesce(text, '') AS text FROM conversations),
+    lists AS (SELECT doc_id, regexp_extract_all(text, {BASIC_SQL}) AS m FROM docs),
+    toks AS (SELECT doc_id, tok - 1 AS tok, m[tok] AS text FROM (SELECT doc_id, m, unnest(range(1, len(m) + 1)) AS tok FROM lists)),
+    tokens AS (SELECT *, sum(length(text)) OVER (PARTITION BY doc_id ORDER BY tok) - length(text) AS s, CASE WHEN regexp_matches(text, '^\\s') THEN 'whitespace'
+        WHEN regexp_matches(text, {sql_text(T.WORD_START)}) THEN 'word' WHEN regexp_matches(text, '^[0-9]') THEN 'number' ELSE 'punctuation' END AS kind FROM toks)"""
+UPPER_SQL = "replace(upper(text), 'ẞ', 'SS')"
+
+
+def clean_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as documents; they hold no identifiers, so that their tokens are the basic ones."""
+    return turns(spark, sf_dir).select("doc_id", "text")
+
+
+@query(f"""WITH {TOKENS_SQL} SELECT kind, count(*) AS tokens, sum(length(text))::BIGINT AS chars, count(DISTINCT text) AS texts FROM tokens GROUP BY kind""")
+def token_kind_counts(spark, sf_dir):
+    return tokens(clean_turns(spark, sf_dir)).groupBy("kind").agg(F.count("*").alias("tokens"), F.sum(F.length("text")).cast("long").alias("chars"), F.countDistinct("text").alias("texts"))
+
+
+@query(f"""WITH {TOKENS_SQL} SELECT doc_id, count(*) AS tokens, sum(s * (tok + 1))::BIGINT AS checksum, max(s + length(text))::BIGINT AS length FROM tokens GROUP BY doc_id""")
+def token_offsets(spark, sf_dir):
+    return tokens(clean_turns(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("tokens"), F.sum(F.col("start").cast("long") * (F.col("tok") + 1)).alias("checksum"), F.max("end").cast("long").alias("length"))
+
+
+SCORES_SQL = ", ".join(f"count(*) FILTER (kind = 'word' AND {UPPER_SQL} IN {sql_list(words)}) AS score_{x}" for x, words in DEFAULT.stop_words.items())
+
+
+@query(f"""
+    WITH {TOKENS_SQL}, scores AS (SELECT doc_id, {SCORES_SQL} FROM tokens GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN score_fr >= score_en AND score_fr >= score_de THEN 'fr' WHEN score_en >= score_de THEN 'en' ELSE 'de' END AS language, score_fr, score_en, score_de FROM scores""")
+def detect_language(spark, sf_dir):
+    return detect.language(tokens(clean_turns(spark, sf_dir)))
+
+
+def chain_sql(name: str, source: str, follows: str, starts: str, least: int) -> str:
+    return f"""{name}a AS (SELECT *, sum(CASE WHEN {follows} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY w) AS chain FROM {source}),
+    {name}b AS (SELECT *, min(CASE WHEN {starts} THEN w END) OVER (PARTITION BY doc_id, chain) AS p FROM {name}a),
+    {name}c AS (SELECT *, count(*) FILTER (w >= p) OVER (PARTITION BY doc_id, chain) AS size FROM {name}b),
+    {name} AS (SELECT * EXCLUDE (chain, p, size), CASE WHEN w >= p AND size >= {least} THEN p END AS {name}_g FROM {name}c)"""
+
+
+GROUPS_SQL = f"""{TOKENS_SQL},
+    solid AS (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY tok) AS before_kind, lag(text) OVER (PARTITION BY doc_id ORDER BY tok) AS before_text, lag(s) OVER (PARTITION BY doc_id ORDER BY tok) AS before_s FROM tokens WHERE kind <> 'whitespace'),
+    words AS (SELECT doc_id, tok, s, text, before_kind, before_text, before_s, row_number() OVER (PARTITION BY doc_id ORDER BY tok) AS w,
+        regexp_matches(text, '^[A-ZÀ-Ý]') AS cap, {UPPER_SQL} IN {sql_list(DEFAULT.every_stop_word)} AS stop, {UPPER_SQL} IN {sql_list(DEFAULT.company_words)} AS company,
+        {UPPER_SQL} IN {sql_list(DEFAULT.street_words)} AS street, {UPPER_SQL} IN {sql_list(DEFAULT.honorifics)} AS honorific,
+        before_kind IS NULL OR (before_kind = 'punctuation' AND before_text = '.') AS starts_sentence, text = {UPPER_SQL} AND regexp_matches(text, '[A-ZÀ-Ý]') AS all_upper
+        FROM solid WHERE kind = 'word'),
+    {chain_sql("c2", "words", "cap", "company", 2)},
+    seg AS (SELECT *, count(c2_g) OVER (PARTITION BY doc_id ORDER BY w) AS segment FROM c2),
+    streets AS (SELECT doc_id, segment, w, w + CASE WHEN before_kind = 'number' THEN 7 ELSE 8 END AS e FROM seg WHERE street AND c2_g IS NULL),
+    picks AS (SELECT doc_id, segment, min(w) AS w FROM streets GROUP BY ALL
+        UNION ALL SELECT p.doc_id, p.segment, (SELECT min(n.w) FROM streets n WHERE n.doc_id = p.doc_id AND n.segment = p.segment AND n.w >= x.e)
+        FROM picks p JOIN streets x ON x.doc_id = p.doc_id AND x.segment = p.segment AND x.w = p.w
+        WHERE EXISTS (SELECT 1 FROM streets n WHERE n.doc_id = p.doc_id AND n.segment = p.segment AND n.w >= x.e)),
+    starts AS (SELECT x.* FROM streets x JOIN (SELECT DISTINCT * FROM picks) p ON x.doc_id = p.doc_id AND x.segment = p.segment AND x.w = p.w),
+    c3 AS (SELECT g.* EXCLUDE (segment), CASE WHEN g.c2_g IS NULL THEN a.w END AS c3_g FROM seg g LEFT JOIN starts a ON a.doc_id = g.doc_id AND a.segment = g.segment AND g.w >= a.w AND g.w < a.e),
+    {chain_sql("c4", "c3", "c2_g IS NULL AND c3_g IS NULL AND cap AND NOT stop", "c2_g IS NULL AND c3_g IS NULL AND honorific", 2)},
+    {chain_sql("c5", "c4", "coalesce(c2_g, c3_g, c4_g) IS NULL AND cap AND NOT stop", "coalesce(c2_g, c3_g, c4_g) IS NULL AND cap AND NOT stop AND length(text) >= 2 AND NOT (starts_sentence AND NOT all_upper)", 1)},
+    members AS (SELECT *, CASE WHEN c2_g IS NOT NULL THEN 2 WHEN c3_g IS NOT NULL THEN 3 WHEN c4_g IS NOT NULL THEN 4 WHEN c5_g IS NOT NULL THEN 5 END AS pass, coalesce(c2_g, c3_g, c4_g, c5_g) AS g FROM c5),
+    groups AS (SELECT doc_id, pass, g, string_agg(text, ' ' ORDER BY w) AS words, arg_min(CASE WHEN pass = 3 AND before_kind = 'number' THEN before_text END, w) AS number,
+        arg_min(CASE WHEN pass = 3 AND before_kind = 'number' THEN before_s END, w) AS number_s, min(s) AS s, max(s + length(text)) AS e, count(*) AS n, min_by(text, w) AS first_word FROM members WHERE pass IS NOT NULL GROUP BY ALL),
+    final AS (SELECT doc_id, pass, CASE WHEN number IS NULL THEN words ELSE number || ' ' || words END AS text, coalesce(number_s, s)::BIGINT AS start, e::BIGINT AS end, n, first_word FROM groups)"""
+LOCAL = {2: "company_candidate", 3: "address_fragment", 4: "person_candidate", 5: "candidate"}
+
+
+@query(f"""WITH RECURSIVE {GROUPS_SQL} SELECT doc_id, CASE pass {" ".join(f"WHEN {k} THEN '{v}'" for k, v in LOCAL.items())} END AS kind, text, start, "end" FROM final""")
+def detect_local_all(spark, sf_dir):
+    found = detect.groups(tokens(clean_turns(spark, sf_dir)))
+    return found.select("doc_id", F.coalesce("local_type", "confidence").alias("kind"), "text", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+
+
+# Dictionary, entities and aliases -------------------------------------------------------------------------------------
+
+DICTIONARY_SQL = """
+    dictionary AS (SELECT DISTINCT word AS term, 'names' AS dict, ['surname', 'city', 'company'][length(word) % 3 + 1] AS type
+        FROM (SELECT unnest(regexp_extract_all(text, '[A-Z][a-z]+')) AS word FROM benchmark) WHERE length(word) >= 3)"""
+
+
+def benchmark_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dictionary of the capitalised words of benchmark, of a type that their length gives."""
+    rows = read(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), F.lit(0))).alias("term")).where(F.length("term") >= 3).distinct()
+    kinds = F.array(F.lit("surname"), F.lit("city"), F.lit("company"))
+    return rows.select("term", F.lit("names").alias("dict"), F.lit(True).alias("match"), F.element_at(kinds, F.length("term") % 3 + 1).alias("type"), F.lit("en").alias("jurisdiction"), F.lit("high").alias("confidence"), F.lit(None).cast("map<string,string>").alias("metadata"), F.lit(0).alias("ord"))
+
+
+@query(f"""WITH RECURSIVE {GROUPS_SQL}, terms AS (SELECT DISTINCT text AS term FROM members WHERE pass IS NOT NULL)
+    SELECT term, length(term)::BIGINT AS chars FROM terms""")
+def lookup_terms_distinct(spark, sf_dir):
+    return entities.lookup_terms(detect.groups(tokens(clean_turns(spark, sf_dir)))).select("term", F.length("term").cast("long").alias("chars"))
+
+
+@query("""WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS term FROM benchmark)
+    SELECT (length(term) % 4)::BIGINT AS shard, ((row_number() OVER (PARTITION BY length(term) % 4 ORDER BY term) - 1) // 74)::BIGINT AS batch, term FROM t""")
+def lookup_batches(spark, sf_dir):
+    terms = read(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("term")).distinct()
+    rows = entities.lookup_batches(terms, shard=F.length("term") % 4)
+    return rows.select(F.col("shard").cast("long").alias("shard"), F.col("batch").cast("long").alias("batch"), "term")
+
+
+@query("""WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS term FROM benchmark), b AS (SELECT length(term) % 4 AS shard, (row_number() OVER (PARTITION BY length(term) % 4 ORDER BY term) - 1) // 74 AS batch FROM t)
+    SELECT shard::BIGINT AS shard, batch::BIGINT AS batch, count(*) AS real, least(ceil(count(*) * 0.35), greatest(0, 100 - count(*)))::BIGINT AS decoys FROM b GROUP BY ALL""")
+def decoy_counts(spark, sf_dir):
+    terms = read(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("term")).distinct()
+    return lookups.decoy_counts(entities.lookup_batches(terms, shard=F.length("term") % 4)).select(F.col("shard").cast("long").alias("shard"), F.col("batch").cast("long").alias("batch"), "real", "decoys")
+
+
+@query(f"""WITH {DICTIONARY_SQL} SELECT dict, 'en' AS jurisdiction, type, count(*) AS entry_count FROM dictionary GROUP BY ALL""")
+def list_dictionaries(spark, sf_dir):
+    return lookups.dictionaries(benchmark_words(spark, sf_dir))
+
+
+ENTITIES_SQL = f"""{GROUPS_SQL}, {DICTIONARY_SQL},
+    hits AS (SELECT m.doc_id, m.pass, m.g, count(d.term) AS found, arg_min(d.type, m.w) FILTER (d.type IS NOT NULL) AS evidence FROM members m LEFT JOIN dictionary d ON d.term = m.text WHERE m.pass IS NOT NULL GROUP BY ALL),
+    typed AS (SELECT f.doc_id, f.pass, f.text, f.start, f."end", h.found,
+        CASE WHEN f.pass = 2 THEN 'company' WHEN f.pass = 4 THEN 'person' WHEN f.pass = 3 THEN 'address' WHEN h.evidence = 'surname' THEN 'person' WHEN h.evidence = 'city' THEN 'city' WHEN h.evidence = 'company' THEN 'company' ELSE 'unknown' END AS type,
+        CASE WHEN f.pass < 5 AND h.evidence IS NOT NULL THEN 'high' WHEN f.pass < 5 OR h.evidence IS NOT NULL THEN 'medium' ELSE 'low' END AS confidence
+        FROM (SELECT final.*, groups.g FROM final JOIN groups USING (doc_id, pass) WHERE groups.s = final.start OR groups.number_s = final.start) f JOIN hits h ON h.doc_id = f.doc_id AND h.pass = f.pass AND h.g = f.g)"""
+
+
+@query(f"""WITH RECURSIVE {ENTITIES_SQL} SELECT doc_id, text, start, "end", type, confidence FROM typed""")
+def entity_type_rules(spark, sf_dir):
+    groups = detect.groups(tokens(clean_turns(spark, sf_dir)))
+    found = entities.typed(entities.classified(groups, benchmark_words(spark, sf_dir)))
+    return found.select("doc_id", "text", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "type", "confidence")
+
+
+MERGED_SQL = f"""{ENTITIES_SQL},
+    m1 AS (SELECT *, CASE WHEN type = 'person' AND lag(type) OVER o = 'person' AND start - lag("end") OVER o <= 3 THEN 0 ELSE 1 END AS brk FROM typed WINDOW o AS (PARTITION BY doc_id ORDER BY start, pass)),
+    m2 AS (SELECT *, sum(brk) OVER (PARTITION BY doc_id ORDER BY start, pass) AS island FROM m1),
+    m3 AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, island ORDER BY start, pass) - 1) // 2 AS pair FROM m2),
+    m4 AS (SELECT doc_id, island, pair, count(*) AS n, min(start) AS start, arg_max("end", start) AS "end", list(text ORDER BY start, pass) AS texts, list("end" ORDER BY start, pass) AS ends, list(start ORDER BY start, pass) AS starts, any_value(type) AS type,
+        CASE WHEN count(*) = 1 THEN any_value(confidence) WHEN bool_or(confidence = 'high') THEN 'high' ELSE 'medium' END AS confidence FROM m3 GROUP BY doc_id, island, pair),
+    merged AS (SELECT m4.doc_id, CASE WHEN n = 2 THEN texts[1] || substr(d.text, (ends[1] + 1)::BIGINT, greatest(0, starts[2] - ends[1])::BIGINT) || texts[2] ELSE texts[1] END AS text, start, "end", type, confidence, n = 2 AS merged FROM m4 JOIN docs d USING (doc_id))"""
+
+
+@query(f"""WITH RECURSIVE {MERGED_SQL} SELECT doc_id, text, start, "end", type, confidence, merged FROM merged""")
+def merge_adjacent_persons(spark, sf_dir):
+    docs = clean_turns(spark, sf_dir)
+    groups = detect.groups(tokens(docs))
+    found = entities.merged(entities.typed(entities.classified(groups, benchmark_words(spark, sf_dir))), docs)
+    return found.select("doc_id", "text", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "type", "confidence", "merged")
+
+
+def session_result(spark: SparkSession, sf_dir: str, style: str = "generic") -> plan.Anonymized:
+    return plan.anonymize(turns(spark, sf_dir), benchmark_words(spark, sf_dir), plan.Options(style=style, jurisdictions=[]))
+
+
+ALIASES_SQL = f"""{MERGED_SQL},
+    asked AS (SELECT doc_id // 1000 AS session, doc_id % 1000 AS turn, 0 AS phase, pass, start, text, type FROM typed
+        UNION ALL SELECT doc_id // 1000, doc_id % 1000, 1, 0, start, text, type FROM merged WHERE merged),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY turn, phase, pass, start) AS seq FROM asked),
+    firsts AS (SELECT session, text, arg_min(type, seq) AS type, min(seq) AS seq FROM ranked GROUP BY ALL),
+    aliases AS (SELECT session, text AS original, type, row_number() OVER (PARTITION BY session, type ORDER BY seq) AS n FROM firsts)"""
+ALIAS_SQL = "CASE type WHEN 'person' THEN 'Personne ' || n WHEN 'company' THEN 'Société ' || n WHEN 'address' THEN 'Adresse ' || n WHEN 'city' THEN 'Ville ' || n ELSE 'Entité ' || n END"
+
+
+@query(f"""WITH RECURSIVE {ALIASES_SQL} SELECT session::VARCHAR AS session_id, original, {ALIAS_SQL} AS alias, type FROM aliases""")
+def generic_alias_numbering(spark, sf_dir):
+    return session_result(spark, sf_dir).aliases
+
+
+@query()
+def anonymize_sessions(spark, sf_dir):
+    """Texts rewritten with aliases that hold throughout a conversation."""
+    return session_result(spark, sf_dir).texts.select("doc_id", "session_id", "language", "anonymized")
+
+
+@query()
+def anonymize_realistic(spark, sf_dir):
+    return session_result(spark, sf_dir, "realistic").aliases
+
+
+MASKED = ["FR76 1234 5678 9012", "1 85 12 75 108 042 36"]
+
+
+@query(f"""SELECT v, substr(v, 1, 4) || regexp_replace(substr(v, 5), '[0-9A-Z]', 'X', 'g') AS alias FROM (SELECT unnest({"[" + ", ".join(map(sql_text, MASKED)) + "]"}) AS v)""")
+def mask_iban_ssn(spark, sf_dir):
+    return spark.range(1).select(F.explode(F.array(*map(F.lit, MASKED))).alias("v")).select("v", T.masked(F.col("v")).alias("alias"))
+
+
+# Rewriting and review -------------------------------------------------------------------------------------------------
+
+
+def marked_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """benchmark as documents whose entities are the capitalised words, named by their number."""
+    docs = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    found = docs.select("doc_id", F.posexplode(T.matches(F.col("text"), "word", "[A-Z][a-z]+")).alias("n", "s"))
+    return found.select("doc_id", "n", "s.start", "s.end", "s.text", F.when(F.length("s.text") % 2 == 0, "person").otherwise("unknown").alias("type"), F.when(F.length("s.text") > 4, "high").otherwise("low").alias("confidence"), F.concat(F.lit("N"), (F.col("n") + 1).cast("string")).alias("alias"), F.lit(2).alias("pass"), F.col("s.start").alias("ord"))
+
+
+MARKED_SQL = """
+    raw AS (SELECT item_id AS doc_id, text, regexp_extract_all(text, '[A-Z][a-z]+') AS m, regexp_split_to_array(text, '[A-Z][a-z]+') AS g FROM benchmark),
+    each AS (SELECT doc_id, unnest(range(1, len(m) + 1)) AS n, m FROM raw),
+    marked AS (SELECT doc_id, n, m[n] AS text, CASE WHEN length(m[n]) % 2 = 0 THEN 'person' ELSE 'unknown' END AS type, CASE WHEN length(m[n]) > 4 THEN 'high' ELSE 'low' END AS confidence, 'N' || n AS alias FROM each)"""
+
+
+@query(f"""WITH {MARKED_SQL} SELECT doc_id, array_to_string(list_transform(range(1, len(g) + 1), lambda k: g[k] || CASE WHEN k <= len(m) THEN 'N' || k ELSE '' END), '') AS anonymized FROM raw""")
+def substitute_text(spark, sf_dir):
+    docs = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    return rewrite.substituted(docs, marked_words(spark, sf_dir)).select("doc_id", "anonymized")
+
+
+@query("SELECT item_id AS doc_id, text AS restored FROM benchmark")
+def restore_text(spark, sf_dir):
+    """Substitutes and restores again; aliases can't occur in the texts."""
+    docs = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    found = marked_words(spark, sf_dir).withColumn("alias", F.format_string("<%d>", "n"))
+    rewritten = rewrite.substituted(docs, found).select("doc_id", F.col("anonymized").alias("text"))
+    table = found.select("doc_id", F.col("text").alias("original"), "alias", F.col("n").alias("ord"))
+    return rewrite.restore(rewritten, table, "doc_id").select("doc_id", "restored")
+
+
+@query(f"""WITH {MARKED_SQL} SELECT doc_id, text AS original, arg_max(alias, n) AS alias FROM marked GROUP BY ALL""")
+def alias_table(spark, sf_dir):
+    return rewrite.alias_tables(marked_words(spark, sf_dir)).select("doc_id", F.explode("aliases").alias("original", "alias"))
+
+
+@query(f"""WITH {MARKED_SQL} SELECT doc_id, '"' || text || '","' || arg_max(alias, n) || '","' || any_value(type) || '","' || any_value(confidence) || '"' AS line FROM marked GROUP BY doc_id, text""")
+def alias_csv_lines(spark, sf_dir):
+    rows = marked_words(spark, sf_dir).groupBy("doc_id", F.col("text").alias("original")).agg(F.max_by("alias", "n").alias("alias"), F.first("type").alias("type"), F.first("confidence").alias("confidence"))
+    return rows.select("doc_id", F.concat_ws(",", *[T.csv_field(F.col(c)) for c in ("original", "alias", "type", "confidence")]).alias("line"))
+
+
+@query(f"""WITH {MARKED_SQL} SELECT doc_id, lower(text) AS key, arg_min(text, n) AS text, count(*) AS count FROM marked GROUP BY doc_id, lower(text)""")
+def review_group_entities(spark, sf_dir):
+    return rewrite.review_groups(marked_words(spark, sf_dir)).select("doc_id", "key", "text", "count")
+
+
+@query(f"""WITH {MARKED_SQL} SELECT count(*) AS total, count(*) FILTER (confidence <> 'low') AS accepted, count(*) FILTER (confidence = 'low') AS skipped FROM marked""")
+def review_skip_unconfirmed(spark, sf_dir):
+    found = rewrite.accept_all(marked_words(spark, sf_dir).withColumn("accepted", F.lit(None).cast("string")))
+    return rewrite.review_counts(rewrite.skip_unconfirmed(found))
+
+
+@query(f"""WITH {MARKED_SQL} SELECT doc_id, array_to_string(list_transform(range(1, len(g) + 1), lambda k: g[k] || CASE WHEN k <= len(m) THEN '[REDACTED]' ELSE '' END), '') AS anonymized FROM raw""")
+def review_redact_all(spark, sf_dir):
+    docs = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    return rewrite.review_output(docs, rewrite.redacted(marked_words(spark, sf_dir))).select("doc_id", "anonymized")
+
+
+@query("""SELECT item_id AS doc_id, regexp_replace(text, '(the|of)', 'X', 'gi') AS replaced FROM benchmark""")
+def replace_terms(spark, sf_dir):
+    pairs = F.array(*[F.struct(F.lit(t).alias("text"), F.lit("X").alias("alias")) for t in ("of", "the")])
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), rewrite.replaced_terms(F.col("text"), pairs).alias("replaced"))
+
+
+@query("""SELECT item_id AS doc_id, regexp_replace(text, '(the|of)', '<mark>\\1</mark>', 'gi') AS marked, text AS plain FROM benchmark""")
+def highlight_terms(spark, sf_dir):
+    marked = rewrite.highlighted(F.col("text"), F.array(F.lit("of"), F.lit("the")))
+    rows = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), marked.alias("marked"))
+    return rows.withColumn("plain", rewrite.unhighlighted(F.col("marked")))
+
+
+@query("""SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped FROM pages""")
+def html_escape(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", T.html_escaped(F.col("html")).alias("escaped"))
+
+
+@query()
+def visible_text(spark, sf_dir):
+    return files.page_texts(read(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "text")
+
+
+# The entity graph -----------------------------------------------------------------------------------------------------
+
+CANONICAL_SQL = "regexp_replace(replace(upper(trim(name)), 'ẞ', 'SS'), '\\s+', ' ', 'g')"
+
+
+@query(f"""SELECT k, {CANONICAL_SQL} AS canonical FROM (SELECT n_nationkey::BIGINT AS k, '  ' || lower(n_name) || '   x ' AS name FROM nation)""")
+def canonicalize(spark, sf_dir):
+    return read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"), T.canonical(F.concat(F.lit("  "), F.lower("n_name"), F.lit("   x "))).alias("canonical"))
+
+
+@query("""SELECT fingerprint, min(doc_id) AS document_id, count(*) AS copies FROM (SELECT doc_id, sha256(substr(text, 1, 200)) AS fingerprint FROM documents) GROUP BY fingerprint""")
+def fingerprint_dedup(spark, sf_dir):
+    return graph.by_fingerprint(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), T.fingerprint(F.col("text")).alias("fingerprint")))
+
+
+GRAPH_NEW = """SELECT o_orderkey, 'doc_' || lpad(o_orderkey::VARCHAR, 9, '0') AS document_id, o_orderdate::TIMESTAMP AS at, o_custkey FROM orders"""
+FOUND_SQL = f"""
+    new AS ({GRAPH_NEW}),
+    found AS (SELECT DISTINCT n.document_id, 'Supplier ' || l.l_suppkey AS text, 'company' AS type, n.at FROM lineitem l JOIN new n ON n.o_orderkey = l.l_orderkey
+        UNION ALL SELECT document_id, 'Customer ' || o_custkey, 'person', at FROM new)"""
+
+
+def graph_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(new documents, entities found in them): an order is a document, its customer and suppliers are its entities."""
+    orders = read(spark, sf_dir, "orders")
+    new = orders.select("o_orderkey", F.concat(F.lit("doc_"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0")).alias("document_id"), F.col("o_orderdate").cast("timestamp").alias("processed_at"), F.col("o_custkey").alias("custkey"))
+    suppliers = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("suppkey")).distinct()
+    found = suppliers.join(new, "o_orderkey").select("document_id", F.concat(F.lit("Supplier "), F.col("suppkey").cast("string")).alias("text"), F.lit("company").alias("type"))
+    found = found.unionByName(new.select("document_id", F.concat(F.lit("Customer "), F.col("custkey").cast("string")).alias("text"), F.lit("person").alias("type")))
+    return new.withColumn("label", F.col("document_id")).withColumn("text", F.col("document_id")), found.withColumn("alias", F.lower("text")).withColumn("ord", F.lit(0))
+
+
+ENTITY = "entity_id string, canonical string, type string, first_seen timestamp, last_seen timestamp, document_count int"
+OCCURRENCE = "entity_id string, document_id string, original string, alias string, confirmed boolean"
+DOCUMENT = "document_id string, label string, processed_at timestamp, entity_count int, fingerprint string"
+
+
+def recorded_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    new, found = graph_rows(spark, sf_dir)
+    return graph.recorded(spark.createDataFrame([], ENTITY), spark.createDataFrame([], OCCURRENCE), spark.createDataFrame([], DOCUMENT), new, found)
+
+
+@query(f"""WITH {FOUND_SQL} SELECT upper(text) AS canonical, type, strftime(min(at), '%Y-%m-%d') AS first_seen, strftime(max(at), '%Y-%m-%d') AS last_seen, count(DISTINCT document_id)::BIGINT AS document_count FROM found GROUP BY ALL""")
+def graph_record(spark, sf_dir):
+    rows = recorded_graph(spark, sf_dir)[0]
+    return rows.select("canonical", "type", F.date_format("first_seen", "yyyy-MM-dd").alias("first_seen"), F.date_format("last_seen", "yyyy-MM-dd").alias("last_seen"), F.col("document_count").cast("long").alias("document_count"))
+
+
+@query(f"""WITH {FOUND_SQL} SELECT (SELECT count(DISTINCT (upper(text), type)) FROM found) AS entities, (SELECT count(*) FROM new) AS documents""")
+def graph_counts(spark, sf_dir):
+    rows = recorded_graph(spark, sf_dir)
+    return graph.counts(rows[0], rows[2])
+
+
+@query(f"""WITH {FOUND_SQL} SELECT DISTINCT upper(text) AS canonical, type FROM found WHERE upper(text) LIKE 'SUPPLIER 1%' ORDER BY canonical LIMIT 20""")
+def graph_prefix_search(spark, sf_dir):
+    return graph.search(recorded_graph(spark, sf_dir)[0], "supplier 1").select("canonical", "type")
+
+
+@query("""SELECT doc_id, processed_at FROM (SELECT event_id AS doc_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS processed_at, ts FROM events) ORDER BY ts DESC, lpad(doc_id::VARCHAR, 12, '0') LIMIT 20 OFFSET 20""")
+def graph_list_documents(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").select("event_id", F.col("ts").alias("processed_at"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("document_id"))
+    return graph.list_documents(rows, 20, 20).select(F.col("event_id").alias("doc_id"), F.date_format("processed_at", "yyyy-MM-dd HH:mm:ss").alias("processed_at"))
+
+
+@query(f"""WITH {FOUND_SQL}, asked AS (SELECT DISTINCT o_custkey AS batch, 'Customer ' || o_custkey AS text FROM orders WHERE o_custkey % 50 = 1 UNION SELECT DISTINCT o_custkey, 'Supplier ' || (o_custkey % 7 + 1) FROM orders WHERE o_custkey % 50 = 1),
+    last AS (SELECT upper(text) AS canonical, type, max(document_id) AS document_id FROM found GROUP BY ALL),
+    hit AS (SELECT a.batch, a.text, l.document_id FROM asked a JOIN last l ON l.canonical = upper(a.text)),
+    co AS (SELECT h.batch, h.text, h.document_id, count(b.text) AS overlap FROM hit h LEFT JOIN found f ON f.document_id = h.document_id AND upper(f.text) <> upper(h.text) LEFT JOIN asked b ON b.batch = h.batch AND upper(b.text) = upper(f.text) GROUP BY ALL)
+    SELECT batch, text, document_id AS previous_document, lower(text) AS previous_alias, CASE WHEN overlap > 0 THEN 'exact' ELSE 'likely' END AS confidence FROM co""")
+def graph_find_matches(spark, sf_dir):
+    known, occurrences, documents = recorded_graph(spark, sf_dir)
+    asked = read(spark, sf_dir, "orders").where("o_custkey % 50 = 1").select(F.col("o_custkey").alias("batch")).distinct()
+    customers = asked.select("batch", F.concat(F.lit("Customer "), F.col("batch").cast("string")).alias("text"), F.lit("person").alias("type"))
+    suppliers = asked.select("batch", F.concat(F.lit("Supplier "), (F.col("batch") % 7 + 1).cast("string")).alias("text"), F.lit("company").alias("type"))
+    return graph.matches(customers.unionByName(suppliers), known, occurrences, documents).select("batch", "text", "previous_document", "previous_alias", "confidence")
+
+
+# Cache ----------------------------------------------------------------------------------------------------------------
+
+
+def event_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cache of what each user did last, from the first events of each hour."""
+    rows = read(spark, sf_dir, "events").where("event_id % 3 = 0").select(F.col("user_id").cast("string").alias("term"), F.col("event_id").alias("results"), F.col("ts").alias("at"))
+    empty = spark.createDataFrame([], "term string, results bigint, expires_at timestamp")
+    return lookups.cache_put(empty, rows, 24)
+
+
+CACHE_SQL = "cache AS (SELECT user_id::VARCHAR AS term, arg_max(event_id, ts) AS results, max(ts) + INTERVAL 24 HOURS AS expires_at FROM events WHERE event_id % 3 = 0 GROUP BY 1)"
+
+
+@query(f"""WITH {CACHE_SQL} SELECT e.event_id, c.term IS NOT NULL AS hit FROM events e LEFT JOIN cache c ON c.term = e.user_id::VARCHAR AND e.ts <= c.expires_at WHERE e.event_id % 3 = 1""")
+def cache_ttl_probe(spark, sf_dir):
+    probes = read(spark, sf_dir, "events").where("event_id % 3 = 1").select("event_id", F.col("user_id").cast("string").alias("term"), F.col("ts").alias("at"))
+    return lookups.cache_get(event_cache(spark, sf_dir), probes).select("event_id", F.col("results").isNotNull().alias("hit"))
+
+
+@query(f"""WITH {CACHE_SQL} SELECT term, results FROM cache WHERE expires_at > (SELECT max(ts) FROM events)""")
+def cache_sweep(spark, sf_dir):
+    now = read(spark, sf_dir, "events").agg(F.max("ts")).first()[0]
+    return lookups.cache_sweep(event_cache(spark, sf_dir), F.lit(now)).select("term", "results")
