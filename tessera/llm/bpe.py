@@ -14,6 +14,7 @@ gets back as many words as it has.
 from __future__ import annotations
 
 import base64
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +25,11 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Characters after which a block ends; a longer text is a block of its own.
-BLOCK_CHARS = 4_000_000
-BLOCK_DOCS = 20_000
+BLOCK_CHARS = 2_000_000
+BLOCK_DOCS = 10_000
 #: Places that words are dealt to, for each shuffle partition, and words that an encoder remembers at most.
 PLACES = 2
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 200_000
 
 
 def ranks(path: str) -> dict[bytes, int]:
@@ -37,21 +38,37 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+class Split(dict):
+    """What follows a space, with that space, to its matches; forgets everything when full, which changes no result."""
+
+    def __init__(self, split):
+        self.split = split
+
+    def __missing__(self, text: str) -> list[str]:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        found = self[text] = self.split(" " + text)
+        return found
+
+
 class Block:
     """Numbers of words, in the order in which they first come."""
 
-    def __init__(self, split):
-        self.split, self.words, self.parts = split, {}, {}
+    def __init__(self, known: Split):
+        self.known, self.words, self.parts = known, {}, {}
         self.docs, self.codes, self.chars = [], [], 0
 
+    def numbers(self, found: list[str]) -> bytes:
+        words = self.words
+        return b"".join([words.setdefault(w, len(words)).to_bytes(4, "little") for w in found])
+
     def number(self, text: str) -> bytes:
-        return np.array([self.words.setdefault(w, len(self.words)) for w in self.split(text)], dtype="<u4").tobytes()
+        return self.numbers(self.known.split(text))
 
     def part(self, text: str) -> bytes:
-        """The numbers of what follows a space, with that space."""
         got = self.parts.get(text)
         if got is None:
-            got = self.parts[text] = self.number(" " + text)
+            got = self.parts[text] = self.numbers(self.known[text])
         return got
 
     def add(self, doc_id, text: str, plain: bool) -> None:
@@ -71,14 +88,14 @@ def blocks(batches: Iterator[pd.DataFrame], pattern: str) -> Iterator[Block]:
 
     import regex
 
-    split, runs = regex.compile(pattern).findall, re.compile(r" (?:\s|\Z)|\A\s").search
-    block = Block(split)
+    known, runs = Split(regex.compile(pattern).findall), re.compile(r" (?:\s|\Z)|\A\s").search
+    block = Block(known)
     for batch in batches:
         for doc_id, text in zip(batch["doc_id"].astype("Int64"), batch["text"]):
             block.add(doc_id, text, not runs(text))
             if block.chars >= BLOCK_CHARS or len(block.docs) >= BLOCK_DOCS:
                 yield block
-                block = Block(split)
+                block = Block(known)
     if block.docs:
         yield block
 
@@ -125,6 +142,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     separately and special tokens are ordinary text.
     """
     spark = docs.sparkSession
+    common.small_batches(spark)
     table = spark.sparkContext.broadcast(ranks(ranks_path))  # one row for each id of the vocabulary
     places = PLACES * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.whole_text().alias("text"))
@@ -194,24 +212,15 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
-    """encoded with `bytes`, the bytes of each row's ids; an id without bytes in the table fails the query."""
-    spark = encoded.sparkSession
-    table = spark.sparkContext.broadcast({k: b for b, k in ranks(ranks_path).items()})
-    fields = [f for f in encoded.schema.fields if f.name != "bytes"]
-    from pyspark.sql.types import BinaryType, StructField, StructType
-
-    def joined(batches):
-        import pyarrow as pa
+    """encoded with `bytes`, the bytes of each row's ids; an id without bytes in the table fails the query.
 
-        look = table.value.__getitem__
-        for batch in batches:
-            ids = batch.column("ids")
-            flat, ends = ids.values.to_pylist(), ids.offsets.to_pylist()
-            found = [b"".join(map(look, flat[a:b])) if ok else None for a, b, ok in zip(ends, ends[1:], ids.is_valid().to_pylist())]
-            keep = [batch.column(f.name) for f in fields]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(found, pa.binary())], [*(f.name for f in fields), "bytes"])
-
-    return encoded.select(*(f.name for f in fields)).mapInArrow(joined, StructType([*fields, StructField("bytes", BinaryType())]))
+    The table, a row for each id of the vocabulary, goes along with the plan and is looked up by position.
+    """
+    found = {k: b.hex() for b, k in ranks(ranks_path).items()}
+    table = F.from_json(F.lit(json.dumps([found.get(k) for k in range(max(found) + 1)])), "array<string>")
+    missing = lambda k: F.raise_error(F.concat(F.lit("no bytes for id "), k.cast("string"))).cast("string")
+    signs = F.transform("ids", lambda k: F.coalesce(F.get(table, k), missing(k)))
+    return encoded.withColumn("bytes", F.unhex(F.array_join(signs, "")))
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
