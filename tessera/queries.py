@@ -389,11 +389,11 @@ def fingerprint_dedup(spark, sf_dir):
     return graph.by_fingerprint(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), T.fingerprint(F.col("text")).alias("fingerprint")))
 
 
-GRAPH_NEW = """SELECT o_orderkey, 'doc_' || lpad(o_orderkey::VARCHAR, 9, '0') AS document_id, o_orderdate::TIMESTAMP AS at, o_custkey FROM orders"""
+GRAPH_NEW = """SELECT o_orderkey, 'doc_' || lpad(o_orderkey::VARCHAR, 9, '0') AS document_id, o_orderdate::TIMESTAMP AS seen, o_custkey FROM orders"""
 FOUND_SQL = f"""
     new AS ({GRAPH_NEW}),
-    found AS (SELECT DISTINCT n.document_id, 'Supplier ' || l.l_suppkey AS text, 'company' AS type, n.at FROM lineitem l JOIN new n ON n.o_orderkey = l.l_orderkey
-        UNION ALL SELECT document_id, 'Customer ' || o_custkey, 'person', at FROM new)"""
+    found AS (SELECT DISTINCT n.document_id, 'Supplier ' || l.l_suppkey AS text, 'company' AS type, n.seen FROM lineitem l JOIN new n ON n.o_orderkey = l.l_orderkey
+        UNION ALL SELECT document_id, 'Customer ' || o_custkey, 'person', seen FROM new)"""
 
 
 def graph_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -416,7 +416,7 @@ def recorded_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     return graph.recorded(spark.createDataFrame([], ENTITY), spark.createDataFrame([], OCCURRENCE), spark.createDataFrame([], DOCUMENT), new, found)
 
 
-@query(f"""WITH {FOUND_SQL} SELECT upper(text) AS canonical, type, strftime(min(at), '%Y-%m-%d') AS first_seen, strftime(max(at), '%Y-%m-%d') AS last_seen, count(DISTINCT document_id)::BIGINT AS document_count FROM found GROUP BY ALL""")
+@query(f"""WITH {FOUND_SQL} SELECT upper(text) AS canonical, type, strftime(min(seen), '%Y-%m-%d') AS first_seen, strftime(max(seen), '%Y-%m-%d') AS last_seen, count(DISTINCT document_id)::BIGINT AS document_count FROM found GROUP BY ALL""")
 def graph_record(spark, sf_dir):
     rows = recorded_graph(spark, sf_dir)[0]
     return rows.select("canonical", "type", F.date_format("first_seen", "yyyy-MM-dd").alias("first_seen"), F.date_format("last_seen", "yyyy-MM-dd").alias("last_seen"), F.col("document_count").cast("long").alias("document_count"))
