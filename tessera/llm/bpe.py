@@ -38,69 +38,110 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+#: Characters that are neither letters, digits nor white space.
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class Split(dict):
-    """What follows a space, with that space, to its matches; forgets everything when full, which changes no result."""
+    """What follows a space, with that space, to its matches of public_tokenizers.PATTERN.
+
+    Letters, and letters with signs after them, split without the pattern. The rest is remembered; everything is
+    forgotten when full, which changes no result.
+    """
 
     def __init__(self, split):
         self.split = split
 
     def __missing__(self, text: str) -> list[str]:
+        letters = text.rstrip(SIGNS)
+        if letters.isalpha():
+            return [" " + letters, text[len(letters) :]] if len(letters) < len(text) else [" " + letters]
         if len(self) >= KNOWN_WORDS:
             self.clear()
         found = self[text] = self.split(" " + text)
         return found
 
 
-class Block:
-    """Numbers of words, in the order in which they first come."""
+class Parts(dict):
+    """What follows a space to its words' numbers in a block, as little-endian bytes."""
 
     def __init__(self, known: Split):
-        self.known, self.words, self.parts = known, {}, {}
-        self.docs, self.codes, self.chars = [], [], 0
+        self.known, self.words = known, {}
 
     def numbers(self, found: list[str]) -> bytes:
         words = self.words
         return b"".join([words.setdefault(w, len(words)).to_bytes(4, "little") for w in found])
 
-    def number(self, text: str) -> bytes:
-        return self.numbers(self.known.split(text))
-
-    def part(self, text: str) -> bytes:
-        got = self.parts.get(text)
-        if got is None:
-            got = self.parts[text] = self.numbers(self.known[text])
+    def __missing__(self, text: str) -> bytes:
+        got = self[text] = self.numbers(self.known[text])
         return got
 
+
+class Block:
+    """Documents and their words, numbered in the order in which they first come."""
+
+    def __init__(self, known: Split):
+        self.parts = Parts(known)
+        self.words = self.parts.words
+        self.docs, self.codes, self.chars = [], [], 0
+
     def add(self, doc_id, text: str, plain: bool) -> None:
         if plain:
             first, *rest = text.split(" ")
-            codes = self.number(first) + b"".join(map(self.part, rest))
+            codes = self.parts.numbers(self.parts.known.split(first)) + b"".join(map(self.parts.__getitem__, rest))
         else:
-            codes = self.number(text)
+            codes = self.parts.numbers(self.parts.known.split(text))
         self.docs.append(doc_id)
         self.codes.append(codes)
         self.chars += len(text)
 
+    def done(self) -> "Block":
+        return self
+
 
-def blocks(batches: Iterator[pd.DataFrame], pattern: str) -> Iterator[Block]:
-    """Blocks of whole documents, read from doc_id and text."""
+class Words:
+    """The words of a block alone."""
+
+    def __init__(self, known: Split):
+        self.known, self.parts, self.words = known, set(), set()
+        self.docs, self.chars = [], 0
+
+    def add(self, doc_id, text: str, plain: bool) -> None:
+        if plain:
+            first, *rest = text.split(" ")
+            self.parts.update(rest)
+            self.words.update(self.known.split(first))
+        else:
+            self.words.update(self.known.split(text))
+        self.docs.append(doc_id)
+        self.chars += len(text)
+
+    def done(self) -> "Words":
+        for part in self.parts:
+            self.words.update(self.known[part])
+        return self
+
+
+def blocks(batches: Iterator[pd.DataFrame], pattern: str, kind: type = Block) -> Iterator:
+    """Blocks of whole documents, read from doc_id and text: as `kind` has them, the same documents for every kind."""
     import re
 
     import regex
 
-    known, runs = Split(regex.compile(pattern).findall), re.compile(r" (?:\s|\Z)|\A\s").search
-    block = Block(known)
+    known, runs = Split(regex.compile(pattern).findall), re.compile(r"[ \n](?:[ \n]|\Z)|\A[ \n]").search
+    unusual = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+    block = kind(known)
     for batch in batches:
         for doc_id, text in zip(batch["doc_id"].astype("Int64"), batch["text"]):
-            block.add(doc_id, text, not runs(text))
+            block.add(doc_id, text, not (runs(text) or any(c in text for c in unusual)))
             if block.chars >= BLOCK_CHARS or len(block.docs) >= BLOCK_DOCS:
-                yield block
-                block = Block(known)
+                yield block.done()
+                block = kind(known)
     if block.docs:
-        yield block
+        yield block.done()
 
 
-def numbered(found: Iterator[Block]) -> Iterator[tuple[int, Block]]:
+def numbered(found: Iterator) -> Iterator[tuple[int, object]]:
     """Blocks with ids that no other partition gives."""
     from pyspark import TaskContext
 
@@ -124,7 +165,7 @@ def restored(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-def dealt(words: dict[str, int], places: int) -> list[tuple[int, list[str]]]:
+def dealt(words, places: int) -> list[tuple[int, list[str]]]:
     """(place, its words, sorted), by place; the place follows from the word alone."""
     import zlib
 
@@ -137,7 +178,8 @@ def dealt(words: dict[str, int], places: int) -> list[tuple[int, list[str]]]:
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, ids (array of int) for each row of docs.
 
-    Null texts count as empty and give no ids. Rows are kept one by one: repeated rows and doc_ids, null doc_ids too.
+    Between two characters that aren't white space, a space must start a match of `pattern`, as it does in
+    public_tokenizers.PATTERN. Null texts count as empty and give no ids. Rows are kept one by one: repeated rows and doc_ids, null doc_ids too.
     An empty table gives no row; columns besides doc_id and text are ignored. Every match of `pattern` is encoded
     separately and special tokens are ordinary text.
     """
@@ -151,7 +193,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=1).compress
-        for k, block in numbered(blocks(batches, pattern)):
+        for k, block in numbered(blocks(batches, pattern, Words)):
             parts = dealt(block.words, places)
             sizes = [squeezed(np.fromiter(map(len, words), dtype="<u4", count=len(words))) for _, words in parts]
             yield pd.DataFrame({"place": [p for p, _ in parts], "block": k, "sizes": sizes, "words": [pack("".join(words).encode()) for _, words in parts]})
