@@ -33,6 +33,7 @@ _card = re.compile(r"[0-9](?:[\x20-]?[0-9])++").finditer
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]").finditer
 _domain = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++").match
 _local = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_digits = frozenset("0123456789()+-./")
 _marked = re.compile(r"[0-9@]\S*+").finditer
 _word = re.compile(r"[^\W\d_]+")
 #: Characters on each side of an instance in which its context is looked for, and the longest instance.
@@ -98,14 +99,23 @@ def base(text: str) -> list[tuple[int, int, int]]:
 
 
 def instances(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, str, list[str]]]:
-    """(start, end, kind or -1, surface, patterns) of base spans and of other tokens with three digits or an @."""
-    taken, places = 0, [(a, b, kind) for a, kind, b in spans]
-    covered, k, last = sorted((a, b) for a, b, _ in places), 0, 0
+    """(start, end, kind or -1, surface, patterns) of base spans and of other tokens with three digits or an @.
+
+    Tokens of digits and signs that single spaces separate are one instance.
+    """
+    places = [(a, b, kind) for a, kind, b in spans]
+    covered, k, last, run = sorted((a, b) for a, b, _ in places), 0, 0, (-1, -1)
     for m in _marked(text):
         start = m.start()
         while start > last and not text[start - 1].isspace():
             start -= 1
         end = last = m.end()
+        digits = _digits.issuperset(text[start:end])
+        if digits and run[1] >= 0 and start == run[1] + 1 and text[start - 1] == " ":
+            start = run[0]
+            if places and places[-1][2] < 0 and places[-1][0] <= start + 1:
+                places.pop()
+        run = (start, end) if digits else (-1, -1)
         while start < end and not (text[start].isalnum() or text[start] in "+(@"):
             start += 1
         while start < end and not text[end - 1].isalnum():
@@ -123,7 +133,8 @@ def instances(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[in
         right = text[end : end + CONTEXT]
         before = [w.lower() for w in _word.findall(left)[-2:]]
         after = [w.lower() for w in _word.findall(right)[:1]]
-        sign = left.rstrip()[-1:] if left.rstrip()[-1:] in (":", "=", "#") and left.rstrip()[-1:] else ""
+        sign = left.rstrip()[-1:]
+        sign = sign if sign in {":", "=", "#"} else ""
         patterns = []
         if before:
             patterns.append(f"<{before[-1]}{sign}")
