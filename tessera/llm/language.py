@@ -137,11 +137,15 @@ def learn(docs: DataFrame) -> Model:
     At most SAMPLE_PER_LANGUAGE rows for each of the SAMPLE_LANGUAGES most frequent languages reach the driver, each as
     n-gram counts in BUCKETS buckets, so that long texts don't weigh more than that.
     """
+    common.small_batches(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     frequent = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE_LANGUAGES)
-    spread = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("long")), F.col("doc_id"), F.xxhash64("text"))
-    ids = known.select("doc_id", "lang", "text").withColumn("nth", F.row_number().over(spread)).where(F.col("nth") <= SAMPLE_PER_LANGUAGE)
-    sample = ids.join(F.broadcast(frequent.select("lang")), "lang", "left_semi").select("lang", "doc_id", "nth", "text")
+    # Only hashes low enough for four times the sample are ranked, so that a frequent language doesn't fill one task.
+    spread = F.xxhash64(F.col("doc_id").cast("long"))
+    low = spread.cast("double") <= -(2.0**63) + 2.0**64 * F.least(F.lit(1.0), F.lit(4.0 * SAMPLE_PER_LANGUAGE) / F.col("n"))
+    rows = known.select("doc_id", "lang", "text").join(F.broadcast(frequent), "lang").where(low)
+    order = Window.partitionBy("lang").orderBy(spread, "doc_id", F.xxhash64("text"))
+    sample = rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= SAMPLE_PER_LANGUAGE).select("lang", "doc_id", "nth", "text")
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
