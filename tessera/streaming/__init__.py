@@ -1 +1 @@
-
+"""Keyed state over arriving documents."""
