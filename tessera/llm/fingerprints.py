@@ -120,24 +120,24 @@ def peeled(table: DataFrame) -> DataFrame:
 
 def likeness(pairs: DataFrame) -> DataFrame:
     """row, likeness for pairs (row, a, b: arrays of distinct digests), retrying with larger sketches until all are recovered."""
-    todo, out, cells = pairs, None, F.lit(CELLS)
+    todo, out, again = pairs.select("row", "a", "b", F.lit(CELLS).alias("cells")), None, False
     while True:
-        table = subtracted(cells_of(todo.repartition("row"), ["a", "b"], cells), "a", "b")
-        sizes = todo.select("row", F.size("a").alias("n_a"), F.size("b").alias("n_b"))
-        result = common.written(sizes.join(peeled(table), "row", "left").fillna(0, ["only_a", "only_b", "left"]), "peeled")
+        dealt = todo.repartition("row")  # digests move once a round; all that follows is by row
+        table = subtracted(cells_of(dealt, ["a", "b"], F.col("cells")), "a", "b")
+        result = dealt.join(peeled(table), "row", "left").fillna(0, ["only_a", "only_b", "left"])
+        kept = lambda c: F.when(F.col("left") > 0, F.col(c)).alias(c)
+        result = result.select("row", "cells", "only_a", "only_b", "left", F.size("a").alias("n_a"), F.size("b").alias("n_b"), kept("a"), kept("b"))
+        result = common.written(result, "peeled")
         union = F.col("n_a") + F.col("only_b")
         done = result.where("left = 0").select("row", F.when(union == 0, 1.0).otherwise((F.col("n_a") - F.col("only_a")) / union).alias("likeness"))
         out = done if out is None else out.unionByName(done)
-        failed = result.where("left > 0").select("row")
+        failed = result.where("left > 0")
         if failed.isEmpty():
             return out
-        if "cells" in todo.columns:
-            grown = F.col("cells") * GROWTH
-        else:  # as many cells as hold all digests of both texts
-            power = F.ceil(F.log(float(GROWTH), F.greatest(F.lit(GROWTH), (F.size("a") + F.size("b")) * ROOM / CELLS)))
-            grown = (CELLS * F.pow(F.lit(GROWTH), power)).cast("int")
-        todo = common.written(todo.join(failed, "row").withColumn("cells", grown), "retried")
-        cells = F.col("cells")
+        # First as many cells as hold all digests of both texts, then GROWTH times as many.
+        power = F.ceil(F.log(float(GROWTH), F.greatest(F.lit(GROWTH), (F.col("n_a") + F.col("n_b")) * ROOM / CELLS)))
+        grown = F.col("cells") * GROWTH if again else (CELLS * F.pow(F.lit(GROWTH), power)).cast("int")
+        todo, again = failed.select("row", "a", "b", grown.alias("cells")), True
 
 
 def written_out(version: str) -> Column:
