@@ -31,13 +31,18 @@ def unicode_space(pattern: str) -> str:
 SPAN = "array<struct<start:int,end:int,kind:string,text:string>>"
 
 
+#: What a text must hold for a pattern to match at all; looked for before the pattern.
+HINTS = {"url": "://", "email": "@"}
+
+
 def matches(text: Column, kind: str, pattern: str) -> Column:
-    """Spans of all matches: gaps and matches take turns, and their lengths add up to the positions."""
+    """Spans of all matches: gaps and matches take turns, and their lengths add up to the positions.
+
+    The one-element array binds the matches to a name: the pattern runs once, and a second time for the gaps of texts
+    that have matches.
+    """
     java = unicode_space(pattern)
-    gaps, found = F.split(text, java, -1), F.regexp_extract_all(text, F.lit(java), F.lit(0))
-    pairs = F.zip_with(F.slice(gaps, 1, F.greatest(F.size(found), F.lit(0))), found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("text")))
     none = F.array().cast(SPAN)
-    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["gap"]
@@ -45,7 +50,15 @@ def matches(text: Column, kind: str, pattern: str) -> Column:
         span = F.struct(begin.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), x["text"].alias("text"))
         return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
-    return F.when(F.size(found) > 0, F.aggregate(pairs, start, step, lambda acc: acc["spans"])).otherwise(none)
+    def placed(found: Column) -> Column:
+        gaps = F.slice(F.split(text, java, -1), F.lit(1), F.size(found))
+        pairs = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("text")))
+        start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
+        return F.when(F.size(found) > 0, F.aggregate(pairs, start, step, lambda acc: acc["spans"])).otherwise(none)
+
+    spans = F.get(F.transform(F.array(F.regexp_extract_all(text, F.lit(java), F.lit(0))), placed), F.lit(0))
+    hint = F.contains(text, F.lit(HINTS[kind])) if kind in HINTS else text.rlike("[0-9]") if kind in ("iban", "ssn_fr", "phone") else None
+    return spans if hint is None else F.when(hint, spans).otherwise(none)
 
 
 def iban_remainder(text: Column) -> Column:
