@@ -34,7 +34,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def order_minhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from tessera.llm import near
 
-    return near.one_of_each(docs)
+    return near.one_of_each(docs, wordless=True)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

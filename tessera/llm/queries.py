@@ -20,7 +20,7 @@ def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near.grouped(documents(spark, sf_dir)).select("doc_id", "class_id", "kept")
+    return near.grouped(documents(spark, sf_dir), wordless=True).select("doc_id", "class_id", "kept")
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

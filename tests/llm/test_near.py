@@ -3,6 +3,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 
+import corpus_pipeline
 from tessera.llm import near
 
 from .data import SCHEMA, odd, prose
@@ -96,3 +97,13 @@ def test_sketch_depends_on_order():
     values, seeds = rng.integers(0, 1 << 60, 50, dtype=np.uint64), rng.integers(0, 1 << 60, 64, dtype=np.uint64) | np.uint64(1)
     forward, back = near.sketch(values, seeds), near.sketch(values[::-1].copy(), seeds)
     assert (forward == near.sketch(values, seeds)).all() and (forward != back).mean() > 0.9
+
+
+def test_texts_without_words_are_copies(spark):
+    table = [(7, "", "en", "s", 0, 0.0, None), (5, None, "en", "s", 0, 0.0, None), (9, " \n\t", "en", "s", 0, 0.0, None), (5, None, "en", "s", 0, 0.0, None), (8, "words", "en", "s", 0, 0.0, None)]
+    docs = spark.createDataFrame(table, SCHEMA)
+    out = near.grouped(docs, wordless=True).collect()
+    assert sorted((r.doc_id, r.class_id, r.kept) for r in out) == [(5, 5, False), (5, 5, True), (7, 5, False), (8, 8, True), (9, 5, False)]
+    assert sorted(r.doc_id for r in near.one_of_each(docs, wordless=True).collect()) == [5, 8]
+    stage = dict(corpus_pipeline.STAGES)["order_minhash"]
+    assert sorted(r.doc_id for r in stage(spark, docs, "").collect()) == [5, 8]
