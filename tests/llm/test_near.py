@@ -107,3 +107,34 @@ def test_texts_without_words_are_copies(spark):
     assert sorted(r.doc_id for r in near.one_of_each(docs, wordless=True).collect()) == [5, 8]
     stage = dict(corpus_pipeline.STAGES)["order_minhash"]
     assert sorted(r.doc_id for r in stage(spark, docs, "").collect()) == [5, 8]
+
+
+def test_short_texts_meet(spark):
+    rng = random.Random(13)
+    texts, want = [], {}
+    for n in range(8, 16):
+        for k in range(12):
+            words = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+            more = [*words, f"w{rng.randrange(10**9)}"] if k % 2 else [f"w{rng.randrange(10**9)}", *words]
+            want[len(texts)] = want[len(texts) + 1] = len(texts)
+            texts += [" ".join(words), " ".join(more)]
+    for k, t in enumerate(list(texts[:16])):  # two other words at the end: too little in common
+        want[len(texts)] = len(texts)
+        texts.append(" ".join(t.split()[:-2] + [f"other{k}", f"word{k}"]))
+    out = near.grouped(spark.createDataFrame([(k, t, "en", "s", 0, 0.0, None) for k, t in enumerate(texts)], SCHEMA)).collect()
+    assert {r.doc_id: r.class_id for r in out} == want
+
+
+def test_short_entries_are_shared():
+    rng = random.Random(14)
+    for _ in range(4000):
+        pool = [rng.randrange(1 << 60) for _ in range(8)]
+        a = [rng.choice(pool) for _ in range(rng.randint(1, near.SHORT))]
+        b = list(a)
+        for _ in range(rng.randint(0, 2)):
+            b.insert(rng.randint(0, len(b)), rng.choice(pool)) if rng.random() < 0.5 else b and b.pop(rng.randrange(len(b)))
+        if not b or len(b) > near.SHORT:
+            continue
+        x, y = np.array(a, dtype=np.uint64), np.array(b, dtype=np.uint64)
+        if near.aligned(x, y) >= near.SIMILARITY:
+            assert set(near.short_entries(x).tolist()) & set(near.short_entries(y).tolist()), (a, b)
