@@ -2,9 +2,10 @@
 
 Base matches of four kinds (email, ip, card, phone) are the seeds. Every token that looks like an identifier is an
 instance; the words around it are lexical patterns. Spark scores the graph of patterns and instances in rounds: a
-pattern's confidence for a kind is the share of its instances that are known to be of that kind, an instance's is the
-noisy-or of its confident patterns. Instances that confident patterns discover, and whose form suits the kind, become
-further spans; base spans stay as they are.
+pattern's confidence for a kind is the share of its instances that are known to be of that kind, where those of unknown
+kind whose form suits it hardly count, since they are what is looked for; an instance's confidence is the noisy-or of
+its confident patterns. Instances that confident patterns discover, and whose form suits the kind, become further spans;
+base spans stay as they are.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ ROUNDS = 3
 #: Distinct known instances that a pattern needs, and what is added to the count of its instances when it is scored.
 MIN_SUPPORT = 3
 SMOOTHING = 1.0
+#: What an instance of unknown kind whose form suits the pattern's kind counts for there.
+UNSEEN = 0.1
 PATTERN_CONFIDENCE = 0.8
 INSTANCE_CONFIDENCE = 0.9
 MASK = {kind: f"<{kind}>" for kind in KINDS}
@@ -181,12 +184,16 @@ def discovered(table: DataFrame) -> DataFrame:
     """(surface, kind) of the instances that the bootstrap accepts beyond the seeds."""
     seen = table.select(F.explode("instances").alias("x")).select("x.surface", "x.kind", F.explode("x.patterns").alias("pattern"))
     edges = common.written(seen.groupBy("pattern", "surface").agg(F.max("kind").alias("seed")), "edges")
-    size = edges.groupBy("pattern").agg(F.count("*").alias("size"))
+    unseen = [F.count(F.when((F.col("seed") < 0) & suits(F.lit(k), F.col("surface")), 1)) for k in range(len(KINDS))]
+    size = edges.groupBy("pattern").agg(F.count("*").alias("size"), F.array(*unseen).alias("unseen"))
     known = edges.where("seed >= 0").select("surface", F.col("seed").alias("kind")).distinct().withColumn("confidence", F.lit(1.0))
     seeds = known
     for k in range(ROUNDS):
-        support = edges.join(known, "surface").groupBy("pattern", "kind").agg(F.sum("confidence").alias("weight"), F.count("*").alias("support"))
-        confident = support.where(F.col("support") >= MIN_SUPPORT).join(size, "pattern").withColumn("confidence", F.col("weight") / (F.col("size") + SMOOTHING)).where(F.col("confidence") >= PATTERN_CONFIDENCE)
+        support = edges.join(known, "surface").groupBy("pattern", "kind").agg(F.sum("confidence").alias("weight"), F.count("*").alias("support"), F.count(F.when((F.col("seed") < 0) & suits(F.col("kind"), F.col("surface")), 1)).alias("found"))
+        confident = support.where(F.col("support") >= MIN_SUPPORT).join(size, "pattern")
+        open_ = F.get("unseen", F.col("kind")) - F.col("found")
+        among = F.col("size") - (1 - UNSEEN) * open_
+        confident = confident.withColumn("confidence", F.col("weight") / (among + SMOOTHING)).where(F.col("confidence") >= PATTERN_CONFIDENCE)
         fresh = edges.where("seed < 0").join(confident.select("pattern", "kind", "confidence"), "pattern")
         fresh = fresh.where(suits(F.col("kind"), F.col("surface"))).groupBy("surface", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))).alias("confidence"))
         fresh = fresh.where(F.col("confidence") >= INSTANCE_CONFIDENCE)

@@ -67,6 +67,21 @@ def test_bootstrap_discovers_and_leaves_others(spark):
     assert kind == "phone" and texts[24][int(a) : int(b)].endswith("555-0042")
 
 
+def test_bootstrap_finds_many_unseen(spark):
+    rng = random.Random(19)
+    texts, want = [], []
+    for word, seeds, unseen, other in (("hotline", 60, 30, 0), ("dial", 60, 60, 0), ("serial", 60, 0, 40), ("batch", 4, 200, 0)):
+        texts += [f"{prose(rng, 6)} our {word}: +1 (2{k:02d}) 555-{1000 + k} now" for k in range(seeds)]
+        texts += [f"{prose(rng, 6)} our {word}: (317) {len(word)}55-{2000 + k} now" for k in range(unseen)]
+        texts += [f"{prose(rng, 6)} our {word}: AX{3000 + k} now" for k in range(other)]
+        want += [0] * seeds + [int(word in ("hotline", "dial"))] * unseen + [0] * other
+    # Beside 40 that suit no phone, those that do are left alone.
+    texts += [f"{prose(rng, 6)} our serial: (417) 655-{4000 + k} now" for k in range(3)]
+    want += [0] * 3
+    out = pii.report(spark.createDataFrame([(k, t, "en", "s", 0, 0.0, None) for k, t in enumerate(texts)], SCHEMA)).collect()
+    assert {r.doc_id: r.n_discovered for r in out} == dict(enumerate(want))
+
+
 def test_masked(spark):
     table = [(1, "to a@b.com and 10.0.0.1.", "en", "s", 3, 0.0, "x"), (2, None, None, None, None, None, None), (3, "clean", "en", "s", 5, 1.0, "y")]
     out = {r.doc_id: r for r in pii.masked(spark.createDataFrame(table, SCHEMA)).collect()}
