@@ -87,8 +87,10 @@ EPOCHS, RATE, SPARSE = 30, 0.4, 0.002
 #: Share of made paragraphs of other families that may pass the threshold, and the template's n-grams a prediction needs.
 FALSE_PASS, CONFIRMED = 0.01, 0.6
 SEED = 5
-#: What each template holds at least one of; a paragraph without any can't be confirmed and isn't scored.
+#: Lines with one of these words give a row even if they aren't confirmed.
 ANCHOR = r"(?i)licen[sc]e|permission|redistribution|public\s+licen|\bgpl\b|\blgpl\b|\bcc\s+by|mozilla|apache"
+#: Words that ordinary texts often have.
+COMMON = frozenset("following general international program provided public source subject under version work".split())
 #: Words are runs of letters and digits, with inner dots and hyphens.
 WORD = r"[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*"
 
@@ -160,23 +162,98 @@ def table_of(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, paragraph, family, probability, similarity, predicted for each paragraph that may be a licence notice.
+    """doc_id, paragraph, family, probability, similarity, predicted, lines for each paragraph that may be a licence notice.
 
-    Paragraphs are lines, numbered from 0. `predicted` is the family of highest probability among those that pass their
+    A paragraph is a line, or a run of lines without a blank one between; `paragraph` is the number of its first line,
+    from 0, and `lines` how many it has. `predicted` is the family of highest probability among those that pass their
     threshold, ties to the first in order, else `unknown`; `family` is the same if the paragraph holds CONFIRMED of the
-    n-grams of one of the family's templates at least, else `unknown`. similarity is the largest such share. Paragraphs
-    without any word that licences must have give no row, nor do null and empty texts. Rows with equal doc_id and text
-    give their paragraphs once. Other columns are ignored; an empty table gives no row.
+    n-grams of one of the family's templates at least, else `unknown`. similarity is the largest such share. Lines with
+    an ANCHOR word give a row each. Other lines, and runs of up to longest() lines, give one if their family is confirmed;
+    of runs that overlap, the one that ends first and is shortest. Runs don't go across lines that are notices by
+    themselves. Null and empty texts give no row. Rows with equal doc_id and text give their paragraphs once. Other columns are ignored; an empty table
+    gives no row.
     """
-    spark = docs.sparkSession
-    weights, intercepts, thresholds = model()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(common.whole_text()).alias("mark"), "text").where(F.col("text").rlike(ANCHOR))
-    lines = rows.select("doc_id", "mark", F.posexplode(F.split("text", "\n", -1)).alias("paragraph", "line")).where(F.col("line").rlike(ANCHOR))
-    found = lines.select("doc_id", "mark", "paragraph", F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0)).alias("w"))
-    found = found.select("doc_id", "mark", "paragraph", F.array_distinct(F.flatten(F.array(*[windows(n) for n in range(1, GRAM + 1)]))).alias("grams")).dropDuplicates(["doc_id", "mark", "paragraph"])
-    key = ["doc_id", "mark", "paragraph"]
-    each = found.select(*key, F.size("grams").alias("size"), F.explode("grams").alias("gram"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(common.whole_text()).alias("mark"), "text").where(F.col("text").rlike(needed())).dropDuplicates(["doc_id", "mark"])
+    split = F.split("text", "\n", -1)
+    each = rows.select("doc_id", "mark", F.posexplode(split).alias("paragraph", "line")).where(F.col("line").rlike(ANCHOR) | F.col("line").rlike(needed()))
+    single = common.written(judge(each.select("doc_id", "mark", "paragraph", F.lit(1).alias("lines"), F.col("line").alias("part"), F.col("line").rlike(ANCHOR).alias("anchor"))), "licence-lines")
+    notices = single.where(F.col("family") != UNKNOWN)
+    gone = notices.groupBy("doc_id", "mark").agg(F.collect_set("paragraph").alias("gone"))
+    left = rows.alias("r").join(gone.alias("g"), F.col("r.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("r.mark") == F.col("g.mark")), "left")
+    # Lines that are notices become blank, and end a run as blank lines do.
+    lines = F.transform(split, lambda x, k: F.when(F.array_contains(F.coalesce("g.gone", F.array().cast("array<int>")), k), "").otherwise(x))
+    left = left.select("r.doc_id", "r.mark", lines.alias("all"))
+    blank = F.filter(F.transform("all", lambda x, k: F.when(F.trim(x) == "", k)), lambda k: k.isNotNull())
+    ends = F.concat(F.array(F.lit(-1)), blank, F.array(F.size("all")))
+    left = left.select("doc_id", "mark", "all", ends.alias("ends"))
+    blocks = F.transform(F.sequence(F.lit(1), F.size("ends") - 1), lambda k: F.struct((F.get("ends", k - 1) + 1).alias("first"), (F.get("ends", k) - F.get("ends", k - 1) - 1).alias("n")))
+    blocks = left.select("doc_id", "mark", "all", F.explode(F.filter(blocks, lambda x: x["n"] >= 2)).alias("b"))
+    blocks = blocks.select("doc_id", "mark", F.col("b.first").alias("first"), F.slice("all", F.col("b.first") + 1, F.col("b.n")).alias("own"))
+    blocks = blocks.withColumn("part", F.array_join("own", " ")).where(F.col("part").rlike(needed()))
+    # What a whole block doesn't hold, no run in it can.
+    shares = held(exploded(blocks.select("doc_id", "mark", F.col("first").alias("paragraph"), F.lit(0).alias("lines"), "part")))
+    able = shares.where(F.col("share") >= CONFIRMED).select("doc_id", "mark", F.col("paragraph").alias("first")).distinct()
+    blocks = blocks.alias("b").join(able.alias("a"), F.col("b.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("b.mark") == F.col("a.mark")) & (F.col("b.first") == F.col("a.first")), "left_semi")
+    starts = blocks.select("doc_id", "mark", "first", "own", F.explode(F.sequence(F.lit(0), F.size("own") - 2)).alias("at"))
+    runs = starts.select("doc_id", "mark", "first", "own", "at", F.explode(F.sequence(F.lit(2), F.least(F.lit(longest()), F.size("own") - F.col("at")))).alias("lines"))
+    runs = runs.select("doc_id", "mark", (F.col("first") + F.col("at")).alias("paragraph"), "lines", F.array_join(F.slice("own", F.col("at") + 1, F.col("lines")), " ").alias("part"))
+    runs = judge(runs.where(F.col("part").rlike(needed())).withColumn("anchor", F.lit(False))).where(F.col("family") != UNKNOWN)
+    # The run that ends first, then the next that has no line in common with it, and so on.
+    end = F.col("paragraph") + F.col("lines")
+    item = F.struct(end.alias("end"), (-F.col("paragraph")).alias("back"), "paragraph", "lines", "probability", "similarity", "predicted")
+    runs = runs.groupBy("doc_id", "mark", "family").agg(F.sort_array(F.collect_list(item)).alias("all"))
+    apart = F.aggregate("all", F.filter("all", lambda x: F.lit(False)), lambda kept, x: F.when(F.coalesce(F.get(kept, F.size(kept) - 1)["end"], F.lit(-1)) <= x["paragraph"], F.concat(kept, F.array(x))).otherwise(kept))
+    runs = runs.select("doc_id", "family", F.explode(apart).alias("x")).select("doc_id", "family", "x.*")
+    out = ["doc_id", "paragraph", "family", "probability", "similarity", "predicted", "lines"]
+    return single.where(F.col("anchor") | (F.col("family") != UNKNOWN)).select(*out).unionByName(runs.select(*out))
+
+
+@cache
+def needed() -> str:
+    """A pattern that every text with CONFIRMED of a template's n-grams matches.
+
+    Of each template it has so many words, the longest first and COMMON ones last, that the n-grams without any of them
+    are too few.
+    """
+    chosen = set()
+    for t in (t for texts in TEMPLATES.values() for t in texts):
+        own, out = set(grams(words(t))), set()
+        order = sorted(set(words(t)), key=lambda w: (w in COMMON, -len(w), w))
+        while sum(not out & set(g.split()) for g in own) >= CONFIRMED * len(own) - 1e-9:
+            out.add(order.pop(0))
+        chosen |= out
+    return r"(?iu)" + "|".join(w.replace(".", r"\.") for w in sorted(chosen))
+
+
+@cache
+def longest() -> int:
+    """Lines of the longest runs: as many as the longest template has words."""
+    return max(len(words(t)) for texts in TEMPLATES.values() for t in texts)
+
 
+def exploded(parts: DataFrame) -> DataFrame:
+    """doc_id, mark, paragraph, lines, size, gram for each n-gram of parts."""
+    key = ["doc_id", "mark", "paragraph", "lines"]
+    found = parts.select(*key, F.regexp_extract_all(F.lower("part"), F.lit(WORD), F.lit(0)).alias("w"))
+    found = found.select(*key, F.array_distinct(F.flatten(F.array(*[windows(n) for n in range(1, GRAM + 1)]))).alias("grams"))
+    return found.select(*key, F.size("grams").alias("size"), F.explode("grams").alias("gram"))
+
+
+def held(each: DataFrame) -> DataFrame:
+    """The share of a template's n-grams that each part holds, the largest for each family."""
+    key = ["doc_id", "mark", "paragraph", "lines"]
+    templates = [(f, k, sorted(set(grams(words(t))))) for f in sorted(TEMPLATES) for k, t in enumerate(TEMPLATES[f])]
+    known = table_of(each.sparkSession, [{"gram": g, "family": f, "template": k, "whole": len(own)} for f, k, own in templates for g in own], "gram:string,family:string,template:int,whole:int")
+    shared = each.join(F.broadcast(known), "gram").groupBy(*key, "family", "template").agg((F.count("*") / F.max("whole")).alias("share"))
+    return shared.groupBy(*key, "family").agg(F.max("share").alias("share"))
+
+
+def judge(found: DataFrame) -> DataFrame:
+    """found (doc_id, mark, paragraph, lines, part, anchor) with what scan() says of each part, but for `part`."""
+    spark = found.sparkSession
+    weights, intercepts, thresholds = model()
+    key = ["doc_id", "mark", "paragraph", "lines"]
+    each = exploded(found)
     table = table_of(spark, [{"gram": g, "family": f, "weight": w} for f in sorted(weights) for g, w in sorted(weights[f].items())], "gram:string,family:string,weight:double")
     families = table_of(spark, [{"family": f, "intercept": intercepts[f], "threshold": thresholds[f]} for f in sorted(weights)], "family:string,intercept:double,threshold:double")
     # The model's own tables: some thousands of weights, a row for each family, some hundreds of template n-grams.
@@ -186,21 +263,18 @@ def scan(docs: DataFrame) -> DataFrame:
     passed = F.when(F.col("p") > F.col("threshold"), F.struct(F.col("p").alias("p"), F.col("family").alias("family")))
     best = sums.groupBy(*key).agg(F.max("p").alias("p"), F.max_by("family", F.struct(passed.isNotNull(), F.col("p"))).alias("top"), F.max(passed.isNotNull()).alias("any"))
 
-    templates = [(f, k, sorted(set(grams(words(t))))) for f in sorted(TEMPLATES) for k, t in enumerate(TEMPLATES[f])]
-    known = table_of(spark, [{"gram": g, "family": f, "template": k, "whole": len(own)} for f, k, own in templates for g in own], "gram:string,family:string,template:int,whole:int")
-    shared = each.join(F.broadcast(known), "gram").groupBy(*key, "family", "template").agg((F.count("*") / F.max("whole")).alias("share"))
-    shared = shared.groupBy(*key, "family").agg(F.max("share").alias("share"))
+    shared = held(each)
 
-    judged = found.select(*key).alias("f")
+    judged = found.select(*key, "anchor").alias("f")
     judged = judged.join(best.alias("b"), same_key("f", "b"), "left").select("f.*", "b.p", F.when(F.col("b.any"), F.col("b.top")).otherwise(UNKNOWN).alias("predicted"))
     judged = judged.alias("f").join(shared.alias("s"), same_key("f", "s") & (F.col("s.family") == F.col("f.predicted")), "left")
     similarity = F.coalesce(F.col("s.share"), F.lit(0.0))
     family = F.when(similarity >= CONFIRMED, F.col("f.predicted")).otherwise(UNKNOWN)
-    return judged.select("f.doc_id", "f.paragraph", family.alias("family"), F.coalesce("f.p", F.lit(0.0)).alias("probability"), similarity.alias("similarity"), "f.predicted")
+    return judged.select("f.doc_id", "f.mark", "f.paragraph", "f.lines", "f.anchor", family.alias("family"), F.coalesce("f.p", F.lit(0.0)).alias("probability"), similarity.alias("similarity"), "f.predicted")
 
 
 def same_key(a: str, b: str):
-    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.mark") == F.col(f"{b}.mark")) & (F.col(f"{a}.paragraph") == F.col(f"{b}.paragraph"))
+    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.mark") == F.col(f"{b}.mark")) & (F.col(f"{a}.paragraph") == F.col(f"{b}.paragraph")) & (F.col(f"{a}.lines") == F.col(f"{b}.lines"))
 
 
 def windows(n: int):

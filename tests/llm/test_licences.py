@@ -1,5 +1,6 @@
 import math
 import random
+import textwrap
 
 from tessera.llm import licences
 
@@ -47,5 +48,22 @@ def test_templates_are_found():
         assert all(x[1] == "unknown" for x in brute(t)), t
 
 
+def test_wrapped_notices_and_those_without_anchor(spark):
+    rng = random.Random(18)
+    texts, want = [], []
+    for family, notice in ((f, t) for f in ("bsd", "gpl", "mit") for t in licences.TEMPLATES[f] if len(t.split()) > 20):
+        wrapped = textwrap.wrap(notice, 60)
+        texts += ["\n".join(wrapped), "\n".join([prose(rng, 8), "", *wrapped, prose(rng, 9)])]
+        want += [{(family, 0)}, {(family, 2)}]
+    texts += [licences.TEMPLATES["mit"][2].replace("Permission ", ""), licences.TEMPLATES["bsd"][1].replace("Redistribution ", "")]
+    want += [{("mit", 0)}, {("bsd", 0)}]
+    out = licences.scan(spark.createDataFrame([(k, t, None, None, 0, 0.0, "x") for k, t in enumerate(texts)], SCHEMA)).collect()
+    for k, t in enumerate(texts):
+        got = [r for r in out if r.doc_id == k and r.family != "unknown"]
+        assert len(got) == 1 and got[0].family == min(want[k])[0], (t, got)
+        first = min(want[k])[1]
+        assert first <= got[0].paragraph < got[0].paragraph + got[0].lines <= len(t.split("\n")), (t, got)
+
+
 def test_empty_table(spark):
     assert licences.scan(spark.createDataFrame([], SCHEMA)).count() == 0
