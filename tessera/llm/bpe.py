@@ -184,7 +184,6 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     separately and special tokens are ordinary text.
     """
     spark = docs.sparkSession
-    common.small_batches(spark)
     table = spark.sparkContext.broadcast(ranks(ranks_path))  # one row for each id of the vocabulary
     places = PLACES * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.whole_text().alias("text"))
@@ -268,9 +267,10 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 of the decimal ids joined by commas, decoded_sha256 of the bytes that they decode to."""
     both = decode(encode(docs, ranks_path, pattern), ranks_path)
-    return both.select(
+    out = both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("bytes", 256).alias("decoded_sha256"),
     )
+    return common.written(out, "round-trip", common.TEXT_ROWS)

@@ -2,52 +2,77 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def workspace(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The shared folder for intermediate tables: spark.checkpoint.dir. In local mode one is made where that is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", at)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(at)
     return at
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lost executors don't bring its computation back."""
+#: Rows of text that go to Python at a time: long texts are to fit in a worker's memory.
+TEXT_ROWS = 1000
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """Arrow batches of at most so many rows for the jobs that run inside, and for no others of the session."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if rows is not None and (int(before) > rows or int(before) <= 0):
+        spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def written(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: lost executors don't bring its computation back.
+
+    batch_rows bounds the rows that go to Python at a time on the way.
+    """
     spark = df.sparkSession
     path = f"{workspace(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with batches_of(spark, batch_rows):
+        df.write.option("compression", "zstd").parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
 
 
-def dropped(df: DataFrame) -> None:
-    """Removes the files of a table that written() made, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {re.sub(r"/[^/]*$", "", f) for f in df.inputFiles()}:
-        if "/tessera/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def removed(*tables: DataFrame | None) -> None:
+    """Removes tables that written() made, once nothing reads them any more."""
+    for table in tables:
+        if path := getattr(table, "__dict__", {}).get("written_to"):
+            spark = table.sparkSession
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-#: Rows of text that go to Python at a time: long texts are to fit in a worker's memory.
-TEXT_ROWS = 1000
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or with as many underscores after it as make it no column of df."""
+    there = {c.lower() for c in df.columns}
+    while name in there:
+        name += "_"
+    return name
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Lowers the rows of an Arrow batch to TEXT_ROWS, for all that the session runs from now on."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > TEXT_ROWS:
-        spark.conf.set(key, TEXT_ROWS)
+def named(name: str) -> Column:
+    """The column of just this name, whatever signs it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

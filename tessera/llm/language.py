@@ -137,7 +137,6 @@ def learn(docs: DataFrame) -> Model:
     At most SAMPLE_PER_LANGUAGE rows for each of the SAMPLE_LANGUAGES most frequent languages reach the driver, each as
     n-gram counts in BUCKETS buckets, so that long texts don't weigh more than that.
     """
-    common.small_batches(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     frequent = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE_LANGUAGES)
     # Only hashes low enough for four times the sample are ranked, so that a frequent language doesn't fill one task.
@@ -152,7 +151,8 @@ def learn(docs: DataFrame) -> Model:
             found = [counts(t) for t in batch["text"]]
             yield pd.DataFrame({"lang": batch["lang"], "nth": batch["nth"], "at": [a for a, _ in found], "n": [n for _, n in found]})
 
-    rows = sample.mapInPandas(counted, "lang string, nth int, at array<int>, n array<float>").toPandas().sort_values(["nth", "lang"])
+    with common.batches_of(docs.sparkSession, common.TEXT_ROWS):
+        rows = sample.mapInPandas(counted, "lang string, nth int, at array<int>, n array<float>").toPandas().sort_values(["nth", "lang"])
     return fit([(r.lang, np.asarray(r.at, dtype=np.int64), np.asarray(r.n, dtype=np.float32)) for r in rows.itertuples()])
 
 
@@ -174,4 +174,5 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
             yield pd.concat([batch[["doc_id", "held_out"]].reset_index(drop=True), out], axis=1).astype({"doc_id": "Int64"})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), common.whole_text().alias("text"))
-    return rows.mapInPandas(predicted, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    out = rows.mapInPandas(predicted, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    return common.written(out, "languages", common.TEXT_ROWS)

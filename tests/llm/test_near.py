@@ -138,3 +138,25 @@ def test_short_entries_are_shared():
         x, y = np.array(a, dtype=np.uint64), np.array(b, dtype=np.uint64)
         if near.aligned(x, y) >= near.SIMILARITY:
             assert set(near.short_entries(x).tolist()) & set(near.short_entries(y).tolist()), (a, b)
+
+
+def test_central_leaders_join_what_all_pairs_join(spark):
+    """Copies of one text with up to six edits, some of them shared, with and without the text itself: against all pairs."""
+    rng = random.Random(15)
+    base = prose(rng, 150)
+    edited = [copies(rng, base, rng.randint(1, 6)) for _ in range(90)]
+    more = [copies(rng, t, rng.randint(1, 2)) for t in rng.sample(edited, 40)]
+    for texts in (edited + more, [base, *edited, *more]):
+        table = [(k, t, "en", "s", 0, 0.0, None) for k, t in enumerate(texts)]
+        docs = spark.createDataFrame(table, SCHEMA)
+        found = {r.doc_id: r.class_id for r in near.grouped(docs).collect()}
+        whole = {r.doc_id: r.class_id for r in near.grouped(docs, exact=True).collect()}
+        words = [[tuple(t.lower().split()[k : k + 5]) for k in range(len(t.split()) - 4)] for t in texts]
+        able = [(i, j) for i, a in enumerate(words) for j, b in enumerate(words[:i]) if len(set(a) & set(b)) >= 0.8 * len(set(a) | set(b))]
+        links = [(i, j) for i, j in able if similarity(texts[i], texts[j]) >= 0.8]
+        assert len(links) > 200
+        assert np.mean([whole[i] == whole[j] for i, j in links]) >= 0.995
+        assert np.mean([found[i] == found[j] for i, j in links]) >= 0.97
+        of = np.array([whole[k] for k in range(len(texts))])
+        for i, j in rng.sample([(i, j) for i in found for j in found if i < j], 2000):
+            assert found[i] != found[j] or of[i] == of[j]
