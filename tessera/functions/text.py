@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: White space as Unicode has it; Java's own class only holds ASCII.
 SPACE = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+#: The code points of SPACE.
+SPACE_CODES = [9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]
 
 #: Patterns of identifiers, in order of priority (fixed values): kind, expression.
 PATTERNS = [
@@ -75,7 +77,8 @@ def iban_remainder(text: Column) -> Column:
 
 
 def capitalized(word: Column) -> Column:
-    return F.substring(word, 1, 1).rlike(CAPITAL)
+    """Whether the first character is one of CAPITAL."""
+    return F.ascii(word).between(65, 90) | F.ascii(word).between(192, 221)
 
 
 def all_upper(word: Column) -> Column:

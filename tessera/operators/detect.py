@@ -1,9 +1,10 @@
 """Language and local detection: which tokens belong together as a candidate entity.
 
-Four passes take runs of words: within a chain of words that may follow, everything from the first word that may start a
-group on. A word that may not follow opens a chain, and may be its start. Each pass sees what earlier ones have taken. All
-windows are by document, so that tokens are shuffled once. Addresses are taken greedily, eight tokens at a time; only the
-street words of a document, a few, are folded for that.
+What detection asks of a token is settled in the document's token array, where also the words that can be in no group are
+left out, some nine of ten. The rest is exploded and shuffled once, by document. Four passes take runs of words: within a
+chain of words that may follow, everything from the first word that may start a group on. A word that may not follow
+opens a chain, and may be its start. Each pass sees what earlier ones have taken; all windows are by document. Addresses
+are taken greedily, eight tokens at a time; only street words close to one another are folded for that.
 """
 
 from __future__ import annotations
@@ -14,88 +15,130 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions.lexicon import DEFAULT, Lexicon
 
+from .tokenize import end_of, placed, token_arrays
+
 ADDRESS_TOKENS = 8
+#: Persons at most so many characters apart are merged: so much text after a group goes along with it.
+TAIL = 3
 #: Pass, local type and confidence of groups.
 PASSES = {2: ("company_candidate", "probable"), 3: ("address_fragment", "probable"), 4: ("person_candidate", "probable"), 5: (None, "candidate")}
+GROUP_FIELDS = ["pass", "ord", "text", "start", "end", "tail", "local_type", "confidence", "skip", "words"]
 
 
-def language_scores(tokens: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
-    """doc_id and the number of stop words of each language, for documents with tokens."""
-    word = F.when(F.col("kind") == "word", F.upper("text"))
-    sums = [F.count(F.when(word.isin(words), 1)).alias(f"score_{x}") for x, words in lexicon.stop_words.items()]
-    return tokens.groupBy("doc_id").agg(*sums)
+def scores(words: str, lexicon: Lexicon) -> dict[str, Column]:
+    """The number of stop words of each language, from an array of upper-case words (null for other tokens)."""
+    return {x: F.size(F.filter(words, lambda u: u.isin(stop))).cast("long") for x, stop in lexicon.stop_words.items()}
 
 
-def language(tokens: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
-    """doc_id, language: the language with most stop words, the first listed on ties and without any."""
-    scores = language_scores(tokens, lexicon)
-    languages = list(lexicon.stop_words)
+def best_language(languages: list[str]) -> Column:
+    """The language with most stop words, the first listed on ties and without any."""
     best = F.greatest(*[F.col(f"score_{x}") for x in languages], F.lit(0))
     pick = F.lit(languages[-1])
     for x in reversed(languages):
         pick = F.when(F.col(f"score_{x}") == best, x).otherwise(pick)
-    return scores.select("doc_id", pick.alias("language"), *[f"score_{x}" for x in languages])
-
-
-def flagged(tokens: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
-    """Words and pattern tokens with what detection asks of them. `w` numbers the words of a document."""
-    order = Window.partitionBy("doc_id").orderBy("tok")
-    solid = F.when(F.col("kind") != "whitespace", F.struct("kind", "text", "start"))
-    before = F.last(solid, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = tokens.withColumn("before", before).where(F.col("kind").isin("word", "pattern"))
-    word, up = F.col("kind") == "word", F.upper("text")
-    rows = rows.withColumn("w", F.sum(word.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    return rows.select(
-        "doc_id", "tok", "text", "kind", "pattern", "start", "end", "before", "w",
-        (word & T.capitalized(F.col("text"))).alias("cap"),
-        (word & up.isin(lexicon.every_stop_word)).alias("stop"),
-        (word & up.isin(lexicon.company_words)).alias("company_word"),
-        (word & up.isin(lexicon.street_words)).alias("street_word"),
-        (word & up.isin(lexicon.honorifics)).alias("honorific"),
-        (F.col("before").isNull() | ((F.col("before.kind") == "punctuation") & (F.col("before.text") == "."))).alias("sentence_start"),
-        T.all_upper(F.col("text")).alias("all_upper"),
-    )
+    return pick
+
+
+def upper_words() -> Column:
+    return F.transform("tokens", lambda t: F.when(t["kind"] == "word", F.upper(t["text"])))
+
+
+def with_language(docs: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
+    """docs (with text) with language and score_*; nothing shuffles."""
+    rows = token_arrays(docs).withColumn("upper", upper_words())
+    rows = rows.select(*docs.columns, *[n.alias(f"score_{x}") for x, n in scores("upper", lexicon).items()])
+    return rows.withColumn("language", best_language(list(lexicon.stop_words)))
+
+
+def kept_tokens(docs: DataFrame, keep: list[str], lexicon: Lexicon) -> DataFrame:
+    """doc_id, keep, score_*, and a row for each pattern token and each word that can be in a group; one row with tok null if there is none."""
+    rows = placed(docs).withColumn("upper", upper_words())
+    count = F.size("tokens")
+
+    def flags(t: Column, k: Column) -> Column:
+        up = F.get("upper", k)
+        word = t["kind"] == "word"
+        return F.struct(
+            k.alias("tok"), t["text"].alias("text"), t["kind"].alias("kind"), t["pattern"].alias("pattern"), end_of(k).alias("end"),
+            F.when(word, end_of(count + k)).alias("w"), (word & T.capitalized(t["text"])).alias("cap"),
+            F.coalesce(up.isin(lexicon.company_words), F.lit(False)).alias("company_word"),
+            F.coalesce(up.isin(lexicon.street_words), F.lit(False)).alias("street_word"),
+            F.coalesce(up.isin(lexicon.honorifics), F.lit(False)).alias("honorific"),
+        )
+
+    marked = rows.select("doc_id", *keep, *[n.alias(f"score_{x}") for x, n in scores("upper", lexicon).items()], "tokens", "places", "upper", F.transform("tokens", flags).alias("marks"))
+    marked = marked.withColumn("streets", F.transform(F.filter("marks", lambda m: m["street_word"]), lambda m: m["w"]))
+    near = lambda m: F.exists("streets", lambda s: (m["w"] >= s) & (m["w"] < s + ADDRESS_TOKENS))
+    wanted = F.filter("marks", lambda m: (m["kind"] == "pattern") | m["cap"] | m["company_word"] | m["street_word"] | m["honorific"] | (m["w"].isNotNull() & near(m)))
+
+    def around(m: Column) -> Column:
+        """With the last token before that isn't white space, and the text after the token."""
+        k = m["tok"]
+        one = F.get("tokens", k - 1)
+        at = F.when(one["kind"] == "whitespace", k - 2).otherwise(k - 1)
+        own = F.get("tokens", at)
+        before = F.struct(own["kind"].alias("kind"), own["text"].alias("text"), (F.get("places", at) - F.length(own["text"])).alias("start"))
+        after = F.substring(F.concat(*[F.coalesce(F.get("tokens", k + n)["text"], F.lit("")) for n in range(1, TAIL + 1)]), 1, TAIL)
+        fields = [m[f].alias(f) for f in ("tok", "text", "kind", "pattern", "end", "w", "cap", "company_word", "street_word", "honorific")]
+        stop = F.coalesce(F.get("upper", k).isin(lexicon.every_stop_word), F.lit(False))
+        return F.struct(*fields, F.when(at >= 0, before).alias("before"), after.alias("tail"), stop.alias("stop"))
+
+    marked = marked.withColumn("kept", wanted)
+    rows = marked.select("doc_id", *keep, *[c for c in marked.columns if c.startswith("score_")], F.explode_outer(F.transform("kept", around)).alias("m"))
+    rows = rows.select(*[c for c in rows.columns if c != "m"], "m.*")
+    first = F.col("before").isNull() | ((F.col("before.kind") == "punctuation") & (F.col("before.text") == "."))
+    return rows.withColumn("start", F.col("end") - F.length("text")).withColumn("sentence_start", first).withColumn("all_upper", T.all_upper(F.col("text")))
+
+
+def ordered() -> Window:
+    return Window.partitionBy("doc_id").orderBy("tok")
 
 
 def chained(rows: DataFrame, name: str, follows: Column, starts: Column, least: int) -> DataFrame:
-    """rows with `name`: the word number at which the row's group starts, null for rows without a group."""
+    """rows with `name`: the word number at which the row's group starts, null for rows without a group.
+
+    Words that aren't rows may neither follow nor start a group; a gap in the numbers tells that they were there.
+    """
     word = F.col("kind") == "word"
-    order = Window.partitionBy("doc_id").orderBy("tok")
-    rows = rows.withColumn("chain", F.sum(F.when(word & ~follows, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    last = F.last("w", ignorenulls=True).over(ordered().rowsBetween(Window.unboundedPreceding, -1))
+    opens = word & ~(follows & F.coalesce(F.col("w") == last + 1, F.lit(False)))
+    rows = rows.withColumn("opens", opens.cast("int"))
+    rows = rows.withColumn("chain", F.sum("opens").over(ordered().rowsBetween(Window.unboundedPreceding, 0)))
     chain = Window.partitionBy("doc_id", "chain")
     rows = rows.withColumn("first", F.min(F.when(word & starts, F.col("w"))).over(chain))
     inside = word & (F.col("w") >= F.col("first"))
     size = F.sum(F.when(inside, 1).otherwise(0)).over(chain)
-    return rows.withColumn(name, F.when(inside & (size >= least), F.col("first"))).drop("chain", "first")
+    return rows.withColumn(name, F.when(inside & (size >= least), F.col("first"))).drop("opens", "chain", "first")
 
 
 def addresses(rows: DataFrame) -> DataFrame:
-    """rows with g3: groups of a street word, the number before it, and the words after it that no company has taken."""
-    order = Window.partitionBy("doc_id").orderBy("tok").rowsBetween(Window.unboundedPreceding, 0)
+    """rows with g3: groups of a street word, the number before it, and the words after it that no company has taken.
+
+    A street word inside the group of an earlier one starts no group. Only street words less than ADDRESS_TOKENS words
+    apart, with no company between them, can do that to one another: those are folded in order.
+    """
     taken = F.col("g2").isNotNull()
-    rows = rows.withColumn("segment", F.sum(taken.cast("int")).over(order))
-    numbered = F.col("before.kind") == "number"
-    end = F.col("w") + F.when(F.coalesce(numbered, F.lit(False)), ADDRESS_TOKENS - 1).otherwise(ADDRESS_TOKENS)
-    streets = rows.where(F.col("street_word") & ~taken).select("doc_id", F.struct("w", end.alias("end"), "segment").alias("x"))
-    streets = streets.groupBy("doc_id").agg(F.array_sort(F.collect_list("x")).alias("all"))
-
-    def picked(acc: Column, x: Column) -> Column:
-        """A street word inside the group of an earlier one of its segment starts no group."""
-        last = F.get(acc, F.size(acc) - 1)
-        inside = F.coalesce((last["end"] > x["w"]) & (last["segment"] == x["segment"]), F.lit(False))
-        return F.when(inside, acc).otherwise(F.concat(acc, F.array(x)))
-
-    fold = F.aggregate("all", F.slice("all", 1, 0), picked)
-    streets = streets.select(F.col("doc_id").alias("of"), fold.alias("starts"))
-    rows = rows.join(streets, F.col("doc_id") == F.col("of"), "left")
-    own = F.filter("starts", lambda x: (x["w"] <= F.col("w")) & (x["end"] > F.col("w")) & (x["segment"] == F.col("segment")))
-    free = (F.col("kind") == "word") & ~taken & F.col("starts").isNotNull()
-    return rows.withColumn("g3", F.when(free, F.get(own, F.lit(0))["w"])).drop("of", "starts", "segment")
-
-
-def grouped_words(tokens: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
-    """The words and pattern tokens of flagged(), each with pass and g (its group's start), null outside groups."""
-    rows = chained(flagged(tokens, lexicon), "g2", F.col("cap"), F.col("company_word"), 2)
+    so_far = ordered().rowsBetween(Window.unboundedPreceding, 0)
+    street = F.col("street_word") & ~taken
+    rows = rows.withColumn("segment", F.sum(F.when(taken, 1).otherwise(0)).over(so_far))
+    before = F.last(F.when(street, F.struct("w", "segment")), ignorenulls=True).over(ordered().rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("last", before)
+    apart = F.col("last").isNull() | (F.col("w") >= F.col("last.w") + ADDRESS_TOKENS) | (F.col("segment") != F.col("last.segment"))
+    rows = rows.withColumn("cluster", F.sum(F.when(street & apart, 1).otherwise(0)).over(so_far))
+    numbered = F.coalesce(F.col("before.kind") == "number", F.lit(False))
+    end = F.col("w") + F.when(numbered, ADDRESS_TOKENS - 1).otherwise(ADDRESS_TOKENS)
+    own = F.when(street, F.struct("w", end.alias("end"), "segment"))
+    rows = rows.withColumn("all", F.array_sort(F.collect_list(own).over(Window.partitionBy("doc_id", "cluster"))))
+    none = F.lit(None).cast("struct<w:int,end:int,segment:bigint>")
+    pick = F.aggregate("all", none, lambda acc, x: F.when((x["w"] <= F.col("w")) & (acc.isNull() | (acc["end"] <= x["w"])), x).otherwise(acc))
+    rows = rows.withColumn("pick", F.when((F.col("kind") == "word") & ~taken & (F.size("all") > 0), pick))
+    inside = (F.col("pick.end") > F.col("w")) & (F.col("pick.segment") == F.col("segment"))
+    return rows.withColumn("g3", F.when(inside, F.col("pick.w"))).drop("segment", "last", "cluster", "all", "pick")
+
+
+def grouped_words(rows: DataFrame) -> DataFrame:
+    """The rows of kept_tokens(), each with pass and g (its group's start), null outside groups."""
+    rows = chained(rows, "g2", F.col("cap"), F.col("company_word"), 2)
     rows = addresses(rows)
     free = F.col("g2").isNull() & F.col("g3").isNull()
     rows = chained(rows, "g4", free & F.col("cap") & ~F.col("stop"), free & F.col("honorific"), 2)
@@ -106,30 +149,44 @@ def grouped_words(tokens: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
     for k in PASSES:
         number = number.when(F.col(f"g{k}").isNotNull(), k)
     g = F.when(F.col("kind") == "pattern", F.col("tok")).otherwise(F.coalesce("g2", "g3", "g4", "g5"))
-    return rows.withColumn("pass", number).withColumn("g", g)
+    first = F.row_number().over(ordered()) == 1
+    return rows.withColumn("pass", number).withColumn("g", g).withColumn("head", first)
 
 
-def groups(tokens: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
-    """doc_id, pass, ord (the first token's start), text, start, end, local_type, confidence, skip, words.
+def analysed(docs: DataFrame, keep: list[str] | None = None, lexicon: Lexicon = DEFAULT) -> DataFrame:
+    """doc_id, the columns `keep`, score_*, language, groups: one row for each document, whose id must be unique and not null.
 
-    Groups come in order of (pass, ord). Their text joins their words by single spaces; their span may hold more.
+    groups is an array of GROUP_FIELDS, ordered by pass and then `ord`, the first token's start. A group's text joins its
+    words by single spaces; its span may hold more. `tail` is the text after it.
     """
-    rows = grouped_words(tokens, lexicon).where("pass is not null")
-    first = F.min_by(F.struct("before", "w"), "tok")
-    found = rows.groupBy("doc_id", "pass", "g").agg(
+    keep = [] if keep is None else keep
+    rows = grouped_words(kept_tokens(docs, keep, lexicon))
+    scored = [f"score_{x}" for x in lexicon.stop_words]
+    # One row of each document stays that is in no group's way, for documents without groups.
+    rows = rows.where(F.col("pass").isNotNull() | F.col("head"))
+    found = rows.groupBy("doc_id", *keep, *scored, "pass", "g").agg(
         F.array_sort(F.collect_list(F.struct("tok", "text"))).alias("members"),
         F.min("start").alias("start"),
         F.max("end").alias("end"),
+        F.max_by("tail", "tok").alias("tail"),
         F.first("pattern").alias("pattern"),
-        first.alias("first"),
+        F.min_by("before", "tok").alias("before"),
     )
-    number = F.when((F.col("pass") == 3) & (F.col("first.before.kind") == "number"), F.col("first.before"))
+    number = F.when((F.col("pass") == 3) & (F.col("before.kind") == "number"), F.col("before"))
     words = F.transform("members", lambda m: m["text"])
     text = F.array_join(F.when(number.isNotNull(), F.concat(F.array(number["text"]), words)).otherwise(words), " ")
     kind, confidence = F.when(F.col("pattern") == "ssn_fr", "ssn").otherwise(F.col("pattern")), F.lit("certain")
     for k, (local, sure) in PASSES.items():
         kind, confidence = F.when(F.col("pass") == k, F.lit(local).cast("string")).otherwise(kind), F.when(F.col("pass") == k, sure).otherwise(confidence)
-    return found.select(
-        "doc_id", "pass", F.col("start").alias("ord"), text.alias("text"), F.coalesce(number["start"], F.col("start")).alias("start"), "end",
-        kind.alias("local_type"), confidence.alias("confidence"), (F.col("pass") == 1).alias("skip"), words.alias("words"),
+    group = F.struct(
+        F.col("pass"), F.col("start").alias("ord"), text.alias("text"), F.coalesce(number["start"], F.col("start")).alias("start"), F.col("end"),
+        F.col("tail"), kind.alias("local_type"), confidence.alias("confidence"), (F.col("pass") == 1).alias("skip"), words.alias("words"),
     )
+    found = found.select("doc_id", *keep, *scored, F.when(F.col("pass").isNotNull(), group).alias("group"))
+    out = found.groupBy("doc_id", *keep, *scored).agg(F.array_sort(F.collect_list("group")).alias("groups"))
+    return out.select("doc_id", *keep, *scored, best_language(list(lexicon.stop_words)).alias("language"), "groups")
+
+
+def groups(table: DataFrame) -> DataFrame:
+    """doc_id and GROUP_FIELDS, a row for each group of analysed()."""
+    return table.select("doc_id", F.explode("groups").alias("g")).select("doc_id", *[F.col("g")[f].alias(f) for f in GROUP_FIELDS])

@@ -11,8 +11,9 @@ from tessera.functions import text as T
 GROUP = ["doc_id", "pass", "ord"]
 MAX_BATCH, DECOY_RATIO = 100, 0.35
 MERGE_GAP = 3
-#: Documents of a session that are numbered together.
+#: Documents of a session that are numbered together, and terms that are batched together.
 NUMBERED = 10_000
+SHARD_TERMS = 100_000
 
 
 def lookup_terms(groups: DataFrame) -> DataFrame:
@@ -26,42 +27,72 @@ def real_per_batch(max_batch: int = MAX_BATCH, ratio: float = DECOY_RATIO) -> in
 
 
 def lookup_batches(terms: DataFrame, max_batch: int = MAX_BATCH, ratio: float = DECOY_RATIO, shard: Column | None = None) -> DataFrame:
-    """term, shard, batch: terms in batches of bounded size. Shards, of a hash unless given, spread the numbering out."""
+    """term, shard, batch: terms in batches of bounded size. Shards, of a hash unless given, spread the numbering out.
+
+    Without `shard` there are as many as give each SHARD_TERMS terms.
+    """
     size = real_per_batch(max_batch, ratio)
-    shard = F.pmod(F.xxhash64("term"), F.lit(64)).cast("int") if shard is None else shard
+    if shard is None:
+        shard = F.pmod(F.xxhash64("term"), F.lit(max(1, terms.count() // SHARD_TERMS))).cast("int")
     nth = F.row_number().over(Window.partitionBy("shard").orderBy("term")) - 1
     return terms.withColumn("shard", shard).withColumn("batch", F.floor(nth / size).cast("int"))
 
 
-def classified(groups: DataFrame, dictionary: DataFrame, jurisdictions: DataFrame | None = None) -> DataFrame:
+def probes(groups: DataFrame) -> DataFrame:
+    """groups with at, word: a row for what is looked up of each group, its text (at -1) and its words (from 0)."""
+    text = F.array(F.struct(F.lit(-1).alias("at"), F.col("text").alias("word")))
+    words = F.transform("words", lambda w, k: F.struct(k.alias("at"), w.alias("word")))
+    rows = groups.select("*", F.explode_outer(F.when(~F.col("skip"), F.concat(text, words))).alias("p"))
+    return rows.select(*groups.columns, "p.at", "p.word")
+
+
+def entries_of(dictionary: DataFrame, cache: DataFrame | None, now: Column | None) -> DataFrame:
+    """word, dict, entry_type, of (jurisdiction), entry (order), cached: what a term is answered with.
+
+    Terms that the cache holds (term, results: array of dict, type, jurisdiction; expires_at) and that haven't expired are
+    answered from it, with dict null where it says that there is nothing; the dictionary answers the others.
+    """
+    rows = dictionary.where("match").select(F.col("term").alias("word"), "dict", F.col("type").alias("entry_type"), F.col("jurisdiction").alias("of"), F.col("ord").alias("entry"), F.lit(False).alias("cached"))
+    if cache is None:
+        return rows
+    live = cache.where(F.col("expires_at") >= now)
+    known = live.select(F.col("term").alias("word"), F.posexplode_outer("results").alias("entry", "r"))
+    known = known.select("word", "r.dict", F.col("r.type").alias("entry_type"), F.col("r.jurisdiction").alias("of"), F.coalesce("entry", F.lit(0)).alias("entry"), F.lit(True).alias("cached"))
+    return rows.join(live.select(F.col("term").alias("word")), "word", "left_anti").unionByName(known)
+
+
+def classified(groups: DataFrame, dictionary: DataFrame, jurisdictions: DataFrame | None = None, cache: DataFrame | None = None, now: Column | None = None) -> DataFrame:
     """groups with evidence (type) and sources, by dictionary (term, dict, match, type, jurisdiction, ord).
 
-    Entries that don't match count for nothing. The type is that of the last entry for a group of one word, else that of
-    the first entry of the first word that has one. A group of one word names its sources twice. `jurisdictions`
-    (doc_id, jurisdictions array; empty for all) restricts entries.
+    Entries that don't match count for nothing. The type is that of the last entry for the group's whole text, else that
+    of the first entry of the first word that has one. A text of several words is never looked up in the dictionary, only
+    in the cache; one that the cache holds, with or without entries, keeps its words from being looked up. A group of one
+    word names its sources twice. `jurisdictions` (doc_id, jurisdictions array; empty for all) restricts entries.
     """
-    found = dictionary.where("match").select(F.col("term").alias("word"), "dict", F.col("type").alias("entry_type"), F.col("jurisdiction").alias("of"), F.col("ord").alias("entry"))
-    each = groups.select("*", F.posexplode_outer(F.when(~F.col("skip"), F.col("words"))).alias("at", "word"))
+    each = probes(groups)
     if jurisdictions is not None:
         each = each.join(jurisdictions, "doc_id", "left")
-    each = each.join(found, "word", "left")
-    hit = F.col("dict").isNotNull()
+    each = each.join(entries_of(dictionary, cache, now), "word", "left")
+    whole = F.col("at") == -1
+    asked = ~whole | (F.size("words") == 1) | F.col("cached")
+    hit = F.col("dict").isNotNull() & asked
     if jurisdictions is not None:
-        hit = hit & (F.col("jurisdictions").isNull() | (F.size("jurisdictions") == 0) | F.array_contains("jurisdictions", F.col("of")))
-    single = (F.size("words") == 1) & (F.get("words", F.lit(0)) == F.col("text"))
+        hit = hit & (F.col("cached") | F.col("jurisdictions").isNull() | (F.size("jurisdictions") == 0) | F.array_contains("jurisdictions", F.col("of")))
     kept = [c for c in groups.columns if c not in GROUP]
+    found = F.struct("at", "entry", "dict")
     out = each.groupBy(*GROUP).agg(
         *[F.first(c).alias(c) for c in kept],
-        F.max_by(F.when(hit, F.col("entry_type")), F.when(hit, F.col("entry"))).alias("last"),
-        F.min_by(F.when(hit, F.col("entry_type")), F.when(hit, F.struct("at", "entry"))).alias("lead"),
-        F.array_sort(F.collect_list(F.when(hit, F.struct("at", "entry", "dict")))).alias("hits"),
+        F.max_by(F.when(hit & whole, F.col("entry_type")), F.when(hit & whole, F.col("entry"))).alias("last"),
+        F.min_by(F.when(hit & ~whole, F.col("entry_type")), F.when(hit & ~whole, F.struct("at", "entry"))).alias("lead"),
+        F.coalesce(F.max(whole & F.col("cached") & (F.size("words") > 1)), F.lit(False)).alias("short"),
+        F.array_sort(F.collect_list(F.when(hit, found))).alias("hits"),
     )
-    names = F.transform("hits", lambda h: h["dict"])
-    return out.select(*groups.columns, F.when(single, F.col("last")).otherwise(F.col("lead")).alias("evidence"), F.when(single, F.concat(names, names)).otherwise(names).alias("sources"))
+    names = F.transform(F.filter("hits", lambda h: ~F.col("short") | (h["at"] == -1)), lambda h: h["dict"])
+    return out.select(*groups.columns, F.coalesce("last", F.when(~F.col("short"), F.col("lead"))).alias("evidence"), names.alias("sources"))
 
 
 def typed(classified_groups: DataFrame) -> DataFrame:
-    """doc_id, pass, ord, text, start, end, type, confidence, sources: one entity for each group."""
+    """doc_id, pass, ord, text, start, end, tail (the text after it), type, confidence, sources: one entity for each group."""
     local, evidence = F.col("local_type"), F.col("evidence")
     sure = F.when(evidence.isNotNull(), "high").otherwise("medium")
     by_local = F.when(local == "company_candidate", "company").when(local == "person_candidate", "person").when(local == "address_fragment", "address")
@@ -69,13 +100,13 @@ def typed(classified_groups: DataFrame) -> DataFrame:
     kind = F.when(F.col("skip"), local).otherwise(F.coalesce(by_local, by_evidence, F.lit("unknown")))
     confidence = F.when(F.col("skip"), "high").when(by_local.isNotNull(), sure).when(by_evidence.isNotNull(), "medium").otherwise("low")
     sources = F.when(F.col("skip"), F.array(F.concat(F.lit("local:"), local))).when(F.size("sources") == 0, F.array(F.lit("local:candidate"))).otherwise(F.col("sources"))
-    return classified_groups.select(*GROUP, "text", "start", "end", kind.alias("type"), confidence.alias("confidence"), sources.alias("sources"))
+    return classified_groups.select(*GROUP, "text", "start", "end", "tail", kind.alias("type"), confidence.alias("confidence"), sources.alias("sources"))
 
 
-def merged(entities: DataFrame, docs: DataFrame) -> DataFrame:
+def merged(entities: DataFrame) -> DataFrame:
     """entities with pairs of persons at most MERGE_GAP characters apart as one; `merged` marks those.
 
-    A third person in a row stays by itself, with a fourth as the next pair.
+    A third person in a row stays by itself, with a fourth as the next pair. What stands between two is in `tail`.
     """
     order = Window.partitionBy("doc_id").orderBy("start", "pass", "ord")
     person = F.col("type") == "person"
@@ -84,15 +115,11 @@ def merged(entities: DataFrame, docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("island", F.sum("break").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     inside = Window.partitionBy("doc_id", "island").orderBy("start", "pass", "ord")
     rows = rows.withColumn("pair", F.floor((F.row_number().over(inside) - 1) / 2))
-    member = F.struct("start", "pass", "ord", "end", "text", "type", "confidence", "sources")
+    member = F.struct("start", "pass", "ord", "end", "text", "tail", "type", "confidence", "sources")
     pairs = rows.groupBy("doc_id", "island", "pair").agg(F.array_sort(F.collect_list(member)).alias("m"))
     a, b = F.get("m", F.lit(0)), F.get("m", F.lit(1))
     two = F.size("m") == 2
-    texts = docs.select(F.col("doc_id").alias("of"), F.col("text").alias("whole"))
-    alone = pairs.where(~two).withColumn("whole", F.lit(None).cast("string"))
-    both = pairs.where(two).join(texts, F.col("doc_id") == F.col("of")).select(*pairs.columns, "whole")
-    between = F.when(b["start"] > a["end"], F.substring(F.col("whole"), a["end"] + 1, b["start"] - a["end"])).otherwise("")
-    pairs = alone.unionByName(both)
+    between = F.substring(a["tail"], F.lit(1), F.greatest(b["start"] - a["end"], F.lit(0)))
     return pairs.select(
         "doc_id", a["pass"].alias("pass"), a["ord"].alias("ord"),
         F.when(two, F.concat(a["text"], between, b["text"])).otherwise(a["text"]).alias("text"),

@@ -7,10 +7,11 @@ DataFrames; writes return the new table, with the latest row for each key.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.sources import tables
 
 CO_ENTITIES = 5
 PAGE = 20
@@ -59,8 +60,9 @@ def occurrences_of(occurrences: DataFrame, entity: str) -> DataFrame:
     return occurrences.where(F.col("entity_id") == entity)
 
 
-def document_occurrences(occurrences: DataFrame, document: str) -> DataFrame:
-    return occurrences.where(F.col("document_id") == document)
+def document_occurrences(occurrences: DataFrame, documents: DataFrame) -> DataFrame:
+    """The occurrences in some documents (document_id, unique)."""
+    return occurrences.join(documents.select("document_id"), "document_id", "left_semi")
 
 
 def confirmed(occurrences: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -92,22 +94,26 @@ def recorded(entities: DataFrame, occurrences: DataFrame, documents: DataFrame,
     known = entities.groupBy("canonical", "type").agg(F.min("entity_id").alias("there"))
     found = found.join(known, ["canonical", "type"], "left")
     found = found.withColumn("entity_id", F.coalesce("given", "there", entity_id(F.col("type"), F.col("canonical"))))
-    last = F.struct("ord", "text", "alias")
-    fresh = found.groupBy("entity_id", "document_id").agg(F.max(last).alias("last"))
-    fresh = fresh.select("entity_id", "document_id", F.col("last.text").alias("original"), F.col("last.alias").alias("alias"), F.lit(False).alias("confirmed"))
-    occurrences = upserted(occurrences, fresh.select(*occurrences.columns), ["entity_id", "document_id"])
+    # One row for an entity in a document, from which occurrences, sums and dates all follow.
+    found = found.groupBy("entity_id", "document_id").agg(
+        F.max(F.struct("ord", "text", "alias")).alias("last"), F.min("canonical").alias("canonical"), F.min("type").alias("type"), F.max(F.col("given").isNotNull()).alias("was_given")
+    )
+    found = tables.written(found.join(new.select("document_id", "processed_at"), "document_id"), "found")
+    fresh = found.select("entity_id", "document_id", F.col("last.text").alias("original"), F.col("last.alias").alias("alias"), F.lit(False).alias("confirmed"))
 
-    seen = found.join(new.select("document_id", "processed_at"), "document_id").groupBy("entity_id").agg(
+    seen = found.groupBy("entity_id").agg(
         F.first("canonical").alias("canonical"), F.first("type").alias("type"), F.min("processed_at").alias("first_now"),
-        F.max("processed_at").alias("last_now"), F.max(F.col("given").isNotNull()).alias("was_given"),
+        F.max("processed_at").alias("last_now"), F.max("was_given").alias("was_given"), F.count("*").alias("now"),
     )
-    total = occurrences.join(seen.select("entity_id"), "entity_id", "left_semi").groupBy("entity_id").agg(F.countDistinct("document_id").cast("int").alias("n"))
+    again = occurrences.join(fresh.select("entity_id", "document_id"), ["entity_id", "document_id"], "left_anti")
+    before = again.join(seen.select("entity_id"), "entity_id", "left_semi").groupBy("entity_id").agg(F.countDistinct("document_id").alias("before"))
     old = entities.select("entity_id", F.col("canonical").alias("old_canonical"), F.col("type").alias("old_type"), "first_seen")
-    now = seen.join(old, "entity_id", "left").where(F.col("first_seen").isNotNull() | ~F.col("was_given")).join(total, "entity_id")
+    now = seen.join(old, "entity_id", "left").where(F.col("first_seen").isNotNull() | ~F.col("was_given")).join(before, "entity_id", "left")
     now = now.select(
         "entity_id", F.coalesce("old_canonical", "canonical").alias("canonical"), F.coalesce("old_type", "type").alias("type"),
-        F.coalesce("first_seen", "first_now").alias("first_seen"), F.col("last_now").alias("last_seen"), F.col("n").alias("document_count"),
+        F.coalesce("first_seen", "first_now").alias("first_seen"), F.col("last_now").alias("last_seen"), (F.col("now") + F.coalesce("before", F.lit(0))).cast("int").alias("document_count"),
     )
+    occurrences = upserted(occurrences, fresh.select(*occurrences.columns), ["entity_id", "document_id"])
     return upserted(entities, now.select(*entities.columns), ["entity_id"]), occurrences, documents
 
 
@@ -138,8 +144,3 @@ def matches(detected: DataFrame, entities: DataFrame, occurrences: DataFrame, do
     out = pairs.groupBy("batch", "text", "type", "entity_id", "same", "document_id", "alias").agg(F.slice(F.transform(co, lambda x: x["other_text"]), 1, CO_ENTITIES).alias("co_entities"), F.count("here").alias("overlap"))
     confidence = F.when(~F.col("same"), "possible").when(F.col("overlap") > 0, "exact").otherwise("likely")
     return out.select("batch", "text", "type", "entity_id", confidence.alias("confidence"), F.col("alias").alias("previous_alias"), F.col("document_id").alias("previous_document"), "co_entities")
-
-
-def first_by_order(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key."""
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__n = 1").drop("__n")

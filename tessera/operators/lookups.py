@@ -21,8 +21,9 @@ def lookup(terms: DataFrame, dictionary: DataFrame, jurisdictions: list[str] | N
 
 
 def dictionaries(dictionary: DataFrame) -> DataFrame:
-    """dict, jurisdiction, type, entry_count."""
-    return dictionary.groupBy("dict", "jurisdiction", "type").agg(F.count("*").alias("entry_count"))
+    """dict, jurisdiction, type, entry_count, updated_at (null where the dictionary has no such column)."""
+    updated = F.max("updated_at") if "updated_at" in dictionary.columns else F.lit(None).cast("timestamp")
+    return dictionary.groupBy("dict", "jurisdiction", "type").agg(F.count("*").alias("entry_count"), updated.alias("updated_at"))
 
 
 def decoy_counts(batches: DataFrame, ratio: float = DECOY_RATIO, max_batch: int = MAX_BATCH) -> DataFrame:
@@ -49,8 +50,9 @@ def with_decoys(batches: DataFrame, seed: int, ratio: float = DECOY_RATIO, max_b
 
 
 def real_results(results: DataFrame, real: DataFrame) -> DataFrame:
-    """Results of terms that were asked for, decoys' results left out."""
-    return results.join(real.select("term"), "term", "left_semi")
+    """Results of terms that were asked for, decoys' results left out; by batch where both have batches."""
+    key = [c for c in ("shard", "batch", "term") if c in results.columns and c in real.columns]
+    return results.join(real.select(*key), key, "left_semi")
 
 
 def cache_put(cache: DataFrame, rows: DataFrame, hours: int = CACHE_HOURS) -> DataFrame:

@@ -1,8 +1,10 @@
-"""Identifier spans and tokens of documents. Nothing here shuffles but token offsets, which are a window per document."""
+"""Identifier spans and tokens of documents, as arrays beside the text. Nothing here shuffles."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -33,35 +35,64 @@ def spans(docs: DataFrame) -> DataFrame:
     return docs.withColumn("spans", resolved_spans(F.coalesce("text", F.lit(""))))
 
 
+def kind_of(text: Column, pattern: Column) -> Column:
+    """Of a token, by its first character."""
+    first = F.ascii(text)
+    return (
+        F.when(pattern.isNotNull(), "pattern")
+        .when(first.between(97, 122) | first.between(65, 90) | first.between(192, 255), "word")
+        .when(first.isin(T.SPACE_CODES), "whitespace")
+        .when(first.between(48, 57), "number")
+        .otherwise("punctuation")
+    )
+
+
 def token_arrays(docs: DataFrame) -> DataFrame:
-    """docs with `tokens`, an array of (text, pattern): identifier spans and, between them, the basic tokens. They cover the text."""
+    """docs with `tokens`, an array of (text, pattern, kind): identifier spans and, between them, the basic tokens. They cover the text."""
     source = F.coalesce("text", F.lit(""))
     basic = F.lit(T.unicode_space(T.BASIC))
+    none = F.lit(None).cast("string")
+    token = lambda text, pattern: F.struct(text.alias("text"), pattern.alias("pattern"), kind_of(text, pattern).alias("kind"))
+
+    def basic_tokens(gap: Column) -> Column:
+        return F.transform(F.regexp_extract_all(gap, basic, F.lit(0)), lambda t: token(t, none))
 
     def around(at: Column) -> Column:
         before, own = F.get("spans", at - 1), F.get("spans", at)
         start = F.coalesce(before["end"], F.lit(0))
-        gap = F.substring(source, start + 1, F.coalesce(own["start"], F.length(source)) - start)
-        plain = F.transform(F.regexp_extract_all(gap, basic, F.lit(0)), lambda t: F.struct(t.alias("text"), F.lit(None).cast("string").alias("pattern")))
-        return F.when(own.isNull(), plain).otherwise(F.concat(plain, F.array(F.struct(own["text"].alias("text"), own["kind"].alias("pattern")))))
+        plain = basic_tokens(F.substring(source, start + 1, F.coalesce(own["start"], F.length(source)) - start))
+        return F.when(own.isNull(), plain).otherwise(F.concat(plain, F.array(token(own["text"], own["kind"]))))
 
-    return spans(docs).withColumn("tokens", F.flatten(F.transform(F.sequence(F.lit(0), F.size("spans")), around)))
+    pieces = F.flatten(F.transform(F.sequence(F.lit(0), F.size("spans")), around))
+    return spans(docs).withColumn("tokens", F.when(F.size("spans") == 0, basic_tokens(source)).otherwise(pieces))
 
 
-def kind_of(text: Column, pattern: Column) -> Column:
-    return (
-        F.when(pattern.isNotNull(), "pattern")
-        .when(text.rlike(f"^{T.SPACE}"), "whitespace")
-        .when(text.rlike(T.WORD_START), "word")
-        .when(text.rlike("^[0-9]"), "number")
-        .otherwise("punctuation")
-    )
+def placed(docs: DataFrame) -> DataFrame:
+    """docs with `tokens` and `places`: the ends of all tokens and, after them, the number of words up to each token.
+
+    Running sums are what array functions can't do in one pass; only lengths go to numpy and back, in Arrow batches.
+    """
+
+    @F.pandas_udf("array<int>")
+    def running(lengths: pd.Series) -> pd.Series:
+        return lengths.map(lambda x: np.concatenate((np.cumsum(np.abs(x)), np.cumsum(x < 0))).astype(np.int32))
+
+    # A word's length is negative, which tells words apart.
+    lengths = F.transform("tokens", lambda t: F.when(t["kind"] == "word", -F.length(t["text"])).otherwise(F.length(t["text"])))
+    return token_arrays(docs).withColumn("places", running(lengths))
+
+
+def end_of(at: Column) -> Column:
+    return F.get("places", at)
 
 
 def tokens(docs: DataFrame) -> DataFrame:
     """doc_id, tok, text, kind, pattern, start, end: one row for each token, in order of tok. doc_id must be unique."""
-    each = token_arrays(docs).select("doc_id", F.posexplode("tokens").alias("tok", "t")).select("doc_id", "tok", "t.text", "t.pattern")
-    order = Window.partitionBy("doc_id").orderBy("tok").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.length("text")).over(order).cast("int")
-    each = each.withColumn("kind", kind_of(F.col("text"), F.col("pattern"))).withColumn("end", end)
-    return each.select("doc_id", "tok", "text", "kind", "pattern", (F.col("end") - F.length("text")).alias("start"), "end")
+    each = F.transform("tokens", lambda t, k: F.struct(t["text"].alias("text"), t["kind"].alias("kind"), t["pattern"].alias("pattern"), end_of(k).alias("end")))
+    rows = placed(docs).select("doc_id", F.posexplode(each).alias("tok", "t"))
+    return rows.select("doc_id", "tok", "t.text", "t.kind", "t.pattern", (F.col("t.end") - F.length("t.text")).alias("start"), "t.end")
+
+
+def token_kinds(docs: DataFrame) -> DataFrame:
+    """doc_id, text, kind for each token, where positions aren't needed: nothing leaves the JVM."""
+    return token_arrays(docs).select("doc_id", F.explode("tokens").alias("t")).select("doc_id", "t.text", "t.kind")

@@ -1,7 +1,9 @@
 """The library's queries by name over the tables of a folder, and the SQL that each is held against.
 
-Conversations are the sessions: a turn is a document, a conversation a session. Entities of the graph are customers and
-suppliers, in documents that orders and line items make. Dictionaries are made from the words of `benchmark`.
+Two sets of documents are anonymised: `documents`, a source as a session, and letters, one to each customer, a nation as a
+session, whose texts hold what prose rarely does: honorifics, adjacent persons, valid IBANs, addresses, mail and URLs.
+Entities of the graph are customers and suppliers, in documents that orders and line items make. Dictionaries are made
+from the words of `benchmark` and from the names in the letters.
 """
 
 from __future__ import annotations
@@ -11,12 +13,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import lexicon as L
 from tessera.functions import text as T
 from tessera.functions.lexicon import DEFAULT
 from tessera.operators import detect, entities, graph, lookups, rewrite
-from tessera.operators.tokenize import spans, tokens
+from tessera.operators.tokenize import spans, token_kinds, tokens
 from tessera.plans import anonymize as plan
-from tessera.sources import files
+from tessera.sources import files, tables
+from tessera.sources.tables import read, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -32,13 +36,9 @@ def query(sql: str | None = None):
     return add
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "conversations")
-    return rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("doc_ord"), "text")
+def texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """documents, on all cores."""
+    return spread(read(spark, sf_dir, "documents").select("doc_id", *columns, "text"))
 
 
 def sql_text(value: str) -> str:
@@ -49,99 +49,172 @@ def sql_list(values: list[str]) -> str:
     return "(" + ", ".join(map(sql_text, values)) + ")"
 
 
+# Letters --------------------------------------------------------------------------------------------------------------
+
+FIRST = ["Anna", "Bruno", "Chloé", "David", "Emma", "Fabien", "Gisela"]
+LAST = ["Dupont", "Martin", "Schmidt", "Lyon", "Moreau", "Weber", "Taylor", "Leroy", "Fischer", "Adams", "Petit"]
+PLACES = ["Lyon", "Paris", "Berlin", "Leeds", "Nantes"]
+FIRMS = ["Acme", "Bellevue", "Globex"]
+
+
+def one_of(values: list[str], key: str) -> str:
+    """SQL, for both engines, that picks one of the values by a key."""
+    return f"CASE {key} % {len(values)} " + " ".join(f"WHEN {k} THEN {sql_text(v)}" for k, v in enumerate(values)) + " END"
+
+
+FIRST_SQL, LAST_SQL, OTHER_SQL = one_of(FIRST, "c_custkey"), one_of(LAST, "c_custkey"), one_of(LAST, "(c_custkey + c_nationkey)")
+PLACE_SQL, FIRM_SQL = one_of(PLACES, "c_custkey"), one_of(FIRMS, "c_custkey")
+NUMBER_SQL = "lpad(cast(c_custkey AS string), 16, '7')"
+#: Two check digits that make the IBAN valid: letters D and E stand for 13 and 14.
+IBAN_SQL = f"concat('DE', lpad(cast(98 - cast(concat({NUMBER_SQL}, '131400') AS decimal(38,0)) % 97 AS string), 2, '0'), {NUMBER_SQL})"
+LETTER = [
+    f"concat('M. ', {LAST_SQL}, ' habite au 12 rue de ', {PLACE_SQL}, ' depuis hier. Mme ', {OTHER_SQL}, ' et ', {FIRST_SQL}, ' ', {LAST_SQL}, ' signent le bail.')",
+    f"concat('Mr. ', {LAST_SQL}, ' from ', {FIRM_SQL}, ' Ltd paid with ', {IBAN_SQL}, ' and the others of ', {FIRM_SQL}, ' did not. She met Dr ', {OTHER_SQL}, ' in ', {PLACE_SQL}, '.')",
+    f"concat('on voit ', {LAST_SQL}, ' y ', {OTHER_SQL}, ' a ', {FIRST_SQL}, ' y ', {LAST_SQL}, ' dans la ville de ', {PLACE_SQL}, ', NIR 1 85 12 75 108 042 36')",
+    f"concat('Write to ', lower({LAST_SQL}), '@mail.example.com or https://www.example.com/', cast(c_custkey AS string), ' or call 06 12 34 56 78, the ', {LAST_SQL}, ' ', {OTHER_SQL}, ' family said.')",
+    f"concat('Die SCI ', {PLACE_SQL}, ' und die SARL ', {LAST_SQL}, ' Söhne sind nicht hier! ', {FIRST_SQL}, ' kam. Der ACME Mann und ', {OTHER_SQL}, ' (', {FIRM_SQL}, ') waren da; 3 avenue street road ', {LAST_SQL}, ' ', {IBAN_SQL}, ' x')",
+    f"concat('the code DE00', {NUMBER_SQL}, ' is wrong for ', {FIRST_SQL}, ' ', {OTHER_SQL}, chr(10), chr(10), '5 Main ', {PLACE_SQL}, ' road and then nine more words in that way of ', {LAST_SQL}, ' place')",
+]
+LETTER_SQL = "CASE c_custkey % 6 " + " ".join(f"WHEN {k} THEN {t}" for k, t in enumerate(LETTER)) + " END"
+
+
+def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "customer").selectExpr("c_custkey AS doc_id", f"{LETTER_SQL} AS text", "cast(c_nationkey AS string) AS session_id", "c_custkey AS doc_ord")
+    return spread(rows)
+
+
+def sourced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents with their source as the session."""
+    return texts(spark, sf_dir, F.coalesce("source", F.lit("")).alias("session_id"), F.col("doc_id").alias("doc_ord"))
+
+
+#: doc_id, text, session, ord of both sets.
+DOCS_SQL = {
+    "documents": "docs AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS session, doc_id AS ord FROM documents)",
+    "letters": f"docs AS (SELECT c_custkey AS doc_id, {LETTER_SQL} AS text, c_nationkey::VARCHAR AS session, c_custkey AS ord FROM customer)",
+}
+
+
 # Patterns -------------------------------------------------------------------------------------------------------------
 
 
 def pattern_query(name: str, table: str, key: str, column: str, pattern: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = T.matches(F.coalesce(F.col(column), F.lit("")), "x", pattern)
-        rows = read(spark, sf_dir, table).select(key, found.alias("found")).where(F.size("found") > 0)
+        rows = letters(spark, sf_dir) if table == "letters" else spread(read(spark, sf_dir, table).select(key, column))
+        rows = rows.select(key, found.alias("found")).where(F.size("found") > 0)
         chars = F.aggregate("found", F.lit(0), lambda a, s: a + s["end"] - s["start"])
         return rows.select(key, F.size("found").cast("long").alias("n"), chars.cast("long").alias("chars"), F.get("found", F.lit(0))["start"].cast("long").alias("first_start"))
 
     QUERIES[name] = run
     p = sql_text(pattern)
     ORACLE_SQL[name] = f"""
+        WITH {DOCS_SQL.get(table, f"docs AS (SELECT * FROM {table})")}
         SELECT {key}, n, chars, first_start FROM (
             SELECT {key}, len(m)::BIGINT AS n, list_sum(list_transform(m, lambda x: length(x)))::BIGINT AS chars, length(g[1])::BIGINT AS first_start
-            FROM (SELECT {key}, regexp_extract_all({column}, {p}) AS m, regexp_split_to_array({column}, {p}) AS g FROM {table}) WHERE len(m) > 0)"""
+            FROM (SELECT {key}, regexp_extract_all({column}, {p}) AS m, regexp_split_to_array({column}, {p}) AS g FROM docs) WHERE len(m) > 0)"""
 
 
 for name, (_, pattern) in zip(("url", "email", "iban", "ssn", "phone_fr", "phone_uk"), T.PATTERNS):
     pattern_query(f"pattern_{name}", "documents", "doc_id", "text", pattern)
 pattern_query("pattern_url_pages", "pages", "page_id", "url", T.PATTERNS[0][1])
+for name, k in (("url", 0), ("email", 1), ("iban", 2)):
+    pattern_query(f"pattern_{name}_letters", "letters", "doc_id", "text", T.PATTERNS[k][1])
+
+
+def remainder_sql(iban: str) -> str:
+    turned = f"substr(replace({iban}, ' ', ''), 5) || substr(replace({iban}, ' ', ''), 1, 4)"
+    return f"""(list_reduce(list_prepend(0::BIGINT, list_transform(string_split({turned}, ''), lambda c: CASE WHEN ascii(c) >= 65 THEN 1000 + ascii(c) - 55 ELSE ascii(c) - 48 END::BIGINT)),
+        lambda r, d: CASE WHEN d >= 1000 THEN (r * 100 + d - 1000) % 97 ELSE (r * 10 + d) % 97 END))::BIGINT"""
+
 
-IBANS = ["FR76 3000 6000 0112 3456 7890 189", "FR00 1234 5678 9012 3456 7890 123", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"]
+#: Something like an IBAN for each order, valid for some.
+ORDER_IBAN = "concat('GB', lpad(cast(o_orderkey % 100 AS string), 2, '0'), ' WEST ', lpad(cast(o_custkey AS string), 14, '0'))"
 
 
-@query(f"""
-    WITH t AS (SELECT unnest({"[" + ", ".join(map(sql_text, IBANS)) + "]"}) AS iban),
-    c AS (SELECT iban, substr(replace(iban, ' ', ''), 5) || substr(replace(iban, ' ', ''), 1, 4) AS turned FROM t)
-    SELECT iban, (list_reduce(list_prepend(0::BIGINT, list_transform(string_split(turned, ''), lambda c: CASE WHEN ascii(c) >= 65 THEN 1000 + ascii(c) - 55 ELSE ascii(c) - 48 END::BIGINT)),
-        lambda r, d: CASE WHEN d >= 1000 THEN (r * 100 + d - 1000) % 97 ELSE (r * 10 + d) % 97 END))::BIGINT AS remainder FROM c""")
+@query(f"""SELECT o_orderkey, {remainder_sql("iban")} AS remainder FROM (SELECT o_orderkey, {ORDER_IBAN} AS iban FROM orders)""")
 def iban_mod97(spark, sf_dir):
-    rows = spark.range(1).select(F.explode(F.array(*map(F.lit, IBANS))).alias("iban"))
-    return rows.select("iban", T.iban_remainder(F.col("iban")).cast("long").alias("remainder"))
+    return spread(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")).select("o_orderkey", T.iban_remainder(F.expr(ORDER_IBAN)).cast("long").alias("remainder"))
 
 
-def spans_sql(table: str, key: str) -> str:
-    """CTEs that end with `spans` (key, kind, s, e): accepted spans, for tables without valid IBANs."""
+def spans_sql() -> str:
+    """CTEs that end with `spans` (key, kind, s, e, text): the accepted spans of `docs`."""
     parts, taken = [], []
     for k, (kind, pattern) in enumerate(T.PATTERNS):
-        if kind == "iban":
-            continue
         p = sql_text(pattern)
-        parts.append(f"""raw{k} AS (SELECT {key} AS key, unnest(range(1, len(m) + 1)) AS k, m, g FROM (SELECT {key}, regexp_extract_all(text, {p}) AS m, regexp_split_to_array(text, {p}) AS g FROM {table})),
-        pos{k} AS (SELECT key, '{kind}' AS kind, (list_sum(list_transform(g[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k-1], lambda x: length(x))), 0))::BIGINT AS s, length(m[k]) AS n FROM raw{k}),
-        ok{k} AS (SELECT key, kind, s, s + n AS e FROM pos{k} p WHERE true {" ".join(f"AND NOT EXISTS (SELECT 1 FROM ok{j} a WHERE a.key = p.key AND a.s < p.s + p.n AND a.e > p.s)" for j in taken)})""")
+        valid = f" AND {remainder_sql('p.text')} = 1" if kind == "iban" else ""
+        parts.append(f"""raw{k} AS (SELECT doc_id AS key, unnest(range(1, len(m) + 1)) AS k, m, g FROM (SELECT doc_id, regexp_extract_all(text, {p}) AS m, regexp_split_to_array(text, {p}) AS g FROM docs)),
+        pos{k} AS (SELECT key, '{kind}' AS kind, (list_sum(list_transform(g[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k-1], lambda x: length(x))), 0))::BIGINT AS s, length(m[k]) AS n, m[k] AS text FROM raw{k}),
+        ok{k} AS (SELECT key, kind, s, s + n AS e, text FROM pos{k} p WHERE true{valid} {" ".join(f"AND NOT EXISTS (SELECT 1 FROM ok{j} a WHERE a.key = p.key AND a.s < p.s + p.n AND a.e > p.s)" for j in taken)})""")
         taken.append(k)
     return ",\n".join(parts) + ",\nspans AS (" + " UNION ALL ".join(f"SELECT * FROM ok{j}" for j in taken) + ")"
 
 
-@query(f"""
-    WITH {spans_sql("documents", "doc_id")}
-    SELECT d.lang, s.kind, count(*) AS spans, count(DISTINCT d.doc_id) AS documents, sum(s.e - s.s)::BIGINT AS chars
-    FROM spans s JOIN documents d ON d.doc_id = s.key GROUP BY ALL""")
+SPANS_COUNTED = "SELECT session, s.kind, count(*) AS spans, count(DISTINCT d.doc_id) AS documents, sum(s.e - s.s)::BIGINT AS chars, sum(s.s)::BIGINT AS starts FROM spans s JOIN docs d ON d.doc_id = s.key GROUP BY ALL"
+
+
+def counted_spans(docs: DataFrame) -> DataFrame:
+    found = spans(docs).select("doc_id", F.col("session_id").alias("session"), F.explode("spans").alias("s"))
+    sums = [F.sum(F.col("s.end") - F.col("s.start")).cast("long").alias("chars"), F.sum("s.start").cast("long").alias("starts")]
+    return found.groupBy("session", F.col("s.kind").alias("kind")).agg(F.count("*").alias("spans"), F.countDistinct("doc_id").alias("documents"), *sums)
+
+
+@query(f"WITH {DOCS_SQL['documents']}, {spans_sql()} {SPANS_COUNTED}")
 def pattern_spans_resolved(spark, sf_dir):
-    found = spans(read(spark, sf_dir, "documents").select("doc_id", "lang", "text")).select("doc_id", "lang", F.explode("spans").alias("s"))
-    return found.groupBy("lang", F.col("s.kind").alias("kind")).agg(F.count("*").alias("spans"), F.countDistinct("doc_id").alias("documents"), F.sum(F.col("s.end") - F.col("s.start")).cast("long").alias("chars"))
+    return counted_spans(sourced(spark, sf_dir))
+
+
+@query(f"WITH {DOCS_SQL['letters']}, {spans_sql()} {SPANS_COUNTED}")
+def pattern_spans_letters(spark, sf_dir):
+    return counted_spans(letters(spark, sf_dir))
 
 
 # Tokens and detection -------------------------------------------------------------------------------------------------
 
 BASIC_SQL = sql_text(T.BASIC)
-TOKENS_SQL = f"""
-    docs AS (SELECT conv_id * 1000 + turn AS doc_id, coalesce(text, '') AS text FROM conversations),
-    lists AS (SELECT doc_id, regexp_extract_all(text, {BASIC_SQL}) AS m FROM docs),
-    toks AS (SELECT doc_id, tok - 1 AS tok, m[tok] AS text FROM (SELECT doc_id, m, unnest(range(1, len(m) + 1)) AS tok FROM lists)),
-    tokens AS (SELECT *, sum(length(text)) OVER (PARTITION BY doc_id ORDER BY tok) - length(text) AS s, CASE WHEN regexp_matches(text, '^\\s') THEN 'whitespace'
+#: Tokens of `docs` with their places; `tok` numbers them.
+TOKENS_SQL = f"""{spans_sql()},
+    borders AS (SELECT key, s, e FROM spans UNION ALL SELECT doc_id, length(text), length(text) FROM docs),
+    gaps AS (SELECT key, lag(e, 1, 0::BIGINT) OVER (PARTITION BY key ORDER BY s, e) AS a, s AS b FROM borders),
+    lists AS (SELECT key AS doc_id, a, regexp_extract_all(substr(text, a + 1, b - a), {BASIC_SQL}) AS m FROM gaps JOIN docs ON doc_id = key),
+    basics AS (SELECT doc_id, a, k, m[k] AS text FROM (SELECT doc_id, a, m, unnest(range(1, len(m) + 1)) AS k FROM lists)),
+    toks AS (SELECT doc_id, text, a + sum(length(text)) OVER (PARTITION BY doc_id, a ORDER BY k) - length(text) AS s, NULL::VARCHAR AS pattern FROM basics UNION ALL SELECT key, text, s, kind FROM spans),
+    tokens AS (SELECT doc_id, text, s::BIGINT AS s, pattern, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS tok, CASE WHEN pattern IS NOT NULL THEN 'pattern' WHEN regexp_matches(text, '^\\s') THEN 'whitespace'
         WHEN regexp_matches(text, {sql_text(T.WORD_START)}) THEN 'word' WHEN regexp_matches(text, '^[0-9]') THEN 'number' ELSE 'punctuation' END AS kind FROM toks)"""
 UPPER_SQL = "replace(upper(text), 'ẞ', 'SS')"
 
 
-def clean_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as documents; they hold no identifiers, so that their tokens are the basic ones."""
-    return turns(spark, sf_dir).select("doc_id", "text")
+@query(f"""WITH {DOCS_SQL['documents']}, {TOKENS_SQL} SELECT kind, count(*) AS tokens, sum(length(text))::BIGINT AS chars, count(DISTINCT text) AS texts FROM tokens GROUP BY kind""")
+def token_kind_counts(spark, sf_dir):
+    rows = token_kinds(texts(spark, sf_dir)).groupBy("kind", "text").agg(F.count("*").alias("n"))
+    return rows.groupBy("kind").agg(F.sum("n").alias("tokens"), F.sum(F.col("n") * F.length("text")).cast("long").alias("chars"), F.count("*").alias("texts"))
 
 
-@query(f"""WITH {TOKENS_SQL} SELECT kind, count(*) AS tokens, sum(length(text))::BIGINT AS chars, count(DISTINCT text) AS texts FROM tokens GROUP BY kind""")
-def token_kind_counts(spark, sf_dir):
-    return tokens(clean_turns(spark, sf_dir)).groupBy("kind").agg(F.count("*").alias("tokens"), F.sum(F.length("text")).cast("long").alias("chars"), F.countDistinct("text").alias("texts"))
+OFFSETS_SQL = "SELECT doc_id, count(*) AS tokens, sum(s * (tok + 1))::BIGINT AS checksum, max(s + length(text))::BIGINT AS length FROM tokens GROUP BY doc_id"
+
 
+def offsets(docs: DataFrame) -> DataFrame:
+    return tokens(docs).groupBy("doc_id").agg(F.count("*").alias("tokens"), F.sum(F.col("start").cast("long") * (F.col("tok") + 1)).alias("checksum"), F.max("end").cast("long").alias("length"))
 
-@query(f"""WITH {TOKENS_SQL} SELECT doc_id, count(*) AS tokens, sum(s * (tok + 1))::BIGINT AS checksum, max(s + length(text))::BIGINT AS length FROM tokens GROUP BY doc_id""")
+
+@query(f"WITH {DOCS_SQL['documents']}, {TOKENS_SQL} {OFFSETS_SQL}")
 def token_offsets(spark, sf_dir):
-    return tokens(clean_turns(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("tokens"), F.sum(F.col("start").cast("long") * (F.col("tok") + 1)).alias("checksum"), F.max("end").cast("long").alias("length"))
+    return offsets(texts(spark, sf_dir))
+
+
+@query(f"WITH {DOCS_SQL['letters']}, {TOKENS_SQL} {OFFSETS_SQL}")
+def token_offsets_letters(spark, sf_dir):
+    return offsets(letters(spark, sf_dir))
 
 
 SCORES_SQL = ", ".join(f"count(*) FILTER (kind = 'word' AND {UPPER_SQL} IN {sql_list(words)}) AS score_{x}" for x, words in DEFAULT.stop_words.items())
+LANGUAGES_SQL = f"""scores AS (SELECT d.doc_id, {SCORES_SQL.replace("(text)", "(t.text)")} FROM docs d LEFT JOIN tokens t ON t.doc_id = d.doc_id GROUP BY d.doc_id),
+    languages AS (SELECT doc_id, CASE WHEN score_fr >= score_en AND score_fr >= score_de THEN 'fr' WHEN score_en >= score_de THEN 'en' ELSE 'de' END AS language, score_fr, score_en, score_de FROM scores)"""
 
 
-@query(f"""
-    WITH {TOKENS_SQL}, scores AS (SELECT doc_id, {SCORES_SQL} FROM tokens GROUP BY doc_id)
-    SELECT doc_id, CASE WHEN score_fr >= score_en AND score_fr >= score_de THEN 'fr' WHEN score_en >= score_de THEN 'en' ELSE 'de' END AS language, score_fr, score_en, score_de FROM scores""")
+@query(f"WITH {DOCS_SQL['documents']}, {TOKENS_SQL}, {LANGUAGES_SQL} SELECT * FROM languages")
 def detect_language(spark, sf_dir):
-    return detect.language(tokens(clean_turns(spark, sf_dir)))
+    return detect.with_language(texts(spark, sf_dir)).select("doc_id", "language", "score_fr", "score_en", "score_de")
 
 
 def chain_sql(name: str, source: str, follows: str, starts: str, least: int) -> str:
@@ -151,6 +224,7 @@ def chain_sql(name: str, source: str, follows: str, starts: str, least: int) ->
     {name} AS (SELECT * EXCLUDE (chain, p, size), CASE WHEN w >= p AND size >= {least} THEN p END AS {name}_g FROM {name}c)"""
 
 
+LOCAL = {2: "company_candidate", 3: "address_fragment", 4: "person_candidate", 5: "candidate"}
 GROUPS_SQL = f"""{TOKENS_SQL},
     solid AS (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY tok) AS before_kind, lag(text) OVER (PARTITION BY doc_id ORDER BY tok) AS before_text, lag(s) OVER (PARTITION BY doc_id ORDER BY tok) AS before_s FROM tokens WHERE kind <> 'whitespace'),
     words AS (SELECT doc_id, tok, s, text, before_kind, before_text, before_s, row_number() OVER (PARTITION BY doc_id ORDER BY tok) AS w,
@@ -170,23 +244,37 @@ GROUPS_SQL = f"""{TOKENS_SQL},
     {chain_sql("c4", "c3", "c2_g IS NULL AND c3_g IS NULL AND cap AND NOT stop", "c2_g IS NULL AND c3_g IS NULL AND honorific", 2)},
     {chain_sql("c5", "c4", "coalesce(c2_g, c3_g, c4_g) IS NULL AND cap AND NOT stop", "coalesce(c2_g, c3_g, c4_g) IS NULL AND cap AND NOT stop AND length(text) >= 2 AND NOT (starts_sentence AND NOT all_upper)", 1)},
     members AS (SELECT *, CASE WHEN c2_g IS NOT NULL THEN 2 WHEN c3_g IS NOT NULL THEN 3 WHEN c4_g IS NOT NULL THEN 4 WHEN c5_g IS NOT NULL THEN 5 END AS pass, coalesce(c2_g, c3_g, c4_g, c5_g) AS g FROM c5),
-    groups AS (SELECT doc_id, pass, g, string_agg(text, ' ' ORDER BY w) AS words, arg_min(CASE WHEN pass = 3 AND before_kind = 'number' THEN before_text END, w) AS number,
-        arg_min(CASE WHEN pass = 3 AND before_kind = 'number' THEN before_s END, w) AS number_s, min(s) AS s, max(s + length(text)) AS e, count(*) AS n, min_by(text, w) AS first_word FROM members WHERE pass IS NOT NULL GROUP BY ALL),
-    final AS (SELECT doc_id, pass, CASE WHEN number IS NULL THEN words ELSE number || ' ' || words END AS text, coalesce(number_s, s)::BIGINT AS start, e::BIGINT AS end, n, first_word FROM groups)"""
-LOCAL = {2: "company_candidate", 3: "address_fragment", 4: "person_candidate", 5: "candidate"}
+    runs AS (SELECT doc_id, pass, string_agg(text, ' ' ORDER BY w) AS text, list(text ORDER BY w) AS parts, arg_min(coalesce(before_kind, '') = 'number' AND pass = 3, w) AS has_number, arg_min(coalesce(before_text, ''), w) AS number,
+        arg_min(coalesce(before_s, 0), w) AS number_s, min(s) AS s, max(s + length(text)) AS e FROM members WHERE pass IS NOT NULL GROUP BY doc_id, pass, g),
+    found AS (SELECT doc_id, pass, s AS ord, CASE WHEN has_number THEN number || ' ' || text ELSE text END AS text, CASE WHEN has_number THEN number_s ELSE s END::BIGINT AS start, e::BIGINT AS "end", parts, NULL::VARCHAR AS pattern FROM runs
+        UNION ALL SELECT doc_id, 1, s, text, s, s + length(text), [text], CASE WHEN pattern = 'ssn_fr' THEN 'ssn' ELSE pattern END FROM tokens WHERE kind = 'pattern')"""
+DETECTED_SQL = f"""SELECT doc_id, coalesce(pattern, CASE pass {" ".join(f"WHEN {k} THEN '{v}'" for k, v in LOCAL.items())} END) AS kind, text, start, "end" FROM found"""
+
 
+def detected(docs: DataFrame) -> DataFrame:
+    rows = detect.groups(detect.analysed(docs))
+    return rows.select("doc_id", F.coalesce("local_type", "confidence").alias("kind"), "text", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
-@query(f"""WITH RECURSIVE {GROUPS_SQL} SELECT doc_id, CASE pass {" ".join(f"WHEN {k} THEN '{v}'" for k, v in LOCAL.items())} END AS kind, text, start, "end" FROM final""")
+
+@query(f"WITH RECURSIVE {DOCS_SQL['documents']}, {GROUPS_SQL} {DETECTED_SQL}")
 def detect_local_all(spark, sf_dir):
-    found = detect.groups(tokens(clean_turns(spark, sf_dir)))
-    return found.select("doc_id", F.coalesce("local_type", "confidence").alias("kind"), "text", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    return detected(texts(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {DOCS_SQL['letters']}, {GROUPS_SQL} {DETECTED_SQL}")
+def detect_local_letters(spark, sf_dir):
+    return detected(letters(spark, sf_dir))
 
 
 # Dictionary, entities and aliases -------------------------------------------------------------------------------------
 
-DICTIONARY_SQL = """
-    dictionary AS (SELECT DISTINCT word AS term, 'names' AS dict, ['surname', 'city', 'company'][length(word) % 3 + 1] AS type
+#: Dictionaries (term, dict, type, jurisdiction, ord): of the words of benchmark, and of the names in letters, some twice.
+WORDS_SQL = """
+    dictionary AS (SELECT DISTINCT word AS term, 'names' AS dict, ['surname', 'city', 'company'][length(word) % 3 + 1] AS type, 'en' AS jurisdiction, 0 AS ord
         FROM (SELECT unnest(regexp_extract_all(text, '[A-Z][a-z]+')) AS word FROM benchmark) WHERE length(word) >= 3)"""
+NAMES = [(t, "cities", "city", j) for t in PLACES for j in ("fr", "en")] + [(t, "firstnames", "first_name", "fr") for t in FIRST[:5]]
+NAMES += [(t, "surnames", "surname", j) for t in LAST[:9] for j in ("fr", "de")] + [(t, "firms", "company", "en") for t in FIRMS[:2]] + [("Acme", "brands", "brand", "en")]
+NAMES_SQL = "dictionary(term, dict, type, jurisdiction, ord) AS (VALUES " + ", ".join(f"({sql_text(t)}, '{d}', '{k}', '{j}', {n})" for n, (t, d, k, j) in enumerate(NAMES)) + ")"
 
 
 def benchmark_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,129 +284,227 @@ def benchmark_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("term", F.lit("names").alias("dict"), F.lit(True).alias("match"), F.element_at(kinds, F.length("term") % 3 + 1).alias("type"), F.lit("en").alias("jurisdiction"), F.lit("high").alias("confidence"), F.lit(None).cast("map<string,string>").alias("metadata"), F.lit(0).alias("ord"))
 
 
-@query(f"""WITH RECURSIVE {GROUPS_SQL}, terms AS (SELECT DISTINCT text AS term FROM members WHERE pass IS NOT NULL)
+def letter_names(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(t, d, True, k, j, "high", {}, n) for n, (t, d, k, j) in enumerate(NAMES)], lookups.DICTIONARY)
+
+
+@query(f"""WITH RECURSIVE {DOCS_SQL['documents']}, {GROUPS_SQL}, terms AS (SELECT DISTINCT unnest(parts) AS term FROM found WHERE pattern IS NULL)
     SELECT term, length(term)::BIGINT AS chars FROM terms""")
 def lookup_terms_distinct(spark, sf_dir):
-    return entities.lookup_terms(detect.groups(tokens(clean_turns(spark, sf_dir)))).select("term", F.length("term").cast("long").alias("chars"))
+    return entities.lookup_terms(detect.groups(detect.analysed(texts(spark, sf_dir)))).select("term", F.length("term").cast("long").alias("chars"))
+
+
+TERMS_SQL = """t AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS term FROM documents),
+    b AS (SELECT term, length(term) % 4 AS shard, (row_number() OVER (PARTITION BY length(term) % 4 ORDER BY term) - 1) // 74 AS batch FROM t)"""
+
+
+def document_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = texts(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("term")).distinct()
+    return entities.lookup_batches(words, shard=F.length("term") % 4)
 
 
-@query("""WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS term FROM benchmark)
-    SELECT (length(term) % 4)::BIGINT AS shard, ((row_number() OVER (PARTITION BY length(term) % 4 ORDER BY term) - 1) // 74)::BIGINT AS batch, term FROM t""")
+@query(f"WITH {TERMS_SQL} SELECT shard::BIGINT AS shard, batch::BIGINT AS batch, term FROM b")
 def lookup_batches(spark, sf_dir):
-    terms = read(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("term")).distinct()
-    rows = entities.lookup_batches(terms, shard=F.length("term") % 4)
-    return rows.select(F.col("shard").cast("long").alias("shard"), F.col("batch").cast("long").alias("batch"), "term")
+    return document_terms(spark, sf_dir).select(F.col("shard").cast("long").alias("shard"), F.col("batch").cast("long").alias("batch"), "term")
 
 
-@query("""WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS term FROM benchmark), b AS (SELECT length(term) % 4 AS shard, (row_number() OVER (PARTITION BY length(term) % 4 ORDER BY term) - 1) // 74 AS batch FROM t)
-    SELECT shard::BIGINT AS shard, batch::BIGINT AS batch, count(*) AS real, least(ceil(count(*) * 0.35), greatest(0, 100 - count(*)))::BIGINT AS decoys FROM b GROUP BY ALL""")
+DECOYS_SQL = "SELECT shard::BIGINT AS shard, batch::BIGINT AS batch, count(*) AS real, least(ceil(count(*) * 0.35), greatest(0, 100 - count(*)))::BIGINT AS decoys FROM b GROUP BY ALL"
+
+
+@query(f"WITH {TERMS_SQL} {DECOYS_SQL}")
 def decoy_counts(spark, sf_dir):
-    terms = read(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("term")).distinct()
-    return lookups.decoy_counts(entities.lookup_batches(terms, shard=F.length("term") % 4)).select(F.col("shard").cast("long").alias("shard"), F.col("batch").cast("long").alias("batch"), "real", "decoys")
+    return lookups.decoy_counts(document_terms(spark, sf_dir)).select(F.col("shard").cast("long").alias("shard"), F.col("batch").cast("long").alias("batch"), "real", "decoys")
+
 
+@query(f"""WITH {TERMS_SQL}, c AS ({DECOYS_SQL}) SELECT shard, batch, real, decoys, true AS from_pools, real + decoys AS places,
+    (SELECT count(*) FROM b WHERE b.shard = c.shard AND b.batch = c.batch AND b.term = 'the') AS asked FROM c""")
+def decoy_batches(spark, sf_dir):
+    """Batches with their decoys: how many there are, that all come from the pools, and that answers to decoys are dropped."""
+    batches = document_terms(spark, sf_dir)
+    pools = (L.FIRST_NAMES + " " + L.NEUTRAL_NAMES + " " + L.SURNAMES + " " + L.COMPANY_NAMES).split()
+    mixed = tables.written(lookups.with_decoys(batches, 7), "decoys")
+    sums = [F.count_if("real").alias("real"), F.count_if(~F.col("real")).alias("decoys"), F.bool_and(F.col("real") | F.col("term").isin(pools)).alias("from_pools"), F.countDistinct("place").alias("places")]
+    rows = mixed.groupBy("shard", "batch").agg(*sums)
+    answers = lookups.real_results(mixed.select("shard", "batch", "term").where(F.col("term").isin(["the", "Lyon"])), batches.where(F.col("term") == "the"))
+    asked = answers.groupBy("shard", "batch").agg(F.count("*").alias("asked"))
+    rows = rows.join(asked, ["shard", "batch"], "left")
+    return rows.select(F.col("shard").cast("long").alias("shard"), F.col("batch").cast("long").alias("batch"), "real", "decoys", "from_pools", "places", F.coalesce("asked", F.lit(0)).cast("long").alias("asked"))
 
-@query(f"""WITH {DICTIONARY_SQL} SELECT dict, 'en' AS jurisdiction, type, count(*) AS entry_count FROM dictionary GROUP BY ALL""")
+
+@query(f"""WITH {WORDS_SQL} SELECT dict, jurisdiction, type, count(*) AS entry_count, '2024-01-' || lpad((1 + max(length(term)))::VARCHAR, 2, '0') AS updated_at FROM dictionary GROUP BY ALL""")
 def list_dictionaries(spark, sf_dir):
-    return lookups.dictionaries(benchmark_words(spark, sf_dir))
+    rows = benchmark_words(spark, sf_dir).withColumn("updated_at", F.date_add(F.lit("2024-01-01").cast("date"), F.length("term")))
+    return lookups.dictionaries(rows).withColumn("updated_at", F.date_format("updated_at", "yyyy-MM-dd"))
+
 
+@query(f"""WITH {WORDS_SQL}, t AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS term FROM documents) SELECT term, dict, type FROM t JOIN dictionary USING (term) WHERE jurisdiction = 'en'""")
+def dictionary_lookup(spark, sf_dir):
+    return lookups.lookup(document_terms(spark, sf_dir).select("term"), benchmark_words(spark, sf_dir), ["en", "uk"]).select("term", "dict", "type")
 
-ENTITIES_SQL = f"""{GROUPS_SQL}, {DICTIONARY_SQL},
-    hits AS (SELECT m.doc_id, m.pass, m.g, count(d.term) AS found, arg_min(d.type, m.w) FILTER (d.type IS NOT NULL) AS evidence FROM members m LEFT JOIN dictionary d ON d.term = m.text WHERE m.pass IS NOT NULL GROUP BY ALL),
-    typed AS (SELECT f.doc_id, f.pass, f.text, f.start, f."end", h.found,
-        CASE WHEN f.pass = 2 THEN 'company' WHEN f.pass = 4 THEN 'person' WHEN f.pass = 3 THEN 'address' WHEN h.evidence = 'surname' THEN 'person' WHEN h.evidence = 'city' THEN 'city' WHEN h.evidence = 'company' THEN 'company' ELSE 'unknown' END AS type,
-        CASE WHEN f.pass < 5 AND h.evidence IS NOT NULL THEN 'high' WHEN f.pass < 5 OR h.evidence IS NOT NULL THEN 'medium' ELSE 'low' END AS confidence
-        FROM (SELECT final.*, groups.g FROM final JOIN groups USING (doc_id, pass) WHERE groups.s = final.start OR groups.number_s = final.start) f JOIN hits h ON h.doc_id = f.doc_id AND h.pass = f.pass AND h.g = f.g)"""
 
+#: Entities of `found` by `dictionary`; `only` restricts its entries.
+def entities_sql(only: str = "true") -> str:
+    return f"""each AS (SELECT doc_id, pass, ord, parts, unnest(parts) AS word, generate_subscripts(parts, 1) AS at FROM found WHERE pattern IS NULL),
+    hits AS (SELECT e.doc_id, e.pass, e.ord, len(e.parts) AS n, arg_max(d.type, d.ord) AS last, arg_min(d.type, e.at * 100000 + d.ord) AS lead, list(d.dict ORDER BY e.at, d.ord) AS dicts
+        FROM each e JOIN dictionary d ON d.term = e.word JOIN languages l ON l.doc_id = e.doc_id WHERE {only} GROUP BY ALL),
+    evident AS (SELECT f.*, CASE WHEN h.n = 1 THEN h.last ELSE h.lead END AS evidence, CASE WHEN h.n = 1 THEN list_concat(h.dicts, h.dicts) ELSE h.dicts END AS dicts FROM found f LEFT JOIN hits h ON h.doc_id = f.doc_id AND h.pass = f.pass AND h.ord = f.ord),
+    typed AS (SELECT doc_id, pass, ord, text, start, "end",
+        CASE WHEN pattern IS NOT NULL THEN pattern WHEN pass = 2 THEN 'company' WHEN pass = 4 THEN 'person' WHEN pass = 3 THEN 'address' WHEN evidence IN ('surname', 'first_name') THEN 'person' WHEN evidence IN ('city', 'commune') THEN 'city' WHEN evidence = 'company' THEN 'company' ELSE 'unknown' END AS type,
+        CASE WHEN pattern IS NOT NULL OR (pass < 5 AND evidence IS NOT NULL) THEN 'high' WHEN pass < 5 OR evidence IN ('surname', 'first_name', 'city', 'commune', 'company') THEN 'medium' ELSE 'low' END AS confidence,
+        CASE WHEN pattern IS NOT NULL THEN ['local:' || pattern] WHEN dicts IS NULL THEN ['local:candidate'] ELSE dicts END AS sources FROM evident)"""
 
-@query(f"""WITH RECURSIVE {ENTITIES_SQL} SELECT doc_id, text, start, "end", type, confidence FROM typed""")
+
+#: All that leads to `typed`, for documents and for letters. Letters ask for entries of their language only.
+TYPED_SQL = {
+    "documents": f"{DOCS_SQL['documents']}, {GROUPS_SQL}, {LANGUAGES_SQL}, {WORDS_SQL}, {entities_sql()}",
+    "letters": f"{DOCS_SQL['letters']}, {GROUPS_SQL}, {LANGUAGES_SQL}, {NAMES_SQL}, {entities_sql('d.jurisdiction = l.language')}",
+}
+
+
+def found_in(spark: SparkSession, sf_dir: str, where: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    if where == "letters":
+        return plan.found_entities(letters(spark, sf_dir), letter_names(spark))
+    return plan.found_entities(texts(spark, sf_dir), benchmark_words(spark, sf_dir), plan.Options(jurisdictions=[]))
+
+
+def shown(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select("doc_id", "text", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "type", "confidence", F.array_join("sources", ",").alias("sources"), *more)
+
+
+SHOWN_SQL = """doc_id, text, start, "end", type, confidence, array_to_string(sources, ',') AS sources"""
+
+
+@query(f"WITH RECURSIVE {TYPED_SQL['documents']} SELECT {SHOWN_SQL} FROM typed")
 def entity_type_rules(spark, sf_dir):
-    groups = detect.groups(tokens(clean_turns(spark, sf_dir)))
-    found = entities.typed(entities.classified(groups, benchmark_words(spark, sf_dir)))
-    return found.select("doc_id", "text", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "type", "confidence")
+    return shown(found_in(spark, sf_dir, "documents")[1])
 
 
-MERGED_SQL = f"""{ENTITIES_SQL},
-    m1 AS (SELECT *, CASE WHEN type = 'person' AND lag(type) OVER o = 'person' AND start - lag("end") OVER o <= 3 THEN 0 ELSE 1 END AS brk FROM typed WINDOW o AS (PARTITION BY doc_id ORDER BY start, pass)),
-    m2 AS (SELECT *, sum(brk) OVER (PARTITION BY doc_id ORDER BY start, pass) AS island FROM m1),
-    m3 AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, island ORDER BY start, pass) - 1) // 2 AS pair FROM m2),
-    m4 AS (SELECT doc_id, island, pair, count(*) AS n, min(start) AS start, arg_max("end", start) AS "end", list(text ORDER BY start, pass) AS texts, list("end" ORDER BY start, pass) AS ends, list(start ORDER BY start, pass) AS starts, any_value(type) AS type,
-        CASE WHEN count(*) = 1 THEN any_value(confidence) WHEN bool_or(confidence = 'high') THEN 'high' ELSE 'medium' END AS confidence FROM m3 GROUP BY doc_id, island, pair),
-    merged AS (SELECT m4.doc_id, CASE WHEN n = 2 THEN texts[1] || substr(d.text, (ends[1] + 1)::BIGINT, greatest(0, starts[2] - ends[1])::BIGINT) || texts[2] ELSE texts[1] END AS text, start, "end", type, confidence, n = 2 AS merged FROM m4 JOIN docs d USING (doc_id))"""
+@query(f"WITH RECURSIVE {TYPED_SQL['letters']} SELECT {SHOWN_SQL} FROM typed")
+def entity_type_rules_letters(spark, sf_dir):
+    return shown(found_in(spark, sf_dir, "letters")[1])
 
 
-@query(f"""WITH RECURSIVE {MERGED_SQL} SELECT doc_id, text, start, "end", type, confidence, merged FROM merged""")
+MERGED_SQL = """
+    m1 AS (SELECT *, CASE WHEN type = 'person' AND lag(type) OVER o = 'person' AND start - lag("end") OVER o <= 3 THEN 0 ELSE 1 END AS brk FROM typed WINDOW o AS (PARTITION BY doc_id ORDER BY start, pass, ord)),
+    m2 AS (SELECT *, sum(brk) OVER (PARTITION BY doc_id ORDER BY start, pass, ord) AS island FROM m1),
+    m3 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, island ORDER BY start, pass, ord) - 1 AS place FROM m2),
+    pairs AS (SELECT a.*, b.doc_id IS NOT NULL AS merged, b.text AS next_text, b.start AS next_start, b."end" AS next_end, b.confidence AS next_confidence, b.sources AS next_sources
+        FROM m3 a LEFT JOIN m3 b ON b.doc_id = a.doc_id AND b.island = a.island AND b.place = a.place + 1 WHERE a.place % 2 = 0),
+    merged AS (SELECT p.doc_id, p.pass, p.ord, CASE WHEN merged THEN p.text || substr(d.text, (p."end" + 1)::BIGINT, greatest(0, next_start - p."end")::BIGINT) || next_text ELSE p.text END AS text, start, CASE WHEN merged THEN next_end ELSE "end" END AS "end", type,
+        CASE WHEN NOT merged THEN confidence WHEN 'high' IN (confidence, next_confidence) THEN 'high' ELSE 'medium' END AS confidence,
+        CASE WHEN merged THEN list_concat(list_filter(sources, lambda x, i: list_position(sources, x) = i), list_filter(next_sources, lambda x, i: list_position(next_sources, x) = i AND NOT list_contains(sources, x))) ELSE sources END AS sources, merged
+        FROM pairs p JOIN docs d USING (doc_id))"""
+
+
+@query(f"WITH RECURSIVE {TYPED_SQL['documents']}, {MERGED_SQL} SELECT {SHOWN_SQL}, merged FROM merged")
 def merge_adjacent_persons(spark, sf_dir):
-    docs = clean_turns(spark, sf_dir)
-    groups = detect.groups(tokens(docs))
-    found = entities.merged(entities.typed(entities.classified(groups, benchmark_words(spark, sf_dir))), docs)
-    return found.select("doc_id", "text", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "type", "confidence", "merged")
+    return shown(found_in(spark, sf_dir, "documents")[2], "merged")
 
 
-def session_result(spark: SparkSession, sf_dir: str, style: str = "generic") -> plan.Anonymized:
-    return plan.anonymize(turns(spark, sf_dir), benchmark_words(spark, sf_dir), plan.Options(style=style, jurisdictions=[]))
+@query(f"WITH RECURSIVE {TYPED_SQL['letters']}, {MERGED_SQL} SELECT {SHOWN_SQL}, merged FROM merged")
+def merge_adjacent_persons_letters(spark, sf_dir):
+    return shown(found_in(spark, sf_dir, "letters")[2], "merged")
 
 
-ALIASES_SQL = f"""{MERGED_SQL},
-    asked AS (SELECT doc_id // 1000 AS session, doc_id % 1000 AS turn, 0 AS phase, pass, start, text, type FROM typed
-        UNION ALL SELECT doc_id // 1000, doc_id % 1000, 1, 0, start, text, type FROM merged WHERE merged),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY turn, phase, pass, start) AS seq FROM asked),
-    firsts AS (SELECT session, text, arg_min(type, seq) AS type, min(seq) AS seq FROM ranked GROUP BY ALL),
-    aliases AS (SELECT session, text AS original, type, row_number() OVER (PARTITION BY session, type ORDER BY seq) AS n FROM firsts)"""
-ALIAS_SQL = "CASE type WHEN 'person' THEN 'Personne ' || n WHEN 'company' THEN 'Société ' || n WHEN 'address' THEN 'Adresse ' || n WHEN 'city' THEN 'Ville ' || n ELSE 'Entité ' || n END"
+def session_result(spark: SparkSession, sf_dir: str, where: str, style: str = "generic") -> plan.Anonymized:
+    if where == "letters":
+        return plan.anonymize(letters(spark, sf_dir), letter_names(spark), plan.Options(style=style))
+    return plan.anonymize(sourced(spark, sf_dir), benchmark_words(spark, sf_dir), plan.Options(style=style, jurisdictions=[]))
 
 
-@query(f"""WITH RECURSIVE {ALIASES_SQL} SELECT session::VARCHAR AS session_id, original, {ALIAS_SQL} AS alias, type FROM aliases""")
+ALIASES_SQL = f"""{MERGED_SQL},
+    asked AS (SELECT doc_id, 0 AS phase, pass, ord, text, type FROM typed UNION ALL SELECT doc_id, 1, 0, ord, text, type FROM merged WHERE merged),
+    ranked AS (SELECT a.*, d.session, row_number() OVER (PARTITION BY d.session ORDER BY d.ord, phase, pass, a.ord, a.doc_id) AS seq FROM asked a JOIN docs d USING (doc_id)),
+    firsts AS (SELECT session, text, arg_min(type, seq) AS type, min(seq) AS seq FROM ranked GROUP BY session, text),
+    aliases AS (SELECT session, text AS original, type, row_number() OVER (PARTITION BY session, type ORDER BY seq) AS n FROM firsts),
+    named AS (SELECT session, original, type, CASE type WHEN 'person' THEN 'Personne ' || n WHEN 'company' THEN 'Société ' || n WHEN 'address' THEN 'Adresse ' || n WHEN 'city' THEN 'Ville ' || n WHEN 'email' THEN 'personne' || n || '@exemple.fr'
+        WHEN 'phone' THEN '+33 X XX XX XX X' || n WHEN 'iban' THEN 'FRXX XXXX XXXX XXXX XXXX XXX' || n WHEN 'ssn' THEN 'X XX XX XX XXX XXX X' || n WHEN 'url' THEN 'https://exemple.fr/page' || n ELSE 'Entité ' || n END AS alias FROM aliases)"""
+#: Spans are replaced one after another, the last first.
+REWRITTEN_SQL = """cuts AS (SELECT d.doc_id, list({'t': '', 's': m.start, 'e': m."end", 'a': n.alias} ORDER BY m.start DESC, m."end" DESC, n.alias DESC) AS cuts FROM merged m JOIN docs d USING (doc_id) JOIN named n ON n.session = d.session AND n.original = m.text GROUP BY d.doc_id),
+    texts AS (SELECT d.doc_id, d.session, CASE WHEN cuts IS NULL THEN d.text ELSE list_reduce(list_prepend({'t': d.text, 's': 0::BIGINT, 'e': 0::BIGINT, 'a': ''}, cuts),
+        lambda acc, x: {'t': substr(acc.t, 1, x.s) || x.a || substr(acc.t, x.e + 1), 's': 0::BIGINT, 'e': 0::BIGINT, 'a': ''}).t END AS anonymized FROM docs d LEFT JOIN cuts USING (doc_id))"""
+
+
+@query(f"WITH RECURSIVE {TYPED_SQL['documents']}, {ALIASES_SQL} SELECT session AS session_id, original, alias, type FROM named")
 def generic_alias_numbering(spark, sf_dir):
-    return session_result(spark, sf_dir).aliases
+    return session_result(spark, sf_dir, "documents").aliases
 
 
-@query()
+@query(f"WITH RECURSIVE {TYPED_SQL['letters']}, {ALIASES_SQL} SELECT session AS session_id, original, alias, type FROM named")
+def generic_alias_numbering_letters(spark, sf_dir):
+    return session_result(spark, sf_dir, "letters").aliases
+
+
+@query(f"WITH RECURSIVE {TYPED_SQL['documents']}, {ALIASES_SQL}, {REWRITTEN_SQL} SELECT t.doc_id, session AS session_id, language, anonymized FROM texts t JOIN languages USING (doc_id)")
 def anonymize_sessions(spark, sf_dir):
-    """Texts rewritten with aliases that hold throughout a conversation."""
-    return session_result(spark, sf_dir).texts.select("doc_id", "session_id", "language", "anonymized")
+    """Texts rewritten with aliases that hold throughout a session."""
+    return session_result(spark, sf_dir, "documents").texts.select("doc_id", "session_id", "language", F.coalesce("anonymized", F.lit("")).alias("anonymized"))
 
 
-@query()
-def anonymize_realistic(spark, sf_dir):
-    return session_result(spark, sf_dir, "realistic").aliases
+@query(f"WITH RECURSIVE {TYPED_SQL['letters']}, {ALIASES_SQL}, {REWRITTEN_SQL} SELECT t.doc_id, session AS session_id, language, anonymized FROM texts t JOIN languages USING (doc_id)")
+def anonymize_letters(spark, sf_dir):
+    return session_result(spark, sf_dir, "letters").texts.select("doc_id", "session_id", "language", "anonymized")
 
 
-MASKED = ["FR76 1234 5678 9012", "1 85 12 75 108 042 36"]
+MASK_SQL = "substr({0}, 1, 4) || regexp_replace(substr({0}, 5), '[0-9A-Z]', 'X', 'g')"
+POOLED = {
+    "person": f"^({'|'.join(dict.fromkeys((L.FIRST_NAMES + ' ' + L.SURNAMES).split()))}|[A-Z]+)( ({'|'.join(dict.fromkeys(L.SURNAMES.split()))}))?$",
+    "company": f"(?i)^({L.KEPT_FORMS.replace(' ', '|')}) ({'|'.join(L.COMPANY_NAMES.split())})$|^({'|'.join(L.COMPANY_PREFIXES.split())}) ({'|'.join(L.COMPANY_SUFFIXES.split())})$",
+    "address": f"^([1-9][0-9]?|1[0-4][0-9]|150) ({'|'.join(L.STREET_KINDS)}) ({'|'.join(L.STREET_NAMES)})$",
+    "city": f"^({'|'.join(L.CITIES.split())})$",
+    "email": f"^[a-z-]+[.][a-z-]+@({'|'.join(L.MAIL_DOMAINS)})$",
+    "phone": r"^(\+33 6 [0-9]{2} [0-9]{2} [0-9]{2} [0-9]{2}|\+44 [0-9]{3} [0-9]{3} [0-9]{3}|[0-9 .-]+)$",
+    "url": f"^https?://({'|'.join(L.URL_DOMAINS)})/({'|'.join(L.URL_PATHS)})$",
+}
 
 
-@query(f"""SELECT v, substr(v, 1, 4) || regexp_replace(substr(v, 5), '[0-9A-Z]', 'X', 'g') AS alias FROM (SELECT unnest({"[" + ", ".join(map(sql_text, MASKED)) + "]"}) AS v)""")
+@query(f"""WITH RECURSIVE {TYPED_SQL['letters']}, {ALIASES_SQL}
+    SELECT session AS session_id, original, type, CASE WHEN type IN ('iban', 'ssn') THEN {MASK_SQL.format("original")} WHEN type = 'unknown' THEN '[' || substr(original, 1, 3) || '...]' END AS exact, true AS fits FROM named""")
+def anonymize_realistic(spark, sf_dir):
+    """Realistic aliases: the exact one where the text settles it, else whether it is of the form and the pool of its type."""
+    rows = session_result(spark, sf_dir, "letters", "realistic").aliases
+    settled = F.col("type").isin("iban", "ssn", "unknown")
+    fits = settled
+    for kind, form in POOLED.items():
+        fits = fits | ((F.col("type") == kind) & F.col("alias").rlike(form))
+    return rows.select("session_id", "original", "type", F.when(settled, F.col("alias")).alias("exact"), fits.alias("fits"))
+
+
+@query(f"SELECT o_orderkey, {MASK_SQL.format('iban')} AS alias FROM (SELECT o_orderkey, {ORDER_IBAN} AS iban FROM orders)")
 def mask_iban_ssn(spark, sf_dir):
-    return spark.range(1).select(F.explode(F.array(*map(F.lit, MASKED))).alias("v")).select("v", T.masked(F.col("v")).alias("alias"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", T.masked(F.expr(ORDER_IBAN)).alias("alias"))
 
 
 # Rewriting and review -------------------------------------------------------------------------------------------------
 
 
 def marked_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """benchmark as documents whose entities are the capitalised words, named by their number."""
-    docs = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    found = docs.select("doc_id", F.posexplode(T.matches(F.col("text"), "word", "[A-Z][a-z]+")).alias("n", "s"))
+    """The capitalised words of documents as entities, named by their number."""
+    found = texts(spark, sf_dir).select("doc_id", F.posexplode(T.matches(F.coalesce("text", F.lit("")), "word", "[A-Z][a-z]+")).alias("n", "s"))
     return found.select("doc_id", "n", "s.start", "s.end", "s.text", F.when(F.length("s.text") % 2 == 0, "person").otherwise("unknown").alias("type"), F.when(F.length("s.text") > 4, "high").otherwise("low").alias("confidence"), F.concat(F.lit("N"), (F.col("n") + 1).cast("string")).alias("alias"), F.lit(2).alias("pass"), F.col("s.start").alias("ord"))
 
 
 MARKED_SQL = """
-    raw AS (SELECT item_id AS doc_id, text, regexp_extract_all(text, '[A-Z][a-z]+') AS m, regexp_split_to_array(text, '[A-Z][a-z]+') AS g FROM benchmark),
+    raw AS (SELECT doc_id, text, regexp_extract_all(text, '[A-Z][a-z]+') AS m, regexp_split_to_array(text, '[A-Z][a-z]+') AS g FROM documents),
     each AS (SELECT doc_id, unnest(range(1, len(m) + 1)) AS n, m FROM raw),
     marked AS (SELECT doc_id, n, m[n] AS text, CASE WHEN length(m[n]) % 2 = 0 THEN 'person' ELSE 'unknown' END AS type, CASE WHEN length(m[n]) > 4 THEN 'high' ELSE 'low' END AS confidence, 'N' || n AS alias FROM each)"""
 
 
-@query(f"""WITH {MARKED_SQL} SELECT doc_id, array_to_string(list_transform(range(1, len(g) + 1), lambda k: g[k] || CASE WHEN k <= len(m) THEN 'N' || k ELSE '' END), '') AS anonymized FROM raw""")
+def woven(piece: str, match: str) -> str:
+    """SQL for the gaps and matches of a raw row in turn."""
+    return f"array_to_string(list_transform(range(1, len(g) + 1), lambda k: {piece} || CASE WHEN k <= len(m) THEN {match} ELSE '' END), '')"
+
+
+@query(f"""WITH {MARKED_SQL} SELECT doc_id, {woven("g[k]", "'N' || k")} AS anonymized FROM raw""")
 def substitute_text(spark, sf_dir):
-    docs = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    return rewrite.substituted(docs, marked_words(spark, sf_dir)).select("doc_id", "anonymized")
+    return rewrite.substituted(texts(spark, sf_dir), marked_words(spark, sf_dir)).select("doc_id", "anonymized")
 
 
-@query("SELECT item_id AS doc_id, text AS restored FROM benchmark")
+@query("SELECT doc_id, text AS restored FROM documents")
 def restore_text(spark, sf_dir):
     """Substitutes and restores again; aliases can't occur in the texts."""
-    docs = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    found = marked_words(spark, sf_dir).withColumn("alias", F.format_string("<%d>", "n"))
-    rewritten = rewrite.substituted(docs, found).select("doc_id", F.col("anonymized").alias("text"))
+    found = marked_words(spark, sf_dir).withColumn("alias", F.format_string("⟦%d⟧", "n"))
+    rewritten = rewrite.substituted(texts(spark, sf_dir), found).select("doc_id", F.col("anonymized").alias("text"))
     table = found.select("doc_id", F.col("text").alias("original"), "alias", F.col("n").alias("ord"))
     return rewrite.restore(rewritten, table, "doc_id").select("doc_id", "restored")
 
@@ -328,10 +514,28 @@ def alias_table(spark, sf_dir):
     return rewrite.alias_tables(marked_words(spark, sf_dir)).select("doc_id", F.explode("aliases").alias("original", "alias"))
 
 
-@query(f"""WITH {MARKED_SQL} SELECT doc_id, '"' || text || '","' || arg_max(alias, n) || '","' || any_value(type) || '","' || any_value(confidence) || '"' AS line FROM marked GROUP BY doc_id, text""")
-def alias_csv_lines(spark, sf_dir):
+def exported(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = marked_words(spark, sf_dir).groupBy("doc_id", F.col("text").alias("original")).agg(F.max_by("alias", "n").alias("alias"), F.first("type").alias("type"), F.first("confidence").alias("confidence"))
-    return rows.select("doc_id", F.concat_ws(",", *[T.csv_field(F.col(c)) for c in ("original", "alias", "type", "confidence")]).alias("line"))
+    return rows.withColumn("alias", F.concat(F.lit('say "'), "alias", F.lit('", twice')))
+
+
+LINE_SQL = """'"' || text || '","say ""' || arg_max(alias, n) || '"", twice","' || any_value(type) || '","' || any_value(confidence) || '"'"""
+
+
+@query(f"WITH {MARKED_SQL} SELECT doc_id, {LINE_SQL} AS line FROM marked GROUP BY doc_id, text")
+def alias_csv_lines(spark, sf_dir):
+    return files.alias_lines(exported(spark, sf_dir), "doc_id")
+
+
+@query(f"""WITH {MARKED_SQL} SELECT doc_id, text AS original, 'say "' || arg_max(alias, n) || '", twice' AS alias FROM marked GROUP BY doc_id, text""")
+def alias_csv_parsed(spark, sf_dir):
+    rows = files.alias_lines(exported(spark, sf_dir), "doc_id").select("doc_id", files.parsed_alias(F.col("line")).alias("x"))
+    return rows.select("doc_id", "x.original", "x.alias")
+
+
+@query(f"""WITH {MARKED_SQL}, n AS (SELECT doc_id, count(*) AS n FROM marked GROUP BY doc_id) SELECT d.doc_id, coalesce(n, 0) || ' entities, lang=' || coalesce(lang, 'none') AS line FROM documents d LEFT JOIN n USING (doc_id)""")
+def summary_lines(spark, sf_dir):
+    return files.summary(marked_words(spark, sf_dir), texts(spark, sf_dir, F.coalesce("lang", F.lit("none")).alias("language")))
 
 
 @query(f"""WITH {MARKED_SQL} SELECT doc_id, lower(text) AS key, arg_min(text, n) AS text, count(*) AS count FROM marked GROUP BY doc_id, lower(text)""")
@@ -339,39 +543,54 @@ def review_group_entities(spark, sf_dir):
     return rewrite.review_groups(marked_words(spark, sf_dir)).select("doc_id", "key", "text", "count")
 
 
+@query(f"""WITH {MARKED_SQL} SELECT doc_id, text, CASE WHEN length(text) = 5 THEN 'five' ELSE alias END AS accepted, n FROM marked""")
+def review_chosen_alias(spark, sf_dir):
+    found = marked_words(spark, sf_dir)
+    choices = found.where(F.length("text") == 5).select(F.lower("text").alias("key")).distinct().withColumn("alias", F.lit("five"))
+    return rewrite.chosen(found, choices).select("doc_id", "text", "accepted", F.col("n").cast("long").alias("n") + 1).toDF("doc_id", "text", "accepted", "n")
+
+
 @query(f"""WITH {MARKED_SQL} SELECT count(*) AS total, count(*) FILTER (confidence <> 'low') AS accepted, count(*) FILTER (confidence = 'low') AS skipped FROM marked""")
 def review_skip_unconfirmed(spark, sf_dir):
     found = rewrite.accept_all(marked_words(spark, sf_dir).withColumn("accepted", F.lit(None).cast("string")))
     return rewrite.review_counts(rewrite.skip_unconfirmed(found))
 
 
-@query(f"""WITH {MARKED_SQL} SELECT doc_id, array_to_string(list_transform(range(1, len(g) + 1), lambda k: g[k] || CASE WHEN k <= len(m) THEN '[REDACTED]' ELSE '' END), '') AS anonymized FROM raw""")
+@query(f"""WITH {MARKED_SQL} SELECT doc_id, {woven("g[k]", "'[REDACTED]'")} AS anonymized FROM raw""")
 def review_redact_all(spark, sf_dir):
-    docs = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    return rewrite.review_output(docs, rewrite.redacted(marked_words(spark, sf_dir))).select("doc_id", "anonymized")
+    return rewrite.review_output(texts(spark, sf_dir), rewrite.redacted(marked_words(spark, sf_dir))).select("doc_id", "anonymized")
+
 
+def escaped_sql(x: str) -> str:
+    return f"replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 
-@query("""SELECT item_id AS doc_id, regexp_replace(text, '(the|of)', 'X', 'gi') AS replaced FROM benchmark""")
+
+@query(f"""WITH {MARKED_SQL} SELECT doc_id, {woven(escaped_sql("g[k]"), "'<span class=\"' || CASE WHEN length(m[k]) % 2 = 0 THEN 'person' ELSE 'unknown' END || '\">' || m[k] || '</span>'")} AS rendered FROM raw""")
+def review_rendered(spark, sf_dir):
+    return rewrite.review_rendered(texts(spark, sf_dir), marked_words(spark, sf_dir)).select("doc_id", "rendered")
+
+
+@query("""SELECT doc_id, regexp_replace(text, '(the|of)', 'X', 'gi') AS replaced FROM documents""")
 def replace_terms(spark, sf_dir):
     pairs = F.array(*[F.struct(F.lit(t).alias("text"), F.lit("X").alias("alias")) for t in ("of", "the")])
-    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), rewrite.replaced_terms(F.col("text"), pairs).alias("replaced"))
+    return texts(spark, sf_dir).select("doc_id", rewrite.replaced_terms(F.col("text"), pairs).alias("replaced"))
 
 
-@query("""SELECT item_id AS doc_id, regexp_replace(text, '(the|of)', '<mark>\\1</mark>', 'gi') AS marked, text AS plain FROM benchmark""")
+@query("""SELECT doc_id, regexp_replace(text, '(the|of)', '<mark>\\1</mark>', 'gi') AS marked, text AS plain FROM documents""")
 def highlight_terms(spark, sf_dir):
     marked = rewrite.highlighted(F.col("text"), F.array(F.lit("of"), F.lit("the")))
-    rows = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), marked.alias("marked"))
+    rows = texts(spark, sf_dir).select("doc_id", marked.alias("marked"))
     return rows.withColumn("plain", rewrite.unhighlighted(F.col("marked")))
 
 
-@query("""SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped FROM pages""")
+@query(f"SELECT page_id, {escaped_sql('html')} AS escaped FROM pages")
 def html_escape(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", T.html_escaped(F.col("html")).alias("escaped"))
 
 
 @query()
 def visible_text(spark, sf_dir):
-    return files.page_texts(read(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "text")
+    return files.page_texts(spread(read(spark, sf_dir, "pages").select("page_id", "html"))).select("page_id", "text")
 
 
 # The entity graph -----------------------------------------------------------------------------------------------------
@@ -379,9 +598,10 @@ def visible_text(spark, sf_dir):
 CANONICAL_SQL = "regexp_replace(replace(upper(trim(name)), 'ẞ', 'SS'), '\\s+', ' ', 'g')"
 
 
-@query(f"""SELECT k, {CANONICAL_SQL} AS canonical FROM (SELECT n_nationkey::BIGINT AS k, '  ' || lower(n_name) || '   x ' AS name FROM nation)""")
+@query(f"""SELECT k, {CANONICAL_SQL} AS canonical FROM (SELECT c_custkey AS k, '  ' || lower(c_name) || '   x ' || chr(9) || c_mktsegment || ' ß ' AS name FROM customer)""")
 def canonicalize(spark, sf_dir):
-    return read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"), T.canonical(F.concat(F.lit("  "), F.lower("n_name"), F.lit("   x "))).alias("canonical"))
+    name = F.concat(F.lit("  "), F.lower("c_name"), F.lit("   x \t"), "c_mktsegment", F.lit(" ß "))
+    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), T.canonical(name).alias("canonical"))
 
 
 @query("""SELECT fingerprint, min(doc_id) AS document_id, count(*) AS copies FROM (SELECT doc_id, sha256(substr(text, 1, 200)) AS fingerprint FROM documents) GROUP BY fingerprint""")
@@ -416,10 +636,36 @@ def recorded_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     return graph.recorded(spark.createDataFrame([], ENTITY), spark.createDataFrame([], OCCURRENCE), spark.createDataFrame([], DOCUMENT), new, found)
 
 
-@query(f"""WITH {FOUND_SQL} SELECT upper(text) AS canonical, type, strftime(min(seen), '%Y-%m-%d') AS first_seen, strftime(max(seen), '%Y-%m-%d') AS last_seen, count(DISTINCT document_id)::BIGINT AS document_count FROM found GROUP BY ALL""")
+ID_SQL = "'ent_' || substr(sha256(type || '|' || upper(text)), 1, 16)"
+
+
+@query(f"""WITH {FOUND_SQL} SELECT {ID_SQL} AS entity_id, upper(text) AS canonical, type, strftime(min(seen), '%Y-%m-%d') AS first_seen, strftime(max(seen), '%Y-%m-%d') AS last_seen, count(DISTINCT document_id)::BIGINT AS document_count FROM found GROUP BY ALL""")
 def graph_record(spark, sf_dir):
     rows = recorded_graph(spark, sf_dir)[0]
-    return rows.select("canonical", "type", F.date_format("first_seen", "yyyy-MM-dd").alias("first_seen"), F.date_format("last_seen", "yyyy-MM-dd").alias("last_seen"), F.col("document_count").cast("long").alias("document_count"))
+    return rows.select("entity_id", "canonical", "type", F.date_format("first_seen", "yyyy-MM-dd").alias("first_seen"), F.date_format("last_seen", "yyyy-MM-dd").alias("last_seen"), F.col("document_count").cast("long").alias("document_count"))
+
+
+@query(f"""WITH {FOUND_SQL} SELECT {ID_SQL} AS entity_id, upper(text) AS canonical, count(DISTINCT document_id)::BIGINT AS document_count, count(DISTINCT document_id)::BIGINT AS confirmed FROM found WHERE type = 'company' AND (upper(text) = 'SUPPLIER 3' OR upper(text) LIKE '%7') GROUP BY ALL""")
+def graph_lookups(spark, sf_dir):
+    """Companies by type, one of them by its name too, with their occurrences, all of them confirmed."""
+    known, occurrences, _ = (tables.written(t, "graph") for t in recorded_graph(spark, sf_dir))
+    companies = graph.by_type(known, "company")
+    some = companies.where(F.col("canonical").endswith("7")).unionByName(graph.by_type(graph.by_canonical(known, "Supplier 3"), "company"))
+    pairs = occurrences.join(some.select("entity_id"), "entity_id", "left_semi").select("entity_id", "document_id")
+    marked = graph.confirmed(occurrences, pairs).where("confirmed").groupBy("entity_id").agg(F.count("*").alias("confirmed"))
+    return some.join(marked, "entity_id").select("entity_id", "canonical", F.col("document_count").cast("long").alias("document_count"), "confirmed")
+
+
+@query(f"""WITH {FOUND_SQL}, one AS (SELECT document_id, text FROM found WHERE type = 'person' AND upper(text) = 'CUSTOMER 7') SELECT document_id, 'Customer 7' AS original, 'customer 7' AS alias, (SELECT count(*) FROM found f WHERE f.document_id = one.document_id) AS together FROM one""")
+def graph_occurrences(spark, sf_dir):
+    """The documents of an entity, and how many entities each of them has."""
+    known, occurrences, _ = (tables.written(t, "graph") for t in recorded_graph(spark, sf_dir))
+    one = graph.by_type(graph.by_canonical(known, "customer 7"), "person").first()
+    if one is None:
+        return spark.createDataFrame([], "document_id string, original string, alias string, together long")
+    own = graph.occurrences_of(occurrences, one["entity_id"])
+    beside = graph.document_occurrences(occurrences, own.select("document_id")).groupBy("document_id").agg(F.count("*").alias("together"))
+    return own.join(beside, "document_id").select("document_id", "original", "alias", "together")
 
 
 @query(f"""WITH {FOUND_SQL} SELECT (SELECT count(DISTINCT (upper(text), type)) FROM found) AS entities, (SELECT count(*) FROM new) AS documents""")
@@ -439,39 +685,55 @@ def graph_list_documents(spark, sf_dir):
     return graph.list_documents(rows, 20, 20).select(F.col("event_id").alias("doc_id"), F.date_format("processed_at", "yyyy-MM-dd HH:mm:ss").alias("processed_at"))
 
 
-@query(f"""WITH {FOUND_SQL}, asked AS (SELECT DISTINCT o_custkey AS batch, 'Customer ' || o_custkey AS text FROM orders WHERE o_custkey % 50 = 1 UNION SELECT DISTINCT o_custkey, 'Supplier ' || (o_custkey % 7 + 1) FROM orders WHERE o_custkey % 50 = 1),
+@query(f"""WITH {FOUND_SQL}, asked AS (SELECT DISTINCT o_custkey AS batch, 'Customer ' || o_custkey AS text, 'person' AS type FROM orders UNION SELECT DISTINCT o_custkey, 'Supplier ' || l_suppkey, CASE WHEN l_suppkey % 2 = 0 THEN 'company' ELSE 'city' END FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
     last AS (SELECT upper(text) AS canonical, type, max(document_id) AS document_id FROM found GROUP BY ALL),
-    hit AS (SELECT a.batch, a.text, l.document_id FROM asked a JOIN last l ON l.canonical = upper(a.text)),
-    co AS (SELECT h.batch, h.text, h.document_id, count(b.text) AS overlap FROM hit h LEFT JOIN found f ON f.document_id = h.document_id AND upper(f.text) <> upper(h.text) LEFT JOIN asked b ON b.batch = h.batch AND upper(b.text) = upper(f.text) GROUP BY ALL)
-    SELECT batch, text, document_id AS previous_document, lower(text) AS previous_alias, CASE WHEN overlap > 0 THEN 'exact' ELSE 'likely' END AS confidence FROM co""")
+    hit AS (SELECT a.batch, a.text, a.type = l.type AS same, l.document_id FROM asked a JOIN last l ON l.canonical = upper(a.text)),
+    beside AS (SELECT h.batch, h.text, h.same, h.document_id, f.text AS other, {ID_SQL.replace('type', 'f.type').replace('upper(text)', 'upper(f.text)')} AS id, b.text IS NOT NULL AS here FROM hit h JOIN found f ON f.document_id = h.document_id AND upper(f.text) <> upper(h.text) LEFT JOIN asked b ON b.batch = h.batch AND upper(b.text) = upper(f.text)),
+    co AS (SELECT batch, text, count(*) FILTER (here) AS overlap, array_to_string(list(other ORDER BY id)[1:5], ',') AS co_entities FROM beside GROUP BY ALL)
+    SELECT h.batch, h.text, h.document_id AS previous_document, lower(h.text) AS previous_alias, CASE WHEN NOT same THEN 'possible' WHEN overlap > 0 THEN 'exact' ELSE 'likely' END AS confidence, coalesce(co_entities, '') AS co_entities FROM hit h LEFT JOIN co USING (batch, text)""")
 def graph_find_matches(spark, sf_dir):
-    known, occurrences, documents = recorded_graph(spark, sf_dir)
-    asked = read(spark, sf_dir, "orders").where("o_custkey % 50 = 1").select(F.col("o_custkey").alias("batch")).distinct()
-    customers = asked.select("batch", F.concat(F.lit("Customer "), F.col("batch").cast("string")).alias("text"), F.lit("person").alias("type"))
-    suppliers = asked.select("batch", F.concat(F.lit("Supplier "), (F.col("batch") % 7 + 1).cast("string")).alias("text"), F.lit("company").alias("type"))
-    return graph.matches(customers.unionByName(suppliers), known, occurrences, documents).select("batch", "text", "previous_document", "previous_alias", "confidence")
+    """Every customer with all their suppliers, half of these under another type than the graph has."""
+    known, occurrences, documents = (tables.written(t, "graph") for t in recorded_graph(spark, sf_dir))
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("batch"))
+    customers = orders.select("batch", F.concat(F.lit("Customer "), F.col("batch").cast("string")).alias("text"), F.lit("person").alias("type")).distinct()
+    suppliers = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey").join(orders, "o_orderkey").select("batch", "l_suppkey").distinct()
+    suppliers = suppliers.select("batch", F.concat(F.lit("Supplier "), F.col("l_suppkey").cast("string")).alias("text"), F.when(F.col("l_suppkey") % 2 == 0, "company").otherwise("city").alias("type"))
+    found = graph.matches(customers.unionByName(suppliers), known, occurrences, documents)
+    return found.select("batch", "text", "previous_document", "previous_alias", "confidence", F.array_join("co_entities", ",").alias("co_entities"))
 
 
 # Cache ----------------------------------------------------------------------------------------------------------------
 
 
 def event_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A cache of what each user did last, from the first events of each hour."""
-    rows = read(spark, sf_dir, "events").where("event_id % 3 = 0").select(F.col("user_id").cast("string").alias("term"), F.col("event_id").alias("results"), F.col("ts").alias("at"))
+    """A cache of what each user did last."""
+    rows = read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("term"), F.col("event_id").alias("results"), F.col("ts").alias("at"))
     empty = spark.createDataFrame([], "term string, results bigint, expires_at timestamp")
     return lookups.cache_put(empty, rows, 24)
 
 
-CACHE_SQL = "cache AS (SELECT user_id::VARCHAR AS term, arg_max(event_id, ts) AS results, max(ts) + INTERVAL 24 HOURS AS expires_at FROM events WHERE event_id % 3 = 0 GROUP BY 1)"
+CACHE_SQL = "cache AS (SELECT user_id::VARCHAR AS term, arg_max(event_id, ts) AS results, max(ts) + INTERVAL 24 HOURS AS expires_at FROM events GROUP BY 1)"
 
 
-@query(f"""WITH {CACHE_SQL} SELECT e.event_id, c.term IS NOT NULL AS hit FROM events e LEFT JOIN cache c ON c.term = e.user_id::VARCHAR AND e.ts <= c.expires_at WHERE e.event_id % 3 = 1""")
+@query(f"""WITH {CACHE_SQL} SELECT e.event_id, c.results FROM events e LEFT JOIN cache c ON c.term = e.user_id::VARCHAR AND e.ts + to_hours(floor(e.value)::BIGINT) <= c.expires_at""")
 def cache_ttl_probe(spark, sf_dir):
-    probes = read(spark, sf_dir, "events").where("event_id % 3 = 1").select("event_id", F.col("user_id").cast("string").alias("term"), F.col("ts").alias("at"))
-    return lookups.cache_get(event_cache(spark, sf_dir), probes).select("event_id", F.col("results").isNotNull().alias("hit"))
+    """Each event asks again, as many hours later as its value says."""
+    later = F.col("ts") + F.make_dt_interval(hours=F.floor("value").cast("int"))
+    probes = read(spark, sf_dir, "events").select("event_id", F.col("user_id").cast("string").alias("term"), later.alias("at"))
+    return lookups.cache_get(event_cache(spark, sf_dir), probes).select("event_id", "results")
 
 
 @query(f"""WITH {CACHE_SQL} SELECT term, results FROM cache WHERE expires_at > (SELECT max(ts) FROM events)""")
 def cache_sweep(spark, sf_dir):
     now = read(spark, sf_dir, "events").agg(F.max("ts")).first()[0]
     return lookups.cache_sweep(event_cache(spark, sf_dir), F.lit(now)).select("term", "results")
+
+
+@query(f"""WITH RECURSIVE {DOCS_SQL['letters']}, {GROUPS_SQL}, cached AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Z][a-z]+')) AS term FROM benchmark UNION SELECT 'Lyon' UNION SELECT 'Mme Dupont'),
+    open AS (SELECT DISTINCT unnest(parts) AS term FROM found WHERE pattern IS NULL AND text NOT IN (SELECT term FROM cached)) SELECT term FROM open WHERE term NOT IN (SELECT term FROM cached)""")
+def cache_misses(spark, sf_dir):
+    """The words of letters that a cache of some terms leaves to look up."""
+    words = read(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), F.lit(0))).alias("term"))
+    terms = words.unionByName(spark.createDataFrame([("Lyon",), ("Mme Dupont",)], "term string")).distinct()
+    cache = terms.withColumn("expires_at", F.lit("2024-01-02").cast("timestamp"))
+    return lookups.cache_misses(detect.groups(detect.analysed(letters(spark, sf_dir))), cache, F.lit("2024-01-02").cast("timestamp"))

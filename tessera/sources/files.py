@@ -25,9 +25,9 @@ def write_texts(texts: DataFrame, path: str, column: str = "anonymized") -> None
     texts.select(F.col(column).alias("value")).where("value is not null").write.text(path)
 
 
-def alias_lines(aliases: DataFrame) -> DataFrame:
-    """line: every row of an alias table (original, alias, type, confidence) as a line of CSV."""
-    return aliases.select(F.concat_ws(",", *[T.csv_field(F.coalesce(F.col(c), F.lit(""))) for c in ("original", "alias", "type", "confidence")]).alias("line"))
+def alias_lines(aliases: DataFrame, *keep: str) -> DataFrame:
+    """The columns `keep` and line: every row of an alias table (original, alias, type, confidence) as a line of CSV."""
+    return aliases.select(*keep, F.concat_ws(",", *[T.csv_field(F.coalesce(F.col(c), F.lit(""))) for c in ("original", "alias", "type", "confidence")]).alias("line"))
 
 
 def write_aliases(aliases: DataFrame, path: str) -> None:
@@ -36,9 +36,14 @@ def write_aliases(aliases: DataFrame, path: str) -> None:
 
 
 def read_aliases(spark: SparkSession, path: str) -> DataFrame:
-    """original, alias: of rows with one original in one file any may count; values may hold line breaks."""
+    """original, alias: the last row of each original counts, files in order of their names. Values may hold line breaks.
+
+    A file is read by one task, which is what quoted line breaks ask for; rows in a file keep their order.
+    """
     rows = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
-    return rows.where("Original is not null and Alias is not null").select(F.col("Original").alias("original"), F.col("Alias").alias("alias"))
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.select(F.col("Original").alias("original"), F.col("Alias").alias("alias"), at.alias("at")).where("original is not null and alias is not null")
+    return rows.groupBy("original").agg(F.max_by("alias", "at").alias("alias"))
 
 
 def parsed_alias(line: Column) -> Column:
@@ -58,12 +63,11 @@ def visible(html: str | None) -> str:
         def __init__(self):
             super().__init__(convert_charrefs=True)
             self.parts: list[str] = []
-            self.body: list[str] | None = None
             self.closed: list[str] = []
 
         def handle_starttag(self, tag, attrs):
-            if tag == "body":
-                self.parts = []
+            if tag == "body":  # ends a head that was left open
+                self.parts, self.closed = [], []
             if tag in void:
                 return
             if self.closed or tag in HIDDEN or dict(attrs).get("aria-hidden") == "true" or tag in ("head", "title"):
