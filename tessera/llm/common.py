@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -10,16 +9,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def workspace(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir. In local mode one is made where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
+from tessera.sources import tables
+from tessera.sources.tables import workspace
 
 
 #: Rows of text that go to Python at a time: long texts are to fit in a worker's memory.
@@ -44,22 +35,27 @@ def written(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFram
 
     batch_rows bounds the rows that go to Python at a time on the way.
     """
+    with batches_of(df.sparkSession, batch_rows):
+        return tables.written(df, name)
+
+
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """df as a table in the shared folder, dealt out and sorted by `key`, so that joins on it don't move its rows again."""
     spark = df.sparkSession
-    path = f"{workspace(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-    with batches_of(spark, batch_rows):
-        df.write.option("compression", "zstd").parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
-    table.written_to = path
-    return table
-
-
-def removed(*tables: DataFrame | None) -> None:
-    """Removes tables that written() made, once nothing reads them any more."""
-    for table in tables:
-        if path := getattr(table, "__dict__", {}).get("written_to"):
-            spark = table.sparkSession
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    parts, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"tessera_{name}_{uuid.uuid4().hex}"
+    path = f"{workspace(spark)}/tessera/{table}"
+    df.repartition(parts, key).write.bucketBy(parts, key).sortBy(key).option("path", path).option("compression", "zstd").saveAsTable(table)
+    out = spark.table(table)
+    out.written_to, out.written_as = path, table
+    return out
+
+
+def removed(*these: DataFrame | None) -> None:
+    """Removes tables that written() and bucketed() made, once nothing reads them any more."""
+    for df in these:
+        if name := getattr(df, "__dict__", {}).get("written_as"):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+    tables.removed(*these)
 
 
 def fresh(df: DataFrame, name: str) -> str:
