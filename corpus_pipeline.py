@@ -16,7 +16,7 @@ def rewritten(docs: DataFrame, columns: list[str]) -> DataFrame:
     """docs in these columns, n_chars counted anew where there is one."""
     if "n_chars" in columns:
         docs = docs.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.lit(0).cast("long")))
-    return docs.select(*columns)
+    return docs.select(*["`" + c.replace("`", "``") + "`" for c in columns])
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
