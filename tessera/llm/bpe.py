@@ -7,8 +7,9 @@ and every document is put together by position. A frequent word thus travels onc
 use; the words of a block that go to one place travel together, compressed.
 decode() joins ids with the table of the tokens' bytes, whose size is that of the vocabulary.
 
-The blocks are made twice, once for their words and once for their texts, from the same scan; each block checks that it
-gets back as many words as it has.
+The blocks are made twice, once for their words and once for their texts, from the same scan, which must give its rows in
+the same order again, as files do; a block compares digests of its words with those of the words that it gets back, so
+that a scan in another order fails the query and can't give wrong ids.
 """
 
 from __future__ import annotations
@@ -175,6 +176,13 @@ def dealt(words, places: int) -> list[tuple[int, list[str]]]:
     return [(place, sorted(parts[place])) for place in sorted(parts)]
 
 
+def told(words: list[str]) -> int:
+    """A digest of words in order, as a signed 64-bit number."""
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh64_intdigest("\0".join(words).encode("utf-8", "surrogatepass"))).view(np.int64))
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, ids (array of int) for each row of docs.
 
@@ -195,14 +203,15 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         for k, block in numbered(blocks(batches, pattern, Words)):
             parts = dealt(block.words, places)
             sizes = [squeezed(np.fromiter(map(len, words), dtype="<u4", count=len(words))) for _, words in parts]
-            yield pd.DataFrame({"place": [p for p, _ in parts], "block": k, "sizes": sizes, "words": [pack("".join(words).encode()) for _, words in parts]})
+            yield pd.DataFrame({"place": [p for p, _ in parts], "block": k, "told": [told(words) for _, words in parts], "sizes": sizes, "words": [pack("".join(words).encode()) for _, words in parts]})
 
     def texts_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for k, block in numbered(blocks(batches, pattern)):
-            order = np.fromiter((block.words[w] for _, words in dealt(block.words, places) for w in words), dtype="<u4", count=len(block.words))
+            parts = dealt(block.words, places)
+            order = np.fromiter((block.words[w] for _, words in parts for w in words), dtype="<u4", count=len(block.words))
             sizes = np.array([len(c) // 4 for c in block.codes], dtype="int32")
             ids = np.array([None if pd.isna(x) else x for x in block.docs], dtype=object)
-            yield pd.DataFrame({"block": [k], "doc_ids": [ids], "sizes": [sizes], "order": [squeezed(order)], "codes": [squeezed(np.frombuffer(b"".join(block.codes), dtype="<u4"))]})
+            yield pd.DataFrame({"block": [k], "told": [np.array([told(words) for _, words in parts], dtype=np.int64)], "doc_ids": [ids], "sizes": [sizes], "order": [squeezed(order)], "codes": [squeezed(np.frombuffer(b"".join(block.codes), dtype="<u4"))]})
 
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import tiktoken
@@ -226,15 +235,15 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                     at += size
                 flat = np.fromiter((x for ids in found for x in ids), dtype="<u4")
                 out.append((squeezed(np.fromiter(map(len, found), dtype="<u4", count=len(found))), squeezed(flat)))
-            yield pd.DataFrame({"block": batch["block"], "place": batch["place"], "sizes": [a for a, _ in out], "ids": [b for _, b in out]})
+            yield pd.DataFrame({"block": batch["block"], "place": batch["place"], "told": batch["told"], "sizes": [a for a, _ in out], "ids": [b for _, b in out]})
 
     def assembled(key, words: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
         words = words.sort_values("place")
         (text,) = texts.itertuples()
         order, codes = restored(text.order), restored(text.codes)
         got = np.concatenate([restored(x) for x in words["sizes"]] or [np.zeros(0, dtype="<u4")]).astype(np.int64)
-        if len(got) != len(order):
-            raise RuntimeError(f"block {key[0]} has {len(order)} words and got {len(got)}")
+        if len(got) != len(order) or words["told"].tolist() != list(text.told):
+            raise RuntimeError(f"block {key[0]} got other words than it has: its rows came in another order")
         flat = np.concatenate([restored(x) for x in words["ids"]] or [np.zeros(0, dtype="<u4")]).astype(np.int32)
         sizes, starts = np.empty_like(got), np.empty_like(got)
         sizes[order], starts[order] = got, np.cumsum(got) - got
@@ -246,9 +255,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             at = end
         return pd.DataFrame({"doc_id": pd.array([None if pd.isna(x) else int(x) for x in text.doc_ids], dtype="Int64"), "ids": rows})
 
-    words = docs.mapInPandas(words_of, "place int, block long, sizes binary, words binary")
-    words = words.repartition("place").sortWithinPartitions("place").mapInPandas(encoded, "block long, place int, sizes binary, ids binary")
-    texts = docs.mapInPandas(texts_of, "block long, doc_ids array<long>, sizes array<int>, order binary, codes binary")
+    words = docs.mapInPandas(words_of, "place int, block long, told long, sizes binary, words binary")
+    words = words.repartition("place").sortWithinPartitions("place").mapInPandas(encoded, "block long, place int, told long, sizes binary, ids binary")
+    texts = docs.mapInPandas(texts_of, "block long, told array<long>, doc_ids array<long>, sizes array<int>, order binary, codes binary")
     return words.groupBy("block").cogroup(texts.groupBy("block")).applyInPandas(assembled, "doc_id long, ids array<int>")
 
 

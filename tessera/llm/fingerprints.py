@@ -22,9 +22,11 @@ TABLES = 3
 CELLS, GROWTH, ROOM = 36, 4, 1.6
 #: Times that every subtable is peeled before a comparison counts as failed.
 PEELS = 4
-#: Documents that are put in order together.
-ORDERED = 2000
-MOST_PARTS = 10_000
+#: Documents that are put in order together, and into how many parts quantiles can cut them; beyond, parts grow.
+ORDERED, MOST_PARTS = 2000, 10_000
+#: A doc_id (or none) that more rows have than this and one in so many is cut into parts by the hash of the text.
+SAME, SAME_SHARE = 8000, 1000
+SUB = 1 << 20
 
 
 def digests(text: Column) -> Column:
@@ -44,25 +46,35 @@ def cell(table: int, digest: str) -> str:
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, digests, next_text, next_digests: the next row by descending doc_id (null last), after the last the first.
 
-    Rows with one doc_id follow one another by the hash of their text. Rows are dealt out by quantiles of doc_id, so that
-    texts move once and no task holds them all; the last row of each part gets the first one of the next part.
+    Rows with one doc_id follow one another by the hash of their text. Rows are dealt out by quantiles of doc_id, those of
+    a frequent doc_id and those without one by that hash too, so that texts move once and no task holds them all; the last
+    row of each part gets the first one of the next part.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.whole_text().alias("text"))
-    parts = max(1, min(MOST_PARTS, rows.count() // ORDERED))
+    total = rows.count()
+    parts = max(1, min(MOST_PARTS, total // ORDERED))
     cuts = rows.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 10_000)).first()[0] if parts > 1 else None
-    cuts = sorted(set(cuts or []))
-    # One part for each interval of the cuts, numbered by descending doc_id; null ids come last.
-    part = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(len(cuts) - above(cuts, F.col("doc_id"))).cast("int").alias("part")
-    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("mark"), part)
+    # At most SAME_SHARE rows.
+    same = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > max(SAME, total // SAME_SHARE)).collect()
+    cuts = sorted({*(cuts or []), *(r["doc_id"] for r in same if r["doc_id"] is not None)})
+    # One part for each interval of the cuts, numbered by descending doc_id; null ids come last. A frequent id begins its
+    # interval, and so comes last in it.
+    part = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(len(cuts) - above(cuts, F.col("doc_id"))).cast("long") * SUB
+    share = F.col("mark").cast("double") / F.lit(2.0**64) + 0.5
+    for r in same:
+        many = min(SUB - 2, -(-r["n"] // ORDERED))
+        sub = F.least(F.floor(share * many), F.lit(many - 1)) + 1
+        part = part + F.when(F.col("doc_id").eqNullSafe(F.lit(r["doc_id"]).cast("long")), sub).otherwise(0)
+    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("mark")).withColumn("part", part)
     inside = Window.partitionBy("part").orderBy(F.desc_nulls_last("doc_id"), F.asc("mark"))
     following = rows.withColumn("digests", digests(F.col("text"))).withColumn("next", F.lead(F.struct("text", "digests")).over(inside))
-    # A row for each part, MOST_PARTS + 1 at most: its first document, and that of the part after it.
+    # A row for each part: its first document, and that of the part after it.
     least = F.min(F.struct(F.col("doc_id").isNull().alias("null"), F.bitwise_not("doc_id").alias("down"), F.col("mark"))).alias("head")
     heads = common.written(rows.groupBy("part").agg(least), "heads")
     after = heads.withColumn("whole", F.first("head").over(Window.orderBy("part")))
     after = after.select("part", F.coalesce(F.lead("head").over(Window.orderBy("part")), F.col("whole")).alias("head"))
     key = F.struct(F.col("doc_id").isNull().alias("null"), F.bitwise_not("doc_id").alias("down"), F.col("mark")).alias("head")
-    wanted = rows.select(key, "text").join(F.broadcast(after), "head").groupBy("part").agg(F.first("text").alias("text"))
+    wanted = rows.select(key, "text").join(after, "head").groupBy("part").agg(F.first("text").alias("text"))
     wanted = wanted.select("part", F.struct("text", digests(F.col("text")).alias("digests")).alias("first"))
     both = following.join(wanted, "part", "left").withColumn("next", F.coalesce("next", "first"))
     return both.select("doc_id", "text", "digests", F.col("next.text").alias("next_text"), F.col("next.digests").alias("next_digests"))

@@ -16,19 +16,21 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Labelled rows that the model is fitted to, for each language at most, and for all languages at most.
-SAMPLE_PER_LANGUAGE = 400
-SAMPLE_LANGUAGES = 64
+#: Labelled rows that the model is fitted to: for each language at most, and at most so many in all, of which every
+#: language gets an equal share, but always LEAST_PER_LANGUAGE.
+SAMPLE_PER_LANGUAGE, SAMPLE = 400, 25_600
+LEAST_PER_LANGUAGE = 10
 BUCKETS = 1 << 15
 DIMENSIONS = 16
-EPOCHS = 12
+#: Rounds over the sample, at least, and the steps that they make together, at least.
+EPOCHS, STEPS = 12, 20_000
 RATE = 0.5
 #: Every so manieth sampled row calibrates and doesn't train.
 CALIBRATE_EVERY = 5
 #: Share of wrong predictions that the calibration rows may have above the threshold.
 ACCEPTED_ERROR = 0.01
 UNKNOWN = "und"
-#: Letters looked at in one go.
+#: Characters looked at in one go, and as many more as end a word.
 SLICE = 1 << 20
 
 _letters: list[np.ndarray] = []
@@ -41,10 +43,21 @@ def letters(codes: np.ndarray) -> np.ndarray:
     return _letters[0][codes]
 
 
+def slices(text: str) -> Iterator[str]:
+    """The text in parts of SLICE characters and as many more as end a word, so that no word is cut."""
+    at = 0
+    while at < len(text):
+        end = at + SLICE
+        while end < len(text) and text[end].isalpha():
+            end += 1
+        yield text[at:end]
+        at = end
+
+
 def ngrams(text: str) -> Iterator[np.ndarray]:
-    """Buckets of the text's n-grams of two to four letters, word ends included, in slices. Nothing without a letter."""
-    for at in range(0, len(text), SLICE):
-        codes = np.frombuffer(text[at : at + SLICE].lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    """Buckets of the text's n-grams of two to four letters, word ends included. Nothing without a letter."""
+    for part in slices(text):
+        codes = np.frombuffer(part.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
         codes = np.concatenate(([0], np.where(letters(codes), codes, 0), [0])).astype(np.uint32)
         codes = codes[np.concatenate(([True], (codes[1:] != 0) | (codes[:-1] != 0)))]
         if len(codes) < 3:
@@ -99,8 +112,9 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Model:
     apart = [r for k, r in enumerate(rows) if not k % CALIBRATE_EVERY] or train
     embedding = rng.uniform(-1, 1, (BUCKETS, DIMENSIONS)).astype(np.float32) / DIMENSIONS
     weights = np.zeros((DIMENSIONS, len(languages)), dtype=np.float32)
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    epochs = max(EPOCHS, STEPS // len(train))
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         for k in rng.permutation(len(train)):
             language, at, n = train[k]
             if rng.random() < 0.5:  # short texts are to be recognised too
@@ -134,17 +148,18 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def learn(docs: DataFrame) -> Model:
     """Fits a model to text and lang of a bounded sample: rows that aren't held out and have both, spread by a hash of doc_id.
 
-    At most SAMPLE_PER_LANGUAGE rows for each of the SAMPLE_LANGUAGES most frequent languages reach the driver, each as
-    n-gram counts in BUCKETS buckets, so that long texts don't weigh more than that.
+    Every language is learned. Rows reach the driver as n-gram counts in BUCKETS buckets, so that long texts don't weigh
+    more than that.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    frequent = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE_LANGUAGES)
+    sizes = common.written(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    each = max(LEAST_PER_LANGUAGE, min(SAMPLE_PER_LANGUAGE, SAMPLE // max(1, sizes.count())))
     # Only hashes low enough for four times the sample are ranked, so that a frequent language doesn't fill one task.
     spread = F.xxhash64(F.col("doc_id").cast("long"))
-    low = spread.cast("double") <= -(2.0**63) + 2.0**64 * F.least(F.lit(1.0), F.lit(4.0 * SAMPLE_PER_LANGUAGE) / F.col("n"))
-    rows = known.select("doc_id", "lang", "text").join(F.broadcast(frequent), "lang").where(low)
+    low = spread.cast("double") <= -(2.0**63) + 2.0**64 * F.least(F.lit(1.0), F.lit(4.0 * each) / F.col("n"))
+    rows = known.select("doc_id", "lang", "text").join(sizes, "lang").where(low)
     order = Window.partitionBy("lang").orderBy(spread, "doc_id", F.xxhash64("text"))
-    sample = rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= SAMPLE_PER_LANGUAGE).select("lang", "doc_id", "nth", "text")
+    sample = rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= each).select("lang", "doc_id", "nth", "text")
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -160,8 +175,8 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected for each row of docs.
 
     lang_pred is `und`, with score 0, where the text is null or has no letter, and everywhere if there was nothing to
-    learn from. Ties go to the language that sorts first. Rows are kept one by one, repeated ones too; other columns are
-    ignored; an empty table gives no row. rejected marks scores below the calibrated threshold.
+    learn from. Ties go to the language that sorts first. Long texts are read whole. Rows are kept one by one, repeated
+    ones too; other columns are ignored; an empty table gives no row. rejected marks scores below the calibrated threshold.
     """
     model = learn(docs) if model is None else model
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages floats

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -125,24 +125,31 @@ class Centroids:
 
 
 def searchable(vectors: DataFrame) -> DataFrame:
-    """vec_id and embedding (array of float) of the vectors that take part, one row for each vec_id.
+    """vec_id and embedding (array of float) of the rows that take part.
 
     Vectors that are null, zero, or hold null or non-finite components take no part, nor do those without vec_id or with
-    other than the most frequent number of components. Of rows with one vec_id the least vector stays.
+    other than the most frequent number of components, which have no inner product with the rest. Rows with one vec_id
+    each count.
     """
     x = F.col("embedding").cast("array<float>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("embedding")).where("vec_id is not null and embedding is not null")
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     rows = rows.where(finite & F.exists("embedding", lambda v: v != 0))
     sizes = rows.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
-    return rows.where(F.size("embedding") == (sizes["d"] if sizes else 0)).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    return rows.where(F.size("embedding") == (sizes["d"] if sizes else 0))
 
 
 def classes(rows: DataFrame, k: int) -> DataFrame:
-    """cid (the least vec_id), embedding, ids (the k + 1 least vec_ids, ordered) of equal vectors."""
+    """cid (names the vector), least (vec_id), embedding, ids (the k + 1 least vec_ids, ordered) of equal vectors."""
     least = Window.partitionBy("embedding").orderBy("vec_id")
     small = rows.withColumn("nth", F.row_number().over(least)).where(F.col("nth") <= k + 1)
-    return small.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.get("ids", F.lit(0)).alias("cid"), "embedding", "ids")
+    return small.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(class_of().alias("cid"), F.get("ids", F.lit(0)).alias("least"), "embedding", "ids")
+
+
+def class_of() -> Column:
+    """128 bits of hash: rows of equal vectors have it in common, so that a row knows its class without a join."""
+    plain = F.transform("embedding", lambda v: F.when(v == 0, F.lit(0.0).cast("float")).otherwise(v))
+    return F.concat(F.hex(F.xxhash64(plain)), F.lit("-"), F.hex(F.xxhash64(F.lit("second"), plain)))
 
 
 def stacked(column: pd.Series) -> np.ndarray:
@@ -161,7 +168,7 @@ def fitted(table: DataFrame) -> Centroids:
 
 
 def posted(table: DataFrame, centroids, query: bool, least: int, most: int, ratio: float) -> DataFrame:
-    """cid, embedding, list: a row for each list that a vector is put into, or that a query reads."""
+    """cid, least, embedding, list: a row for each list that a vector is put into, or that a query reads."""
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = centroids.value
@@ -171,9 +178,9 @@ def posted(table: DataFrame, centroids, query: bool, least: int, most: int, rati
                 lists, d = index.search(index.extended(stacked(batch["embedding"]), query), most)
                 chosen = (d <= d[:, :1] * ratio) | (np.arange(lists.shape[1]) < least)
                 row, column = np.nonzero(chosen)
-                yield pd.DataFrame({"cid": batch["cid"].to_numpy()[row], "embedding": batch["embedding"].to_numpy()[row], "list": lists[row, column]})
+                yield pd.DataFrame({"cid": batch["cid"].to_numpy()[row], "least": batch["least"].to_numpy()[row], "embedding": batch["embedding"].to_numpy()[row], "list": lists[row, column]})
 
-    return table.select("cid", "embedding").mapInPandas(place, "cid long, embedding array<float>, list int")
+    return table.select("cid", "least", "embedding").mapInPandas(place, "cid string, least long, embedding array<float>, list int")
 
 
 def scored(vectors: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -183,36 +190,37 @@ def scored(vectors: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame
     for d in range(v.shape[1]):
         total += q[:, d, None] * v[None, :, d]
     take = min(k + 1, len(v))
-    cids = vectors["cid"].to_numpy()
-    order = np.argsort(cids, kind="stable")
+    cids, least = vectors["cid"].to_numpy(), vectors["least"].to_numpy()
+    order = np.argsort(least, kind="stable")
     best = order[np.argsort(-total[:, order], axis=1, kind="stable")[:, :take]]
     row = np.repeat(np.arange(len(q)), take)
-    return pd.DataFrame({"qid": queries["cid"].to_numpy()[row], "cid": cids[best.ravel()], "score": total[row, best.ravel()]})
+    return pd.DataFrame({"qid": queries["cid"].to_numpy()[row], "cid": cids[best.ravel()], "least": least[best.ravel()], "score": total[row, best.ravel()]})
 
 
 def met(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """qid, cid, score of the best classes that queries meet in their lists, list by list in bounded blocks."""
+    """qid, cid, least, score of the best classes that queries meet in their lists, list by list in bounded blocks."""
     sizes = index.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_VECTORS).cast("int").alias("v"))
     wants = queries.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("q"))
     blocks = F.broadcast(sizes.join(wants, "list"))  # a row for each list: MOST_LISTS at most
     part = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = index.join(blocks, "list").select("list", part("v").alias("vb"), each("q").alias("qb"), "cid", "embedding")
+    left = index.join(blocks, "list").select("list", part("v").alias("vb"), each("q").alias("qb"), "cid", "least", "embedding")
     right = queries.join(blocks, "list").select("list", each("v").alias("vb"), part("q").alias("qb"), "cid", "embedding")
     key = ["list", "vb", "qb"]
 
     def block(vectors: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(vectors) or not len(asked):
-            return pd.DataFrame({"qid": [], "cid": [], "score": []})
+            return pd.DataFrame({"qid": [], "cid": [], "least": [], "score": []})
         return scored(vectors, asked, k)
 
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(block, "qid long, cid long, score double")
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(block, "qid string, cid string, least long, score double")
 
 
 def search(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row whose vec_id `every` divides, itself left out.
 
-    Ties go to the smaller vec_id. searchable() says which vectors take part; an empty table gives no row. A query that
+    Ties go to the smaller vec_id. searchable() says which vectors take part; an empty table gives no row; other columns
+    are ignored. Each of several rows with one vec_id is a query of its own, and a candidate for the others. A query that
     finds fewer than k in its lists reads all lists.
     """
     spark = vectors.sparkSession
@@ -223,8 +231,7 @@ def search(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFram
         return spark.createDataFrame([], result)
     centroids = spark.sparkContext.broadcast(fitted(table))  # MOST_LISTS x components at most
     index = common.written(posted(table, centroids, False, 1, REPLICAS, REPLICA_RATIO), "lists")
-    asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0).join(table.select("embedding", "cid"), "embedding").select("vec_id", "cid")
-    asked = common.written(asked, "asked")
+    asked = common.written(rows.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", class_of().alias("cid")), "asked")
     queries = table.join(asked.select("cid").distinct(), "cid", "left_semi")
     found = common.written(best(met(index, posted(queries, centroids, True, LEAST_PROBES, PROBES, PROBE_RATIO), k), table, k), "found")
     total = table.agg(F.sum(F.size("ids"))).first()[0]
@@ -234,18 +241,20 @@ def search(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFram
         every_list = posted(again, centroids, True, math.inf, len(centroids.value.means), 1.0)
         found = found.join(short.select("qid"), "qid", "left_anti").unionByName(best(met(index, every_list, k), table, k))
     joined = asked.join(found.withColumnRenamed("qid", "cid"), "cid")
-    others = F.slice(F.filter("nearest", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
-    out = joined.select(F.col("vec_id").alias("query_id"), "nearest").select("query_id", F.posexplode(others).alias("nth", "x"))
+    # The query itself is the first entry of its own vec_id and class.
+    own = F.array_position(F.transform("nearest", lambda x: (x["vec_id"] == F.col("query_id")) & (x["cid"] == F.col("cid"))), True)
+    others = F.slice(F.filter("nearest", lambda x, n: n + 1 != own), 1, k)
+    out = joined.select(F.col("vec_id").alias("query_id"), "cid", "nearest").select("query_id", F.posexplode(others).alias("nth", "x"))
     return out.select("query_id", (F.col("nth") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")
 
 
 def best(hits: DataFrame, table: DataFrame, k: int) -> DataFrame:
-    """qid, nearest: the k + 1 best (score, vec_id) of each query class, its own vectors among them."""
-    hits = hits.groupBy("qid", "cid").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), "cid")
+    """qid, nearest: the k + 1 best (nth, vec_id, score, cid) of each query class, its own vectors among them."""
+    hits = hits.groupBy("qid", "cid").agg(F.max("score").alias("score"), F.first("least").alias("least"))
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), "least", "cid")
     hits = hits.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k + 1)
-    rows = hits.join(table.select("cid", "ids"), "cid").select("qid", F.explode("ids").alias("vec_id"), "score")
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
+    rows = hits.join(table.select("cid", "ids"), "cid").select("qid", "cid", F.explode("ids").alias("vec_id"), "score")
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id", "cid")
     rows = rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k + 1)
-    nearest_ = F.sort_array(F.collect_list(F.struct("nth", "vec_id", "score")))
-    return rows.groupBy("qid").agg(nearest_.alias("nearest")).select("qid", F.transform("nearest", lambda x: F.struct(x["vec_id"].alias("vec_id"), x["score"].alias("score"))).alias("nearest"))
+    nearest_ = F.sort_array(F.collect_list(F.struct("nth", "vec_id", "score", "cid")))
+    return rows.groupBy("qid").agg(nearest_.alias("nearest"))

@@ -11,11 +11,13 @@ base spans stay as they are.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from . import common
 
@@ -39,9 +41,6 @@ _local = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _digits = frozenset("0123456789()+-./")
 _marked = re.compile(r"[0-9@]\S*+").finditer
 _word = re.compile(r"[^\W\d_]+")
-#: Characters on each side of an instance in which its context is looked for, and the longest instance.
-CONTEXT = 60
-LONGEST = 100
 
 
 def luhn(digits: str) -> bool:
@@ -104,7 +103,8 @@ def base(text: str) -> list[tuple[int, int, int]]:
 def instances(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, str, list[str]]]:
     """(start, end, kind or -1, surface, patterns) of base spans and of other tokens with three digits or an @.
 
-    Tokens of digits and signs that single spaces separate are one instance.
+    Tokens of digits and signs that single spaces separate are one instance. Patterns hold the two words before and the
+    one after, wherever they stand, and a sign just before.
     """
     places = [(a, b, kind) for a, kind, b in spans]
     covered, k, last, run = sorted((a, b) for a, b, _ in places), 0, 0, (-1, -1)
@@ -124,20 +124,23 @@ def instances(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[in
         while start < end and not text[end - 1].isalnum():
             end -= 1
         token = text[start:end]
-        if end - start > LONGEST or not (sum("0" <= c <= "9" for c in token) >= 3 or "@" in token):
+        if not (sum("0" <= c <= "9" for c in token) >= 3 or "@" in token):
             continue
         while k < len(covered) and covered[k][1] <= start:
             k += 1
         if k < len(covered) and covered[k][0] < end:
             continue
         places.append((start, end, -1))
+    words = [m.span() for m in _word.finditer(text)] if places else []
+    starts, ends = [a for a, _ in words], [b for _, b in words]
     for start, end, kind in sorted(places):
-        left = text[max(0, start - CONTEXT) : start]
-        right = text[end : end + CONTEXT]
-        before = [w.lower() for w in _word.findall(left)[-2:]]
-        after = [w.lower() for w in _word.findall(right)[:1]]
-        sign = left.rstrip()[-1:]
-        sign = sign if sign in {":", "=", "#"} else ""
+        last, first = bisect_left(starts, start), bisect_right(ends, end)
+        before = [text[a : min(b, start)].lower() for a, b in words[max(0, last - 2) : last]]
+        after = [text[max(a, end) : b].lower() for a, b in words[first : first + 1]]
+        at = start - 1
+        while at >= 0 and text[at].isspace():
+            at -= 1
+        sign = text[at] if at >= 0 and text[at] in ":=#" else ""
         patterns = []
         if before:
             patterns.append(f"<{before[-1]}{sign}")
@@ -166,8 +169,8 @@ def extracted(docs: DataFrame, keep: list[str]) -> DataFrame:
             yield batch.assign(row=range(row, row + len(batch)), spans=[[dict(zip(("start", "kind", "end"), x)) for x in own] for own in rows], instances=more)
             row += len(batch)
 
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return docs.select(*keep, common.whole_text().alias("__text")).mapInPandas(find, f"{names}, row long, spans {spans}, instances {found}")
+    out = StructType([*fields, *_parse_datatype_string(f"row long, spans {spans}, instances {found}")])
+    return docs.select(*keep, common.whole_text().alias("__text")).mapInPandas(find, out)
 
 
 def suits(kind: Column, surface: Column) -> Column:
@@ -205,16 +208,22 @@ def discovered(table: DataFrame) -> DataFrame:
 def spans(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """For each row of docs: the columns `keep` (doc_id), base and spans (arrays of start, kind number, end), row.
 
-    Positions are code points, ends exclusive; spans hold the base ones and those discovered. Null texts count as empty.
-    Rows are kept one by one, repeated ones too; an empty table gives no row.
+    Positions are code points, ends exclusive; spans hold the base ones and those discovered. Null texts count as empty,
+    long ones are read whole, as are long instances. Rows are kept one by one, repeated ones too; an empty table gives no
+    row. Of kinds equally sure for a surface the first counts. The names in `keep` must be other than row, base, spans,
+    instances, more and __text.
     """
     keep = ["doc_id"] if keep is None else keep
-    table = common.written(extracted(docs, keep), "identifiers")
-    found = table.select("row", F.explode("instances").alias("x")).where("x.kind < 0").select("row", "x.start", "x.end", "x.surface")
+    table = common.written(extracted(docs, keep), "identifiers", common.TEXT_ROWS)
+    unseen = F.filter("instances", lambda x: x["kind"] < 0)
+    found = table.select("row", F.explode(unseen).alias("x")).select("row", "x.start", "x.end", "x.surface")
     more = found.join(discovered(table), "surface").groupBy("row").agg(F.collect_set(F.struct(F.col("start"), F.col("kind"), F.col("end"))).alias("more"))
-    joined = table.join(more, "row", "left")
+    # Only rows with something to discover take part in the join; the others don't move.
+    able = F.size(unseen) > 0
+    joined = table.where(able).join(more, "row", "left")
     both = F.when(F.col("more").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", "more")))
-    return joined.select(*keep, "row", F.col("spans").alias("base"), both.alias("spans"))
+    out = joined.select(*keep, "row", F.col("spans").alias("base"), both.alias("spans"))
+    return out.unionByName(table.where(~able).select(*keep, "row", F.col("spans").alias("base"), "spans"))
 
 
 def listed(column: str) -> Column:
@@ -239,8 +248,8 @@ def masked(docs: DataFrame) -> DataFrame:
 
     Null texts stay null.
     """
-    named = docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)], F.col("text"))
     keep = [f"c{k}" for k in range(len(docs.columns))]
+    named = docs.select(*[common.named(c).alias(k) for c, k in zip(docs.columns, keep)], F.col("text"))
     at = docs.columns.index("text")
     found = spans(named, keep)
 

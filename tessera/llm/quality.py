@@ -90,12 +90,15 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
+    # Of rows with one doc_id the text of least hash counts: no more rows than SAMPLE reach the driver.
+    rows = rows.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "quality": batch["quality"], "x": [features(t) for t in batch["text"]]})
 
-    found = rows.mapInPandas(measured, "doc_id long, quality int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
+    with common.batches_of(docs.sparkSession, common.TEXT_ROWS):
+        found = rows.mapInPandas(measured, "doc_id long, quality int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
     if found["quality"].nunique() < 2:
         return None
     return fit(np.stack(found["x"].to_numpy()), found["quality"].to_numpy(dtype=np.float64))
@@ -151,20 +154,22 @@ def strength(groups: DataFrame, total: str, n: str, centre: Column) -> float:
 
 def posteriors(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, mark, own, site, posterior for each row of docs."""
-    rows = common.written(evidence(docs, model), "evidence").withColumn("p", 1 / (1 + F.exp(-F.col("own"))))
+    rows = common.written(evidence(docs, model), "evidence", common.TEXT_ROWS).withColumn("p", 1 / (1 + F.exp(-F.col("own"))))
     paths = rows.where("host is not null").groupBy("host", "path").agg(F.count("*").alias("n_path"), F.sum("p").alias("s_path"))
-    hosts = paths.groupBy("host").agg(F.sum("n_path").alias("n_host"), F.sum("s_path").alias("s_host"))
+    hosts = paths.groupBy("host").agg(F.sum("n_path").alias("n_host"), F.sum("s_path").alias("s_host"), F.count("*").alias("paths"))
     paths = common.written(paths.join(hosts, "host"), "paths")
     hosts = paths.groupBy("host").agg(F.first("n_host").alias("n_host"), F.first("s_host").alias("s_host"))
     whole = hosts.agg(F.sum("s_host"), F.sum("n_host")).first()
     prior = min(0.999, max(0.001, (whole[0] or 0.5) / (whole[1] or 1)))
     k_host = strength(hosts, "s_host", "n_host", F.lit(prior))
-    k_path = strength(paths, "s_path", "n_path", (F.lit(prior * k_host) + F.col("s_host")) / (k_host + F.col("n_host")))
     # The host's posterior from its other paths, the path's from its other documents.
     above = (F.lit(prior * k_host) + F.col("s_host") - F.col("s_path")) / (k_host + F.col("n_host") - F.col("n_path"))
-    sites = paths.select("path", F.col("host"), "n_path", "s_path", above.alias("above"))
+    k_path = strength(paths.where("paths > 1"), "s_path", "n_path", above)
+    sites = paths.select("host", "path", "paths", "n_path", "s_path", above.alias("above"))
     joined = rows.join(sites, ["host", "path"], "left")
-    site = (F.col("above") * k_path + F.col("s_path") - F.col("p")) / (k_path + F.col("n_path") - 1)
+    # A host with a single path has no level between: its posterior is the site's, from its other documents.
+    strong, centre = F.when(F.col("paths") > 1, k_path).otherwise(k_host), F.when(F.col("paths") > 1, F.col("above")).otherwise(prior)
+    site = (centre * strong + F.col("s_path") - F.col("p")) / (strong + F.col("n_path") - 1)
     site = F.least(F.lit(0.999), F.greatest(F.lit(0.001), F.coalesce(site, F.lit(prior))))
     joined = joined.withColumn("site", site)
     both = F.col("own") + logit(F.col("site")) - float(np.log(prior / (1 - prior)))
@@ -175,8 +180,9 @@ def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, own (probability of good quality by the text alone), site, posterior, kept for each row of docs.
 
     Documents without a source have the global prior as their site. Texts that are null or have no word are not kept,
-    whatever their site. Repeated rows are judged one by one. Without labels of both kinds every text says nothing and
-    all with words are kept. Other columns are ignored; an empty table gives no row.
+    whatever their site; long texts are read whole; a posterior of just THRESHOLD is kept. Repeated rows are judged one by
+    one, each as evidence on its site. A doc_id with two labels counts as good. Without labels of both kinds every text
+    says nothing and all with words are kept. Other columns are ignored; an empty table gives no row.
     """
     rows = posteriors(docs, learn(docs, labels))
     empty = F.col("mark") == F.xxhash64(F.lit(""))
@@ -186,6 +192,7 @@ def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that classified() keeps; columns as in docs."""
-    gone = classified(docs, labels).where("not kept").select(F.struct("doc_id", "mark").alias("__gone")).distinct()
-    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), mark().alias("mark"))
-    return docs.withColumn("__key", key).join(gone, F.col("__key") == F.col("__gone"), "left_anti").drop("__key")
+    key, own = common.fresh(docs, "key"), F.struct(F.col("doc_id").cast("long").alias("doc_id"), mark().alias("mark"))
+    gone = classified(docs, labels).where("not kept").select(F.struct("doc_id", "mark").alias("gone")).distinct()
+    rows = docs.withColumn(key, own).alias("docs")
+    return rows.join(gone.alias("rejected"), F.col(f"docs.{key}").eqNullSafe(F.col("rejected.gone")), "left_anti").drop(key)

@@ -46,6 +46,19 @@ def test_parts_of_the_order_meet(spark, monkeypatch):
     assert {r.doc_id: r.next_text for r in out} == {d: texts[after[d]] for d in order}
 
 
+def test_frequent_and_missing_ids_are_dealt_out(spark, monkeypatch):
+    for name, value in (("ORDERED", 5), ("SAME", 10), ("SAME_SHARE", 20)):
+        monkeypatch.setattr(fingerprints, name, value)
+    rng = random.Random(3)
+    table = [(rng.choice((None, 4, 4, k)), f"text {rng.randrange(10**6)}", "en", "s", 0, 0.0, None) for k in range(200)]
+    docs = spark.createDataFrame(table, SCHEMA)
+    out = fingerprints.with_next(docs).collect()
+    marks = {r.text: r.m for r in docs.selectExpr("text", "xxhash64(text) AS m").collect()}
+    order = sorted(table, key=lambda r: (r[0] is None, -(r[0] or 0), marks[r[1]]))
+    texts = [r[1] for r in order]
+    assert {r.text: r.next_text for r in out} == dict(zip(texts, texts[1:] + texts[:1]))
+
+
 def test_one_row_and_none(spark):
     r = fingerprints.fingerprinted(spark.createDataFrame([(3, "one two\nthree", None, None, 0, 0.0, None)], SCHEMA)).first()
     assert r.near_next == 1.0

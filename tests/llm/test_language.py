@@ -49,3 +49,27 @@ def test_nothing_to_learn_from(spark):
     out = language.identify(spark.createDataFrame([(1, "ba da", None, None, 0, 0.0, None)], SCHEMA)).collect()
     assert [(r.lang_pred, r.score) for r in out] == [("und", 0.0)]
     assert language.identify(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE", 300)
+    rng = random.Random(8)
+    names = [f"l{k:02d}" for k in range(70)]
+    words = {x: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(6)] for x in names}
+    rows = [(k, " ".join(rng.choice(words[x]) for _ in range(40)), x, "s", 0, 0.0, None) for k, x in enumerate(names * 14)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = language.learn(docs)
+    assert model.languages == names
+    out = language.identify(docs, model).collect()
+    truth = {r[0]: r[2] for r in rows}
+    assert sum(r.lang_pred == truth[r.doc_id] for r in out) / len(out) > 0.9
+
+
+def test_slices_change_nothing(monkeypatch):
+    rng = random.Random(9)
+    long = " ".join("".join(rng.choice("abcñß1-") for _ in range(rng.randint(1, 9))) for _ in range(400)) + "x" * 300
+    whole = language.counts(long)
+    for size in (1, 7, 64):
+        monkeypatch.setattr(language, "SLICE", size)
+        cut = language.counts(long)
+        assert (cut[0] == whole[0]).all() and (cut[1] == whole[1]).all()

@@ -8,20 +8,18 @@ from .data import SCHEMA, odd, prose, rows
 def brute(table):
     """Line numbers to delete for each (doc_id, text), by comparing every run with all earlier ones."""
     docs = sorted({(d, t or "") for d, t, *_ in table}, key=lambda x: (x[0] is not None, x[0] or 0))
-    seen, seen_runs, gone = set(), set(), {}
+    seen, gone = set(), {}
     for doc in docs:
         kept = [(k, x.strip(" ")) for k, x in enumerate(doc[1].split("\n")) if x.strip(" ")]
         out = set()
         for n in range(len(kept)):
-            line = kept[n][1]
-            if line in seen and len(line.split()) >= lines.MIN_WORDS:
-                out.add(kept[n][0])
-            seen.add(line)
-            run = tuple(x for _, x in kept[n : n + lines.MIN_LINES])
-            if len(run) == lines.MIN_LINES:
-                if run in seen_runs:
-                    out |= {k for k, _ in kept[n : n + lines.MIN_LINES]}
-                seen_runs.add(run)
+            for size in (1, 2, lines.MIN_LINES):
+                run = tuple(x for _, x in kept[n : n + size])
+                if len(run) == size:
+                    words = sum(len(x.split()) for x in run)
+                    if run in seen and (words >= lines.MIN_WORDS or size == lines.MIN_LINES):
+                        out |= {k for k, _ in kept[n : n + size]}
+                    seen.add(run)
         gone[doc] = sorted(out)
     return gone
 
@@ -48,3 +46,12 @@ def test_against_brute_force(spark):
 
 def test_empty_table(spark):
     assert lines.dedup(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_frequent_lines_are_dealt_out(spark, monkeypatch):
+    texts = [f"the same line in every text {k % 2}\nline {k} of its own with words" for k in range(120)]
+    table = rows(texts)
+    whole = sorted(map(tuple, lines.dedup(spark.createDataFrame(table, SCHEMA)).select("doc_id", "text", "deleted").collect()))
+    monkeypatch.setattr(lines, "TOGETHER", 7)
+    assert sorted(map(tuple, lines.dedup(spark.createDataFrame(table, SCHEMA)).select("doc_id", "text", "deleted").collect())) == whole
+    assert sum(d == "0" for _, _, d in whole) == 118

@@ -7,19 +7,20 @@ SCHEMA = "vec_id long, embedding array<float>, label int"
 
 
 def brute(ids, x, k, every):
-    out = {}
+    """Each row whose id `every` divides, against every other row; rows with one id in turn by rank."""
+    found = {}
     for i in np.flatnonzero(ids % every == 0):
         score = np.zeros(len(ids))
         for d in range(x.shape[1]):
             score += x[i, d] * x[:, d]
         order = [j for j in np.lexsort((ids, -score)) if j != i][:k]
-        out[int(ids[i])] = [(int(ids[j]), float(score[j])) for j in order]
-    return out
+        found.setdefault(int(ids[i]), []).append([(int(ids[j]), float(score[j])) for j in order])
+    return {q: [x for rank in zip(*lists) for x in sorted(rank)] for q, lists in found.items()}
 
 
 def searched(spark, rows, **more):
     out = {}
-    for r in neighbours.search(spark.createDataFrame(rows, SCHEMA), **more).orderBy("query_id", "rank").collect():
+    for r in neighbours.search(spark.createDataFrame(rows, SCHEMA), **more).orderBy("query_id", "rank", "vec_id", "score").collect():
         out.setdefault(r.query_id, []).append((r.vec_id, r.score))
     return out
 
@@ -31,7 +32,11 @@ def test_small_table_is_exact_with_ties_copies_and_odd_vectors(spark):
     x[7] = 3 * x[8]
     rows = [(k, [float(v) for v in x[k]], 0) for k in range(300)]
     odd = [(300, None, 0), (301, [0.0] * 8, 0), (302, [float("nan")] * 8, 0), (303, [1.0, None] + [0.0] * 6, 0), (304, [float("inf")] + [0.0] * 7, 0), (305, [1.0], 0), (None, [1.0] * 8, 0), (320, [0.0] * 8, 0)]
-    assert searched(spark, rows + odd + rows[:2]) == brute(np.arange(300), x.astype(np.float64), 20, 20)
+    # Ids that several rows have: with equal vectors and with others.
+    ids = np.array([*range(300), 0, 1, 0, 60, 2])
+    y = np.concatenate((x, x[[0, 1, 17, 40, 40]])).astype(np.float64)
+    again = [(int(k), [float(v) for v in y[n]], 0) for n, k in enumerate(ids) if n >= 300]
+    assert searched(spark, rows + odd + again) == brute(ids, y, 20, 20)
 
 
 def test_fewer_candidates_than_k(spark):

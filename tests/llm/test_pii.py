@@ -87,3 +87,60 @@ def test_masked(spark):
     out = {r.doc_id: r for r in pii.masked(spark.createDataFrame(table, SCHEMA)).collect()}
     assert out[1].text == "to <email> and <ip>." and out[2].text is None and out[3].text == "clean" and out[3].unit == "y"
     assert pii.masked(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_contexts_and_instances_are_whole(spark):
+    rng = random.Random(21)
+    far = " " + "- " * 80
+    texts = [f"{prose(rng, 4)} hotline{far}+1 (2{k:02d}) 555-{1000 + k} {far} now" for k in range(24)] + [f"{prose(rng, 4)} hotline{far}(317) 555-0142 {far} now"]
+    texts += [f"inbox: u{k}@{'sub.' * 60}example.com ok" for k in range(24)] + [f"inbox: someone@{'sub.' * 60}intern_al ok"]
+    out = {r.doc_id: r for r in pii.report(spark.createDataFrame([(k, t, "en", "s", 0, 0.0, None) for k, t in enumerate(texts)], SCHEMA)).collect()}
+    assert out[24].n_discovered == 1
+    found = list(pii.instances(texts[49], pii.base(texts[49])))
+    assert [x[4][0] for x in found] == ["<inbox:"]
+
+
+def test_rounds_against_brute_force(spark):
+    """The graph of patterns and surfaces, scored with plain loops."""
+    rng = random.Random(22)
+    seen = []
+    for _ in range(600):
+        pattern, surface = f"p{rng.randrange(25)}", f"(3{rng.randrange(100):02d}) 555-{rng.randrange(40) + 1000}"
+        surface = rng.choice((surface, surface, f"x{rng.randrange(30)}@mail", f"ab{rng.randrange(20)}9"))
+        seen.append((pattern, surface, (3 if surface[0] == "(" and int(surface[2:4]) < 70 else 0 if surface[0] == "x" and int(surface[1:-5]) < 20 else -1)))
+    table = spark.createDataFrame([([dict(start=0, end=1, kind=k, surface=s, patterns=[p])],) for p, s, k in seen], "instances array<struct<start:int,end:int,kind:int,surface:string,patterns:array<string>>>")
+    got = {r.surface: r.kind for r in pii.discovered(table).collect()}
+
+    def suits(kind, surface):
+        digits = len(re.sub("[^0-9]", "", surface))
+        if kind == 0:
+            return bool(re.match(r"^[^@\s]+@[^@\s]+$", surface))
+        return bool(re.match(r"^[+(]?[0-9][0-9()./ -]+$", surface)) and 7 <= digits <= 15
+
+    seed = {}
+    for p, s, k in seen:
+        seed[p, s] = max(seed.get((p, s), -1), k)
+    known = {(s, k): 1.0 for (p, s), k in seed.items() if k >= 0}
+    start = dict(known)
+    for _ in range(pii.ROUNDS):
+        sure = {}
+        for pattern in {p for p, _ in seed}:
+            own = {s: k for (p, s), k in seed.items() if p == pattern}
+            for kind in (0, 3):
+                hits = [s for s in own if (s, kind) in known]
+                open_ = sum(own[s] < 0 and suits(kind, s) and s not in hits for s in own)
+                confidence = sum(known[s, kind] for s in hits) / (len(own) - (1 - pii.UNSEEN) * open_ + pii.SMOOTHING)
+                if len(hits) >= pii.MIN_SUPPORT and confidence >= pii.PATTERN_CONFIDENCE:
+                    sure[pattern, kind] = confidence
+        fresh = {}
+        for (p, s), k in seed.items():
+            for kind in (0, 3):
+                if k < 0 and (p, kind) in sure and suits(kind, s):
+                    fresh[s, kind] = fresh.get((s, kind), 1.0) * max(1 - sure[p, kind], 1e-9)
+        known = start | {x: 1 - miss for x, miss in fresh.items() if 1 - miss >= pii.INSTANCE_CONFIDENCE}
+    seeded = {s for s, _ in start}
+    want = {}
+    for (s, kind), c in sorted(known.items()):
+        if s not in seeded and (s not in want or c > want[s][1]):
+            want[s] = kind, c
+    assert got == {s: kind for s, (kind, _) in want.items()}

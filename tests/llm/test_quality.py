@@ -1,5 +1,7 @@
+import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import quality
@@ -34,26 +36,99 @@ def test_good_stay_and_bad_go(spark):
     assert left.columns == docs.columns and left.where(F.col("doc_id") < 200).count() == sum(truth[d] for d, *_ in table) + truth[0]
 
 
-def test_sites_shrink_towards_their_host(spark):
-    """A path of few documents is near its host, one of many at its own mean."""
-    rows = [(k, f"t{k}", None, f"bad/{'small' if k < 2 else 'big'}", 0, 0.0, None) for k in range(60)] + [(100 + k, f"u{k}", None, f"good/{'small' if k < 2 else 'big'}", 0, 0.0, None) for k in range(60)]
-
-    class Fixed:
-        def logits(self, x):
-            return x[:, 0]
-
-    docs = spark.createDataFrame(rows, SCHEMA)
+def judged(spark, monkeypatch, rows):
+    """doc_id -> (site, posterior) for (doc_id, source, logit)."""
     own = quality.evidence
-
-    def evidence(docs, model):
-        return own(docs, None).withColumn("own", F.when(F.col("host") == "bad", -2.0).otherwise(2.0))
-
-    quality.evidence = evidence
-    try:
-        out = {r.doc_id: r.site for r in quality.posteriors(docs, Fixed()).collect()}
-    finally:
-        quality.evidence = own
-    assert out[10] < out[0] < 0.5 < out[100] < out[110] or (out[0] < 0.5 < out[100] and abs(out[0] - out[10]) < 0.2)
+    logits = spark.createDataFrame([(d, x) for d, _, x in rows], "doc_id long, x double")
+    monkeypatch.setattr(quality, "evidence", lambda docs, model: own(docs, None).drop("own").join(logits, "doc_id").withColumnRenamed("x", "own"))
+    docs = spark.createDataFrame([(d, f"t{d}", None, s, 0, 0.0, None) for d, s, _ in rows], SCHEMA)
+    return {r.doc_id: (r.site, r.posterior) for r in quality.posteriors(docs, None).collect()}
+
+
+def brute(rows):
+    """The same with plain loops."""
+    p = {d: 1 / (1 + math.exp(-x)) for d, _, x in rows}
+    paths, hosts = {}, {}
+    for d, source, _ in rows:
+        if source is not None:
+            path = "/".join(source.split("/")[:2])
+            paths.setdefault(path, []).append(p[d])
+            hosts.setdefault(path.split("/")[0], {}).setdefault(path, []).append(p[d])
+    everything = [x for v in paths.values() for x in v]
+    prior = sum(everything) / len(everything)
+
+    def strength(groups):
+        if len(groups) < 2:
+            return quality.MOST_STRENGTH
+        n = [len(v) for v, _ in groups]
+        inner = sum(c * (1 - c) for _, c in groups) / len(groups)
+        between = sum(len(v) * (sum(v) / len(v) - c) ** 2 for v, c in groups)
+        spread = (between - len(groups) * inner) / max(sum(n) - sum(k * k for k in n) / sum(n), 1e-9)
+        return min(quality.MOST_STRENGTH, max(quality.LEAST_STRENGTH, inner / spread - 1)) if spread > 0 else quality.MOST_STRENGTH
+
+    k_host = strength([([x for v in own.values() for x in v], prior) for own in hosts.values()])
+
+    def above(host, path):
+        rest = [x for k, v in hosts[host].items() if k != path for x in v]
+        return (prior * k_host + sum(rest)) / (k_host + len(rest))
+
+    k_path = strength([(v, above(h, path)) for h, own in hosts.items() if len(own) > 1 for path, v in own.items()])
+    out = {}
+    for d, source, x in rows:
+        site = prior
+        if source is not None:
+            path = "/".join(source.split("/")[:2])
+            host = path.split("/")[0]
+            k, centre = (k_path, above(host, path)) if len(hosts[host]) > 1 else (k_host, prior)
+            rest = sum(paths[path]) - p[d]
+            site = min(0.999, max(0.001, (centre * k + rest) / (k + len(paths[path]) - 1)))
+        out[d] = site, 1 / (1 + math.exp(-(x + math.log(site / (1 - site)) - math.log(prior / (1 - prior)))))
+    return out
+
+
+@pytest.mark.parametrize("paths", [0, 1, 4])
+def test_posteriors_against_brute_force(spark, monkeypatch, paths):
+    rng = random.Random(paths)
+    rows = []
+    for d in range(400):
+        host = int(rng.random() ** 2 * 12)
+        path = rng.randrange(paths) if paths else 0
+        source = None if d % 50 == 0 else f"host{host}" + (f"/p{path}/x{d}" if paths else "")
+        rows.append((d, source, rng.gauss((host - 5) / 2 + path / 3, 1.0)))
+    got, want = judged(spark, monkeypatch, rows), brute(rows)
+    assert got.keys() == want.keys()
+    assert all(abs(a - b) < 1e-9 for d in got for a, b in zip(got[d], want[d]))
+
+
+def test_hosts_without_paths_keep_their_means_and_sparse_ones_shrink(spark, monkeypatch):
+    rows = [(k, f"host{k % 3}", (-2.0, 0.0, 2.0)[k % 3] + (k % 7 - 3) / 10) for k in range(900)] + [(1000, "few", 2.0), (1001, "few", 2.1)]
+    site = {d: s for d, (s, _) in judged(spark, monkeypatch, rows).items()}
+    assert abs(site[0] - 0.12) < 0.03 and abs(site[1] - 0.5) < 0.03 and abs(site[2] - 0.88) < 0.03
+    assert 0.5 < site[1000] < site[2]
+
+
+def test_paths_of_few_documents_are_near_their_host(spark, monkeypatch):
+    rows = []
+    for h in range(8):
+        for path in range(6):
+            n = 2 if path == 0 else 40
+            rows += [(len(rows) + k, f"h{h}/p{path}", (h - 4) / 2 + (path - 2) / 2 + (k % 5 - 2) / 10) for k in range(n)]
+    out = judged(spark, monkeypatch, rows)
+    mean = lambda keep: sum(1 / (1 + math.exp(-x)) for _, s, x in rows if keep(s)) / sum(keep(s) for _, s, _ in rows)
+    for h in range(8):
+        own, host = mean(lambda s: s == f"h{h}/p0"), mean(lambda s: s.startswith(f"h{h}/"))
+        few = next(out[d][0] for d, s, _ in rows if s == f"h{h}/p0")
+        many, mine = next(out[d][0] for d, s, _ in rows if s == f"h{h}/p5"), mean(lambda s: s == f"h{h}/p5")
+        assert own < few and abs(few - host) < abs(few - own) and abs(many - mine) < abs(many - host)
+
+
+def test_repeated_ids_do_not_swell_the_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "features", lambda t, own=quality.features: own(t))
+    monkeypatch.setattr(quality, "fit", lambda x, y, own=quality.fit: seen.append(len(x)) or own(x, y))
+    table = [(k % 4, f"some words {k}", None, "a", 0, 0.0, None) for k in range(400)]
+    quality.learn(spark.createDataFrame(table, SCHEMA), spark.createDataFrame([(k, k % 2, 0) for k in range(4)], LABELS))
+    assert seen == [4]
 
 
 def test_without_labels_and_rows(spark):
