@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions.lexicon import DEFAULT, Lexicon
 
-from .tokenize import end_of, placed, token_arrays
+from .tokenize import end_of, placed, token_arrays, with_kinds
 
 ADDRESS_TOKENS = 8
 #: Persons at most so many characters apart are merged: so much text after a group goes along with it.
@@ -25,9 +25,15 @@ PASSES = {2: ("company_candidate", "probable"), 3: ("address_fragment", "probabl
 GROUP_FIELDS = ["pass", "ord", "text", "start", "end", "tail", "local_type", "confidence", "skip", "words"]
 
 
-def scores(words: str, lexicon: Lexicon) -> dict[str, Column]:
-    """The number of stop words of each language, from an array of upper-case words (null for other tokens)."""
-    return {x: F.size(F.filter(words, lambda u: u.isin(stop))).cast("long") for x, stop in lexicon.stop_words.items()}
+def among(name: str, words: list[str]) -> str:
+    """SQL for a test of membership. As one string, since a column for each of some hundred words is slow to build."""
+    quoted = ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in words)
+    return f"coalesce({name} IN ({quoted}), false)" if words else "false"
+
+
+def scores(lexicon: Lexicon) -> list[Column]:
+    """The number of stop words of each language, from `upper`, an array of upper-case words (null for other tokens)."""
+    return [F.expr(f"cast(size(filter(upper, u -> {among('u', stop)})) AS bigint) AS score_{x}") for x, stop in lexicon.stop_words.items()]
 
 
 def best_language(languages: list[str]) -> Column:
@@ -45,31 +51,37 @@ def upper_words() -> Column:
 
 def with_language(docs: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
     """docs (with text) with language and score_*; nothing shuffles."""
-    rows = token_arrays(docs).withColumn("upper", upper_words())
-    rows = rows.select(*docs.columns, *[n.alias(f"score_{x}") for x, n in scores("upper", lexicon).items()])
+    rows = with_kinds(token_arrays(docs)).withColumn("upper", upper_words())
+    rows = rows.select(*docs.columns, *scores(lexicon))
     return rows.withColumn("language", best_language(list(lexicon.stop_words)))
 
 
 def kept_tokens(docs: DataFrame, keep: list[str], lexicon: Lexicon) -> DataFrame:
     """doc_id, keep, score_*, and a row for each pattern token and each word that can be in a group; one row with tok null if there is none."""
     rows = placed(docs).withColumn("upper", upper_words())
+    asks = {"company_word": lexicon.company_words, "street_word": lexicon.street_words, "honorific": lexicon.honorifics, "stop": lexicon.every_stop_word}
+    for name, words in asks.items():
+        rows = rows.withColumn(name, F.expr(f"transform(upper, u -> {among('u', words)})"))
     count = F.size("tokens")
 
-    def flags(t: Column, k: Column) -> Column:
-        up = F.get("upper", k)
+    # Arrays that a lambda looks up are its argument: Catalyst would put a column's expression in their place, to be
+    # evaluated for every element.
+    def flags(x: Column, k: Column) -> Column:
+        t = x["tokens"]
         word = t["kind"] == "word"
         return F.struct(
             k.alias("tok"), t["text"].alias("text"), t["kind"].alias("kind"), t["pattern"].alias("pattern"), end_of(k).alias("end"),
             F.when(word, end_of(count + k)).alias("w"), (word & T.capitalized(t["text"])).alias("cap"),
-            F.coalesce(up.isin(lexicon.company_words), F.lit(False)).alias("company_word"),
-            F.coalesce(up.isin(lexicon.street_words), F.lit(False)).alias("street_word"),
-            F.coalesce(up.isin(lexicon.honorifics), F.lit(False)).alias("honorific"),
+            *[x[name].alias(name) for name in asks],
         )
 
-    marked = rows.select("doc_id", *keep, *[n.alias(f"score_{x}") for x, n in scores("upper", lexicon).items()], "tokens", "places", "upper", F.transform("tokens", flags).alias("marks"))
-    marked = marked.withColumn("streets", F.transform(F.filter("marks", lambda m: m["street_word"]), lambda m: m["w"]))
-    near = lambda m: F.exists("streets", lambda s: (m["w"] >= s) & (m["w"] < s + ADDRESS_TOKENS))
-    wanted = F.filter("marks", lambda m: (m["kind"] == "pattern") | m["cap"] | m["company_word"] | m["street_word"] | m["honorific"] | (m["w"].isNotNull() & near(m)))
+    marked = rows.select("doc_id", *keep, *scores(lexicon), "tokens", "places", F.transform(F.arrays_zip("tokens", *asks), flags).alias("marks"))
+
+    def wanted(streets: Column) -> Column:
+        near = lambda m: F.exists(streets, lambda s: (m["w"] >= s) & (m["w"] < s + ADDRESS_TOKENS))
+        return F.filter("marks", lambda m: (m["kind"] == "pattern") | m["cap"] | m["company_word"] | m["street_word"] | m["honorific"] | (m["w"].isNotNull() & near(m)))
+
+    streets = F.transform(F.filter("marks", lambda m: m["street_word"]), lambda m: m["w"])
 
     def around(m: Column) -> Column:
         """With the last token before that isn't white space, and the text after the token."""
@@ -79,11 +91,10 @@ def kept_tokens(docs: DataFrame, keep: list[str], lexicon: Lexicon) -> DataFrame
         own = F.get("tokens", at)
         before = F.struct(own["kind"].alias("kind"), own["text"].alias("text"), (F.get("places", at) - F.length(own["text"])).alias("start"))
         after = F.substring(F.concat(*[F.coalesce(F.get("tokens", k + n)["text"], F.lit("")) for n in range(1, TAIL + 1)]), 1, TAIL)
-        fields = [m[f].alias(f) for f in ("tok", "text", "kind", "pattern", "end", "w", "cap", "company_word", "street_word", "honorific")]
-        stop = F.coalesce(F.get("upper", k).isin(lexicon.every_stop_word), F.lit(False))
-        return F.struct(*fields, F.when(at >= 0, before).alias("before"), after.alias("tail"), stop.alias("stop"))
+        fields = [m[f].alias(f) for f in ("tok", "text", "kind", "pattern", "end", "w", "cap", *asks)]
+        return F.struct(*fields, F.when(at >= 0, before).alias("before"), after.alias("tail"))
 
-    marked = marked.withColumn("kept", wanted)
+    marked = marked.withColumn("kept", F.get(F.transform(F.array(streets), wanted), F.lit(0)))
     rows = marked.select("doc_id", *keep, *[c for c in marked.columns if c.startswith("score_")], F.explode_outer(F.transform("kept", around)).alias("m"))
     rows = rows.select(*[c for c in rows.columns if c != "m"], "m.*")
     first = F.col("before").isNull() | ((F.col("before.kind") == "punctuation") & (F.col("before.text") == "."))

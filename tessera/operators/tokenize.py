@@ -48,11 +48,11 @@ def kind_of(text: Column, pattern: Column) -> Column:
 
 
 def token_arrays(docs: DataFrame) -> DataFrame:
-    """docs with `tokens`, an array of (text, pattern, kind): identifier spans and, between them, the basic tokens. They cover the text."""
+    """docs with `tokens`, an array of (text, pattern): identifier spans and, between them, the basic tokens. They cover the text."""
     source = F.coalesce("text", F.lit(""))
     basic = F.lit(T.unicode_space(T.BASIC))
     none = F.lit(None).cast("string")
-    token = lambda text, pattern: F.struct(text.alias("text"), pattern.alias("pattern"), kind_of(text, pattern).alias("kind"))
+    token = lambda text, pattern: F.struct(text.alias("text"), pattern.alias("pattern"))
 
     def basic_tokens(gap: Column) -> Column:
         return F.transform(F.regexp_extract_all(gap, basic, F.lit(0)), lambda t: token(t, none))
@@ -68,7 +68,7 @@ def token_arrays(docs: DataFrame) -> DataFrame:
 
 
 def placed(docs: DataFrame) -> DataFrame:
-    """docs with `tokens` and `places`: the ends of all tokens and, after them, the number of words up to each token.
+    """docs with `tokens` (text, pattern, kind) and `places`: the ends of all tokens and, after them, the number of words up to each token.
 
     Running sums are what array functions can't do in one pass; only lengths go to numpy and back, in Arrow batches.
     """
@@ -79,7 +79,12 @@ def placed(docs: DataFrame) -> DataFrame:
 
     # A word's length is negative, which tells words apart.
     lengths = F.transform("tokens", lambda t: F.when(t["kind"] == "word", -F.length(t["text"])).otherwise(F.length(t["text"])))
-    return token_arrays(docs).withColumn("places", running(lengths))
+    return with_kinds(token_arrays(docs)).withColumn("places", running(lengths))
+
+
+def with_kinds(rows: DataFrame) -> DataFrame:
+    """rows of token_arrays() with the kind of each token."""
+    return rows.withColumn("tokens", F.transform("tokens", lambda t: F.struct(t["text"].alias("text"), t["pattern"].alias("pattern"), kind_of(t["text"], t["pattern"]).alias("kind"))))
 
 
 def end_of(at: Column) -> Column:
@@ -95,4 +100,5 @@ def tokens(docs: DataFrame) -> DataFrame:
 
 def token_kinds(docs: DataFrame) -> DataFrame:
     """doc_id, text, kind for each token, where positions aren't needed: nothing leaves the JVM."""
-    return token_arrays(docs).select("doc_id", F.explode("tokens").alias("t")).select("doc_id", "t.text", "t.kind")
+    rows = token_arrays(docs).select("doc_id", F.explode("tokens").alias("t")).select("doc_id", "t.text", "t.pattern")
+    return rows.select("doc_id", "text", kind_of(F.col("text"), F.col("pattern")).alias("kind"))
