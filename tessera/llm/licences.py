@@ -89,6 +89,8 @@ FALSE_PASS, CONFIRMED = 0.01, 0.6
 SEED = 5
 #: Lines with one of these words give a row even if they aren't confirmed.
 ANCHOR = r"(?i)licen[sc]e|permission|redistribution|public\s+licen|\bgpl\b|\blgpl\b|\bcc\s+by|mozilla|apache"
+#: What is in every text that ANCHOR matches, in lower case.
+ANCHORED = ["licen", "permission", "redistribution", "gpl", "cc", "mozilla", "apache"]
 #: Words that ordinary texts often have.
 COMMON = frozenset("following general international program provided public source subject under version work".split())
 #: Words are runs of letters and digits, with inner dots and hyphens.
@@ -167,16 +169,21 @@ def scan(docs: DataFrame) -> DataFrame:
     A paragraph is a line, or a run of lines without a blank one between; `paragraph` is the number of its first line,
     from 0, and `lines` how many it has. `predicted` is the family of highest probability among those that pass their
     threshold, ties to the first in order, else `unknown`; `family` is the same if the paragraph holds CONFIRMED of the
-    n-grams of one of the family's templates at least, else `unknown`. similarity is the largest such share. Lines with
+    n-grams of one of the family's templates at least, else `unknown`. similarity is the largest such share. Long texts are
+    scanned whole; only those are whose words can make a notice. Lines with
     an ANCHOR word give a row each. Other lines, and runs of up to longest() lines, give one if their family is confirmed;
     of runs that overlap, the one that ends first and is shortest. Runs don't go across lines that are notices by
     themselves. Null and empty texts give no row. Rows with equal doc_id and text give their paragraphs once. Other columns are ignored; an empty table
     gives no row.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(common.whole_text()).alias("mark"), "text").where(F.col("text").rlike(needed())).dropDuplicates(["doc_id", "mark"])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(common.whole_text()).alias("mark"), "text")
+    # Only texts whose words together can make a notice have lines or runs that can. Plain searches go first.
+    rows = rows.where(F.expr(f"{holds(ANCHORED)} OR ({holds(needed())} AND {possible().replace('lower(part)', 'lower(text)')})"))
+    rows = rows.dropDuplicates(["doc_id", "mark"])
     split = F.split("text", "\n", -1)
-    each = rows.select("doc_id", "mark", F.posexplode(split).alias("paragraph", "line")).where(F.col("line").rlike(ANCHOR) | F.col("line").rlike(needed()))
-    single = common.written(judge(each.select("doc_id", "mark", "paragraph", F.lit(1).alias("lines"), F.col("line").alias("part"), F.col("line").rlike(ANCHOR).alias("anchor"))), "licence-lines")
+    each = rows.select("doc_id", "mark", F.posexplode(split).alias("paragraph", "part")).withColumn("anchor", F.col("part").rlike(ANCHOR))
+    each = each.where(F.col("anchor") | F.expr(possible()))
+    single = common.written(judge(each.select("doc_id", "mark", "paragraph", F.lit(1).alias("lines"), "part", "anchor")), "licence-lines")
     notices = single.where(F.col("family") != UNKNOWN)
     gone = notices.groupBy("doc_id", "mark").agg(F.collect_set("paragraph").alias("gone"))
     left = rows.alias("r").join(gone.alias("g"), F.col("r.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("r.mark") == F.col("g.mark")), "left")
@@ -189,7 +196,7 @@ def scan(docs: DataFrame) -> DataFrame:
     blocks = F.transform(F.sequence(F.lit(1), F.size("ends") - 1), lambda k: F.struct((F.get("ends", k - 1) + 1).alias("first"), (F.get("ends", k) - F.get("ends", k - 1) - 1).alias("n")))
     blocks = left.select("doc_id", "mark", "all", F.explode(F.filter(blocks, lambda x: x["n"] >= 2)).alias("b"))
     blocks = blocks.select("doc_id", "mark", F.col("b.first").alias("first"), F.slice("all", F.col("b.first") + 1, F.col("b.n")).alias("own"))
-    blocks = blocks.withColumn("part", F.array_join("own", " ")).where(F.col("part").rlike(needed()))
+    blocks = blocks.withColumn("part", F.array_join("own", " ")).where(F.expr(possible()))
     # What a whole block doesn't hold, no run in it can.
     shares = held(exploded(blocks.select("doc_id", "mark", F.col("first").alias("paragraph"), F.lit(0).alias("lines"), "part")))
     able = shares.where(F.col("share") >= CONFIRMED).select("doc_id", "mark", F.col("paragraph").alias("first")).distinct()
@@ -197,7 +204,7 @@ def scan(docs: DataFrame) -> DataFrame:
     starts = blocks.select("doc_id", "mark", "first", "own", F.explode(F.sequence(F.lit(0), F.size("own") - 2)).alias("at"))
     runs = starts.select("doc_id", "mark", "first", "own", "at", F.explode(F.sequence(F.lit(2), F.least(F.lit(longest()), F.size("own") - F.col("at")))).alias("lines"))
     runs = runs.select("doc_id", "mark", (F.col("first") + F.col("at")).alias("paragraph"), "lines", F.array_join(F.slice("own", F.col("at") + 1, F.col("lines")), " ").alias("part"))
-    runs = judge(runs.where(F.col("part").rlike(needed())).withColumn("anchor", F.lit(False))).where(F.col("family") != UNKNOWN)
+    runs = judge(runs.where(F.expr(possible())).withColumn("anchor", F.lit(False))).where(F.col("family") != UNKNOWN)
     # The run that ends first, then the next that has no line in common with it, and so on.
     end = F.col("paragraph") + F.col("lines")
     item = F.struct(end.alias("end"), (-F.col("paragraph")).alias("back"), "paragraph", "lines", "probability", "similarity", "predicted")
@@ -208,12 +215,17 @@ def scan(docs: DataFrame) -> DataFrame:
     return single.where(F.col("anchor") | (F.col("family") != UNKNOWN)).select(*out).unionByName(runs.select(*out))
 
 
+def holds(parts: list[str]) -> str:
+    """SQL for whether `text` holds one of the parts, in any case."""
+    return "exists(array(lower(text)), t -> " + " OR ".join(f"contains(t, '{p}')" for p in parts) + ")"
+
+
 @cache
-def needed() -> str:
-    """A pattern that every text with CONFIRMED of a template's n-grams matches.
+def needed() -> list[str]:
+    """Words, one of which is in every text with CONFIRMED of a template's n-grams.
 
-    Of each template it has so many words, the longest first and COMMON ones last, that the n-grams without any of them
-    are too few.
+    Of each template they are so many, the longest first and COMMON ones last, that the n-grams without any of them are
+    too few.
     """
     chosen = set()
     for t in (t for texts in TEMPLATES.values() for t in texts):
@@ -222,7 +234,33 @@ def needed() -> str:
         while sum(not out & set(g.split()) for g in own) >= CONFIRMED * len(own) - 1e-9:
             out.add(order.pop(0))
         chosen |= out
-    return r"(?iu)" + "|".join(w.replace(".", r"\.") for w in sorted(chosen))
+    return sorted(chosen)
+
+
+@cache
+def possible() -> str:
+    """SQL for whether the words of `part` can hold CONFIRMED of a template's n-grams, in whatever order they stand.
+
+    Counted first: an n-gram has GRAM words at most, so that the missing words' n-grams, added up and divided by GRAM,
+    bound from below how many are missing. Then exactly, by the n-grams whose words are all there.
+    """
+    quoted = lambda w: "'" + w.replace("'", "\\'") + "'"
+    listed = lambda ws: "array(" + ", ".join(map(quoted, ws)) + ")"
+    every, tests = set(), []
+    for t in (t for texts in TEMPLATES.values() for t in texts):
+        own, found = sorted(set(words(t))), sorted(set(grams(words(t))))
+        need = math.ceil(CONFIRMED * len(found) - 1e-9)
+        room, most = GRAM * (len(found) - need), 0
+        for size in sorted(sum(w in g.split() for g in found) for w in own):
+            if size > room:
+                break
+            room, most = room - size, most + 1
+        every |= set(own)
+        held = f"size(filter(array({', '.join(listed(g.split()) for g in found)}), g -> size(array_except(g, ws)) = 0)) >= {need}"
+        tests.append(f"(size(array_intersect(ws, {listed(own)})) >= {len(own) - most} AND {held})")
+    pattern = WORD.replace("\\", "\\\\")
+    there = f"filter(array_distinct(regexp_extract_all(lower(part), '{pattern}', 0)), w -> w IN ({', '.join(map(quoted, sorted(every)))}))"
+    return f"get(transform(array({there}), ws -> {' OR '.join(tests)}), 0)"
 
 
 @cache
