@@ -201,10 +201,15 @@ def scan(docs: DataFrame) -> DataFrame:
     shares = held(exploded(blocks.select("doc_id", "mark", F.col("first").alias("paragraph"), F.lit(0).alias("lines"), "part")))
     able = shares.where(F.col("share") >= CONFIRMED).select("doc_id", "mark", F.col("paragraph").alias("first")).distinct()
     blocks = blocks.alias("b").join(able.alias("a"), F.col("b.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("b.mark") == F.col("a.mark")) & (F.col("b.first") == F.col("a.first")), "left_semi")
-    starts = blocks.select("doc_id", "mark", "first", "own", F.explode(F.sequence(F.lit(0), F.size("own") - 2)).alias("at"))
-    runs = starts.select("doc_id", "mark", "first", "own", "at", F.explode(F.sequence(F.lit(2), F.least(F.lit(longest()), F.size("own") - F.col("at")))).alias("lines"))
-    runs = runs.select("doc_id", "mark", (F.col("first") + F.col("at")).alias("paragraph"), "lines", F.array_join(F.slice("own", F.col("at") + 1, F.col("lines")), " ").alias("part"))
-    runs = judge(runs.where(F.expr(possible())).withColumn("anchor", F.lit(False))).where(F.col("family") != UNKNOWN)
+    # A run begins and ends in lines with a word of a template: other lines at its ends could go and leave it as it is.
+    touched = F.expr(f"filter(transform(own, (x, k) -> if(size({template_words('x')}) > 0, k, null)), k -> k is not null)")
+    starts = blocks.withColumn("touched", touched)
+    each = F.expr(f"""transform(touched, i -> named_struct('at', i, 'window', slice(own, i + 1, {longest()}),
+        'sizes', transform(filter(touched, j -> j > i and j - i < {longest()}), j -> j - i + 1)))""")
+    starts = starts.select("doc_id", "mark", "first", F.explode_outer(each).alias("s")).select("doc_id", "mark", (F.col("first") + F.col("s.at")).alias("paragraph"), "s.window", F.explode_outer("s.sizes").alias("lines"))
+    runs = starts.where("lines is not null").select("doc_id", "mark", "paragraph", "lines", F.array_join(F.slice("window", F.lit(1), F.col("lines")), " ").alias("part"))
+    runs = common.written(runs.where(F.expr(possible())).withColumn("anchor", F.lit(False)), "licence-runs")
+    runs = judge(runs).where(F.col("family") != UNKNOWN)
     # The run that ends first, then the next that has no line in common with it, and so on.
     end = F.col("paragraph") + F.col("lines")
     item = F.struct(end.alias("end"), (-F.col("paragraph")).alias("back"), "paragraph", "lines", "probability", "similarity", "predicted")
@@ -246,7 +251,7 @@ def possible() -> str:
     """
     quoted = lambda w: "'" + w.replace("'", "\\'") + "'"
     listed = lambda ws: "array(" + ", ".join(map(quoted, ws)) + ")"
-    every, tests = set(), []
+    tests = []
     for t in (t for texts in TEMPLATES.values() for t in texts):
         own, found = sorted(set(words(t))), sorted(set(grams(words(t))))
         need = math.ceil(CONFIRMED * len(found) - 1e-9)
@@ -255,12 +260,17 @@ def possible() -> str:
             if size > room:
                 break
             room, most = room - size, most + 1
-        every |= set(own)
         held = f"size(filter(array({', '.join(listed(g.split()) for g in found)}), g -> size(array_except(g, ws)) = 0)) >= {need}"
         tests.append(f"(size(array_intersect(ws, {listed(own)})) >= {len(own) - most} AND {held})")
+    return f"get(transform(array({template_words('part')}), ws -> {' OR '.join(tests)}), 0)"
+
+
+@cache
+def template_words(column: str) -> str:
+    """SQL for the distinct words of a text that templates have."""
     pattern = WORD.replace("\\", "\\\\")
-    there = f"filter(array_distinct(regexp_extract_all(lower(part), '{pattern}', 0)), w -> w IN ({', '.join(map(quoted, sorted(every)))}))"
-    return f"get(transform(array({there}), ws -> {' OR '.join(tests)}), 0)"
+    every = sorted({w for texts in TEMPLATES.values() for t in texts for w in words(t)})
+    return f"filter(array_distinct(regexp_extract_all(lower({column}), '{pattern}', 0)), w -> w IN ({', '.join(repr(w) for w in every)}))"
 
 
 @cache
