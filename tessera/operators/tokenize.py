@@ -35,9 +35,8 @@ def spans(docs: DataFrame) -> DataFrame:
     return docs.withColumn("spans", resolved_spans(F.coalesce("text", F.lit(""))))
 
 
-def kind_of(text: Column, pattern: Column) -> Column:
-    """Of a token, by its first character."""
-    first = F.ascii(text)
+def kind_of(first: Column, pattern: Column) -> Column:
+    """Of a token, by its first character's code, which must be at hand: each branch would work it out again."""
     return (
         F.when(pattern.isNotNull(), "pattern")
         .when(first.between(97, 122) | first.between(65, 90) | first.between(192, 255), "word")
@@ -84,7 +83,9 @@ def placed(docs: DataFrame) -> DataFrame:
 
 def with_kinds(rows: DataFrame) -> DataFrame:
     """rows of token_arrays() with the kind of each token."""
-    return rows.withColumn("tokens", F.transform("tokens", lambda t: F.struct(t["text"].alias("text"), t["pattern"].alias("pattern"), kind_of(t["text"], t["pattern"]).alias("kind"))))
+    codes = F.transform("tokens", lambda t: F.ascii(t["text"])).alias("code")
+    token = lambda x: F.struct(x["tokens"]["text"].alias("text"), x["tokens"]["pattern"].alias("pattern"), kind_of(x["code"], x["tokens"]["pattern"]).alias("kind"))
+    return rows.withColumn("tokens", F.transform(F.arrays_zip("tokens", codes), token))
 
 
 def end_of(at: Column) -> Column:
@@ -94,11 +95,12 @@ def end_of(at: Column) -> Column:
 def tokens(docs: DataFrame) -> DataFrame:
     """doc_id, tok, text, kind, pattern, start, end: one row for each token, in order of tok. doc_id must be unique."""
     each = F.transform("tokens", lambda t, k: F.struct(t["text"].alias("text"), t["kind"].alias("kind"), t["pattern"].alias("pattern"), end_of(k).alias("end")))
-    rows = placed(docs).select("doc_id", F.posexplode(each).alias("tok", "t"))
+    # The outer form, since for the plain one Catalyst works the array out two more times, to leave out empty ones.
+    rows = placed(docs).select("doc_id", F.posexplode_outer(each).alias("tok", "t")).where("t is not null")
     return rows.select("doc_id", "tok", "t.text", "t.kind", "t.pattern", (F.col("t.end") - F.length("t.text")).alias("start"), "t.end")
 
 
 def token_kinds(docs: DataFrame) -> DataFrame:
     """doc_id, text, kind for each token, where positions aren't needed: nothing leaves the JVM."""
-    rows = token_arrays(docs).select("doc_id", F.explode("tokens").alias("t")).select("doc_id", "t.text", "t.pattern")
-    return rows.select("doc_id", "text", kind_of(F.col("text"), F.col("pattern")).alias("kind"))
+    rows = token_arrays(docs).select("doc_id", F.explode_outer("tokens").alias("t")).where("t is not null").select("doc_id", "t.text", "t.pattern", F.ascii("t.text").alias("code"))
+    return rows.select("doc_id", "text", kind_of(F.col("code"), F.col("pattern")).alias("kind"))

@@ -154,7 +154,7 @@ SPANS_COUNTED = "SELECT session, s.kind, count(*) AS spans, count(DISTINCT d.doc
 
 
 def counted_spans(docs: DataFrame) -> DataFrame:
-    found = spans(docs).select("doc_id", F.col("session_id").alias("session"), F.explode("spans").alias("s"))
+    found = spans(docs).select("doc_id", F.col("session_id").alias("session"), F.explode_outer("spans").alias("s")).where("s is not null")
     sums = [F.sum(F.col("s.end") - F.col("s.start")).cast("long").alias("chars"), F.sum("s.start").cast("long").alias("starts")]
     return found.groupBy("session", F.col("s.kind").alias("kind")).agg(F.count("*").alias("spans"), F.countDistinct("doc_id").alias("documents"), *sums)
 
@@ -480,7 +480,7 @@ def mask_iban_ssn(spark, sf_dir):
 
 def marked_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The capitalised words of documents as entities, named by their number."""
-    found = texts(spark, sf_dir).select("doc_id", F.posexplode(T.matches(F.coalesce("text", F.lit("")), "word", "[A-Z][a-z]+")).alias("n", "s"))
+    found = texts(spark, sf_dir).select("doc_id", F.posexplode_outer(T.matches(F.coalesce("text", F.lit("")), "word", "[A-Z][a-z]+")).alias("n", "s")).where("s is not null")
     return found.select("doc_id", "n", "s.start", "s.end", "s.text", F.when(F.length("s.text") % 2 == 0, "person").otherwise("unknown").alias("type"), F.when(F.length("s.text") > 4, "high").otherwise("low").alias("confidence"), F.concat(F.lit("N"), (F.col("n") + 1).cast("string")).alias("alias"), F.lit(2).alias("pass"), F.col("s.start").alias("ord"))
 
 
