@@ -179,10 +179,10 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(common.whole_text()).alias("mark"), "text")
     # Only texts whose words together can make a notice have lines or runs that can. Plain searches go first.
     rows = rows.where(F.expr(f"{holds(ANCHORED)} OR ({holds(needed())} AND {possible().replace('lower(part)', 'lower(text)')})"))
-    rows = rows.dropDuplicates(["doc_id", "mark"])
+    rows = common.written(rows.dropDuplicates(["doc_id", "mark"]), "licence-texts")
     split = F.split("text", "\n", -1)
     each = rows.select("doc_id", "mark", F.posexplode(split).alias("paragraph", "part")).withColumn("anchor", F.col("part").rlike(ANCHOR))
-    each = each.where(F.col("anchor") | F.expr(possible()))
+    each = common.written(each.where(F.col("anchor") | F.expr(possible())), "licence-parts")
     single = common.written(judge(each.select("doc_id", "mark", "paragraph", F.lit(1).alias("lines"), "part", "anchor")), "licence-lines")
     notices = single.where(F.col("family") != UNKNOWN)
     gone = notices.groupBy("doc_id", "mark").agg(F.collect_set("paragraph").alias("gone"))
