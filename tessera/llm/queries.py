@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, counts, fingerprints, language, licences, lines, near, neighbours, packing, pii, quality
+from . import audit, bpe, counts, fingerprints, language, licences, lines, near, neighbours, packing, pii, quality
 from .common import documents
 
 
@@ -61,6 +61,10 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_licences": op2_licences,
@@ -73,6 +77,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_line_dedup": op10_line_dedup,
     "op11_token_counts": op11_token_counts,
+    "op12_filter_audit": op12_filter_audit,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The audit plainly: every document's failing filters as letters, and what each order and step does to each such set.
+AUDIT_SQL = r"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+    least AS (SELECT t, min(doc_id) AS first_id FROM d GROUP BY t),
+    marks AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+    w AS (SELECT d.*, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words FROM d),
+    f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+        CASE WHEN len(words) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 'B' ELSE '' END
+        || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END
+        || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > first_id THEN 'E' ELSE '' END AS fails
+        FROM w LEFT JOIN marks USING (doc_id) JOIN least USING (t)),
+    m AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL),
+    l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+    o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e
+        WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+    s AS (SELECT filter_order, k::INTEGER AS step, substr(filter_order, k, 1) AS own, substr(filter_order, 1, k - 1) AS before FROM o, (SELECT unnest(range(1, 6)) AS k)),
+    x AS (SELECT part, filter_order, step, own, n, good, toxic, contains(fails, own) AS failing, translate(fails, before, '') <> fails AS gone, fails = own AS alone FROM m, s),
+    r AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (NOT gone AND NOT failing), 0) AS kept, coalesce(sum(n) FILTER (failing AND NOT gone), 0) AS removed,
+        coalesce(sum(n) FILTER (failing AND gone), 0) AS redundant, coalesce(sum(n) FILTER (alone), 0) AS unique_fails,
+        coalesce(sum(good) FILTER (failing AND NOT gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (failing AND NOT gone), 0) AS toxic_lost FROM x GROUP BY ALL)
+    SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+        good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM r"""
+
+ORACLE_SQL: dict[str, str] = {"op12_filter_audit": AUDIT_SQL}
