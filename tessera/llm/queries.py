@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audit, bpe, counts, fingerprints, language, licences, lines, near, neighbours, packing, pii, quality
+from . import audit, bpe, counts, fingerprints, language, licences, lines, near, neighbours, packing, pii, quality, search
 from .common import documents
 
 
@@ -65,6 +65,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.interactions(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_licences": op2_licences,
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
     "op11_token_counts": op11_token_counts,
     "op12_filter_audit": op12_filter_audit,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 #: The audit plainly: every document's failing filters as letters, and what each order and step does to each such set.
@@ -102,4 +107,15 @@ AUDIT_SQL = r"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(t
     SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
         good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM r"""
 
-ORACLE_SQL: dict[str, str] = {"op12_filter_audit": AUDIT_SQL}
+#: The search plainly: every term's occurrences in every document, summed by item.
+TERMS_SQL = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '" + search.TERM + "')"
+SEARCH_SQL = f"""WITH d AS (SELECT doc_id, ts, len(ts) AS n FROM (SELECT doc_id, {TERMS_SQL} AS ts FROM documents) WHERE len(ts) > 0),
+    z AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM d),
+    i AS (SELECT DISTINCT item_id, unnest({TERMS_SQL}) AS term FROM benchmark),
+    p AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+    w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, z GROUP BY term, docs),
+    s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))))::BIGINT AS score
+        FROM i JOIN p USING (term) JOIN w USING (term), z GROUP BY ALL)
+    SELECT * FROM (SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM s WHERE score > 0) WHERE rank <= 50"""
+
+ORACLE_SQL: dict[str, str] = {"op12_filter_audit": AUDIT_SQL, "op13_lexical_search": SEARCH_SQL}
