@@ -78,30 +78,30 @@ def counts(entities: DataFrame, documents: DataFrame) -> DataFrame:
     return both.agg(F.coalesce(F.sum("e"), F.lit(0)).cast("long").alias("entities"), F.coalesce(F.sum("d"), F.lit(0)).cast("long").alias("documents"))
 
 
-def recorded(entities: DataFrame, occurrences: DataFrame, documents: DataFrame, new: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The three tables after recording documents.
+def with_canonical(found: DataFrame) -> DataFrame:
+    """found with canonical, and given: the id that was given for it, if any."""
+    given = F.col("known_id") if "known_id" in found.columns else F.lit(None).cast("string")
+    return found.withColumn("canonical", T.canonical(F.col("text"))).withColumn("given", given)
 
-    new: document_id, label, text, processed_at, one row for each document; found: document_id, text, type, alias, ord, and
-    optionally known_id. An entity is that of known_id, else the known one with its canonical text and type, else a new
-    one; known ids that the graph doesn't have get occurrences and no entity. Documents are counted once for each entity.
-    """
-    sizes = found.groupBy("document_id").agg(F.count("*").alias("entity_count"))
-    rows = new.join(sizes, "document_id", "left").select("document_id", "label", "processed_at", F.coalesce("entity_count", F.lit(0)).cast("int").alias("entity_count"), T.fingerprint(F.col("text")).alias("fingerprint"))
-    documents = upserted(documents, rows.select(*documents.columns), ["document_id"])
 
-    given = F.col("known_id") if "known_id" in found.columns else F.lit(None).cast("string")
-    found = found.withColumn("canonical", T.canonical(F.col("text"))).withColumn("given", given)
+def resolved(entities: DataFrame, new: DataFrame, found: DataFrame) -> DataFrame:
+    """One row for an entity in a document, from which occurrences, sums and dates all follow. found has with_canonical()'s columns."""
     known = entities.groupBy("canonical", "type").agg(F.min("entity_id").alias("there"))
     found = found.join(known, ["canonical", "type"], "left")
     found = found.withColumn("entity_id", F.coalesce("given", "there", entity_id(F.col("type"), F.col("canonical"))))
-    # One row for an entity in a document, from which occurrences, sums and dates all follow.
     found = found.groupBy("entity_id", "document_id").agg(
         F.max(F.struct("ord", "text", "alias")).alias("last"), F.min("canonical").alias("canonical"), F.min("type").alias("type"), F.max(F.col("given").isNotNull()).alias("was_given")
     )
-    found = tables.written(found.join(new.select("document_id", "processed_at"), "document_id"), "found")
-    fresh = found.select("entity_id", "document_id", F.col("last.text").alias("original"), F.col("last.alias").alias("alias"), F.lit(False).alias("confirmed"))
+    return found.join(new.select("document_id", "processed_at"), "document_id")
+
 
-    seen = found.groupBy("entity_id").agg(
+def changes(entities: DataFrame, occurrences: DataFrame, new: DataFrame, found: DataFrame, in_documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows of entities, occurrences and documents that recording adds or changes. in_documents comes from resolved()."""
+    sizes = found.groupBy("document_id").agg(F.count("*").alias("entity_count"))
+    rows = new.join(sizes, "document_id", "left")
+    documents = rows.select("document_id", "label", "processed_at", F.coalesce("entity_count", F.lit(0)).cast("int").alias("entity_count"), T.fingerprint(F.col("text")).alias("fingerprint"))
+    fresh = in_documents.select("entity_id", "document_id", F.col("last.text").alias("original"), F.col("last.alias").alias("alias"), F.lit(False).alias("confirmed"))
+    seen = in_documents.groupBy("entity_id").agg(
         F.first("canonical").alias("canonical"), F.first("type").alias("type"), F.min("processed_at").alias("first_now"),
         F.max("processed_at").alias("last_now"), F.max("was_given").alias("was_given"), F.count("*").alias("now"),
     )
@@ -113,8 +113,21 @@ def recorded(entities: DataFrame, occurrences: DataFrame, documents: DataFrame,
         "entity_id", F.coalesce("old_canonical", "canonical").alias("canonical"), F.coalesce("old_type", "type").alias("type"),
         F.coalesce("first_seen", "first_now").alias("first_seen"), F.col("last_now").alias("last_seen"), (F.col("now") + F.coalesce("before", F.lit(0))).cast("int").alias("document_count"),
     )
+    return now, fresh, documents
+
+
+def recorded(entities: DataFrame, occurrences: DataFrame, documents: DataFrame, new: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three tables after recording documents.
+
+    new: document_id, label, text, processed_at, one row for each document; found: document_id, text, type, alias, ord, and
+    optionally known_id. An entity is that of known_id, else the known one with its canonical text and type, else a new
+    one; known ids that the graph doesn't have get occurrences and no entity. Documents are counted once for each entity.
+    """
+    found = with_canonical(found)
+    in_documents = tables.written(resolved(entities, new, found), "found")
+    now, fresh, changed = changes(entities, occurrences, new, found, in_documents)
     occurrences = upserted(occurrences, fresh.select(*occurrences.columns), ["entity_id", "document_id"])
-    return upserted(entities, now.select(*entities.columns), ["entity_id"]), occurrences, documents
+    return upserted(entities, now.select(*entities.columns), ["entity_id"]), occurrences, upserted(documents, changed.select(*documents.columns), ["document_id"])
 
 
 def matches(detected: DataFrame, entities: DataFrame, occurrences: DataFrame, documents: DataFrame) -> DataFrame:

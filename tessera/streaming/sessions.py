@@ -7,37 +7,18 @@ documents in order gives the numbers that a batch run over the same documents gi
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import entities, graph
+from tessera.operators import entities
 
-ALIASES = "session_id string, original string, type string, n int"
-COUNTS = "types array<string>, counts array<int>, originals array<string>"
+from .state import ALIASES, ROCKSDB, cached_lookups, numbered
+from .store import GraphStore
 
-
-def numbered(requests: DataFrame) -> DataFrame:
-    """requests (session_id, text, type, seq) as a stream; out come ALIASES for texts that are new to their session.
-
-    The state of a session holds its counters and the texts that have an alias.
-    """
-
-    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        types, counts, originals = state.get if state.exists else ([], [], [])
-        counter, known, rows = dict(zip(types, counts)), set(originals), []
-        for r in pd.concat(list(batches)).sort_values(["seq", "text"]).itertuples():
-            if r.text not in known:
-                known.add(r.text)
-                counter[r.type] = counter.get(r.type, 0) + 1
-                rows.append((key[0], r.text, r.type, counter[r.type]))
-        state.update((list(counter), list(counter.values()), sorted(known)))
-        yield pd.DataFrame(rows, columns=["session_id", "original", "type", "n"])
-
-    return requests.groupBy("session_id").applyInPandasWithState(step, ALIASES, COUNTS, "append", "NoTimeout")
+__all__ = ["ALIASES", "ROCKSDB", "GraphStore", "cached_lookups", "file_stream", "numbered", "record_each", "with_alias", "without_copies"]
 
 
 def with_alias(numbers: DataFrame) -> DataFrame:
@@ -49,66 +30,6 @@ def without_copies(docs: DataFrame, at: str, delay: str = "1 hour") -> DataFrame
     return docs.withColumn("fingerprint", T.fingerprint(F.coalesce("text", F.lit("")))).withWatermark(at, delay).dropDuplicatesWithinWatermark(["fingerprint"])
 
 
-def cached_lookups(probes: DataFrame, hours: int = 24) -> DataFrame:
-    """probes (term, at: event time) as a stream with `hit`: whether the term was looked up within `hours` before.
-
-    A lookup is cached from the time it was made and isn't renewed by hits; the state of a term goes when it expires.
-    """
-
-    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        expires = pd.Timestamp(state.get[0]) if state.exists else None
-        rows = []
-        for r in pd.concat(list(batches)).sort_values("at").itertuples():
-            hit = expires is not None and r.at <= expires
-            if not hit:
-                expires = r.at + pd.Timedelta(hours=hours)
-            rows.append((key[0], r.at, hit))
-        state.update((expires,))
-        state.setTimeoutTimestamp(max(int(expires.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(rows, columns=["term", "at", "hit"])
-
-    return probes.groupBy("term").applyInPandasWithState(step, "term string, at timestamp, hit boolean", "expires timestamp", "append", "EventTimeTimeout")
-
-
-class GraphStore:
-    """The graph's three tables in numbered folders of a shared path; a batch writes the next number and then names it.
-
-    A batch that runs again writes its number again, and so counts once.
-    """
-
-    SCHEMAS = {
-        "entities": "entity_id string, canonical string, type string, first_seen timestamp, last_seen timestamp, document_count int",
-        "occurrences": "entity_id string, document_id string, original string, alias string, confirmed boolean",
-        "documents": "document_id string, label string, processed_at timestamp, entity_count int, fingerprint string",
-    }
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-
-    def versions(self) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        names = [x.getPath().getName() for x in fs.listStatus(path)]
-        return sorted(int(n[1:]) for n in names if n[0] == "v" and n[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/documents/_SUCCESS")))
-
-    def read(self, before: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-        found = [v for v in self.versions() if before is None or v < before]
-        if not found:
-            return tuple(self.spark.createDataFrame([], s) for s in self.SCHEMAS.values())
-        return tuple(self.spark.read.schema(s).parquet(f"{self.path}/v{found[-1]}/{name}") for name, s in self.SCHEMAS.items())
-
-    def record(self, version: int, new: DataFrame, found: DataFrame) -> None:
-        tables = graph.recorded(*self.read(before=version), new, found)
-        for name, table in zip(self.SCHEMAS, tables):  # documents come last and make the version complete
-            table.write.mode("overwrite").parquet(f"{self.path}/v{version}/{name}")
-
-
 def record_each(store: GraphStore, split: Callable[[DataFrame], tuple[DataFrame, DataFrame]]) -> Callable[[DataFrame, int], None]:
     """A function for foreachBatch: split gives a batch's new documents and the entities found in them."""
 
