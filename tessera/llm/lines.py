@@ -5,7 +5,8 @@ rank of a suffix by its first 2h lines is that of the pair (rank by h lines at s
 suffixes are an interval of the suffix array with a longest common prefix of h lines at least; suffixes alone in their
 interval are settled and leave, so that each round works on what still repeats and the rounds end after the logarithm of
 the longest repeated run. In each interval the suffix that comes first in the corpus is kept and every other one is a
-later copy of its h lines. The maximal runs of later copies are covered by these prefixes, since a run of n lines is the
+later copy of its h lines. Whether lines go follows from the runs of one to MIN_LINES lines that they are in: those of three
+are a pair and the line after it. The maximal runs of later copies are covered by these prefixes, since a run of n lines is the
 union of two prefixes of the largest power of two up to n.
 """
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Lines in a row that have stood before are deleted if they have so many words together, or are so many (a power of two).
+#: Lines in a row that have stood before are deleted if they have so many words together, or are so many (four: three_lines() has the only size between powers of two).
 MIN_WORDS, MIN_LINES = 5, 4
 #: Suffixes of an interval that meet in a task; more are dealt to several. At most 1 / SPLITS of all intervals' rows.
 TOGETHER, SPLITS = 5_000, 100_000
@@ -61,17 +62,32 @@ def ranked(suffixes: DataFrame) -> DataFrame:
     return rows.join(dealt, ["a", "b", "part"]).drop("part")
 
 
+def three_lines(pairs: DataFrame, single: DataFrame) -> DataFrame:
+    """Later copies of three lines, as repeated_runs() has them, where neither pair and line make them go already."""
+    after = F.struct(F.col("place.doc_id").alias("doc_id"), F.col("place.mark").alias("mark"), (F.col("place.nth") - 2).alias("nth"))
+    third = single.select(after.alias("before"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("at").alias("at2"), F.col("words").alias("words2"))
+    rows = pairs.drop("first").join(third, F.col("place") == F.col("before"))
+    rows = rows.where(((F.col("words") < MIN_WORDS) | (F.col("words2") < MIN_WORDS)) & (F.col("words") + F.col("words2") >= MIN_WORDS))
+    rank = F.xxhash64("a", "b", "a2", "b2").alias("a"), F.xxhash64(F.lit("second"), "a", "b", "a2", "b2").alias("b")
+    rows = ranked(rows.select("place", *rank, (F.col("words") + F.col("words2")).alias("words"), F.concat("at", "at2").alias("at")))
+    return rows.where("place > first").select("place", "words", F.lit(3).alias("lines"), "at")
+
+
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """place (doc_id, mark, nth), words, lines, at: a later copy of `lines` lines begins at the nth line that isn't blank.
 
-    Each suffix has one row for every power of two up to the longest that it shares with an earlier one. `at` holds the
+    Each suffix has one row for every power of two up to the longest that it shares with an earlier one, and one for three
+    lines where those matter. `at` holds the
     numbers of the first MIN_LINES lines at most, `words` how many words they have, at most MIN_WORDS for each.
     """
     place = F.struct("doc_id", "mark", "nth").alias("place")
     table = common.written(line_table(docs).select(place, "a", "b", "words", F.array("line").alias("at")), "lines")
     # Rows equal in doc_id and text give a place several times; one counts.
     level, length, found = common.written(ranked(table).dropDuplicates(["place"]), "suffixes-1"), 1, []
+    single = level
     while not level.isEmpty():
+        if length == 2:
+            found.append(three_lines(level, single))
         found.append(level.where("place > first").select("place", "words", F.lit(length).alias("lines"), "at"))
         before = F.struct(F.col("place.doc_id").alias("doc_id"), F.col("place.mark").alias("mark"), (F.col("place.nth") - length).alias("nth"))
         ahead = level.select(before.alias("before"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("at").alias("at2"), F.col("words").alias("words2"))
@@ -102,7 +118,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     deleted = (F.col("lines") <= MIN_LINES) & ((F.col("words") >= MIN_WORDS) | (F.col("lines") == MIN_LINES))
     of = [F.col("place.doc_id").alias("doc_id"), F.col("place.mark").alias("mark")]
     runs = runs.select(*of, "lines", F.explode_outer(F.when(deleted, F.col("at"))).alias("line"))
-    gone = runs.groupBy("doc_id", "mark").agg(F.max("lines").alias("longest"), F.sort_array(F.collect_set("line")).alias("gone"))
+    longest = F.max(F.when(F.col("lines") != 3, F.col("lines")))
+    gone = runs.groupBy("doc_id", "mark").agg(longest.alias("longest"), F.sort_array(F.collect_set("line")).alias("gone"))
     new = ["n_lines", "n_deleted", "deleted", "longest_run"]
     names = [c for c in docs.columns if c.lower() not in new]
     # Columns travel under numbers, so that no name of theirs can clash or be read as a path.

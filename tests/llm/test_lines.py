@@ -1,4 +1,5 @@
 import random
+import re
 
 from tessera.llm import lines
 
@@ -13,10 +14,10 @@ def brute(table):
         kept = [(k, x.strip(" ")) for k, x in enumerate(doc[1].split("\n")) if x.strip(" ")]
         out = set()
         for n in range(len(kept)):
-            for size in (1, 2, lines.MIN_LINES):
+            for size in range(1, lines.MIN_LINES + 1):
                 run = tuple(x for _, x in kept[n : n + size])
                 if len(run) == size:
-                    words = sum(len(x.split()) for x in run)
+                    words = sum(len(re.split(r"[ \t\n\x0b\f\r]+", x)) for x in run)
                     if run in seen and (words >= lines.MIN_WORDS or size == lines.MIN_LINES):
                         out |= {k for k, _ in kept[n : n + size]}
                     seen.add(run)
@@ -29,7 +30,7 @@ def test_against_brute_force(spark):
     pool = [prose(rng, rng.choice((1, 2, 3, 6, 60))) for _ in range(30)]
     texts = ["\n".join(rng.choice(pool + [""]) for _ in range(rng.randint(1, 40))) for _ in range(60)]
     run = "\n".join(pool[:12])
-    texts += [prose(rng, 5) + "\n" + run, run + "\n\n" + prose(rng, 9), "a\nb\nc\nd", "x\na\nb\n\nc\nd", "\n".join(["z"] * 40)] + [t for t in odd() if t is None or t.isascii() and "\x00" not in t]
+    texts += [prose(rng, 5) + "\n" + run, run + "\n\n" + prose(rng, 9), "a b\nc\nd e", "k\na b\nc\nd e\nm", "é ü\nß\nñ 日本\n\té", "q\né ü\nß\nñ 日本", "a\nb\nc\nd", "x\na\nb\n\nc\nd", "\n".join(["z"] * 40)] + odd()
     table = rows(texts)
     table += table[3:5]
     out = lines.dedup(spark.createDataFrame(table, SCHEMA)).collect()
@@ -44,6 +45,11 @@ def test_against_brute_force(spark):
         assert r.text == kept and r.n_deleted == len(expected) and r.unit == "x"
 
 
+def test_three_lines_that_have_five_words_together(spark):
+    out = lines.dedup(spark.createDataFrame(rows(["a b\nc\nd e", "x\na b\nc\nd e\ny", "a b\nc\nz"]), SCHEMA)).collect()
+    assert {r.doc_id: r.deleted for r in out} == {0: "", 1: "1,2,3", 2: ""}
+
+
 def test_empty_table(spark):
     assert lines.dedup(spark.createDataFrame([], SCHEMA)).count() == 0
 
