@@ -1,25 +1,28 @@
 """Language and local detection: which tokens belong together as a candidate entity.
 
-What detection asks of a token is settled in the document's token array, where also the words that can be in no group are
-left out, some nine of ten. The rest is exploded and shuffled once, by document. Four passes take runs of words: within a
-chain of words that may follow, everything from the first word that may start a group on. A word that may not follow
-opens a chain, and may be its start. Each pass sees what earlier ones have taken; all windows are by document. Addresses
-are taken greedily, eight tokens at a time; only street words close to one another are folded for that.
+What detection asks of a token is settled in the token arrays of a document's pieces, where also the words that can be in no
+group are left out, some nine of ten. The rest is exploded and shuffled once, by document. Four passes take runs of words:
+within a chain of words that may follow, everything from the first word that may start a group on. A word that may not
+follow opens a chain, and may be its start. Each pass sees what earlier ones have taken; all windows are by document.
+Addresses are taken greedily, eight tokens at a time, by one scan in the order that the windows leave. All of it takes time
+in proportion to a text's length.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions.lexicon import DEFAULT, Lexicon
 
-from .tokenize import end_of, placed, token_arrays, with_kinds
+from .tokenize import TAIL, end_of, kinds_of, pieces, placed, token_array
 
 ADDRESS_TOKENS = 8
-#: Persons at most so many characters apart are merged: so much text after a group goes along with it.
-TAIL = 3
 #: Pass, local type and confidence of groups.
 PASSES = {2: ("company_candidate", "probable"), 3: ("address_fragment", "probable"), 4: ("person_candidate", "probable"), 5: (None, "candidate")}
 GROUP_FIELDS = ["pass", "ord", "text", "start", "end", "tail", "local_type", "confidence", "skip", "words"]
@@ -45,23 +48,30 @@ def best_language(languages: list[str]) -> Column:
     return pick
 
 
-def upper_words() -> Column:
-    return F.transform("tokens", lambda t: F.when(t["kind"] == "word", F.upper(t["text"])))
+def upper_words(tokens: Column) -> Column:
+    return F.transform(tokens, lambda t: F.when(t["kind"] == "word", F.upper(t["text"])))
 
 
 def with_language(docs: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
     """docs (with text) with language and score_*; nothing shuffles."""
-    rows = with_kinds(token_arrays(docs)).withColumn("upper", upper_words())
-    rows = rows.select(*docs.columns, *scores(lexicon))
+    words = F.transform(pieces(F.coalesce("text", F.lit(""))), lambda p: upper_words(kinds_of(token_array(p))))
+    rows = docs.withColumn("upper", F.flatten(words)).select(*docs.columns, *scores(lexicon))
     return rows.withColumn("language", best_language(list(lexicon.stop_words)))
 
 
 def kept_tokens(docs: DataFrame, keep: list[str], lexicon: Lexicon) -> DataFrame:
-    """doc_id, keep, score_*, and a row for each pattern token and each word that can be in a group; one row with tok null if there is none."""
-    rows = placed(docs).withColumn("upper", upper_words())
+    """doc_id, keep, score_*, lead, and a row for each pattern token and each word that can be in a group.
+
+    A piece of a document without such has one row with tok null; `lead` marks one row of each piece, whose score_* the
+    other rows of the piece repeat.
+    """
     asks = {"company_word": lexicon.company_words, "street_word": lexicon.street_words, "honorific": lexicon.honorifics, "stop": lexicon.every_stop_word}
-    for name, words in asks.items():
-        rows = rows.withColumn(name, F.expr(f"transform(upper, u -> {among('u', words)})"))
+
+    def asked(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("upper", upper_words(F.col("tokens")))
+        return rows.withColumns({name: F.expr(f"transform(upper, u -> {among('u', words)})") for name, words in asks.items()})
+
+    rows = placed(docs.select("doc_id", *keep, "text"), asked, ADDRESS_TOKENS)
     count = F.size("tokens")
 
     # Arrays that a lambda looks up are its argument: Catalyst would put a column's expression in their place, to be
@@ -71,17 +81,13 @@ def kept_tokens(docs: DataFrame, keep: list[str], lexicon: Lexicon) -> DataFrame
         word = t["kind"] == "word"
         return F.struct(
             k.alias("tok"), t["text"].alias("text"), t["kind"].alias("kind"), t["pattern"].alias("pattern"), end_of(k).alias("end"),
-            F.when(word, end_of(count + k)).alias("w"), (word & T.capitalized(t["text"])).alias("cap"),
+            F.when(word, end_of(count + k)).alias("w"), (word & T.capitalized(t["text"])).alias("cap"), (end_of(count + count + k) == 1).alias("near"),
             *[x[name].alias(name) for name in asks],
         )
 
-    marked = rows.select("doc_id", *keep, *scores(lexicon), "tokens", "places", F.transform(F.arrays_zip("tokens", *asks), flags).alias("marks"))
-
-    def wanted(streets: Column) -> Column:
-        near = lambda m: F.exists(streets, lambda s: (m["w"] >= s) & (m["w"] < s + ADDRESS_TOKENS))
-        return F.filter("marks", lambda m: (m["kind"] == "pattern") | m["cap"] | m["company_word"] | m["street_word"] | m["honorific"] | (m["w"].isNotNull() & near(m)))
-
-    streets = F.transform(F.filter("marks", lambda m: m["street_word"]), lambda m: m["w"])
+    marked = rows.select("doc_id", *keep, *scores(lexicon), "tokens", "at", "after", F.transform(F.arrays_zip("tokens", *asks), flags).alias("marks"))
+    wanted = F.filter("marks", lambda m: (m["kind"] == "pattern") | m["cap"] | m["company_word"] | m["street_word"] | m["honorific"] | m["near"])
+    carried = F.when(F.col("at.kind").isNotNull(), F.struct(F.col("at.kind").alias("kind"), F.col("at.text").alias("text"), F.col("at.start").alias("start")))
 
     def around(m: Column) -> Column:
         """With the last token before that isn't white space, and the text after the token."""
@@ -89,14 +95,15 @@ def kept_tokens(docs: DataFrame, keep: list[str], lexicon: Lexicon) -> DataFrame
         one = F.get("tokens", k - 1)
         at = F.when(one["kind"] == "whitespace", k - 2).otherwise(k - 1)
         own = F.get("tokens", at)
-        before = F.struct(own["kind"].alias("kind"), own["text"].alias("text"), (F.get("places", at) - F.length(own["text"])).alias("start"))
-        after = F.substring(F.concat(*[F.coalesce(F.get("tokens", k + n)["text"], F.lit("")) for n in range(1, TAIL + 1)]), 1, TAIL)
-        fields = [m[f].alias(f) for f in ("tok", "text", "kind", "pattern", "end", "w", "cap", *asks)]
-        return F.struct(*fields, F.when(at >= 0, before).alias("before"), after.alias("tail"))
-
-    marked = marked.withColumn("kept", F.get(F.transform(F.array(streets), wanted), F.lit(0)))
-    rows = marked.select("doc_id", *keep, *[c for c in marked.columns if c.startswith("score_")], F.explode_outer(F.transform("kept", around)).alias("m"))
-    rows = rows.select(*[c for c in rows.columns if c != "m"], "m.*")
+        before = F.struct(own["kind"].alias("kind"), own["text"].alias("text"), (end_of(at) - F.length(own["text"])).alias("start"))
+        after = F.substring(F.concat(*[F.coalesce(F.get("tokens", k + n)["text"], F.lit("")) for n in range(1, TAIL + 1)], F.col("after")), 1, TAIL)
+        fields = [m[f].alias(f) for f in ("text", "kind", "pattern", "end", "w", "cap", *asks)]
+        return F.struct((F.col("at.first") + k).alias("tok"), *fields, F.when(at >= 0, before).otherwise(carried).alias("before"), after.alias("tail"))
+
+    marked = marked.withColumn("kept", wanted)
+    scored = [c for c in marked.columns if c.startswith("score_")]
+    rows = marked.select("doc_id", *keep, *scored, F.posexplode_outer(F.transform("kept", around)).alias("nth", "m"))
+    rows = rows.select("doc_id", *keep, *scored, (F.coalesce("nth", F.lit(0)) == 0).alias("lead"), "m.*")
     first = F.col("before").isNull() | ((F.col("before.kind") == "punctuation") & (F.col("before.text") == "."))
     return rows.withColumn("start", F.col("end") - F.length("text")).withColumn("sentence_start", first).withColumn("all_upper", T.all_upper(F.col("text")))
 
@@ -122,29 +129,39 @@ def chained(rows: DataFrame, name: str, follows: Column, starts: Column, least:
     return rows.withColumn(name, F.when(inside & (size >= least), F.col("first"))).drop("opens", "chain", "first")
 
 
+def covering(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """From (first row of a document, word number, street word, end of its group, segment), in order: the start of the group
+    that covers the row, else null. What goes from batch to batch is the last group."""
+    start, end, segment = -1, -1, -1
+    for first, w, street, until, of in parts:
+        first, street, numbers, until, of = first.to_numpy(), street.to_numpy(), w.to_numpy(), until.to_numpy(), of.to_numpy()
+        at, found = [0], [(start, end, segment)]
+        for k in np.flatnonzero(first | street).tolist():
+            if first[k]:
+                end = -1
+            if street[k] and (numbers[k] >= end or of[k] != segment):
+                start, end, segment = int(numbers[k]), int(until[k]), int(of[k])
+            at.append(k)
+            found.append((start, end, segment))
+        picks = np.array(found)[np.searchsorted(at, np.arange(len(numbers)), side="right") - 1]
+        inside = (picks[:, 1] > numbers) & (picks[:, 2] == of)
+        yield pd.Series(np.where(inside, picks[:, 0], -1)).astype("Int32").where(inside)
+
+
 def addresses(rows: DataFrame) -> DataFrame:
     """rows with g3: groups of a street word, the number before it, and the words after it that no company has taken.
 
-    A street word inside the group of an earlier one starts no group. Only street words less than ADDRESS_TOKENS words
-    apart, with no company between them, can do that to one another: those are folded in order.
+    A street word inside the group of an earlier one starts no group; a company ends a group. The scan needs a document's
+    rows in order and in one partition, which the windows before it have seen to; the sort says so and is not done again.
     """
     taken = F.col("g2").isNotNull()
-    so_far = ordered().rowsBetween(Window.unboundedPreceding, 0)
-    street = F.col("street_word") & ~taken
-    rows = rows.withColumn("segment", F.sum(F.when(taken, 1).otherwise(0)).over(so_far))
-    before = F.last(F.when(street, F.struct("w", "segment")), ignorenulls=True).over(ordered().rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("last", before)
-    apart = F.col("last").isNull() | (F.col("w") >= F.col("last.w") + ADDRESS_TOKENS) | (F.col("segment") != F.col("last.segment"))
-    rows = rows.withColumn("cluster", F.sum(F.when(street & apart, 1).otherwise(0)).over(so_far))
+    street = F.coalesce(F.col("street_word"), F.lit(False)) & ~taken
     numbered = F.coalesce(F.col("before.kind") == "number", F.lit(False))
     end = F.col("w") + F.when(numbered, ADDRESS_TOKENS - 1).otherwise(ADDRESS_TOKENS)
-    own = F.when(street, F.struct("w", end.alias("end"), "segment"))
-    rows = rows.withColumn("all", F.array_sort(F.collect_list(own).over(Window.partitionBy("doc_id", "cluster"))))
-    none = F.lit(None).cast("struct<w:int,end:int,segment:bigint>")
-    pick = F.aggregate("all", none, lambda acc, x: F.when((x["w"] <= F.col("w")) & (acc.isNull() | (acc["end"] <= x["w"])), x).otherwise(acc))
-    rows = rows.withColumn("pick", F.when((F.col("kind") == "word") & ~taken & (F.size("all") > 0), pick))
-    inside = (F.col("pick.end") > F.col("w")) & (F.col("pick.segment") == F.col("segment"))
-    return rows.withColumn("g3", F.when(inside, F.col("pick.w"))).drop("segment", "last", "cluster", "all", "pick")
+    rows = rows.withColumn("segment", F.sum(F.when(taken, 1).otherwise(0)).over(ordered().rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("first", F.row_number().over(ordered()) == 1).sortWithinPartitions("doc_id", "tok")
+    start = F.pandas_udf(covering, "int").asNondeterministic()("first", F.coalesce("w", F.lit(-1)), street, F.coalesce(end, F.lit(-1)), "segment")
+    return rows.withColumn("pick", start).withColumn("g3", F.when((F.col("kind") == "word") & ~taken, F.col("pick"))).drop("segment", "first", "pick")
 
 
 def grouped_words(rows: DataFrame) -> DataFrame:
@@ -160,8 +177,7 @@ def grouped_words(rows: DataFrame) -> DataFrame:
     for k in PASSES:
         number = number.when(F.col(f"g{k}").isNotNull(), k)
     g = F.when(F.col("kind") == "pattern", F.col("tok")).otherwise(F.coalesce("g2", "g3", "g4", "g5"))
-    first = F.row_number().over(ordered()) == 1
-    return rows.withColumn("pass", number).withColumn("g", g).withColumn("head", first)
+    return rows.withColumn("pass", number).withColumn("g", g)
 
 
 def analysed(docs: DataFrame, keep: list[str] | None = None, lexicon: Lexicon = DEFAULT) -> DataFrame:
@@ -173,15 +189,16 @@ def analysed(docs: DataFrame, keep: list[str] | None = None, lexicon: Lexicon =
     keep = [] if keep is None else keep
     rows = grouped_words(kept_tokens(docs, keep, lexicon))
     scored = [f"score_{x}" for x in lexicon.stop_words]
-    # One row of each document stays that is in no group's way, for documents without groups.
-    rows = rows.where(F.col("pass").isNotNull() | F.col("head"))
-    found = rows.groupBy("doc_id", *keep, *scored, "pass", "g").agg(
+    # One row of each piece stays for its scores, and for documents without groups.
+    rows = rows.where(F.col("pass").isNotNull() | F.col("lead"))
+    found = rows.groupBy("doc_id", *keep, "pass", "g").agg(
         F.array_sort(F.collect_list(F.struct("tok", "text"))).alias("members"),
         F.min("start").alias("start"),
         F.max("end").alias("end"),
         F.max_by("tail", "tok").alias("tail"),
         F.first("pattern").alias("pattern"),
         F.min_by("before", "tok").alias("before"),
+        *[F.sum(F.when(F.col("lead"), F.col(c)).otherwise(0)).alias(c) for c in scored],
     )
     number = F.when((F.col("pass") == 3) & (F.col("before.kind") == "number"), F.col("before"))
     words = F.transform("members", lambda m: m["text"])
@@ -194,7 +211,7 @@ def analysed(docs: DataFrame, keep: list[str] | None = None, lexicon: Lexicon =
         F.col("tail"), kind.alias("local_type"), confidence.alias("confidence"), (F.col("pass") == 1).alias("skip"), words.alias("words"),
     )
     found = found.select("doc_id", *keep, *scored, F.when(F.col("pass").isNotNull(), group).alias("group"))
-    out = found.groupBy("doc_id", *keep, *scored).agg(F.array_sort(F.collect_list("group")).alias("groups"))
+    out = found.groupBy("doc_id", *keep).agg(*[F.sum(c).alias(c) for c in scored], F.array_sort(F.collect_list("group")).alias("groups"))
     return out.select("doc_id", *keep, *scored, best_language(list(lexicon.stop_words)).alias("language"), "groups")
 
 

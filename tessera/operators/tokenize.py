@@ -1,7 +1,15 @@
-"""Identifier spans and tokens of documents, as arrays beside the text. Nothing here shuffles."""
+"""Identifier spans and tokens of documents. Nothing here shuffles.
+
+Long texts are worked on in pieces of about CHUNK characters. They are cut only after white space and before a character
+that neither an IBAN, nor a number of any kind, can hold; the other identifiers hold no white space. So no identifier and no
+token reaches over a cut, and the pieces give what the whole text gives, in time that grows with its length. Where a
+piece's tokens stand in the document follows from a carry that goes from piece to piece.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,12 +17,38 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 
+#: Characters of a piece at least; the place to cut may be further on, or nowhere.
+CHUNK = 4_096
+
+
+def pieces(text: Column) -> Column:
+    """The text cut up; an empty text is one piece."""
+    space = T.SPACE[1:-1]
+    cut = rf"(?s).{{{CHUNK},}}?[{space}](?=[^A-Z0-9+.\-{space}])|.+"
+    return F.when(F.length(text) <= CHUNK, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(cut), F.lit(0)))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once: a one-element array binds it to a name."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
 
 def resolved_spans(text: Column) -> Column:
     """Spans (start, end, kind, text) of all patterns by priority, ordered: a match that overlaps an accepted one is dropped.
 
     IBANs whose check fails are dropped too; they don't block others.
     """
+    moved = lambda s, at: F.struct((s["start"] + at).alias("start"), (s["end"] + at).alias("end"), s["kind"].alias("kind"), s["text"].alias("text"))
+
+    def of_all(cut: Column) -> Column:
+        starts = F.aggregate(cut, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p))))
+        return F.flatten(F.zip_with(cut, F.slice(starts, F.lit(1), F.size(cut)), lambda p, at: F.transform(spans_of(p), lambda s: moved(s, at))))
+
+    return bound(pieces(text), lambda cut: F.when(F.size(cut) == 1, spans_of(F.get(cut, F.lit(0)))).otherwise(of_all(cut)))
+
+
+def spans_of(text: Column) -> Column:
+    """resolved_spans() of one piece."""
     accepted = None
     for kind, pattern in T.PATTERNS:
         found = T.matches(text, kind, pattern)
@@ -46,9 +80,8 @@ def kind_of(first: Column, pattern: Column) -> Column:
     )
 
 
-def token_arrays(docs: DataFrame) -> DataFrame:
-    """docs with `tokens`, an array of (text, pattern): identifier spans and, between them, the basic tokens. They cover the text."""
-    source = F.coalesce("text", F.lit(""))
+def token_array(source: Column) -> Column:
+    """An array of (text, pattern) for one piece: identifier spans and, between them, the basic tokens. They cover the text."""
     basic = F.lit(T.unicode_space(T.BASIC))
     none = F.lit(None).cast("string")
     token = lambda text, pattern: F.struct(text.alias("text"), pattern.alias("pattern"))
@@ -56,51 +89,106 @@ def token_arrays(docs: DataFrame) -> DataFrame:
     def basic_tokens(gap: Column) -> Column:
         return F.transform(F.regexp_extract_all(gap, basic, F.lit(0)), lambda t: token(t, none))
 
-    def around(at: Column) -> Column:
-        before, own = F.get("spans", at - 1), F.get("spans", at)
+    def around(found: Column, at: Column) -> Column:
+        before, own = F.get(found, at - 1), F.get(found, at)
         start = F.coalesce(before["end"], F.lit(0))
         plain = basic_tokens(F.substring(source, start + 1, F.coalesce(own["start"], F.length(source)) - start))
         return F.when(own.isNull(), plain).otherwise(F.concat(plain, F.array(token(own["text"], own["kind"]))))
 
-    pieces = F.flatten(F.transform(F.sequence(F.lit(0), F.size("spans")), around))
-    return spans(docs).withColumn("tokens", F.when(F.size("spans") == 0, basic_tokens(source)).otherwise(pieces))
+    def every(found: Column) -> Column:
+        parts = F.flatten(F.transform(F.sequence(F.lit(0), F.size(found)), lambda at: around(found, at)))
+        return F.when(F.size(found) == 0, basic_tokens(source)).otherwise(parts)
 
+    return bound(spans_of(source), every)
 
-def placed(docs: DataFrame) -> DataFrame:
-    """docs with `tokens` (text, pattern, kind) and `places`: the ends of all tokens and, after them, the number of words up to each token.
 
-    Running sums are what array functions can't do in one pass; only lengths go to numpy and back, in Arrow batches.
-    """
+def chunked(docs: DataFrame) -> DataFrame:
+    """docs with a row for each piece: `text` is the piece, `chunk` its number, `after` the TAIL characters that follow it."""
+    text = F.coalesce("text", F.lit(""))
+    follows = lambda cut: F.transform(F.sequence(F.lit(1), F.size(cut)), lambda k: F.substring(F.get(cut, k), 1, TAIL))
+    pairs = bound(pieces(text), lambda cut: F.arrays_zip(cut.alias("piece"), F.when(F.size(cut) == 1, F.array(F.lit(""))).otherwise(follows(cut)).alias("after")))
+    rows = docs.select(*[c for c in docs.columns if c != "text"], F.posexplode(pairs).alias("chunk", "x"))
+    return rows.select(*[c for c in docs.columns if c != "text"], "chunk", F.col("x")["piece"].alias("text"), F.coalesce(F.col("x")["after"], F.lit("")).alias("after"))
+
+
+#: Characters after a token that detection may ask for.
+TAIL = 3
+CARRIED = "places array<int>, first int, kind string, text string, start int"
+
 
-    @F.pandas_udf("array<int>")
-    def running(lengths: pd.Series) -> pd.Series:
-        return lengths.map(lambda x: np.concatenate((np.cumsum(np.abs(x)), np.cumsum(x < 0))).astype(np.int32))
+def placed(docs: DataFrame, streets: Callable[[DataFrame], DataFrame] | None = None, reach: int = 0) -> DataFrame:
+    """chunked() docs with `tokens` (text, pattern, kind) and `at`: where the piece and its tokens stand in the document.
 
+    at.places holds the ends of all tokens, then the number of words up to each token, then, if streets adds a column
+    `street_word` (array of boolean), whether each is one of the `reach` words from such a word on. at.first is the number of
+    the piece's first token; at.kind, at.text and at.start are the last token before the piece that isn't white space.
+    Only lengths and flags go to numpy and back, in Arrow batches; a document's pieces follow one another, as posexplode
+    leaves them, and the carry is what adds up over them.
+    """
+
+    @F.pandas_udf(CARRIED)
+    def carried(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        tokens, words, end, street, last = 0, 0, 0, None, (None, None, None)
+        for chunk, lengths, flags, kinds, texts in parts:
+            rows = []
+            for k, x, flag, kind, text in zip(chunk, lengths, flags, kinds, texts):
+                if k == 0:
+                    tokens, words, end, street, last = 0, 0, 0, None, (None, None, None)
+                ends, numbers = end + np.cumsum(np.abs(x)), words + np.cumsum(x < 0)
+                near = np.zeros(0, dtype=np.int64)
+                if reach:
+                    own = numbers[np.asarray(flag, dtype=bool)]
+                    known = own if street is None else np.append(street, own)
+                    before = np.searchsorted(known, numbers, side="right") - 1
+                    near = (x < 0) & (before >= 0) & (numbers < (known[before] + reach if len(known) else 0))
+                    street = known[-1] if len(known) else None
+                rows.append((np.concatenate((ends, numbers, near)).astype(np.int32), tokens, *last))
+                if len(x):
+                    if kind is not None:
+                        at = len(x) - 1 - (kind[0] == " ")
+                        last = (kind[1:], text, int(ends[at]) - abs(int(x[at])))
+                    tokens, words, end = tokens + len(x), int(numbers[-1]), int(ends[-1])
+            out = pd.DataFrame(rows, columns=["places", "first", "kind", "text", "start"])
+            yield out.astype({"start": "Int32"})
+
+    rows = with_kinds(chunked(docs).withColumn("tokens", token_array(F.col("text"))))
+    rows = rows if streets is None else streets(rows)
+    flags = F.col("street_word") if streets is not None else F.array().cast("array<boolean>")
     # A word's length is negative, which tells words apart.
     lengths = F.transform("tokens", lambda t: F.when(t["kind"] == "word", -F.length(t["text"])).otherwise(F.length(t["text"])))
-    return with_kinds(token_arrays(docs)).withColumn("places", running(lengths))
+    final = F.get("tokens", F.size("tokens") - 1)
+    spaced = final["kind"] == "whitespace"
+    solid = F.when(spaced, F.get("tokens", F.size("tokens") - 2)).otherwise(final)
+    # The kind of the last token that isn't white space, after a blank if white space follows it.
+    kind = F.concat(F.when(spaced, " ").otherwise("_"), solid["kind"])
+    return rows.withColumn("at", carried("chunk", lengths, flags, kind, solid["text"]))
 
 
 def with_kinds(rows: DataFrame) -> DataFrame:
-    """rows of token_arrays() with the kind of each token."""
-    codes = F.transform("tokens", lambda t: F.ascii(t["text"])).alias("code")
-    token = lambda x: F.struct(x["tokens"]["text"].alias("text"), x["tokens"]["pattern"].alias("pattern"), kind_of(x["code"], x["tokens"]["pattern"]).alias("kind"))
-    return rows.withColumn("tokens", F.transform(F.arrays_zip("tokens", codes), token))
+    """rows with `tokens` of token_array(), with the kind of each token."""
+    return rows.withColumn("tokens", kinds_of(F.col("tokens")))
+
+
+def kinds_of(found: Column) -> Column:
+    codes = lambda tokens: F.transform(tokens, lambda t: F.ascii(t["text"]))
+    token = lambda t, code: F.struct(t["text"].alias("text"), t["pattern"].alias("pattern"), kind_of(code, t["pattern"]).alias("kind"))
+    return bound(found, lambda tokens: F.zip_with(tokens, codes(tokens), token))
 
 
 def end_of(at: Column) -> Column:
-    return F.get("places", at)
+    return F.get("at.places", at)
 
 
 def tokens(docs: DataFrame) -> DataFrame:
     """doc_id, tok, text, kind, pattern, start, end: one row for each token, in order of tok. doc_id must be unique."""
     each = F.transform("tokens", lambda t, k: F.struct(t["text"].alias("text"), t["kind"].alias("kind"), t["pattern"].alias("pattern"), end_of(k).alias("end")))
     # The outer form, since for the plain one Catalyst works the array out two more times, to leave out empty ones.
-    rows = placed(docs).select("doc_id", F.posexplode_outer(each).alias("tok", "t")).where("t is not null")
-    return rows.select("doc_id", "tok", "t.text", "t.kind", "t.pattern", (F.col("t.end") - F.length("t.text")).alias("start"), "t.end")
+    rows = placed(docs.select("doc_id", "text")).select("doc_id", F.col("at.first").alias("first"), F.posexplode_outer(each).alias("k", "t")).where("t is not null")
+    return rows.select("doc_id", (F.col("first") + F.col("k")).alias("tok"), "t.text", "t.kind", "t.pattern", (F.col("t.end") - F.length("t.text")).alias("start"), "t.end")
 
 
 def token_kinds(docs: DataFrame) -> DataFrame:
     """doc_id, text, kind for each token, where positions aren't needed: nothing leaves the JVM."""
-    rows = token_arrays(docs).select("doc_id", F.explode_outer("tokens").alias("t")).where("t is not null").select("doc_id", "t.text", "t.pattern", F.ascii("t.text").alias("code"))
+    rows = chunked(docs.select("doc_id", "text")).select("doc_id", F.explode_outer(token_array(F.col("text"))).alias("t")).where("t is not null")
+    rows = rows.select("doc_id", "t.text", "t.pattern", F.ascii("t.text").alias("code"))
     return rows.select("doc_id", "text", kind_of(F.col("code"), F.col("pattern")).alias("kind"))
