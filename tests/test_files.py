@@ -16,6 +16,37 @@ PAGES = [
     ("<body>one\n\n\n\n\ntwo \t three</body>", "one\n\ntwo three"),
     ("<body>1 &lt; 2 &amp; 3<br>4<img src='x' aria-hidden='true'>5</body>", "1 < 2 & 345"),
     ("plain text", "plain text"),
+    # End tags that are left out.
+    ('<p aria-hidden="true">x<p>shown', "shown"),
+    ('<ul><li aria-hidden="true">a<li>b</ul><p>c', "bc"),
+    ('<ul><li aria-hidden="true">a<ul><li>b</ul>c<li>d</ul>', "d"),
+    ("<table><tr><td aria-hidden=true>q<td>r</table>z", "rz"),
+    ("<table><tr aria-hidden=true><td>q<tr><td>r<tbody><tr><td>s</table>", "rs"),
+    ("<td aria-hidden=true>q<td>r</table>z", "qrz"),
+    ("<head><title>x</title><p>hello", "hello"),
+    ("<body>one<body>two", "onetwo"),
+    ("<body aria-hidden='true'>one", "one"),
+    ("<dl><dt aria-hidden=true>a<dd>b<dt>c</dl>", "bc"),
+    ("<select><option aria-hidden=true>a<option>b</select>", "b"),
+    ("<h1 aria-hidden=true>a<h2>b</h2>", "b"),
+    # Elements that close in another order.
+    ("<p><b aria-hidden=true>a</p>b</b>c", "c"),
+    ("<div aria-hidden=true><p>a</div>b</p>c", "bc"),
+    ("<b>a<p>b</b>c</p>d", "abcd"),
+    ("a</div></p></li>b", "ab"),
+    ("<a aria-hidden=true>a<a>b</a>c", "bc"),
+    # Text where a table holds none, drawings, heads, ends.
+    ("<table>a<tr><td>b</td></tr>c</table>d", "acbd"),
+    ("<table><tr><td><b aria-hidden=true>a</td><td>b</td></tr></table>", "b"),
+    ("<svg><path/><text>no</text><p>yes", "yes"),
+    ("<svg/>a<canvas/>b", "a"),
+    ("<title>t</title>\n <style>s</style> a <title>b</title>", "a b"),
+    ("<noscript><p>x</p></noscript><p>y", "y"),
+    ("<body>a</body></html>b", "ab"),
+    ("<button>a<button aria-hidden=true>b</button>c", "ac"),
+    ("<p>Visible text.</p><script>var secret = 1;</script><style>.hidden{}</style>", "Visible text."),
+    ("<p>Mot   un     deux</p><p>\n\n\n\n\n</p><p>Trois</p>", "Mot un deux\n\nTrois"),
+    ('<p>Visible.</p><div aria-hidden="true">Hidden content</div>', "Visible."),
     ("", ""),
     (None, ""),
 ]
@@ -75,3 +106,8 @@ def test_codes_are_those_of_the_class(spark):
     rows = spark.range(0x10000).where("id > 0 and (id < 55296 or id > 57343)").select("id", F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("c"))
     wrong = rows.where(F.ascii("c").isin(T.SPACE_CODES) != F.col("c").rlike(f"^{T.SPACE}$"))
     assert wrong.count() == 0
+
+
+def test_deep_and_long_pages_take_linear_time():
+    assert files.visible("<div>" * 3000 + "x" + "</div>" * 3000) == "x"
+    assert len(files.visible("<p>word <b>x" * 20_000)) > 100_000
