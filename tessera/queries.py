@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tessera.functions import lexicon as L
 from tessera.functions import text as T
 from tessera.functions.lexicon import DEFAULT
-from tessera.operators import detect, entities, graph, lookups, rewrite
+from tessera.operators import automata, detect, entities, graph, lookups, rewrite
 from tessera.operators.tokenize import spans, token_kinds, tokens
 from tessera.plans import anonymize as plan
 from tessera.sources import files, tables
@@ -583,6 +583,55 @@ def highlight_terms(spark, sf_dir):
     return rows.withColumn("plain", rewrite.unhighlighted(F.col("marked")))
 
 
+# Tables of as many terms as there are customers, one for each of two sessions, over a text for each order.
+NAME_SQL = "concat('Customer#', lpad(cast({} AS string), 9, '0'))"
+ORDERED_SQL = f"concat('order of ', {NAME_SQL.format('o_custkey')}, ' for ', upper({NAME_SQL.format('floor(o_custkey / 2)::BIGINT')}), ', not Customer#x ', o_orderkey)"
+SESSION_ALIAS = "CASE session WHEN '0' THEN concat('Person ', {0}) ELSE concat('Client ', {0}, ' of ours') END"
+
+
+def ordered_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = ORDERED_SQL.replace("floor(o_custkey / 2)::BIGINT", "cast(floor(o_custkey / 2) AS bigint)")
+    return read(spark, sf_dir, "orders").selectExpr("o_orderkey", "cast(o_orderkey % 2 AS string) AS session", f"{text} AS text")
+
+
+def customer_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("text"), F.lower("c_mktsegment").alias("type"), F.explode(F.array(F.lit("0"), F.lit("1"))).alias("session"))
+    return rows.select("session", "text", "type", F.expr(SESSION_ALIAS.format("c_custkey")).alias("alias"), F.col("c_custkey").alias("ord"))
+
+
+def ordered_sql(name: str, other: str) -> str:
+    """SQL for the texts with something else in the places of the two names."""
+    return f"concat('order of ', {name}, ' for ', {other}, ', not Customer#x ', o_orderkey)"
+
+
+SESSIONS_SQL = f"o AS (SELECT o_orderkey, (o_orderkey % 2)::VARCHAR AS session, o_custkey AS a, floor(o_custkey / 2)::BIGINT AS b, {NAME_SQL.format('o_custkey')} AS name, upper({NAME_SQL.format('floor(o_custkey / 2)::BIGINT')}) AS other FROM orders)"
+
+
+@query(f"WITH {SESSIONS_SQL} SELECT o_orderkey, {ordered_sql(SESSION_ALIAS.format('a'), SESSION_ALIAS.format('b'))} AS replaced FROM o")
+def replace_many_terms(spark, sf_dir):
+    """Names in any case by the aliases of their session."""
+    return automata.replace(ordered_texts(spark, sf_dir), customer_terms(spark, sf_dir), "session").select("o_orderkey", "replaced")
+
+
+def marked_sql(kind: str, text: str) -> str:
+    return f"""concat('<mark class="entity entity-', {kind}, '" title="Type: ', {kind}, '">', {text}, '</mark>')"""
+
+
+@query(f"""WITH {SESSIONS_SQL} SELECT o_orderkey, {ordered_sql(marked_sql("lower(x.c_mktsegment)", "name"), marked_sql("lower(y.c_mktsegment)", "other"))} AS marked
+    FROM o JOIN customer x ON x.c_custkey = a JOIN customer y ON y.c_custkey = b""")
+def highlight_many_terms(spark, sf_dir):
+    """Names in any case, each marked with the class of its type."""
+    return automata.highlight(ordered_texts(spark, sf_dir), customer_terms(spark, sf_dir), "session").select("o_orderkey", "marked")
+
+
+@query(f"WITH {SESSIONS_SQL} SELECT o_orderkey, {ordered_sql('name', NAME_SQL.format('b'))} AS restored FROM o")
+def restore_many_aliases(spark, sf_dir):
+    """Names by aliases and back again: Person 1 is the beginning of Person 12, which must come first."""
+    table = customer_terms(spark, sf_dir)
+    hidden = automata.replace(ordered_texts(spark, sf_dir), table, "session").select("o_orderkey", "session", F.col("replaced").alias("text"))
+    return automata.restore(hidden, table.select("session", F.col("text").alias("original"), "alias", "ord"), "session").select("o_orderkey", "restored")
+
+
 @query(f"SELECT page_id, {escaped_sql('html')} AS escaped FROM pages")
 def html_escape(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", T.html_escaped(F.col("html")).alias("escaped"))
