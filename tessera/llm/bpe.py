@@ -5,7 +5,8 @@ with its number in the block; the texts themselves become arrays of those number
 words are shuffled by a hash of the word, each distinct word is encoded once, its ids go back to the blocks that hold it,
 and every document is put together by position. A frequent word thus travels once for each block and not once for each
 use; the words of a block that go to one place travel together, compressed.
-decode() joins ids with the table of the tokens' bytes, whose size is that of the vocabulary.
+decode() looks ids up by position in the table of the tokens' bytes, which goes along with the plan: its size is that of
+the vocabulary.
 
 The blocks are made twice, once for their words and once for their texts, from the same scan, which must give its rows in
 the same order again, as files do; a block compares digests of its words with those of the words that it gets back, so

@@ -125,13 +125,14 @@ class Centroids:
 
 
 def searchable(vectors: DataFrame) -> DataFrame:
-    """vec_id and embedding (array of float) of the rows that take part.
+    """vec_id and embedding (array of double where the table has doubles or whole numbers, else of float) of the rows that take part.
 
     Vectors that are null, zero, or hold null or non-finite components take no part, nor do those without vec_id or with
     other than the most frequent number of components, which have no inner product with the rest. Rows with one vec_id
     each count.
     """
-    x = F.col("embedding").cast("array<float>")
+    single = dict(vectors.dtypes)["embedding"] == "array<float>"
+    x = F.col("embedding").cast("array<float>" if single else "array<double>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("embedding")).where("vec_id is not null and embedding is not null")
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     rows = rows.where(finite & F.exists("embedding", lambda v: v != 0))
@@ -180,7 +181,7 @@ def posted(table: DataFrame, centroids, query: bool, least: int, most: int, rati
                 row, column = np.nonzero(chosen)
                 yield pd.DataFrame({"cid": batch["cid"].to_numpy()[row], "least": batch["least"].to_numpy()[row], "embedding": batch["embedding"].to_numpy()[row], "list": lists[row, column]})
 
-    return table.select("cid", "least", "embedding").mapInPandas(place, "cid string, least long, embedding array<float>, list int")
+    return table.select("cid", "least", "embedding").mapInPandas(place, f"cid string, least long, embedding {dict(table.dtypes)['embedding']}, list int")
 
 
 def scored(vectors: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:

@@ -39,6 +39,16 @@ def test_small_table_is_exact_with_ties_copies_and_odd_vectors(spark):
     assert searched(spark, rows + odd + again) == brute(ids, y, 20, 20)
 
 
+def test_double_components_stay_double(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(120, 4)) + np.array([1e6, 0, 0, 0])  # differences that floats don't hold
+    docs = spark.createDataFrame([(k, [float(v) for v in x[k]]) for k in range(120)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.search(docs).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == brute(np.arange(120), x, 20, 20)
+
+
 def test_fewer_candidates_than_k(spark):
     out = searched(spark, [(0, [1.0, 0.0], 0), (1, [0.5, 0.5], 0), (20, [1.0, 0.0], 0)])
     assert [v for v, _ in out[0]] == [20, 1] and [v for v, _ in out[20]] == [0, 1]
