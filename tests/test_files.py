@@ -1,5 +1,8 @@
 """Files in and out: texts, alias tables, pages, summaries."""
 
+import csv
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +94,31 @@ def test_last_alias_of_an_original_counts(spark, tmp_path):
     assert {r.original: r.alias for r in files.read_aliases(spark, f"{tmp_path}/in").collect()} == {"a": "3", "b": "4"}
 
 
+@pytest.mark.parametrize("size", [17, 64, 1 << 20])
+def test_alias_files_are_read_in_splits(spark, tmp_path, size):
+    rng, rows = random.Random(size), {}
+    (tmp_path / "in").mkdir()
+    value = lambda: "".join(rng.choice(["a", "é", " ", ",", '"', "\n", "\n\n", "b c", "'", "\r\n"]) for _ in range(rng.randint(1, 12))) + "."
+    for name in ("1.csv", "2.csv"):
+        with open(tmp_path / "in" / name, "w", newline="", encoding="utf-8") as f:
+            out = csv.writer(f, quoting=csv.QUOTE_ALL, lineterminator="\n" if name == "1.csv" else "\r\n")
+            out.writerow(files.ALIAS_HEADER)
+            for k in range(60):
+                original, alias = rng.choice((value(), f"name {rng.randrange(9)}")), value()
+                rows[original] = alias
+                out.writerow([original, alias, "person", "high"])
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(k) for k in keys]
+    try:
+        for k in keys:
+            spark.conf.set(k, size)
+        assert size > 100 or files.csv_records(spark, f"{tmp_path}/in").select("block").distinct().count() > 30
+        assert {r.original: r.alias for r in files.read_aliases(spark, f"{tmp_path}/in").collect()} == rows
+    finally:
+        for k, v in zip(keys, before):
+            spark.conf.set(k, v)
+
+
 def test_lines_that_are_no_aliases(spark):
     rows = spark.createDataFrame([('"a","b"',), ("a,b",), ("",), (None,)], "line string")
     assert [r.x is not None for r in rows.select(files.parsed_alias(F.col("line")).alias("x")).collect()] == [True, False, False, False]
