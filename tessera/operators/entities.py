@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import lexicon as L
 from tessera.functions import text as T
+from tessera.sources import tables
 
 GROUP = ["doc_id", "pass", "ord"]
 MAX_BATCH, DECOY_RATIO = 100, 0.35
@@ -14,6 +15,8 @@ MERGE_GAP = 3
 #: Documents of a session that are numbered together, and terms that are batched together.
 NUMBERED = 10_000
 SHARD_TERMS = 100_000
+#: Entries that are broadcast at most; a word is heavy beyond one part in so many of a shuffle partition's share.
+MOST_ENTRIES, HEAVY = 200_000, 8
 
 
 def lookup_terms(groups: DataFrame) -> DataFrame:
@@ -33,6 +36,7 @@ def lookup_batches(terms: DataFrame, max_batch: int = MAX_BATCH, ratio: float =
     """
     size = real_per_batch(max_batch, ratio)
     if shard is None:
+        terms = tables.written(terms, "terms")
         shard = F.pmod(F.xxhash64("term"), F.lit(max(1, terms.count() // SHARD_TERMS))).cast("int")
     nth = F.row_number().over(Window.partitionBy("shard").orderBy("term")) - 1
     return terms.withColumn("shard", shard).withColumn("batch", F.floor(nth / size).cast("int"))
@@ -61,6 +65,29 @@ def entries_of(dictionary: DataFrame, cache: DataFrame | None, now: Column | Non
     return rows.join(live.select(F.col("term").alias("word")), "word", "left_anti").unionByName(known)
 
 
+def looked_up(each: DataFrame, entries: DataFrame) -> DataFrame:
+    """each with the entries of its word, as a left join has them, though a few words may be most of all.
+
+    Words are counted before they move. If few entries are asked for, they go to where the words are, which don't move at
+    all. Otherwise that holds for words that are more than 1 / HEAVY of a shuffle partition, a bounded number, and for rows
+    without a word; only the rest is shuffled by word.
+    """
+    spark = each.sparkSession
+    counts = tables.written(each.where("word is not null").groupBy("word").agg(F.count("*").alias("n")), "asked")
+    hits = tables.written(entries.join(counts, "word", "left_semi"), "hits")
+    if hits.count() <= MOST_ENTRIES:
+        return each.join(F.broadcast(hits), "word", "left")
+    most = HEAVY * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    heavy = counts.where(F.col("n") > (counts.agg(F.sum("n")).first()[0] or 0) / most).select("word")
+    theirs = hits.join(F.broadcast(heavy), "word", "left_semi")
+    if theirs.count() > MOST_ENTRIES:
+        return each.join(hits, "word", "left")
+    marked = each.join(F.broadcast(heavy.withColumn("heavy", F.lit(True))), "word", "left")
+    still = F.col("word").isNull() | F.col("heavy").isNotNull()
+    near = marked.where(still).drop("heavy").join(F.broadcast(theirs), "word", "left")
+    return near.unionByName(marked.where(~still).drop("heavy").join(hits, "word", "left"))
+
+
 def classified(groups: DataFrame, dictionary: DataFrame, jurisdictions: DataFrame | None = None, cache: DataFrame | None = None, now: Column | None = None) -> DataFrame:
     """groups with evidence (type) and sources, by dictionary (term, dict, match, type, jurisdiction, ord).
 
@@ -72,7 +99,7 @@ def classified(groups: DataFrame, dictionary: DataFrame, jurisdictions: DataFram
     each = probes(groups)
     if jurisdictions is not None:
         each = each.join(jurisdictions, "doc_id", "left")
-    each = each.join(entries_of(dictionary, cache, now), "word", "left")
+    each = looked_up(each, entries_of(dictionary, cache, now))
     whole = F.col("at") == -1
     asked = ~whole | (F.size("words") == 1) | F.col("cached")
     hit = F.col("dict").isNotNull() & asked

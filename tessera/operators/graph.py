@@ -7,7 +7,7 @@ DataFrames; writes return the new table, with the latest row for each key.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -148,12 +148,21 @@ def matches(detected: DataFrame, entities: DataFrame, occurrences: DataFrame, do
     last = occurrences.groupBy("entity_id").agg(F.max_by(F.struct("document_id", "alias"), "document_id").alias("last"))
     rows = best.join(last, "entity_id").select("batch", "text", "type", "entity_id", "same", "last.document_id", "last.alias")
     rows = rows.join(documents.select("document_id"), "document_id", "left_semi")
+    rows = tables.written(rows, "last-occurrences")
+    # Of a document's entities the first few, and those that the batch has, are looked at once for a document or a pair of
+    # batch and document, not for each match.
     others = occurrences.select("document_id", F.col("entity_id").alias("other"), F.col("original").alias("other_text"))
-    wanted = asked.select("batch", F.col("canonical").alias("other_canonical")).distinct().withColumn("here", F.lit(1))
-    pairs = rows.join(others, "document_id", "left")
-    pairs = pairs.withColumn("other_canonical", F.when(F.col("other") != F.col("entity_id"), T.canonical(F.col("other_text"))))
-    pairs = pairs.join(wanted, ["batch", "other_canonical"], "left")
-    co = F.array_sort(F.collect_list(F.when(F.col("other") != F.col("entity_id"), F.struct("other", "other_text"))))
-    out = pairs.groupBy("batch", "text", "type", "entity_id", "same", "document_id", "alias").agg(F.slice(F.transform(co, lambda x: x["other_text"]), 1, CO_ENTITIES).alias("co_entities"), F.count("here").alias("overlap"))
-    confidence = F.when(~F.col("same"), "possible").when(F.col("overlap") > 0, "exact").otherwise("likely")
-    return out.select("batch", "text", "type", "entity_id", confidence.alias("confidence"), F.col("alias").alias("previous_alias"), F.col("document_id").alias("previous_document"), "co_entities")
+    others = others.join(rows.select("document_id").distinct(), "document_id", "left_semi")
+    nth = F.row_number().over(Window.partitionBy("document_id").orderBy("other"))
+    first = others.withColumn("nth", nth).where(F.col("nth") <= CO_ENTITIES + 1)
+    first = first.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("other", "other_text"))).alias("first"))
+    wanted = asked.select("batch", F.col("canonical").alias("other_canonical")).distinct()
+    pairs = rows.select("batch", "document_id").distinct().join(others, "document_id").withColumn("other_canonical", T.canonical(F.col("other_text")))
+    here = tables.written(pairs.join(wanted, ["batch", "other_canonical"]).select("batch", "document_id", "other"), "together")
+    overlap = here.groupBy("batch", "document_id").agg(F.count("*").alias("overlap"))
+    own = here.select("batch", "document_id", F.col("other").alias("entity_id"), F.lit(1).alias("own"))
+    out = rows.join(first, "document_id").join(overlap, ["batch", "document_id"], "left").join(own, ["batch", "document_id", "entity_id"], "left")
+    more = F.coalesce("overlap", F.lit(0)) > F.coalesce("own", F.lit(0))
+    confidence = F.when(~F.col("same"), "possible").when(more, "exact").otherwise("likely")
+    co = F.slice(F.transform(F.filter("first", lambda x: x["other"] != F.col("entity_id")), lambda x: x["other_text"]), 1, CO_ENTITIES)
+    return out.select("batch", "text", "type", "entity_id", confidence.alias("confidence"), F.col("alias").alias("previous_alias"), F.col("document_id").alias("previous_document"), co.alias("co_entities"))

@@ -1,6 +1,7 @@
 """Dictionaries, decoys and the cache of lookups."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -96,3 +97,38 @@ def test_review(spark):
     assert {r.doc_id: r.rendered for r in rewrite.review_rendered(docs, found).collect()} == {1: '<span class="person">Dupont</span> <span class="unknown">dupont</span> &lt;b&gt;', 2: "a &amp; b"}
     final = rewrite.skip_unconfirmed(rewrite.accept_all(found.withColumn("accepted", F.lit(None).cast("string"))))
     assert {r.doc_id: r.anonymized for r in rewrite.review_output(docs, final).collect()}[1] == "Renaud dupont <b>"
+
+
+def test_frequent_words_are_no_hot_keys(spark, monkeypatch):
+    rng = random.Random(3)
+    words = rng.choices([f"w{k}" for k in range(400)], weights=[1 / (k + 1) for k in range(400)], k=6000)
+    each = spark.createDataFrame([(k, None if k % 10 == 0 else w) for k, w in enumerate(words)], "doc_id long, word string")
+    entries = spark.createDataFrame([(f"w{k}", f"d{n}") for k in range(0, 400, 2) for n in range(1 + k % 3)] + [("never", "d")], "word string, dict string")
+    plain = sorted(map(repr, each.join(entries, "word", "left").collect()))
+    assert sorted(map(repr, entities.looked_up(each, entries).collect())) == plain
+    monkeypatch.setattr(entities, "MOST_ENTRIES", 100)
+    key = "spark.sql.adaptive.enabled"
+    before = (spark.conf.get(key), spark.conf.get("spark.sql.autoBroadcastJoinThreshold"))
+    try:
+        spark.conf.set(key, False)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        out = entities.looked_up(each, entries)
+        assert sorted(map(repr, out.collect())) == plain
+        # The rows that were shuffled by word come last in the union: its last partitions.
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().orderBy("p").collect()][-4:]
+        assert max(sizes) <= 2 * sorted(sizes)[1]
+    finally:
+        spark.conf.set(key, before[0])
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before[1])
+
+
+def test_a_document_of_many_entities(spark):
+    """Matches whose last document holds 200,000 entities: its entities aren't gathered for each of them."""
+    n = 200_000
+    known = spark.range(n).select(F.format_string("e%06d", "id").alias("entity_id"), F.format_string("NAME %d", "id").alias("canonical"), F.lit("person").alias("type"), F.lit(None).cast("timestamp").alias("last_seen"))
+    seen = spark.range(n).select(F.format_string("e%06d", "id").alias("entity_id"), F.lit("big").alias("document_id"), F.format_string("Name %d", "id").alias("original"), F.lit("x").alias("alias"))
+    documents = spark.createDataFrame([("big",)], "document_id string")
+    asked = spark.range(3000).select(F.lit("a").alias("batch"), F.format_string("name %d", F.col("id") * 60).alias("text"), F.lit("person").alias("type")).unionByName(spark.createDataFrame([("b", "Name 3", "person")], "batch string, text string, type string"))
+    rows = graph.matches(asked, known, seen, documents).collect()
+    assert len(rows) == 3001 and {r.confidence for r in rows if r.batch == "a"} == {"exact"}
+    assert [(r.confidence, r.co_entities) for r in rows if r.batch == "b"] == [("likely", ["Name 0", "Name 1", "Name 2", "Name 4", "Name 5"])]
