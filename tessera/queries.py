@@ -8,6 +8,7 @@ from the words of `benchmark` and from the names in the letters.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,7 @@ from tessera.operators import automata, detect, entities, graph, lookups, rewrit
 from tessera.operators.tokenize import spans, token_kinds, tokens
 from tessera.plans import anonymize as plan
 from tessera.sources import files, tables
+from tessera.sources.ordered import OrderedTable
 from tessera.sources.tables import read, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -647,6 +649,20 @@ def visible_text(spark, sf_dir):
     return files.page_texts(spread(read(spark, sf_dir, "pages").select("page_id", "html"))).select("page_id", "text")
 
 
+@query("""WITH o AS (SELECT * FROM (SELECT upper(c_name) AS canonical, c_custkey FROM customer WHERE upper(c_name) LIKE 'CUSTOMER#0000001%') ORDER BY canonical, c_custkey LIMIT 20 OFFSET 20)
+    SELECT 'search' AS asked, canonical, c_custkey FROM o
+    UNION ALL SELECT * FROM (SELECT 'page', upper(c_name), c_custkey FROM customer ORDER BY 2, 3 LIMIT 20 OFFSET 40)""")
+def search_pages(spark, sf_dir):
+    """The second page of a search by prefix and the third page of all, each from the key that the one before ended with."""
+    rows = read(spark, sf_dir, "customer").select(F.upper("c_name").alias("canonical"), "c_custkey")
+    path = f"{tables.workspace(spark)}/tessera/ordered-{uuid.uuid4().hex}"
+    table = OrderedTable.write(rows, path, ["canonical", "c_custkey"])
+    ends = lambda page: tuple(page.orderBy(F.desc("canonical"), F.desc("c_custkey")).first())
+    second = table.search("CUSTOMER#0000001", 20, ends(table.search("CUSTOMER#0000001", 20)))
+    third = table.page(20, ends(table.page(20, ends(table.page(20)))))
+    return second.select(F.lit("search").alias("asked"), "*").unionByName(third.select(F.lit("page").alias("asked"), "*"))
+
+
 # The entity graph -----------------------------------------------------------------------------------------------------
 
 CANONICAL_SQL = "regexp_replace(replace(upper(trim(name)), 'ẞ', 'SS'), '\\s+', ' ', 'g')"
