@@ -31,3 +31,22 @@ def test_stages_keep_columns_of_any_name(spark, clashing, name, stage):
     got = out.collect()
     assert got and all(r[n] == f"v{r['doc_id']}" for r in got for n in NAMES)
     assert stage(spark, docs.limit(0), folder).count() == 0
+
+
+@pytest.mark.parametrize("name", ["bpe", "counts", "fingerprints", "language", "licences"])
+def test_operators_ignore_columns_of_any_name(spark, clashing, name):
+    import public_tokenizers
+
+    from tessera.llm import bpe, counts, fingerprints, language, licences
+
+    use = {
+        "bpe": lambda d: bpe.encode(d, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN),
+        "counts": lambda d: counts.token_counts(d, public_tokenizers.path("byte_bpe_50k.json")),
+        "fingerprints": fingerprints.fingerprinted,
+        "language": language.identify,
+        "licences": licences.scan,
+    }[name]
+    docs, _ = clashing
+    plain = use(docs.select("doc_id", "text", "lang"))
+    got = use(docs).select(plain.columns)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, plain.collect()))
