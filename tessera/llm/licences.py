@@ -196,15 +196,16 @@ def scan(docs: DataFrame) -> DataFrame:
     blocks = F.transform(F.sequence(F.lit(1), F.size("ends") - 1), lambda k: F.struct((F.get("ends", k - 1) + 1).alias("first"), (F.get("ends", k) - F.get("ends", k - 1) - 1).alias("n")))
     blocks = left.select("doc_id", "mark", "all", F.explode(F.filter(blocks, lambda x: x["n"] >= 2)).alias("b"))
     blocks = blocks.select("doc_id", "mark", F.col("b.first").alias("first"), F.slice("all", F.col("b.first") + 1, F.col("b.n")).alias("own"))
-    blocks = blocks.withColumn("part", F.array_join("own", " ")).where(F.expr(possible()))
-    # What a whole block doesn't hold, no run in it can.
-    shares = held(exploded(blocks.select("doc_id", "mark", F.col("first").alias("paragraph"), F.lit(0).alias("lines"), "part")))
-    able = shares.where(F.col("share") >= CONFIRMED).select("doc_id", "mark", F.col("paragraph").alias("first")).distinct()
-    blocks = blocks.alias("b").join(able.alias("a"), F.col("b.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("b.mark") == F.col("a.mark")) & (F.col("b.first") == F.col("a.first")), "left_semi")
+    blocks = common.written(able(blocks), "licence-blocks")
+    # A run lies in the window in whose first half it begins: windows are twice as long as runs may be. Most of a long
+    # block's windows hold no notice.
+    half = longest()
+    cut = F.transform(F.sequence(F.lit(0), F.ceil(F.size("own") / half).cast("int") - 1), lambda k: F.struct((F.col("first") + k * half).alias("first"), F.slice("own", k * half + 1, F.lit(2 * half)).alias("own")))
+    blocks = common.written(able(blocks.select("doc_id", "mark", F.explode(cut).alias("w")).select("doc_id", "mark", "w.first", "w.own")), "licence-windows")
     # A run begins and ends in lines with a word of a template: other lines at its ends could go and leave it as it is.
     touched = F.expr(f"filter(transform(own, (x, k) -> if(size({template_words('x')}) > 0, k, null)), k -> k is not null)")
     starts = blocks.withColumn("touched", touched)
-    each = F.expr(f"""transform(touched, i -> named_struct('at', i, 'window', slice(own, i + 1, {longest()}),
+    each = F.expr(f"""transform(filter(touched, i -> i < {half}), i -> named_struct('at', i, 'window', slice(own, i + 1, {longest()}),
         'sizes', transform(filter(touched, j -> j > i and j - i < {longest()}), j -> j - i + 1)))""")
     starts = starts.select("doc_id", "mark", "first", F.explode_outer(each).alias("s")).select("doc_id", "mark", (F.col("first") + F.col("s.at")).alias("paragraph"), "s.window", F.explode_outer("s.sizes").alias("lines"))
     runs = starts.where("lines is not null").select("doc_id", "mark", "paragraph", "lines", F.array_join(F.slice("window", F.lit(1), F.col("lines")), " ").alias("part"))
@@ -220,6 +221,15 @@ def scan(docs: DataFrame) -> DataFrame:
     return single.where(F.col("anchor") | (F.col("family") != UNKNOWN)).select(*out).unionByName(runs.select(*out))
 
 
+def able(blocks: DataFrame) -> DataFrame:
+    """Of blocks of lines (doc_id, mark, first, own) those that can hold a notice: what a whole block doesn't hold, no run in it can."""
+    blocks = blocks.withColumn("part", F.array_join("own", " ")).where(F.expr(possible()))
+    shares = held(exploded(blocks.select("doc_id", "mark", F.col("first").alias("paragraph"), F.lit(0).alias("lines"), "part")))
+    found = shares.where(F.col("share") >= CONFIRMED).select("doc_id", "mark", F.col("paragraph").alias("first")).distinct()
+    same = F.col("b.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("b.mark") == F.col("a.mark")) & (F.col("b.first") == F.col("a.first"))
+    return blocks.drop("part").alias("b").join(found.alias("a"), same, "left_semi")
+
+
 def holds(parts: list[str]) -> str:
     """SQL for whether `text` holds one of the parts, in any case."""
     return "exists(array(lower(text)), t -> " + " OR ".join(f"contains(t, '{p}')" for p in parts) + ")"
