@@ -65,5 +65,20 @@ def test_wrapped_notices_and_those_without_anchor(spark):
         assert first <= got[0].paragraph < got[0].paragraph + got[0].lines <= len(t.split("\n")), (t, got)
 
 
+def test_notices_anywhere_in_long_blocks(spark):
+    """Blocks without blank lines, many times as long as a run may be; notices across the borders of windows too."""
+    rng = random.Random(21)
+    wrapped, half = textwrap.wrap(next(t for t in licences.TEMPLATES["mit"] if len(t.split()) > 20), 60), licences.longest()
+    places = [0, 1, half - len(wrapped), half - 2, half - 1, half, half + 1, 2 * half - 1, 2 * half, 3 * half - 1, 5 * half - len(wrapped)]
+    texts = []
+    for at in places:
+        lines = [prose(rng, 8) for _ in range(5 * half - len(wrapped))]
+        texts.append("\n".join(lines[:at] + wrapped + lines[at:]))
+    out = licences.scan(spark.createDataFrame([(k, t, None, None, 0, 0.0, "x") for k, t in enumerate(texts)], SCHEMA)).collect()
+    for k, at in enumerate(places):
+        got = [r for r in out if r.doc_id == k and r.family != "unknown"]
+        assert len(got) == 1 and got[0].family == "mit" and at <= got[0].paragraph < got[0].paragraph + got[0].lines <= at + len(wrapped), (at, got)
+
+
 def test_empty_table(spark):
     assert licences.scan(spark.createDataFrame([], SCHEMA)).count() == 0
