@@ -192,7 +192,8 @@ def scan(docs: DataFrame) -> DataFrame:
     left = left.select("r.doc_id", "r.mark", lines.alias("all"))
     blank = F.filter(F.transform("all", lambda x, k: F.when(F.trim(x) == "", k)), lambda k: k.isNotNull())
     ends = F.concat(F.array(F.lit(-1)), blank, F.array(F.size("all")))
-    left = left.select("doc_id", "mark", "all", ends.alias("ends"))
+    # Written, so that what looks an end up doesn't work all of them out again.
+    left = common.written(left.select("doc_id", "mark", "all", ends.alias("ends")), "licence-ends")
     blocks = F.transform(F.sequence(F.lit(1), F.size("ends") - 1), lambda k: F.struct((F.get("ends", k - 1) + 1).alias("first"), (F.get("ends", k) - F.get("ends", k - 1) - 1).alias("n")))
     blocks = left.select("doc_id", "mark", "all", F.explode(F.filter(blocks, lambda x: x["n"] >= 2)).alias("b"))
     blocks = blocks.select("doc_id", "mark", F.col("b.first").alias("first"), F.slice("all", F.col("b.first") + 1, F.col("b.n")).alias("own"))
