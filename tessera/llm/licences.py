@@ -14,7 +14,7 @@ import math
 import random
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -171,9 +171,9 @@ def scan(docs: DataFrame) -> DataFrame:
     threshold, ties to the first in order, else `unknown`; `family` is the same if the paragraph holds CONFIRMED of the
     n-grams of one of the family's templates at least, else `unknown`. similarity is the largest such share. Long texts are
     scanned whole; only those are whose words can make a notice. Lines with
-    an ANCHOR word give a row each. Other lines, and runs of up to longest() lines, give one if their family is confirmed;
-    of runs that overlap, the one that ends first and is shortest. Runs don't go across lines that are notices by
-    themselves. Null and empty texts give no row. Rows with equal doc_id and text give their paragraphs once. Other columns are ignored; an empty table
+    an ANCHOR word give a row each. Other lines give one if their family is confirmed, and so do runs of up to longest()
+    lines that are tight(); of runs of a family that overlap, the most similar wins, then the shortest, then the first. Runs
+    don't go across lines that are notices by themselves. Null and empty texts give no row. Rows with equal doc_id and text give their paragraphs once. Other columns are ignored; an empty table
     gives no row.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(common.whole_text()).alias("mark"), "text")
@@ -187,48 +187,85 @@ def scan(docs: DataFrame) -> DataFrame:
     notices = single.where(F.col("family") != UNKNOWN)
     gone = notices.groupBy("doc_id", "mark").agg(F.collect_set("paragraph").alias("gone"))
     left = rows.alias("r").join(gone.alias("g"), F.col("r.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("r.mark") == F.col("g.mark")), "left")
-    # Lines that are notices become blank, and end a run as blank lines do.
-    lines = F.transform(split, lambda x, k: F.when(F.array_contains(F.coalesce("g.gone", F.array().cast("array<int>")), k), "").otherwise(x))
-    left = left.select("r.doc_id", "r.mark", lines.alias("all"))
-    blank = F.filter(F.transform("all", lambda x, k: F.when(F.trim(x) == "", k)), lambda k: k.isNotNull())
-    ends = F.concat(F.array(F.lit(-1)), blank, F.array(F.size("all")))
-    # Written, so that what looks an end up doesn't work all of them out again.
-    left = common.written(left.select("doc_id", "mark", "all", ends.alias("ends")), "licence-ends")
-    blocks = F.transform(F.sequence(F.lit(1), F.size("ends") - 1), lambda k: F.struct((F.get("ends", k - 1) + 1).alias("first"), (F.get("ends", k) - F.get("ends", k - 1) - 1).alias("n")))
-    blocks = left.select("doc_id", "mark", "all", F.explode(F.filter(blocks, lambda x: x["n"] >= 2)).alias("b"))
-    blocks = blocks.select("doc_id", "mark", F.col("b.first").alias("first"), F.slice("all", F.col("b.first") + 1, F.col("b.n")).alias("own"))
-    blocks = common.written(able(blocks), "licence-blocks")
-    # A run lies in the window in whose first half it begins: windows are twice as long as runs may be. Most of a long
-    # block's windows hold no notice.
+    # Blocks are what lies between blank lines and lines that are notices. The one-element array binds all lines and ends
+    # to a name; only blocks leave the row, since a copy of all lines beside each would grow with the square of a text.
+    blank = F.filter(F.transform("lines", lambda x, k: F.when(F.trim(x) == "", k)), lambda k: k.isNotNull())
+    at = F.sort_array(F.array_distinct(F.concat(blank, F.coalesce("gone", F.array().cast("array<int>")))))
+    ends = F.concat(F.array(F.lit(-1)), at, F.array(F.size("lines")))
+
+    def between(x):
+        pairs = F.transform(F.sequence(F.lit(1), F.size(x["ends"]) - 1), lambda k: F.struct((F.get(x["ends"], k - 1) + 1).alias("first"), (F.get(x["ends"], k) - F.get(x["ends"], k - 1) - 1).alias("n")))
+        return F.transform(F.filter(pairs, lambda p: p["n"] >= 2), lambda p: F.struct(p["first"].alias("first"), F.slice(x["lines"], p["first"] + 1, p["n"]).alias("own")))
+
+    left = left.select("r.doc_id", "r.mark", split.alias("lines"), "gone").select("doc_id", "mark", F.struct("lines", ends.alias("ends")).alias("x"))
+    blocks = left.select("doc_id", "mark", F.explode(F.get(F.transform(F.array("x"), between), F.lit(0))).alias("b")).select("doc_id", "mark", "b.*")
+    # A run lies in the window in whose first half it begins: windows are twice as long as runs may be. Most hold no notice.
     half = longest()
     cut = F.transform(F.sequence(F.lit(0), F.ceil(F.size("own") / half).cast("int") - 1), lambda k: F.struct((F.col("first") + k * half).alias("first"), F.slice("own", k * half + 1, F.lit(2 * half)).alias("own")))
-    blocks = common.written(able(blocks.select("doc_id", "mark", F.explode(cut).alias("w")).select("doc_id", "mark", "w.first", "w.own")), "licence-windows")
-    # A run begins and ends in lines with a word of a template: other lines at its ends could go and leave it as it is.
-    touched = F.expr(f"filter(transform(own, (x, k) -> if(size({template_words('x')}) > 0, k, null)), k -> k is not null)")
-    starts = blocks.withColumn("touched", touched)
-    each = F.expr(f"""transform(filter(touched, i -> i < {half}), i -> named_struct('at', i, 'window', slice(own, i + 1, {longest()}),
-        'sizes', transform(filter(touched, j -> j > i and j - i < {longest()}), j -> j - i + 1)))""")
-    starts = starts.select("doc_id", "mark", "first", F.explode_outer(each).alias("s")).select("doc_id", "mark", (F.col("first") + F.col("s.at")).alias("paragraph"), "s.window", F.explode_outer("s.sizes").alias("lines"))
-    runs = starts.where("lines is not null").select("doc_id", "mark", "paragraph", "lines", F.array_join(F.slice("window", F.lit(1), F.col("lines")), " ").alias("part"))
-    runs = common.written(runs.where(F.expr(possible())).withColumn("anchor", F.lit(False)), "licence-runs")
-    runs = judge(runs).where(F.col("family") != UNKNOWN)
-    # The run that ends first, then the next that has no line in common with it, and so on.
-    end = F.col("paragraph") + F.col("lines")
-    item = F.struct(end.alias("end"), (-F.col("paragraph")).alias("back"), "paragraph", "lines", "probability", "similarity", "predicted")
-    runs = runs.groupBy("doc_id", "mark", "family").agg(F.sort_array(F.collect_list(item)).alias("all"))
-    apart = F.aggregate("all", F.filter("all", lambda x: F.lit(False)), lambda kept, x: F.when(F.coalesce(F.get(kept, F.size(kept) - 1)["end"], F.lit(-1)) <= x["paragraph"], F.concat(kept, F.array(x))).otherwise(kept))
-    runs = runs.select("doc_id", "family", F.explode(apart).alias("x")).select("doc_id", "family", "x.*")
+    found = able(blocks).select("doc_id", "mark", F.explode(cut).alias("w")).select("doc_id", "mark", "w.*")
+    found = common.written(able(found), "licence-windows")
+    runs = common.written(tight(found), "licence-runs")
+    same = F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.mark") == F.col("w.mark")) & (F.col("t.first") == F.col("w.first"))
+    part = F.array_join(F.slice("w.own", F.col("t.start") + 1, F.col("t.lines")), " ")
+    runs = runs.alias("t").join(found.alias("w"), same).select("t.doc_id", "t.mark", (F.col("t.first") + F.col("t.start")).alias("paragraph"), "t.lines", part.alias("part"), F.lit(False).alias("anchor"))
+    runs = best_apart(judge(common.written(runs, "licence-judged")).where(F.col("family") != UNKNOWN))
     out = ["doc_id", "paragraph", "family", "probability", "similarity", "predicted", "lines"]
     return single.where(F.col("anchor") | (F.col("family") != UNKNOWN)).select(*out).unionByName(runs.select(*out))
 
 
 def able(blocks: DataFrame) -> DataFrame:
-    """Of blocks of lines (doc_id, mark, first, own) those that can hold a notice: what a whole block doesn't hold, no run in it can."""
-    blocks = blocks.withColumn("part", F.array_join("own", " ")).where(F.expr(possible()))
-    shares = held(exploded(blocks.select("doc_id", "mark", F.col("first").alias("paragraph"), F.lit(0).alias("lines"), "part")))
-    found = shares.where(F.col("share") >= CONFIRMED).select("doc_id", "mark", F.col("paragraph").alias("first")).distinct()
-    same = F.col("b.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("b.mark") == F.col("a.mark")) & (F.col("b.first") == F.col("a.first"))
-    return blocks.drop("part").alias("b").join(found.alias("a"), same, "left_semi")
+    """Of blocks of lines (doc_id, mark, first, own) those whose words can make a notice: of others no run can."""
+    return blocks.withColumn("part", F.array_join("own", " ")).where(F.expr(possible())).drop("part")
+
+
+def tight(found: DataFrame) -> DataFrame:
+    """doc_id, mark, first, start, lines of the tight runs in windows (doc_id, mark, first, own).
+
+    A run is tight if it holds CONFIRMED of a template's n-grams and would lose some without its first line, and without
+    its last. An n-gram counts from the line that it begins in to the line that it ends in; of those of one n-gram from one
+    line the nearest end is enough, so that a group has at most as many rows as a window's lines times a template's n-grams.
+    """
+    key = ["doc_id", "mark", "first", "template"]
+    templates = sorted((f, t) for f in TEMPLATES for t in TEMPLATES[f])
+    rows = [{"gram": g, "id": i, "template": k, "need": math.ceil(CONFIRMED * len(own) - 1e-9)} for k, own in enumerate(sorted(set(grams(words(t)))) for _, t in templates) for i, g in enumerate(own)]
+    known = table_of(found.sparkSession, rows, "gram:string,id:int,template:int,need:int")
+    each = F.transform("own", lambda x, k: F.transform(F.regexp_extract_all(F.lower(x), F.lit(WORD), F.lit(0)), lambda w: F.struct(w.alias("w"), k.alias("at"))))
+    spans = found.select("doc_id", "mark", "first", F.flatten(each).alias("w"))
+    spans = spans.select("doc_id", "mark", "first", F.explode(F.flatten(F.array(*[spanned(n) for n in range(1, GRAM + 1)]))).alias("s")).select("doc_id", "mark", "first", "s.*")
+    spans = spans.join(F.broadcast(known), "gram").groupBy(*key, "need", "id", "begin").agg(F.min("end").alias("end"))
+    groups = spans.groupBy(*key, "need").agg(F.sort_array(F.collect_list(F.struct("id", "end", "begin"))).alias("all"))
+    groups = groups.where(F.size(F.array_distinct("all.id")) >= F.col("need"))
+
+    def ends(i):
+        """From line i on, the first end of each n-gram, in order."""
+        after = F.filter("all", lambda x: x["begin"] >= i)
+        nearest = F.transform(F.array(after), lambda a: F.filter(a, lambda x, k: (k == 0) | (F.get(a, k - 1)["id"] != x["id"])))
+        return F.array_sort(F.transform(F.get(nearest, F.lit(0)), lambda x: x["end"]))
+
+    starts = F.transform(F.array_distinct("all.begin"), lambda i: F.struct(i.alias("start"), ends(i).alias("ends")))
+    rows = groups.select(*key, "need", F.explode(starts).alias("s")).select(*key, "need", "s.*")
+    # The last of the n-grams that end in one line tells how many there are up to it.
+    rows = rows.select(*key, "need", "start", "ends", F.posexplode("ends").alias("k", "end"))
+    rows = rows.where((F.col("k") + 1 >= F.col("need")) & (F.coalesce(F.get("ends", F.col("k") + 1), F.lit(-1)) != F.col("end")) & (F.col("end") - F.col("start") < longest()))
+    rows = rows.groupBy(*key, "end", "k").agg(F.max("start").alias("start")).where((F.col("start") < longest()) & (F.col("end") > F.col("start")))
+    return rows.select("doc_id", "mark", "first", "start", (F.col("end") - F.col("start") + 1).alias("lines")).distinct()
+
+
+def best_apart(runs: DataFrame) -> DataFrame:
+    """Of judged runs those that win: the most similar, then the shortest, then the first, and so on among those apart from it.
+
+    Runs are chosen family by family in clusters, which end where no run goes on.
+    """
+    key = ["doc_id", "mark", "family"]
+    order = Window.partitionBy(*key).orderBy("paragraph", "lines")
+    reach = F.max(F.col("paragraph") + F.col("lines")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.withColumn("opens", (F.col("paragraph") >= F.coalesce(reach, F.lit(0))).cast("int"))
+    runs = runs.withColumn("cluster", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    item = F.struct((-F.col("similarity")).alias("unlike"), "lines", "paragraph", "probability", "similarity", "predicted")
+    runs = runs.groupBy(*key, "cluster").agg(F.sort_array(F.collect_list(item)).alias("all"))
+    meets = lambda x, y: (x["paragraph"] < y["paragraph"] + y["lines"]) & (y["paragraph"] < x["paragraph"] + x["lines"])
+    apart = F.aggregate("all", F.filter("all", lambda x: F.lit(False)), lambda kept, x: F.when(F.exists(kept, lambda y: meets(x, y)), kept).otherwise(F.concat(kept, F.array(x))))
+    return runs.select("doc_id", "family", F.explode(apart).alias("x")).select("doc_id", "family", "x.*")
 
 
 def holds(parts: list[str]) -> str:
@@ -336,6 +373,13 @@ def same_key(a: str, b: str):
     return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.mark") == F.col(f"{b}.mark")) & (F.col(f"{a}.paragraph") == F.col(f"{b}.paragraph")) & (F.col(f"{a}.lines") == F.col(f"{b}.lines"))
 
 
+def spanned(n: int):
+    """The n-grams of n words of the column w (w, at), with the lines that they begin and end in."""
+    at = F.sequence(F.lit(1), F.size("w") - (n - 1))
+    one = lambda k: F.struct(F.array_join(F.slice("w.w", k, n), " ").alias("gram"), F.get("w.at", k - 1).alias("begin"), F.get("w.at", k + (n - 2)).alias("end"))
+    return F.when(F.size("w") >= n, F.transform(at, one)).otherwise(F.array().cast("array<struct<gram:string,begin:int,end:int>>"))
+
+
 def windows(n: int):
     """Runs of n words of the column w, joined by spaces."""
     at = F.sequence(F.lit(1), F.size("w") - (n - 1))

@@ -82,3 +82,55 @@ def test_notices_anywhere_in_long_blocks(spark):
 
 def test_empty_table(spark):
     assert licences.scan(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def tight_runs(text):
+    """(paragraph, lines, family) of the runs that win in a text in which no line is a notice by itself, from every run there is."""
+    templates = [(f, set(licences.grams(licences.words(t)))) for f in licences.TEMPLATES for t in licences.TEMPLATES[f]]
+    lines, won = text.split("\n"), []
+    weights, intercepts, thresholds = licences.model()
+    for first in range(len(lines)):
+        for n in range(2, min(licences.longest(), len(lines) - first) + 1):
+            run = lines[first : first + n]
+            if not all(x.strip(" ") for x in run):
+                break
+            held = [set(licences.grams(licences.words(" ".join(part)))) for part in (run, run[1:], run[:-1])]
+            if not any(len(t & held[0]) >= licences.CONFIRMED * len(t) - 1e-9 and len(t & held[0]) > max(len(t & held[1]), len(t & held[2])) for _, t in templates):
+                continue
+            p = {f: licences.score(weights[f], intercepts[f], sorted(held[0])) for f in weights if held[0] & weights[f].keys()}
+            passed = {f: v for f, v in p.items() if v > thresholds[f]}
+            family = max(passed, key=passed.get) if passed else None
+            share = max((len(t & held[0]) / len(t) for f, t in templates if f == family), default=0)
+            if share >= licences.CONFIRMED:
+                won.append((-share, n, first, family))
+    kept = []
+    for share, n, first, family in sorted(won):
+        if all(f != family or first >= b + m or b >= first + n for b, m, f in kept):
+            kept.append((first, n, family))
+    return sorted(kept)
+
+
+def test_runs_against_every_run(spark):
+    """Notices of all families in short lines, broken off, twice in a row, one in another, with blank lines and prose between."""
+    rng = random.Random(33)
+    notices = [t for texts in licences.TEMPLATES.values() for t in texts if len(t.split()) > 9]
+    texts = []
+    for k in range(60):
+        lines = []
+        for _ in range(rng.randint(1, 3)):
+            words = rng.choice(notices).split()
+            words = [w for w in words if rng.random() > rng.choice((0, 0.1))]
+            lines += textwrap.wrap(" ".join(words), rng.choice((12, 25, 40)))
+            lines += [prose(rng, rng.randint(1, 6)) for _ in range(rng.randint(0, 2))] + [""] * (rng.random() < 0.2)
+        if k % 5 == 0:
+            lines = lines[: len(lines) // 2] + textwrap.wrap(rng.choice(notices), 30) + lines[len(lines) // 2 :]
+        texts.append("\n".join(lines))
+    out = licences.scan(spark.createDataFrame([(k, t, None, None, 0, 0.0, "x") for k, t in enumerate(texts)], SCHEMA)).collect()
+    found = 0
+    for k, t in enumerate(texts):
+        single = [r for r in out if r.doc_id == k and r.lines == 1 and r.family != "unknown"]
+        lines = ["" if any(r.paragraph == n for r in single) else x for n, x in enumerate(t.split("\n"))]
+        want = tight_runs("\n".join(lines))
+        assert sorted((r.paragraph, r.lines, r.family) for r in out if r.doc_id == k and r.lines > 1) == want, t
+        found += len(want)
+    assert found > 60
