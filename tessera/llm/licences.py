@@ -79,12 +79,29 @@ ORDINARY = [
     "Ordinary text goes on about the weather and the sea.",
     "The committee published the terms of the agreement in the file.",
 ]
+#: Notices that are of none of the families (fixed values). The model learns from every second one, and is calibrated on the others.
+NEAR_MISSES = [
+    "Licensed under the Eclipse Public License, Version 2.0.",
+    "Released under the ISC License.",
+    "Licensed under the zlib license.",
+    "Released under the Artistic License 2.0.",
+    "This software is distributed under the terms of the Boost Software License, Version 1.0.",
+    "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "This is free and unencumbered software released into the public domain.",
+    "Permission is granted to copy and distribute verbatim copies of this document, but changing it is not allowed.",
+    "Use of this software is subject to the terms of the enclosed end user agreement.",
+    "Redistribution of this file in any form is not permitted without prior written permission.",
+    "This program is licensed under the Common Development and Distribution License, version 1.0.",
+    "Licensed under the Open Software License 3.0; see the file for the terms.",
+    "This Source Code Form is governed by the license of your order.",
+    "All rights reserved. No part of this work may be copied without permission.",
+]
 NONE, UNKNOWN = "none", "unknown"
 GRAM = 3
 #: Made paragraphs of each family and of ordinary text, and the words that they are padded with.
 EXAMPLES, PADDING = 160, 14
 EPOCHS, RATE, SPARSE = 30, 0.4, 0.002
-#: Share of made paragraphs of other families that may pass the threshold, and the template's n-grams a prediction needs.
+#: Share of the made paragraphs of each other family, and of each wording left out, that may pass the threshold, and the template's n-grams a prediction needs.
 FALSE_PASS, CONFIRMED = 0.01, 0.6
 SEED = 5
 #: Lines with one of these words give a row even if they aren't confirmed.
@@ -129,9 +146,12 @@ def model() -> tuple[dict[str, dict[str, float]], dict[str, float], dict[str, fl
     filler = sorted({w for t in ORDINARY for w in words(t)})
     examples = [(family, made(rng, rng.choice(texts), filler)) for family, texts in TEMPLATES.items() for _ in range(EXAMPLES)]
     examples += [(NONE, made(rng, rng.choice(ORDINARY), filler)) for _ in range(EXAMPLES * 3)]
+    examples += [(NONE, made(rng, text, filler)) for text in NEAR_MISSES[::2] for _ in range(EXAMPLES // 4)]
     rng.shuffle(examples)
     data = [(family, sorted(set(grams(found)))) for family, found in examples]
     apart, train = data[: len(data) // 5], data[len(data) // 5 :]
+    # Wordings that training never sees: the calibration is to hold for notices of unknown kinds.
+    apart += [(text, sorted(set(grams(made(rng, text, filler))))) for text in NEAR_MISSES[1::2] for _ in range(EXAMPLES // 4)]
     weights, intercepts, thresholds = {}, {}, {}
     for family in sorted(TEMPLATES):
         own: dict[str, float] = {}
@@ -149,8 +169,10 @@ def model() -> tuple[dict[str, dict[str, float]], dict[str, float], dict[str, fl
             own = {g: w - math.copysign(SPARSE * rate, w) for g, w in own.items() if abs(w) > SPARSE * rate}
         own = {g: round(w, 6) for g, w in own.items() if abs(w) >= 0.02}
         weights[family], intercepts[family] = own, round(intercept, 6)
-        others = sorted((score(own, intercept, f) for label, f in apart if label != family), reverse=True)
-        thresholds[family] = max(0.5, others[int(len(others) * FALSE_PASS)] if others else 0.5)
+        thresholds[family] = 0.0
+        for label in sorted({label for label, _ in apart} - {family}):
+            others = sorted((score(own, intercept, f) for kind, f in apart if kind == label), reverse=True)
+            thresholds[family] = max(thresholds[family], round(others[int(len(others) * FALSE_PASS)], 6))
     return weights, intercepts, thresholds
 
 
