@@ -333,6 +333,18 @@ def decoy_batches(spark, sf_dir):
     return rows.select(F.col("shard").cast("long").alias("shard"), F.col("batch").cast("long").alias("batch"), "real", "decoys", "from_pools", "places", F.coalesce("asked", F.lit(0)).cast("long").alias("asked"))
 
 
+@query("SELECT * FROM (VALUES ('first', true), ('surname', true), ('company', true)) AS t(pool, as_asked)")
+def decoy_shares(spark, sf_dir):
+    """Whether decoys are first names, surnames and companies in the shares 40, 30 and 30 %, but for two points and five standard deviations."""
+    mixed = lookups.with_decoys(document_terms(spark, sf_dir), 7).where(~F.col("real"))
+    pool = F.when(F.col("term").isin(L.COMPANY_NAMES.split()), "company").when(F.col("term").isin((L.FIRST_NAMES + " " + L.NEUTRAL_NAMES).split()), "first").otherwise("surname")
+    wide = mixed.groupBy(pool.alias("pool")).agg(F.count("*").alias("n")).groupBy().pivot("pool", ["first", "surname", "company"]).agg(F.sum("n"))
+    of = {p: F.coalesce(F.col(p), F.lit(0)) for p in wide.columns}
+    n = of["first"] + of["surname"] + of["company"]
+    rows = [F.struct(F.lit(p).alias("pool"), (F.abs(of[p] / n - share) <= 0.02 + 2.5 / F.sqrt(n)).alias("as_asked")) for p, share in (("first", 0.4), ("surname", 0.3), ("company", 0.3))]
+    return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
 @query(f"""WITH {WORDS_SQL} SELECT dict, jurisdiction, type, count(*) AS entry_count, '2024-01-' || lpad((1 + max(length(term)))::VARCHAR, 2, '0') AS updated_at FROM dictionary GROUP BY ALL""")
 def list_dictionaries(spark, sf_dir):
     rows = benchmark_words(spark, sf_dir).withColumn("updated_at", F.date_add(F.lit("2024-01-01").cast("date"), F.length("term")))
@@ -715,6 +727,36 @@ def graph_record(spark, sf_dir):
     return rows.select("entity_id", "canonical", "type", F.date_format("first_seen", "yyyy-MM-dd").alias("first_seen"), F.date_format("last_seen", "yyyy-MM-dd").alias("last_seen"), F.col("document_count").cast("long").alias("document_count"))
 
 
+#: The later orders are recorded first, then the earlier ones, with half a year of both and customers under another name.
+SINCE, UNTIL = "1998-01-01", "1998-07-01"
+
+
+@query(f"""WITH {FOUND_SQL}, b1 AS (SELECT *, {ID_SQL} AS id FROM found WHERE seen >= TIMESTAMP '{SINCE}'),
+    b2 AS (SELECT *, {ID_SQL} AS id FROM found WHERE seen < TIMESTAMP '{UNTIL}'),
+    e1 AS (SELECT id, upper(text) AS canonical, type, min(seen) AS first, max(seen) AS last FROM b1 GROUP BY ALL),
+    e2 AS (SELECT id, upper(text) AS canonical, type, min(seen) AS first, max(seen) AS last FROM b2 WHERE type <> 'person' OR id IN (SELECT id FROM e1) GROUP BY ALL),
+    occ AS (SELECT id, document_id, false AS renamed FROM b1 WHERE (id, document_id) NOT IN (SELECT (id, document_id) FROM b2) UNION ALL SELECT id, document_id, type = 'person' FROM b2),
+    o AS (SELECT id, count(*) AS n, count(*) FILTER (renamed) AS renamed FROM occ GROUP BY id)
+    SELECT o.id AS entity_id, coalesce(e1.canonical, e2.canonical) AS canonical, coalesce(e1.type, e2.type) AS type, strftime(coalesce(e1.first, e2.first), '%Y-%m-%d') AS first_seen, strftime(coalesce(e2.last, e1.last), '%Y-%m-%d') AS last_seen,
+        CASE WHEN e1.id IS NULL AND e2.id IS NULL THEN 0 ELSE o.n END AS document_count, o.n AS occurrences, o.renamed FROM o LEFT JOIN e1 ON e1.id = o.id LEFT JOIN e2 ON e2.id = o.id""")
+def graph_record_again(spark, sf_dir):
+    """Entities and occurrences after recording into a graph that has some: dates and names that stay, ids given by the
+    caller, documents that come again, and given ids without an entity."""
+    new, found = graph_rows(spark, sf_dir)
+    seen = new.select("document_id", "processed_at")
+    found = tables.written(found.join(seen, "document_id"), "found")
+    since, until = (F.lit(x).cast("timestamp") for x in (SINCE, UNTIL))
+    empty = [spark.createDataFrame([], x) for x in (ENTITY, OCCURRENCE, DOCUMENT)]
+    filled = [tables.written(t, "graph") for t in graph.recorded(*empty, new.where(F.col("processed_at") >= since), found.where(F.col("processed_at") >= since).drop("processed_at"))]
+    person = F.col("type") == "person"
+    again = found.where(F.col("processed_at") < until).drop("processed_at")
+    again = again.withColumn("known_id", F.when(person, graph.entity_id(F.col("type"), F.upper("text")))).withColumn("text", F.when(person, F.replace("text", F.lit("Customer"), F.lit("Client"))).otherwise(F.col("text")))
+    known, occurrences, _ = graph.recorded(*filled, new.where(F.col("processed_at") < until), again)
+    sums = occurrences.groupBy("entity_id").agg(F.count("*").alias("occurrences"), F.count_if(F.col("original").startswith("Client")).alias("renamed"))
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    return sums.join(known, "entity_id", "left").select("entity_id", "canonical", "type", day("first_seen"), day("last_seen"), F.coalesce("document_count", F.lit(0)).cast("long").alias("document_count"), "occurrences", "renamed")
+
+
 @query(f"""WITH {FOUND_SQL} SELECT {ID_SQL} AS entity_id, upper(text) AS canonical, count(DISTINCT document_id)::BIGINT AS document_count, count(DISTINCT document_id)::BIGINT AS confirmed FROM found WHERE type = 'company' AND (upper(text) = 'SUPPLIER 3' OR upper(text) LIKE '%7') GROUP BY ALL""")
 def graph_lookups(spark, sf_dir):
     """Companies by type, one of them by its name too, with their occurrences, all of them confirmed."""
@@ -730,10 +772,8 @@ def graph_lookups(spark, sf_dir):
 def graph_occurrences(spark, sf_dir):
     """The documents of an entity, and how many entities each of them has."""
     known, occurrences, _ = (tables.written(t, "graph") for t in recorded_graph(spark, sf_dir))
-    one = graph.by_type(graph.by_canonical(known, "customer 7"), "person").first()
-    if one is None:
-        return spark.createDataFrame([], "document_id string, original string, alias string, together long")
-    own = graph.occurrences_of(occurrences, one["entity_id"])
+    one = graph.by_type(graph.by_canonical(known, "customer 7"), "person")
+    own = occurrences.join(one.select("entity_id"), "entity_id", "left_semi")
     beside = graph.document_occurrences(occurrences, own.select("document_id")).groupBy("document_id").agg(F.count("*").alias("together"))
     return own.join(beside, "document_id").select("document_id", "original", "alias", "together")
 
@@ -807,3 +847,28 @@ def cache_misses(spark, sf_dir):
     terms = words.unionByName(spark.createDataFrame([("Lyon",), ("Mme Dupont",)], "term string")).distinct()
     cache = terms.withColumn("expires_at", F.lit("2024-01-02").cast("timestamp"))
     return lookups.cache_misses(detect.groups(detect.analysed(letters(spark, sf_dir))), cache, F.lit("2024-01-02").cast("timestamp"))
+
+
+#: Answers in the cache: (results as (dict, type), whether they still hold) of each term. Some are of several words, some say that there is nothing.
+ANSWERS = {f"{f} {l}": ([("cache", "city")] if k % 2 else [], k % 3 > 0) for k, (f, l) in enumerate((f, l) for f in FIRST for l in LAST)} | {
+    "Lyon": ([("cache", "surname")], True), "Paris": ([("cache", "company")], False), "Berlin": ([], True), "Martin": ([("cache", "city"), ("late", "company")], True),
+    "Mme Dupont": ([], True), "Anna Dupont": ([("cache", "company"), ("late", "city")], True), "Mr Weber": ([("cache", "city")], False),
+}
+ANSWERS_SQL = f"""live(term) AS (VALUES {', '.join(f'({sql_text(t)})' for t, (_, live) in ANSWERS.items() if live)}),
+    cached(term, dict, type, ord) AS (VALUES {', '.join(f"({sql_text(t)}, '{d}', '{k}', {n})" for t, (r, live) in ANSWERS.items() if live for n, (d, k) in enumerate(r))}),
+    answers AS (SELECT term, dict, type, jurisdiction, ord, false AS cached FROM dictionary WHERE term NOT IN (SELECT term FROM live) UNION ALL SELECT term, dict, type, '', ord, true FROM cached),
+    wholes AS (SELECT l.term, arg_max(c.type, c.ord) AS type, list(c.dict ORDER BY c.ord) FILTER (c.dict IS NOT NULL) AS dicts FROM live l LEFT JOIN cached c ON c.term = l.term GROUP BY l.term)"""
+CACHED_SQL = entities_sql("(d.cached OR d.jurisdiction = l.language)").replace("JOIN dictionary d", "JOIN answers d")
+CACHED_SQL = CACHED_SQL.replace("CASE WHEN h.n = 1 THEN h.last", "CASE WHEN len(f.parts) > 1 AND w.term IS NOT NULL THEN w.type WHEN h.n = 1 THEN h.last")
+CACHED_SQL = CACHED_SQL.replace("CASE WHEN h.n = 1 THEN list_concat", "CASE WHEN len(f.parts) > 1 AND w.term IS NOT NULL THEN w.dicts WHEN h.n = 1 THEN list_concat")
+CACHED_SQL = CACHED_SQL.replace("AND h.ord = f.ord)", "AND h.ord = f.ord LEFT JOIN wholes w ON w.term = f.text)")
+
+
+@query(f"WITH RECURSIVE {DOCS_SQL['letters']}, {GROUPS_SQL}, {LANGUAGES_SQL}, {NAMES_SQL}, {ANSWERS_SQL}, {CACHED_SQL} SELECT {SHOWN_SQL} FROM typed")
+def cached_classification(spark, sf_dir):
+    """Entities of letters, some of them answered from the cache: also texts of several words, expired answers, and that there is nothing."""
+    schema = "term string, results array<struct<dict:string,type:string,jurisdiction:string>>, expires_at timestamp"
+    cache = spark.createDataFrame([(t, [(d, k, "xx") for d, k in r], None) for t, (r, _) in ANSWERS.items()], schema)
+    now, gone = F.lit("2024-01-02").cast("timestamp"), [t for t, (_, live) in ANSWERS.items() if not live]
+    cache = cache.withColumn("expires_at", F.when(F.col("term").isin(gone), now - F.expr("INTERVAL 1 SECOND")).otherwise(now))
+    return shown(plan.found_entities(letters(spark, sf_dir), letter_names(spark), cache=cache, now=now)[1])
