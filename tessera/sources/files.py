@@ -85,12 +85,15 @@ def parsed_alias(line: Column) -> Column:
     return F.when(line.rlike(pattern), F.struct(field(1).alias("original"), field(2).alias("alias")))
 
 
-def page_texts(pages: DataFrame) -> DataFrame:
-    """pages with `text`: what a reader sees of html. Parsing runs in Arrow batches; html is the only column that travels."""
+def page_texts(pages: DataFrame, closed: bool = False) -> DataFrame:
+    """pages with `text`: what a reader sees of html. Parsing runs in Arrow batches; html is the only column that travels.
+
+    `closed`: only references that a semicolon ends are read as such, as in XML; else as browsers read them.
+    """
 
     @F.pandas_udf("string")
     def read(column: pd.Series) -> pd.Series:
-        return column.map(visible)
+        return column.map(lambda html: visible(html, closed))
 
     return pages.withColumn("text", read("html"))
 

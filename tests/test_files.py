@@ -139,3 +139,9 @@ def test_codes_are_those_of_the_class(spark):
 def test_deep_and_long_pages_take_linear_time():
     assert files.visible("<div>" * 3000 + "x" + "</div>" * 3000) == "x"
     assert len(files.visible("<p>word <b>x" * 20_000)) > 100_000
+
+
+def test_references_without_a_semicolon():
+    html = "<p>a&amp</p><p>b &lt;i&gt; &amp;lt; &#65; &#x41; R&D & c&am</p>"
+    assert files.visible(html) == "a&b <i> &lt; A A R&D & c&am"
+    assert files.visible(html, closed=True) == "a&ampb <i> &lt; A A R&D & c&am"
