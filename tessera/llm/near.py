@@ -10,9 +10,9 @@ Exact copies (equal words) collapse into one unit first. Units with an equal ent
 all their pairs, so that the work grows with the number of their members: every unit is aligned with the leaders of its
 buckets. The first leader of a bucket is its most central unit, the one whose buckets have most members, to which the
 copies of a text are mostly near; once links have become components, the most central units of the LEADERS - 1 next
-components in the bucket lead too. A pair can only be missed if none of the two leads a bucket of both, and no chain of
-links joins them. Copies with edits of their own meet in small buckets besides, where everyone leads. `exact` goes on
-until every pair in a bucket is joined or was aligned, which is quadratic in the size of buckets of texts that aren't near.
+components in the bucket lead too. A pair could only be missed then if none of the two leads a bucket of both, and no chain
+of links joins them. So the units of buckets that still hold several components meet once more by their rarest k-mers, which
+no pair of SIMILARITY can miss; that takes pairs of units that share rare k-mers and aren't joined, not all pairs of a bucket.
 """
 
 from __future__ import annotations
@@ -33,8 +33,10 @@ SKETCHES = 32
 ORDER = 5
 #: Texts of so many shingles at most have entries that no pair of SIMILARITY can miss.
 SHORT = 12
-#: Leaders of a bucket, one of them in the first round; with `exact`, so many more in each further round.
-LEADERS, MORE_LEADERS = 4, 32
+#: Leaders of a bucket, one of them in the first round.
+LEADERS = 4
+#: Units with one k-mer that meet all others with it in a task; of more, several tasks take a part each.
+MET_TOGETHER = 1000
 #: Pairs with one leader that are aligned in a task; a leader of more goes to several.
 LED_TOGETHER = 2000
 CACHED_WORDS = 400_000
@@ -288,7 +290,7 @@ def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     return common.written(old.unionByName(fresh), "labels")
 
 
-def classes(distinct: DataFrame, similarity: float = SIMILARITY, exact: bool = False) -> DataFrame:
+def classes(distinct: DataFrame, similarity: float = SIMILARITY, exact: bool = True) -> DataFrame:
     """unit, label for the units that are joined to others; distinct: unit, n, sketch, body, bucketed by unit."""
     members = memberships(distinct)
     alone = members.select("unit", "n", "score", F.col("unit").alias("label"), F.explode("values").alias("value"))
@@ -308,21 +310,54 @@ def classes(distinct: DataFrame, similarity: float = SIMILARITY, exact: bool = F
     if not exact:
         return labels
 
-    rest = common.written(alone.drop("label").join(leaders.select("value", "unit"), ["value", "unit"], "left_anti"), "rest")
-    while True:
-        here = rest.join(labels.withColumnRenamed("node", "unit"), "unit", "left").withColumn("label", F.coalesce("label", "unit"))
-        open_ = here.groupBy("value").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most")
-        here = common.written(here.join(open_.select("value"), "value"), "open")
-        if here.isEmpty():
-            return labels
-        more = common.written(here.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= MORE_LEADERS).drop("nth"), "leaders")
-        links = linked(candidates(here, more, similarity), distinct, similarity)
-        if not links.isEmpty():
-            labels = relabelled(labels, links)
-        rest = here.drop("label").join(more.select("value", "unit"), ["value", "unit"], "left_anti")
-
-
-def grouped(docs: DataFrame, similarity: float = SIMILARITY, wordless: bool = False, exact: bool = False) -> DataFrame:
+    # Only buckets that hold several components can have pairs that are near and not yet joined.
+    here = with_labels(members, labels)
+    open_ = here.groupBy("value").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("value")
+    rest = here.join(open_, "value", "left_semi").select("unit", "label").distinct()
+    links = linked(near_pairs(kmers(distinct.join(rest, "unit")), similarity), distinct, similarity)
+    return labels if links.isEmpty() else relabelled(labels, links)
+
+
+def kmers(units: DataFrame) -> DataFrame:
+    """unit, label, n, kmers (the labelled k-mers of the whole text) for units with their body, as a written table."""
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            values = (shingles(np.frombuffer(unpack(body), dtype=np.uint32)) for body in batch["body"])
+            found = [np.unique(mixed(x + occurrences(x) * np.uint64(0xD1B54A32D192ED03))).view(np.int64) for x in values]
+            yield batch[["unit", "label"]].assign(n=[len(x) for x in found], kmers=found)
+
+    return common.written(units.select("unit", "label", "body").mapInPandas(make, "unit binary, label binary, n int, kmers array<long>"), "kmers", common.TEXT_ROWS)
+
+
+def near_pairs(units: DataFrame, similarity: float) -> DataFrame:
+    """a, b: every pair of units (of kmers()) with different labels that can have the similarity, and some that don't.
+
+    Such a pair shares `similarity` of the larger one's k-mers. So the first k-mer that both hold, rarest first, is among the
+    first n - similarity * n + 1 of each, and enough of them come after it. Units that share no rare k-mer never meet.
+    """
+    each = units.select("unit", "label", "n", F.explode("kmers").alias("kmer"))
+    shared = each.groupBy("kmer").agg(F.count("*").alias("df")).where("df > 1")
+    found = each.join(shared, "kmer").groupBy("unit", "label", "n").agg(F.array_sort(F.collect_list(F.struct("df", "kmer"))).alias("held"))
+    # K-mers of one unit alone are the rarest, and stand before the shared ones.
+    own = F.col("n") - F.size("held")
+    first = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1
+    found = found.withColumn("own", own).where(first > own).select("unit", "label", "n", "own", F.posexplode(F.slice("held", F.lit(1), (first - own).cast("int"))).alias("at", "x"))
+    found = common.written(found.select("unit", "label", "n", (F.col("own") + F.col("at")).alias("at"), F.col("x.kmer").alias("kmer")), "prefixes")
+    parts = found.groupBy("kmer").agg(F.count("*").alias("m")).where("m > 1").select("kmer", F.ceil(F.col("m") / MET_TOGETHER).cast("int").alias("parts"))
+    found = found.join(parts, "kmer")
+    left = found.withColumn("part", F.pmod(F.xxhash64("unit"), F.col("parts")).cast("int")).drop("parts")
+    right = found.select("kmer", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *[F.col(c).alias(f"{c}_b") for c in ("unit", "label", "n", "at")])
+    both = left.join(right, ["kmer", "part"]).where((F.col("unit") < F.col("unit_b")) & (F.col("label") != F.col("label_b")))
+    able = F.least("n", "n_b") >= similarity * F.greatest("n", "n_b") - 1e-9
+    enough = F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b")) >= similarity / (1 + similarity) * (F.col("n") + F.col("n_b")) - 1e-9
+    return both.where(able & enough).select(F.col("unit").alias("a"), F.col("unit_b").alias("b")).distinct()
+
+
+def grouped(docs: DataFrame, similarity: float = SIMILARITY, wordless: bool = False, exact: bool = True) -> DataFrame:
     """doc_id, mark (hash of the text), class_id, kept for each row of docs.
 
     class_id is the least doc_id of the row's class (null if it has none); kept marks one row of each class, that with
@@ -330,7 +365,7 @@ def grouped(docs: DataFrame, similarity: float = SIMILARITY, wordless: bool = Fa
     only aligned in a band that widens with them. Texts with fewer than five words are one shingle. Null texts
     and those without words are copies of each other if `wordless`; else each is alone in its class, whose id is its
     doc_id. Repeated rows are copies, of which one is kept. Other columns are ignored; an empty table gives no row.
-    `exact` leaves no pair of a bucket without an alignment unless it is joined; see the head of this module.
+    Without `exact` only leaders are aligned, and links may be missed; see the head of this module.
     """
     units = sketched(docs)
     if wordless:

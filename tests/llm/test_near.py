@@ -1,7 +1,9 @@
+import math
 import random
 from difflib import SequenceMatcher
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import near
@@ -160,3 +162,31 @@ def test_central_leaders_join_what_all_pairs_join(spark):
         of = np.array([whole[k] for k in range(len(texts))])
         for i, j in rng.sample([(i, j) for i in found for j in found if i < j], 2000):
             assert found[i] != found[j] or of[i] == of[j]
+
+
+def test_no_link_of_a_bucket_is_left_out(spark):
+    """Forty pairs of near texts in one bucket, far more than it has leaders."""
+    rng = random.Random(16)
+    texts = [t for _ in range(40) for base in [prose(rng, 60)] for t in (base, copies(rng, base, 1))]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0, 0.0, None) for k, t in enumerate(texts)], SCHEMA)
+    units = near.sketched(docs).localCheckpoint()
+    of = {r.unit: r.doc_id for r in units.collect()}
+    distinct = units.select("unit", "n", F.array(F.lit(7).cast("long")).alias("sketch"), "body")
+    found: dict = {}
+    for r in near.classes(distinct).collect():
+        found.setdefault(r.label, set()).add(of[r.node])
+    assert sorted(map(sorted, found.values())) == [[k, k + 1] for k in range(0, 80, 2)]
+
+
+def test_near_pairs_miss_none():
+    rng = random.Random(17)
+    for _ in range(2000):
+        pool = [rng.randrange(1 << 40) for _ in range(60)]
+        sets = [set(rng.sample(pool, rng.randint(8, 60))) for _ in range(2)] if rng.random() < 0.3 else [set(pool[rng.randint(0, 8) : 60 - rng.randint(0, 8)]) for _ in range(2)]
+        a, b = (sorted(s) for s in sets)
+        if len(sets[0] & sets[1]) < 0.8 * len(sets[0] | sets[1]):
+            continue
+        first = min(sets[0] & sets[1])
+        for x, y in ((a, b), (b, a)):
+            assert x.index(first) < len(x) - math.ceil(0.8 * len(x) - 1e-9) + 1
+        assert min(len(a) - a.index(first), len(b) - b.index(first)) >= 0.8 / 1.8 * (len(a) + len(b)) - 1e-9
