@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions.lexicon import DEFAULT, Lexicon
+from tessera.sources import tables
 
 from .tokenize import TAIL, end_of, kinds_of, pieces, placed, token_array
 
@@ -148,8 +149,8 @@ def covering(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, p
         yield pd.Series(np.where(inside, picks[:, 0], -1)).astype("Int32").where(inside)
 
 
-def addresses(rows: DataFrame) -> DataFrame:
-    """rows with g3: groups of a street word, the number before it, and the words after it that no company has taken.
+def addresses(rows: DataFrame, parts: int | None = None) -> DataFrame:
+    """rows, in as many parts as given, with g3: groups of a street word, the number before it, and the words after it that no company has taken.
 
     A street word inside the group of an earlier one starts no group; a company ends a group. The scan needs a document's
     rows in order and in one partition, which the windows before it have seen to; the sort says so and is not done again.
@@ -161,13 +162,17 @@ def addresses(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("segment", F.sum(F.when(taken, 1).otherwise(0)).over(ordered().rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("first", F.row_number().over(ordered()) == 1).sortWithinPartitions("doc_id", "tok")
     start = F.pandas_udf(covering, "int").asNondeterministic()("first", F.coalesce("w", F.lit(-1)), street, F.coalesce(end, F.lit(-1)), "segment")
-    return rows.withColumn("pick", start).withColumn("g3", F.when((F.col("kind") == "word") & ~taken, F.col("pick"))).drop("segment", "first", "pick")
+    rows = rows.withColumn("pick", start)
+    # The windows that follow need a document's rows together again, since Spark doesn't know that a scan leaves them so.
+    rows = rows if parts is None else rows.repartition(parts, "doc_id")
+    return rows.withColumn("g3", F.when((F.col("kind") == "word") & ~taken, F.col("pick"))).drop("segment", "first", "pick")
 
 
-def grouped_words(rows: DataFrame) -> DataFrame:
-    """The rows of kept_tokens(), each with pass and g (its group's start), null outside groups."""
+def grouped_words(rows: DataFrame, parts: int | None = None) -> DataFrame:
+    """The rows of kept_tokens(), each with pass and g (its group's start), null outside groups; `parts` deals documents out."""
+    rows = rows if parts is None else rows.repartition(parts, "doc_id")
     rows = chained(rows, "g2", F.col("cap"), F.col("company_word"), 2)
-    rows = addresses(rows)
+    rows = addresses(rows, parts)
     free = F.col("g2").isNull() & F.col("g3").isNull()
     rows = chained(rows, "g4", free & F.col("cap") & ~F.col("stop"), free & F.col("honorific"), 2)
     free = free & F.col("g4").isNull()
@@ -183,11 +188,12 @@ def grouped_words(rows: DataFrame) -> DataFrame:
 def analysed(docs: DataFrame, keep: list[str] | None = None, lexicon: Lexicon = DEFAULT) -> DataFrame:
     """doc_id, the columns `keep`, score_*, language, groups: one row for each document, whose id must be unique and not null.
 
+    Lengths of texts are summed beforehand, which settles in how many parts documents are worked on.
     groups is an array of GROUP_FIELDS, ordered by pass and then `ord`, the first token's start. A group's text joins its
     words by single spaces; its span may hold more. `tail` is the text after it.
     """
     keep = [] if keep is None else keep
-    rows = grouped_words(kept_tokens(docs, keep, lexicon))
+    rows = grouped_words(kept_tokens(docs, keep, lexicon), tables.parts_of(docs, "text"))
     scored = [f"score_{x}" for x in lexicon.stop_words]
     # One row of each piece stays for its scores, and for documents without groups.
     rows = rows.where(F.col("pass").isNotNull() | F.col("lead"))

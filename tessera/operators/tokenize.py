@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 
-#: Characters of a piece at least; the place to cut may be further on, or nowhere.
-CHUNK = 4_096
+#: Characters of a piece at least; the place to cut may be further on, or nowhere. While Python works on a batch, its rows wait
+#: with all their tokens, so that a piece's size settles what a task holds, whatever the length of texts.
+CHUNK = 512
 
 
 def pieces(text: Column) -> Column:

@@ -69,3 +69,20 @@ def test_megabytes_of_streets_and_spans(spark):
     rows = {r.doc_id: r.groups for r in detect.analysed(docs).collect()}
     taken = [g for g in rows[1] if g["pass"] == 3]
     assert len(rows[2]) == 100_000 and len(taken) > 10_000 and all(a.end <= b.start for a, b in zip(taken, taken[1:]))
+
+
+def test_what_a_task_sorts_does_not_grow_with_the_table(spark, monkeypatch):
+    from tessera.functions.lexicon import DEFAULT
+    from tessera.sources import tables
+
+    docs = spark.createDataFrame([(k, f"Mme Dupont {k} et Acme SARL de Lyon. " * 40) for k in range(60)], "doc_id long, text string")
+    whole = sorted(map(repr, detect.analysed(docs).collect()))
+    total = docs.selectExpr("sum(length(text))").first()[0]
+    monkeypatch.setattr(tables, "TOGETHER", 5_000)
+    parts = tables.parts_of(docs, "text")
+    assert parts == -(-total // 5_000)
+    rows = detect.grouped_words(detect.kept_tokens(docs, [], DEFAULT), parts)
+    assert rows.rdd.getNumPartitions() == parts
+    assert sorted(map(repr, detect.analysed(docs).collect())) == whole
+    longest = tokenize.chunked(docs).selectExpr("max(length(text))").first()[0]
+    assert longest < 1_000  # the pieces that wait for Python
