@@ -190,3 +190,11 @@ def test_near_pairs_miss_none():
         for x, y in ((a, b), (b, a)):
             assert x.index(first) < len(x) - math.ceil(0.8 * len(x) - 1e-9) + 1
         assert min(len(a) - a.index(first), len(b) - b.index(first)) >= 0.8 / 1.8 * (len(a) + len(b)) - 1e-9
+
+
+def test_the_pipeline_leaves_no_pair_of_a_bucket_out(spark, monkeypatch):
+    asked, whole = [], near.classes
+    monkeypatch.setattr(near, "classes", lambda distinct, similarity, exact: asked.append(exact) or whole(distinct, similarity, exact))
+    docs = spark.createDataFrame([(k, t, "en", "s", 0, 0.0, None) for k, t in enumerate(["one two three", "one two three", "four"])], SCHEMA)
+    assert sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["order_minhash"](spark, docs, "").collect()) == [0, 2]
+    assert asked == [True]
