@@ -72,3 +72,31 @@ def test_tables_by_key(spark, monkeypatch):
     marked = automata.highlight(docs.where("session = 'a'"), pairs.select("session", F.col("alias").alias("text"), F.lit("person").alias("type"), "ord"), "session").first().marked
     assert marked.count('<mark class="entity entity-person" title="Type: person">') == 3 and rewrite.unhighlighted(F.lit(marked)) is not None
     assert automata.replace(docs.limit(0), pairs.select("session", F.col("alias").alias("text"), F.col("original").alias("alias"), "ord"), "session").count() == 0
+
+
+def random_tables(rng, n):
+    """Texts and tables of two sessions; originals that hold aliases, or make some with what is around them."""
+    word = lambda letters, most: "".join(rng.choice(letters) for _ in range(rng.randint(0, most)))
+    docs = [(k, rng.choice(["a", "b", None]), None if k % 17 == 0 else word("abcABÀàµμſß ", 90) + "é" * (k % 3)) for k in range(n)]
+    rows = [(rng.choice(["a", "b", None]), word("abcA", 3), rng.choice([word("abcBÀàµΜß", 4), None]), k % 25) for k in range(60)]
+    return docs + docs[:9], rows
+
+
+def test_large_tables_meet_texts_by_what_occurs_in_them(spark, monkeypatch):
+    """No task gets a table of more than HELD rows; results are those of whole tables."""
+    docs, table = random_tables(random.Random(5), 160)
+    docs = spark.createDataFrame(docs, "doc_id long, session string, text string").repartition(3)
+    terms = spark.createDataFrame([(s, a, o, o, n) for s, o, a, n in table], "session string, text string, alias string, type string, ord int")
+    pairs = spark.createDataFrame(table, "session string, original string, alias string, ord int")
+    get = lambda df: sorted(df.collect(), key=str)
+    ways = ((automata.restore, pairs), (automata.replace, terms), (automata.highlight, terms))
+    expected = [get(f(docs, of, "session")) for f, of in ways]
+    monkeypatch.setattr(automata, "HELD", 5)
+    monkeypatch.setattr(automata, "HASHED", 40)
+
+    def refused(*_):
+        raise AssertionError("a whole table in a task")
+
+    monkeypatch.setattr(automata, "by_whole_table", refused)
+    for (f, of), rows in zip(ways, expected):
+        assert get(f(docs, of, "session")) == rows and len(rows) == 169
