@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -48,9 +49,12 @@ def ranks(vocabulary: dict[str, int]) -> dict[bytes, int]:
     return {bytes(map(byte.__getitem__, word)): k for word, k in vocabulary.items() if all(c in byte for c in word)}
 
 
+@lru_cache(maxsize=2)
 def tokenizer(path: str):
     """text -> ids as bytes of little-endian unsigned 32-bit integers, equal to the tokenizers library's.
 
+    A worker makes it once: the tasks that it runs one after another find the words of those before remembered.
+
     Between two characters that aren't white space, a single space always starts a new word of this vocabulary's
     pattern, and a single line feed is a word of its own. So what stands between them is encoded apart, by tiktoken
     with the same vocabulary, and remembered. Texts with special tokens or with white space in runs go to the library.

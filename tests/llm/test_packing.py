@@ -68,3 +68,9 @@ def test_pack(spark):
 
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA), PATH).count() == 0
+
+
+def test_tasks_of_a_worker_share_the_remembered_words():
+    fast = packing.tokenizer(PATH)
+    fast("remembered words")
+    assert packing.tokenizer(PATH) is fast
