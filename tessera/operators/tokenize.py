@@ -11,7 +11,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -117,40 +118,53 @@ TAIL = 3
 CARRIED = "places array<int>, first int, kind string, text string, start int"
 
 
+def borders(lists: pa.Array) -> np.ndarray:
+    """Where each list begins in the flattened array, and where the last one ends."""
+    return np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))))
+
+
 def placed(docs: DataFrame, streets: Callable[[DataFrame], DataFrame] | None = None, reach: int = 0) -> DataFrame:
     """chunked() docs with `tokens` (text, pattern, kind) and `at`: where the piece and its tokens stand in the document.
 
     at.places holds the ends of all tokens, then the number of words up to each token, then, if streets adds a column
     `street_word` (array of boolean), whether each is one of the `reach` words from such a word on. at.first is the number of
     the piece's first token; at.kind, at.text and at.start are the last token before the piece that isn't white space.
-    Only lengths and flags go to numpy and back, in Arrow batches; a document's pieces follow one another, as posexplode
+    Only lengths and flags go to numpy and back, in Arrow batches, which stay Arrow: as pandas objects a batch took some
+    300 MB of a worker. A document's pieces follow one another, as posexplode
     leaves them, and the carry is what adds up over them.
     """
 
-    @F.pandas_udf(CARRIED)
-    def carried(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(CARRIED)
+    def carried(parts: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         tokens, words, end, street, last = 0, 0, 0, None, (None, None, None)
         for chunk, lengths, flags, kinds, texts in parts:
-            rows = []
-            for k, x, flag, kind, text in zip(chunk, lengths, flags, kinds, texts):
+            of, flag_of = borders(lengths), borders(flags)
+            every, flagged = lengths.flatten().to_numpy(zero_copy_only=False), flags.flatten().to_numpy(zero_copy_only=False)
+            places, rows = [], []
+            for n, (k, kind, text) in enumerate(zip(chunk.to_pylist(), kinds.to_pylist(), texts.to_pylist())):
+                x, flag = every[of[n] : of[n + 1]], flagged[flag_of[n] : flag_of[n + 1]]
                 if k == 0:
                     tokens, words, end, street, last = 0, 0, 0, None, (None, None, None)
                 ends, numbers = end + np.cumsum(np.abs(x)), words + np.cumsum(x < 0)
                 near = np.zeros(0, dtype=np.int64)
                 if reach:
-                    own = numbers[np.asarray(flag, dtype=bool)]
+                    own = numbers[flag.astype(bool)]
                     known = own if street is None else np.append(street, own)
                     before = np.searchsorted(known, numbers, side="right") - 1
                     near = (x < 0) & (before >= 0) & (numbers < (known[before] + reach if len(known) else 0))
                     street = known[-1] if len(known) else None
-                rows.append((np.concatenate((ends, numbers, near)).astype(np.int32), tokens, *last))
+                places.append(np.concatenate((ends, numbers, near)).astype(np.int32))
+                rows.append((tokens, *last))
                 if len(x):
                     if kind is not None:
                         at = len(x) - 1 - (kind[0] == " ")
                         last = (kind[1:], text, int(ends[at]) - abs(int(x[at])))
                     tokens, words, end = tokens + len(x), int(numbers[-1]), int(ends[-1])
-            out = pd.DataFrame(rows, columns=["places", "first", "kind", "text", "start"])
-            yield out.astype({"start": "Int32"})
+            sizes = np.cumsum([0, *map(len, places)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate([np.zeros(0, dtype=np.int32), *places])))
+            rest = [pa.array(values, kind) for values, kind in zip(zip(*rows), (pa.int32(), pa.string(), pa.string(), pa.int32()))]
+            if rows:
+                yield pa.StructArray.from_arrays([lists, *rest], names=["places", "first", "kind", "text", "start"])
 
     rows = with_kinds(chunked(docs).withColumn("tokens", token_array(F.col("text"))))
     rows = rows if streets is None else streets(rows)

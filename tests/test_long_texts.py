@@ -86,3 +86,14 @@ def test_what_a_task_sorts_does_not_grow_with_the_table(spark, monkeypatch):
     assert sorted(map(repr, detect.analysed(docs).collect())) == whole
     longest = tokenize.chunked(docs).selectExpr("max(length(text))").first()[0]
     assert longest < 1_000  # the pieces that wait for Python
+
+
+def test_pieces_do_not_become_pandas_objects(spark):
+    """As pandas objects the token lengths of a batch of pieces took some 300 MB of a Python worker."""
+    from pyspark.util import PythonEvalType
+
+    from tessera.operators import tokenize
+
+    plan = tokenize.placed(spark.createDataFrame([(1, "Some text")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and f", {PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF}" in plan
+    assert f", {PythonEvalType.SQL_SCALAR_PANDAS_ITER_UDF}" not in plan
