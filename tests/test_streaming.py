@@ -186,3 +186,16 @@ def test_bytes_written_follow_the_batch(spark, tmp_path):
     assert len({x.rsplit("/", 2)[1] for x in store.manifest().base["entities"].values()}) == 2
     assert as_rows([store.table("entities", reader)]) == seen  # a reader keeps its version
     assert store.read()[0].where("document_count = 5").count() == 1
+
+
+def test_recording_into_an_empty_graph_shuffles_nothing_for_it(spark):
+    from tessera import queries
+    from tessera.operators import graph
+
+    entities, occurrences = spark.createDataFrame([], queries.ENTITY), spark.createDataFrame([], queries.OCCURRENCE)
+    new = spark.createDataFrame([("d", "d", "d")], "document_id string, label string, text string").selectExpr("*", "timestamp'2024-01-01' AS processed_at")
+    found = spark.createDataFrame([("d", "Ann", "person", "A", 0)], "document_id string, text string, type string, alias string, ord int")
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    rows = graph.resolved(entities, new, graph.with_canonical(found))
+    assert joins(rows) == 1 and rows.count() == 1
+    assert joins(graph.upserted(occurrences, rows.select("entity_id", "document_id").selectExpr("*", "'Ann' AS original", "'A' AS alias", "false AS confirmed"), ["entity_id", "document_id"])) == 1
