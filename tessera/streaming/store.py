@@ -118,7 +118,7 @@ class GraphStore:
         entities = self.table("entities", manifest, None if given else self.touched("entities", named))
         in_documents = tables.written(graph.resolved(entities, new, named), "found")
         occurrences = self.table("occurrences", manifest, self.touched("occurrences", in_documents))
-        changes = graph.changes(entities, occurrences, new, named, in_documents)
+        changes = graph.changes(entities, occurrences, new, in_documents)
         manifest.version = version
         for name, rows in zip(self.SCHEMAS, changes):
             folder = f"{self.path}/{name}/delta-{version}"

@@ -199,3 +199,27 @@ def test_recording_into_an_empty_graph_shuffles_nothing_for_it(spark):
     rows = graph.resolved(entities, new, graph.with_canonical(found))
     assert joins(rows) == 1 and rows.count() == 1
     assert joins(graph.upserted(occurrences, rows.select("entity_id", "document_id").selectExpr("*", "'Ann' AS original", "'A' AS alias", "false AS confirmed"), ["entity_id", "document_id"])) == 1
+
+
+def test_recording_joins_only_entities_with_ids_of_their_own(spark):
+    """Rows found in documents don't move to meet entities whose id follows from their text."""
+    from tessera.operators import graph
+
+    schema = "entity_id string, canonical string, type string, first_seen timestamp, last_seen timestamp, document_count int"
+    new = spark.createDataFrame([("d", "d", "d")], "document_id string, label string, text string").selectExpr("*", "timestamp'2024-01-01' AS processed_at")
+    found = spark.createDataFrame([("d", "Ann", "person", "A", 0), ("d", "ann", "person", "B", 1)], "document_id string, text string, type string, alias string, ord int")
+    found = graph.with_canonical(found)
+    own = spark.range(1).select(graph.entity_id(F.lit("person"), F.lit("ANN"))).first()[0]
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    for ids, join_count in (([own], 1), (["given"], 2), (["zz", own], 1)):
+        entities = spark.createDataFrame([(i, "ANN", "person", None, None, 1) for i in ids], schema)
+        rows = graph.resolved(entities, new, found)
+        assert joins(rows) == join_count and [(r.entity_id, r["last"].alias, r.times) for r in rows.collect()] == [(min(ids), "B", 2)]
+
+
+def test_rows_are_dealt_by_their_number(spark, monkeypatch):
+    from tessera.sources import tables
+
+    monkeypatch.setattr(tables, "SORTED", 100)
+    assert tables.dealt(spark.range(1000), "id").rdd.getNumPartitions() == 10
+    assert tables.dealt(spark.range(10), "id", rows=10).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
