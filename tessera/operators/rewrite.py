@@ -55,8 +55,14 @@ def restored(text: Column, pairs: Column) -> Column:
 
     def replaced(of: Column) -> Column:
         kept = F.filter(F.transform(of, lambda p, k: F.struct((-F.length(p["alias"])).alias("size"), k.alias("nth"), p["alias"].alias("alias"), p["original"].alias("original"))), lambda x: x["size"] < 0)
-        first = F.filter(kept, lambda x: ~F.exists(kept, lambda y: (y["alias"] == x["alias"]) & (y["nth"] < x["nth"])))
-        final = F.transform(first, lambda x: F.struct(x["size"].alias("size"), x["nth"].alias("nth"), x["alias"].alias("alias"), F.get(F.reverse(F.filter(kept, lambda y: y["alias"] == x["alias"])), F.lit(0))["original"].alias("original")))
+        # Equal aliases stand side by side in this order: each run gives its first row's place and its last row's original.
+        runs = F.array_sort(F.transform(kept, lambda x: F.struct(x["alias"].alias("alias"), x["nth"].alias("nth"), x["size"].alias("size"), x["original"].alias("original"))))
+        return F.get(F.transform(F.array(runs), once), F.lit(0))
+
+    def once(runs: Column) -> Column:
+        first = F.filter(runs, lambda x, k: ~F.coalesce(F.get(runs, k - 1)["alias"] == x["alias"], F.lit(False)))
+        last = F.filter(runs, lambda x, k: ~F.coalesce(F.get(runs, k + 1)["alias"] == x["alias"], F.lit(False)))
+        final = F.zip_with(first, last, lambda x, y: F.struct(x["size"].alias("size"), x["nth"].alias("nth"), x["alias"].alias("alias"), y["original"].alias("original")))
         return F.aggregate(F.array_sort(final), text, lambda acc, x: F.replace(acc, x["alias"], x["original"]))
 
     return F.get(F.transform(F.array(pairs), replaced), F.lit(0))

@@ -137,3 +137,15 @@ def test_nested_spans_are_spliced_in_order(spark):
     docs = spark.createDataFrame([(1, "AB CD EF", [(0, 2, "XXXX"), (6, 8, "Y")]), (2, "AB CD EF", [(0, 8, "long"), (3, 5, "in")])], "doc_id long, text string, e array<struct<start:int,end:int,alias:string>>")
     out = {r.doc_id: r.o for r in docs.select("doc_id", rewrite.spliced(F.col("text"), F.col("e")).alias("o")).collect()}
     assert out == {1: "XXXX CD Y", 2: "long"}
+
+
+def test_restore_takes_time_with_the_length_of_its_table(spark):
+    """Pairs of an alias that comes twice: the last original, in the place of the first; 12,000 rows aren't held against one another."""
+    import time
+
+    n = 6_000
+    docs = spark.range(1).selectExpr("id AS doc_id", f"array_join(transform(sequence(0, {n - 1}), k -> concat('<', k, '>')), ' ') AS text")
+    table = spark.range(2 * n).selectExpr("0L AS doc_id", f"concat(if(id < {n}, 'old ', 'new '), id % {n}) AS original", f"concat('<', id % {n}, '>') AS alias", "id AS ord")
+    began = time.time()
+    assert rewrite.restore(docs, table, "doc_id").first().restored == " ".join(f"new {k}" for k in range(n))
+    assert time.time() - began < 20
