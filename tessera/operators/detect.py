@@ -10,18 +10,21 @@ in proportion to a text's length.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.functions import text as T
 from tessera.functions.lexicon import DEFAULT, Lexicon
 from tessera.sources import tables
 
-from .tokenize import TAIL, end_of, kinds_of, pieces, placed, token_array
+from .tokenize import TAIL, borders, chunked, kinds_of, pieces, token_array, with_tokens
 
 ADDRESS_TOKENS = 8
 #: Pass, local type and confidence of groups.
@@ -49,62 +52,135 @@ def best_language(languages: list[str]) -> Column:
     return pick
 
 
-def upper_words(tokens: Column) -> Column:
-    return F.transform(tokens, lambda t: F.when(t["kind"] == "word", F.upper(t["text"])))
+def words_of(piece: Column) -> Column:
+    """The words of a piece. Only identifiers can take letters that would be words otherwise."""
+    others = F.transform(F.filter(kinds_of(token_array(piece)), lambda t: t["kind"] == "word"), lambda t: t["text"])
+    return F.when(piece.rlike(T.HINTED), others).otherwise(F.regexp_extract_all(piece, F.lit(T.WORDS), F.lit(0)))
 
 
 def with_language(docs: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
     """docs (with text) with language and score_*; nothing shuffles."""
-    words = F.transform(pieces(F.coalesce("text", F.lit(""))), lambda p: upper_words(kinds_of(token_array(p))))
-    rows = docs.withColumn("upper", F.flatten(words)).select(*docs.columns, *scores(lexicon))
+    words = F.transform(F.flatten(F.transform(pieces(F.coalesce("text", F.lit(""))), words_of)), F.upper)
+    rows = docs.withColumn("words", words)
+    rows = rows.withColumn("upper", F.expr(f"filter(words, u -> {among('u', lexicon.every_stop_word)})")).select(*docs.columns, *scores(lexicon))
     return rows.withColumn("language", best_language(list(lexicon.stop_words)))
 
 
+#: Pieces whose tokens Python has in hand at a time.
+AT_ONCE = 1_000
+KINDS = ["pattern", "word", "whitespace", "number", "punctuation"]
+ASKED = ["company_word", "street_word", "honorific", "stop"]
+MARKED = "lead boolean, tok int, text string, kind string, pattern string, end int, w int, cap boolean, " + ", ".join(f"{name} boolean" for name in ASKED) + ", before struct<kind:string,text:string,start:int>, tail string"
+
+
+def starting(codes: list[int]) -> pa.Array:
+    return pa.array([chr(c) for c in codes])
+
+
+def marker(keep: list[str], asks: dict[str, list[str]], stops: dict[str, list[str]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What makes the rows of kept_tokens() from batches of pieces (doc_id, keep, chunk, texts, patterns, after), in order.
+
+    What is asked of a token is settled once for each text in AT_ONCE pieces. Numbers run on in a document; `carry` is
+    how many tokens, words and characters earlier pieces had, and their last street word and token that isn't white space.
+    """
+    letters, capitals, spaces, digits = starting(T.LETTER_CODES), starting(T.CAPITAL_CODES), starting(T.SPACE_CODES), starting(range(48, 58))
+    lists = {name: pa.array(words, pa.string()) for name, words in {**asks, **stops}.items()}
+    numpy = lambda x: x.to_numpy(zero_copy_only=False)
+    picked = lambda values, at: values.take(pa.array(at, mask=at < 0))
+
+    def of_pieces(part: pa.RecordBatch, carry: tuple) -> tuple[pa.RecordBatch, tuple]:
+        rows, of, flat = part.num_rows, borders(part["texts"]), part["texts"].flatten()
+        n, sizes = len(flat), np.diff(of)
+        piece = np.repeat(np.arange(rows), sizes)
+        coded = flat.dictionary_encode()
+        index, texts = numpy(coded.indices), coded.dictionary
+        first, upper = pc.utf8_slice_codeunits(texts, 0, 1), pc.utf8_upper(pc.replace_substring(texts, "ß", "SS"))
+        begins = lambda with_: numpy(pc.is_in(first, value_set=with_))
+        kind = np.where(begins(letters), 1, np.where(begins(spaces), 2, np.where(begins(digits), 3, 4)))[index].astype(np.int8)
+        pattern = np.full(n, -1)
+        identifiers = part["patterns"].flatten()
+        if len(identifiers):
+            place = np.flatnonzero(np.repeat(numpy(part["patterns"].is_valid()), sizes))
+            some = np.flatnonzero(numpy(identifiers.is_valid()))
+            pattern[place[some]] = some
+        kind[pattern >= 0] = 0
+        word = kind == 1
+        asked = {name: word & numpy(pc.is_in(upper, value_set=values))[index] for name, values in lists.items()}
+        cap = word & begins(capitals)[index]
+
+        # Where the document of each piece begins in these pieces; -1 if earlier ones had some of it.
+        starts = np.maximum.accumulate(np.where(numpy(part["chunk"]) == 0, np.arange(rows), -1))
+        tokens, words, chars, street, last = carry
+        run = lambda x: np.cumsum(np.concatenate(([0], x)))
+        long = numpy(pc.utf8_length(texts)).astype(np.int64)[index]
+        base = {}
+        for name, total, before in (("tok", np.arange(n + 1), tokens), ("w", run(word), words), ("end", run(long), chars)):
+            base[name] = (total, np.where(starts >= 0, total[of[starts]], -before))
+        number = {name: total[1:] - np.repeat(of_piece, sizes) for name, (total, of_piece) in base.items()}
+        # The last street word so far, as a number over all pieces; those of other documents are too low.
+        known = np.maximum.accumulate(np.concatenate(([street - words], np.where(asked["street_word"], base["w"][0][1:], street - words))))[1:]
+        near = word & (known > np.repeat(base["w"][1], sizes)) & (base["w"][0][1:] < known + ADDRESS_TOKENS)
+        solid = np.maximum.accumulate(np.concatenate(([-1], np.where(kind != 2, np.arange(n), -1))))
+        begin = np.where(starts >= 0, of[starts], 0)
+        own = np.where(solid[:-1] >= np.repeat(begin, sizes), solid[:-1], -1)
+
+        kept = np.flatnonzero((kind == 0) | cap | asked["company_word"] | asked["street_word"] | asked["honorific"] | near)
+        empty = np.setdiff1d(np.arange(rows), piece[kept])
+        at, of_piece = np.concatenate((kept, np.full(len(empty), -1))), np.concatenate((piece[kept], empty))
+        order = np.argsort(of_piece, kind="stable")
+        at, of_piece = at[order], of_piece[order]
+        gone = at < 0
+        # Numbers and flags of the rows; a piece without a token to keep has none.
+        shown = lambda x, to: pa.array((x[at] if n else np.zeros(len(at))).astype(to), mask=gone)
+        previous = np.where(gone, -1, own[at]) if n else at
+        names = pa.array(KINDS)
+        begun = number["end"] - long
+        before = [picked(names, np.where(previous >= 0, kind[previous], -1) if n else at), picked(flat, previous), pa.array((begun[previous] if n else at).astype(np.int32), mask=previous < 0)]
+        earlier = ~gone & (previous < 0) & (starts[of_piece] < 0)
+        if last is not None and earlier.any():
+            before = [pc.if_else(pa.array(earlier), pa.scalar(value, x.type), x) for value, x in zip(last, before)]
+            previous = np.where(earlier, 0, previous)
+        follows = [pc.fill_null(picked(flat, np.where(~gone & (at + k < of[1:][of_piece]), at + k, -1)), "") for k in range(1, TAIL + 1)]
+        tail = pc.utf8_slice_codeunits(pc.binary_join_element_wise(*follows, part["after"].take(pa.array(of_piece)), ""), 0, TAIL)
+        columns = {name: part[name].take(pa.array(of_piece)) for name in ("doc_id", *keep)}
+        columns |= {name: pa.array(np.bincount(piece[asked[name]], minlength=rows)[of_piece].astype(np.int64)) for name in stops}
+        columns |= {
+            "lead": pa.array(np.diff(of_piece, prepend=-1) > 0), "tok": shown(number["tok"] - 1, np.int32), "text": picked(flat, at), "kind": picked(names, np.where(gone, -1, kind[at]) if n else at),
+            "pattern": picked(identifiers, np.where(gone, -1, pattern[at]) if n else at), "end": shown(number["end"], np.int32), "w": pa.array((number["w"][at] if n else at).astype(np.int32), mask=gone | (~word[at] if n else gone)),
+            "cap": shown(cap, bool), **{name: shown(asked[name], bool) for name in ASKED},
+            "before": pa.StructArray.from_arrays(before, names=["kind", "text", "start"], mask=pa.array(previous < 0)), "tail": pc.if_else(pa.array(gone), pa.scalar(None, pa.string()), tail),
+        }
+        final = int(solid[-1])
+        if final >= begin[-1]:
+            last = (KINDS[kind[final]], flat[final].as_py(), int(begun[final]))
+        elif starts[-1] >= 0:
+            last = None
+        tokens, words, chars = (int(total[-1] - of_piece[-1]) for total, of_piece in base.values())
+        street = max(0, int(known[-1] - base["w"][1][-1])) if n else street if starts[-1] < 0 else 0
+        return pa.RecordBatch.from_pydict(columns), (tokens, words, chars, street, last)
+
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry = (0, 0, 0, 0, None)
+        for batch in batches:
+            for at in range(0, batch.num_rows, AT_ONCE):
+                out, carry = of_pieces(batch.slice(at, AT_ONCE), carry)
+                yield out
+
+    return of_batches
+
+
 def kept_tokens(docs: DataFrame, keep: list[str], lexicon: Lexicon) -> DataFrame:
     """doc_id, keep, score_*, lead, and a row for each pattern token and each word that can be in a group.
 
     A piece of a document without such has one row with tok null; `lead` marks one row of each piece, whose score_* the
-    other rows of the piece repeat.
+    other rows of the piece repeat. Tokens leave Python as rows, so that nothing waits in the JVM beside them.
     """
     asks = {"company_word": lexicon.company_words, "street_word": lexicon.street_words, "honorific": lexicon.honorifics, "stop": lexicon.every_stop_word}
-
-    def asked(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumn("upper", upper_words(F.col("tokens")))
-        return rows.withColumns({name: F.expr(f"transform(upper, u -> {among('u', words)})") for name, words in asks.items()})
-
-    rows = placed(docs.select("doc_id", *keep, "text"), asked, ADDRESS_TOKENS)
-    count = F.size("tokens")
-
-    # Arrays that a lambda looks up are its argument: Catalyst would put a column's expression in their place, to be
-    # evaluated for every element.
-    def flags(x: Column, k: Column) -> Column:
-        t = x["tokens"]
-        word = t["kind"] == "word"
-        return F.struct(
-            k.alias("tok"), t["text"].alias("text"), t["kind"].alias("kind"), t["pattern"].alias("pattern"), end_of(k).alias("end"),
-            F.when(word, end_of(count + k)).alias("w"), (word & T.capitalized(t["text"])).alias("cap"), (end_of(count + count + k) == 1).alias("near"),
-            *[x[name].alias(name) for name in asks],
-        )
-
-    marked = rows.select("doc_id", *keep, *scores(lexicon), "tokens", "at", "after", F.transform(F.arrays_zip("tokens", *asks), flags).alias("marks"))
-    wanted = F.filter("marks", lambda m: (m["kind"] == "pattern") | m["cap"] | m["company_word"] | m["street_word"] | m["honorific"] | m["near"])
-    carried = F.when(F.col("at.kind").isNotNull(), F.struct(F.col("at.kind").alias("kind"), F.col("at.text").alias("text"), F.col("at.start").alias("start")))
-
-    def around(m: Column) -> Column:
-        """With the last token before that isn't white space, and the text after the token."""
-        k = m["tok"]
-        one = F.get("tokens", k - 1)
-        at = F.when(one["kind"] == "whitespace", k - 2).otherwise(k - 1)
-        own = F.get("tokens", at)
-        before = F.struct(own["kind"].alias("kind"), own["text"].alias("text"), (end_of(at) - F.length(own["text"])).alias("start"))
-        after = F.substring(F.concat(*[F.coalesce(F.get("tokens", k + n)["text"], F.lit("")) for n in range(1, TAIL + 1)], F.col("after")), 1, TAIL)
-        fields = [m[f].alias(f) for f in ("text", "kind", "pattern", "end", "w", "cap", *asks)]
-        return F.struct((F.col("at.first") + k).alias("tok"), *fields, F.when(at >= 0, before).otherwise(carried).alias("before"), after.alias("tail"))
-
-    marked = marked.withColumn("kept", wanted)
-    scored = [c for c in marked.columns if c.startswith("score_")]
-    rows = marked.select("doc_id", *keep, *scored, F.posexplode_outer(F.transform("kept", around)).alias("nth", "m"))
-    rows = rows.select("doc_id", *keep, *scored, (F.coalesce("nth", F.lit(0)) == 0).alias("lead"), "m.*")
+    stops = {f"score_{x}": words for x, words in lexicon.stop_words.items()}
+    rows = with_tokens(chunked(docs.select("doc_id", *keep, "text"))).select("doc_id", *keep, "chunk", "texts", "patterns", "after")
+    own = rows.select("doc_id", *keep).schema
+    schema = StructType([*own.fields, *(StructField(name, LongType()) for name in stops), *StructType.fromDDL(MARKED).fields])
+    rows = rows.mapInArrow(marker(keep, asks, stops), schema)
     first = F.col("before").isNull() | ((F.col("before.kind") == "punctuation") & (F.col("before.text") == "."))
     return rows.withColumn("start", F.col("end") - F.length("text")).withColumn("sentence_start", first).withColumn("all_upper", T.all_upper(F.col("text")))
 

@@ -84,7 +84,7 @@ def kind_of(first: Column, pattern: Column) -> Column:
 
 def token_array(source: Column) -> Column:
     """An array of (text, pattern) for one piece: identifier spans and, between them, the basic tokens. They cover the text."""
-    basic = F.lit(T.unicode_space(T.BASIC))
+    basic = F.lit(T.TOKENS)
     none = F.lit(None).cast("string")
     token = lambda text, pattern: F.struct(text.alias("text"), pattern.alias("pattern"))
 
@@ -115,7 +115,16 @@ def chunked(docs: DataFrame) -> DataFrame:
 
 #: Characters after a token that detection may ask for.
 TAIL = 3
-CARRIED = "places array<int>, first int, kind string, text string, start int"
+CARRIED = "first int, ends array<int>"
+
+
+def with_tokens(rows: DataFrame) -> DataFrame:
+    """chunked() rows with `texts`, what the tokens of the piece are, and `patterns`, the identifiers' kinds at the same places,
+    or null. Few pieces have anything that an identifier needs; the others are cut into tokens and no more."""
+    found = F.when(F.col("text").rlike(T.HINTED), token_array(F.col("text")))
+    basic = F.regexp_extract_all("text", F.lit(T.TOKENS), F.lit(0))
+    rows = rows.withColumn("found", found)
+    return rows.withColumns({"texts": F.when(F.col("found").isNull(), basic).otherwise(F.col("found")["text"]), "patterns": F.col("found")["pattern"]}).drop("found")
 
 
 def borders(lists: pa.Array) -> np.ndarray:
@@ -123,65 +132,29 @@ def borders(lists: pa.Array) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))))
 
 
-def placed(docs: DataFrame, streets: Callable[[DataFrame], DataFrame] | None = None, reach: int = 0) -> DataFrame:
-    """chunked() docs with `tokens` (text, pattern, kind) and `at`: where the piece and its tokens stand in the document.
+def placed(docs: DataFrame) -> DataFrame:
+    """chunked() docs with tokens and `at`: the number of the piece's first token in the document, and the ends of all.
 
-    at.places holds the ends of all tokens, then the number of words up to each token, then, if streets adds a column
-    `street_word` (array of boolean), whether each is one of the `reach` words from such a word on. at.first is the number of
-    the piece's first token; at.kind, at.text and at.start are the last token before the piece that isn't white space.
-    Only lengths and flags go to numpy and back, in Arrow batches, which stay Arrow: as pandas objects a batch took some
-    300 MB of a worker. A document's pieces follow one another, as posexplode
-    leaves them, and the carry is what adds up over them.
+    Only lengths go to numpy and back, in Arrow batches, which stay Arrow: as pandas objects a batch took some 300 MB of a
+    worker. A document's pieces follow one another, as posexplode leaves them, and the carry is what adds up over them.
     """
 
     @F.arrow_udf(CARRIED)
-    def carried(parts: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        tokens, words, end, street, last = 0, 0, 0, None, (None, None, None)
-        for chunk, lengths, flags, kinds, texts in parts:
-            of, flag_of = borders(lengths), borders(flags)
-            every, flagged = lengths.flatten().to_numpy(zero_copy_only=False), flags.flatten().to_numpy(zero_copy_only=False)
-            places, rows = [], []
-            for n, (k, kind, text) in enumerate(zip(chunk.to_pylist(), kinds.to_pylist(), texts.to_pylist())):
-                x, flag = every[of[n] : of[n + 1]], flagged[flag_of[n] : flag_of[n + 1]]
-                if k == 0:
-                    tokens, words, end, street, last = 0, 0, 0, None, (None, None, None)
-                ends, numbers = end + np.cumsum(np.abs(x)), words + np.cumsum(x < 0)
-                near = np.zeros(0, dtype=np.int64)
-                if reach:
-                    own = numbers[flag.astype(bool)]
-                    known = own if street is None else np.append(street, own)
-                    before = np.searchsorted(known, numbers, side="right") - 1
-                    near = (x < 0) & (before >= 0) & (numbers < (known[before] + reach if len(known) else 0))
-                    street = known[-1] if len(known) else None
-                places.append(np.concatenate((ends, numbers, near)).astype(np.int32))
-                rows.append((tokens, *last))
-                if len(x):
-                    if kind is not None:
-                        at = len(x) - 1 - (kind[0] == " ")
-                        last = (kind[1:], text, int(ends[at]) - abs(int(x[at])))
-                    tokens, words, end = tokens + len(x), int(numbers[-1]), int(ends[-1])
-            sizes = np.cumsum([0, *map(len, places)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate([np.zeros(0, dtype=np.int32), *places])))
-            rest = [pa.array(values, kind) for values, kind in zip(zip(*rows), (pa.int32(), pa.string(), pa.string(), pa.int32()))]
-            if rows:
-                yield pa.StructArray.from_arrays([lists, *rest], names=["places", "first", "kind", "text", "start"])
-
-    rows = with_kinds(chunked(docs).withColumn("tokens", token_array(F.col("text"))))
-    rows = rows if streets is None else streets(rows)
-    flags = F.col("street_word") if streets is not None else F.array().cast("array<boolean>")
-    # A word's length is negative, which tells words apart.
-    lengths = F.transform("tokens", lambda t: F.when(t["kind"] == "word", -F.length(t["text"])).otherwise(F.length(t["text"])))
-    final = F.get("tokens", F.size("tokens") - 1)
-    spaced = final["kind"] == "whitespace"
-    solid = F.when(spaced, F.get("tokens", F.size("tokens") - 2)).otherwise(final)
-    # The kind of the last token that isn't white space, after a blank if white space follows it.
-    kind = F.concat(F.when(spaced, " ").otherwise("_"), solid["kind"])
-    return rows.withColumn("at", carried("chunk", lengths, flags, kind, solid["text"]))
-
-
-def with_kinds(rows: DataFrame) -> DataFrame:
-    """rows with `tokens` of token_array(), with the kind of each token."""
-    return rows.withColumn("tokens", kinds_of(F.col("tokens")))
+    def carried(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        tokens, end = 0, 0
+        for chunk, lengths in parts:
+            of, total = borders(lengths), np.cumsum(np.concatenate(([0], lengths.flatten().to_numpy(zero_copy_only=False))))
+            # What came before the document of each piece in this batch, negative where earlier batches had some of it.
+            at = np.maximum.accumulate(np.where(chunk.to_numpy(zero_copy_only=False) == 0, np.arange(len(chunk)), -1))
+            before, chars = np.where(at >= 0, of[at], -tokens), np.where(at >= 0, total[of[at]], -end)
+            ends = total[1:] - np.repeat(chars, np.diff(of))
+            if len(chunk):
+                tokens, end = int(of[-1] - before[-1]), int(total[-1] - chars[-1])
+                lists = pa.ListArray.from_arrays(pa.array(of.astype(np.int32)), pa.array(ends.astype(np.int32)))
+                yield pa.StructArray.from_arrays([pa.array((of[:-1] - before).astype(np.int32)), lists], names=["first", "ends"])
+
+    rows = with_tokens(chunked(docs))
+    return rows.withColumn("at", carried("chunk", F.transform("texts", F.length)))
 
 
 def kinds_of(found: Column) -> Column:
@@ -190,20 +163,17 @@ def kinds_of(found: Column) -> Column:
     return bound(found, lambda tokens: F.zip_with(tokens, codes(tokens), token))
 
 
-def end_of(at: Column) -> Column:
-    return F.get("at.places", at)
-
-
 def tokens(docs: DataFrame) -> DataFrame:
     """doc_id, tok, text, kind, pattern, start, end: one row for each token, in order of tok. doc_id must be unique."""
-    each = F.transform("tokens", lambda t, k: F.struct(t["text"].alias("text"), t["kind"].alias("kind"), t["pattern"].alias("pattern"), end_of(k).alias("end")))
+    rows = placed(docs.select("doc_id", "text")).select("doc_id", "patterns", F.col("at.first").alias("first"), F.arrays_zip(F.col("texts").alias("text"), F.col("at.ends").alias("end")).alias("each"))
     # The outer form, since for the plain one Catalyst works the array out two more times, to leave out empty ones.
-    rows = placed(docs.select("doc_id", "text")).select("doc_id", F.col("at.first").alias("first"), F.posexplode_outer(each).alias("k", "t")).where("t is not null")
-    return rows.select("doc_id", (F.col("first") + F.col("k")).alias("tok"), "t.text", "t.kind", "t.pattern", (F.col("t.end") - F.length("t.text")).alias("start"), "t.end")
+    rows = rows.select("doc_id", "patterns", "first", F.posexplode_outer("each").alias("k", "t")).where("t is not null")
+    rows = rows.select("doc_id", (F.col("first") + F.col("k")).alias("tok"), "t.text", F.get("patterns", F.col("k")).alias("pattern"), "t.end")
+    return rows.select("doc_id", "tok", "text", kind_of(F.ascii("text"), F.col("pattern")).alias("kind"), "pattern", (F.col("end") - F.length("text")).alias("start"), "end")
 
 
 def token_kinds(docs: DataFrame) -> DataFrame:
-    """doc_id, text, kind for each token, where positions aren't needed: nothing leaves the JVM."""
-    rows = chunked(docs.select("doc_id", "text")).select("doc_id", F.explode_outer(token_array(F.col("text"))).alias("t")).where("t is not null")
-    rows = rows.select("doc_id", "t.text", "t.pattern", F.ascii("t.text").alias("code"))
-    return rows.select("doc_id", "text", kind_of(F.col("code"), F.col("pattern")).alias("kind"))
+    """text, kind, n: how often a token of each kind occurs. Nothing leaves the JVM, and kinds are settled once for each."""
+    rows = with_tokens(chunked(docs.select("text"))).select("patterns", F.posexplode_outer("texts").alias("k", "text")).where("text is not null")
+    rows = rows.groupBy("text", F.get("patterns", F.col("k")).isNotNull().alias("found")).agg(F.count("*").alias("n"))
+    return rows.select("text", kind_of(F.ascii("text"), F.when(F.col("found"), "pattern")).alias("kind"), "n")
