@@ -50,7 +50,8 @@ def found_entities(
         of = table.select("doc_id", F.array("language").alias("jurisdictions"))
     elif options.jurisdictions:
         dictionary = dictionary.where(F.col("jurisdiction").isin(options.jurisdictions))
-    found = tables.written(entities.typed(entities.classified(detect.groups(table), dictionary, of, cache, now)), "entities")
+    asked = table.agg(F.sum(F.aggregate("groups", F.lit(0), lambda n, g: n + 1 + F.size(g["words"])).cast("long"))).first()[0] or 0
+    found = tables.written(entities.typed(entities.classified(detect.groups(table), dictionary, of, cache, now)), "entities", asked)
     return languages, found, entities.merged(found)
 
 
@@ -69,8 +70,9 @@ def anonymize(
         docs = docs.withColumn("doc_ord", F.col("doc_id") if dict(docs.dtypes)["doc_id"] in ("bigint", "int") else F.lit(0))
     languages, first, final = found_entities(docs.select("doc_id", "text", "session_id", "doc_ord"), dictionary, options, ["session_id", "doc_ord"], cache, now)
     sessions = languages.select("doc_id", "session_id", "doc_ord")
-    final = tables.written(final, "merged")
-    aliases = tables.written(entities.alias_map(entities.requests(first, final, sessions), options.style, known), "aliases")
+    found = first.count()
+    final = tables.written(final, "merged", found)
+    aliases = tables.written(entities.alias_map(entities.requests(first, final, sessions), options.style, known), "aliases", found)
     final = entities.with_aliases(final, sessions, aliases)
     # Languages and spans of a document meet first, so that texts move once.
     spans = final.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "alias")).alias("spans"))

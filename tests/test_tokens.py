@@ -62,3 +62,31 @@ def test_detection_carries_over_what_python_has_in_hand(spark, monkeypatch):
     one = [list(detect.marker([], asks, stops)(iter([batch.slice(k, size) for k in range(0, batch.num_rows, size)]))) for size in (1, 3, 1000)]
     one = [[r for b in batches for r in b.to_pylist()] for batches in one]
     assert one[0] == one[1] == one[2] and len(one[0]) == len(whole)
+
+
+def test_what_aliases_sort_does_not_grow_with_the_table(spark, monkeypatch):
+    """The shuffles of entities and aliases had the session's number of parts, however many rows there were."""
+    from tessera.plans.anonymize import Options, anonymize
+    from tessera.sources import tables
+
+    docs = spark.createDataFrame([(k, "s", k, f"M. Dupont voit Mme Durand {k} et a{k}@b.com a Lyon") for k in range(60)], "doc_id long, session_id string, doc_ord long, text string")
+    whole = sorted(map(repr, anonymize(docs, options=Options()).aliases.collect()))
+    key, adaptive, asked, write = "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", {}, tables.written
+
+    def noted(df, name, rows=0):
+        with tables.shuffled(spark, rows):
+            asked[name] = (int(spark.conf.get(key)), rows)
+        return write(df, name, rows)
+
+    monkeypatch.setattr(tables, "SORTED", 30)
+    monkeypatch.setattr(tables, "written", noted)
+    assert sorted(map(repr, anonymize(docs, options=Options()).aliases.collect())) == whole
+    for name in ("entities", "merged", "aliases"):
+        parts, rows = asked[name]
+        assert rows >= 180 and parts == -(-rows // 30) > int(spark.conf.get(key)) == 4
+    spark.conf.set(adaptive, "false")
+    try:
+        path = write(docs.groupBy("doc_id").count(), "counted", 60 * 30).written_to
+    finally:
+        spark.conf.unset(adaptive)
+    assert spark.read.parquet(path).select(F.input_file_name()).distinct().count() > 4
