@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from tessera.llm import pii
 
 from .data import SCHEMA, odd, prose
@@ -100,6 +102,22 @@ def test_contexts_and_instances_are_whole(spark):
     assert [x[4][0] for x in found] == ["<inbox:"]
 
 
+def test_long_runs_of_numbers_are_read(spark):
+    """An instance may have any number of digits; forms of cards are those of 12 to 19 digits."""
+    rng = random.Random(23)
+    surfaces = ["".join(rng.choice("0123456789 .-") if rng.random() < 0.2 else rng.choice("0123456789") for _ in range(rng.randint(10, 26))) for _ in range(2000)]
+    for surface in ["12 " * 20_000 + "3", "7" * 60_000]:
+        assert spark.range(1).select(pii.suits(F.lit(2), F.lit(surface)).alias("card")).first().card is False
+    got = spark.createDataFrame([(s,) for s in surfaces], "s string").select("s", pii.suits(F.lit(2), F.col("s")).alias("card")).collect()
+    card = lambda s: bool(re.fullmatch("[0-9]([ .-]?[0-9])+", s)) and 12 <= len(re.sub("[^0-9]", "", s)) <= 19
+    assert all(r.card == card(r.s) for r in got) and {r.card for r in got} == {True, False}
+    # A run is one instance, read once, and takes none before it along.
+    assert [x[3] for x in pii.instances("no a123 1 2 and --456 78", [])] == ["a123", "456 78"]
+    texts = ["see table " + "12 " * 20_000 + "and so on", "x" + "7" * 60_000 + " y", "call +1 (217) 555-0142 now"]
+    out = pii.report(spark.createDataFrame([(k, t, "en", "s", 0, 0.0, None) for k, t in enumerate(texts)], SCHEMA)).orderBy("doc_id").collect()
+    assert [(r.n_card, r.n_phone, r.n_discovered) for r in out] == [(0, 0, 0), (0, 0, 0), (0, 1, 0)]
+
+
 def test_rounds_against_brute_force(spark):
     """The graph of patterns and surfaces, scored with plain loops."""
     rng = random.Random(22)
