@@ -132,3 +132,41 @@ def test_a_document_of_many_entities(spark):
     rows = graph.matches(asked, known, seen, documents).collect()
     assert len(rows) == 3001 and {r.confidence for r in rows if r.batch == "a"} == {"exact"}
     assert [(r.confidence, r.co_entities) for r in rows if r.batch == "b"] == [("likely", ["Name 0", "Name 1", "Name 2", "Name 4", "Name 5"])]
+
+
+def test_what_matches_show_moves_for_names_not_for_batches(spark, monkeypatch):
+    """Rows of batches move as numbers; large batches and documents, whose rows aren't held together, match alike."""
+    rng = random.Random(4)
+    known = [(f"e{k:02d}", f"NAME {k % 40}", "person" if k < 40 else "city", None) for k in range(60)]
+    seen = [(f"e{rng.randrange(62):02d}", f"d{rng.randrange(30):02d}") for _ in range(200)]
+    seen = [(e, d, f"name {(int(e[1:]) + (k % 9 == 0)) % 40}", f"{e} in {d}") for k, (e, d) in enumerate(sorted(set(seen)))]
+    asked = [(b, rng.choice(("Name {}", "name  {}")).format(rng.randrange(45)), rng.choice(("person", "city", "company"))) for b in "abc" for _ in range(3 + 20 * (b == "c"))]
+    frames = [spark.createDataFrame(rows, schema) for rows, schema in (
+        (asked, "batch string, text string, type string"), (known, "entity_id string, canonical string, type string, last_seen timestamp"),
+        (seen, "entity_id string, document_id string, original string, alias string"), ([(f"d{k:02d}",) for k in range(28)], "document_id string"),
+    )]
+    by_id = {e: (c, t) for e, c, t, _ in known}
+    want = []
+    for batch, text, kind in sorted(set(asked)):
+        canonical = " ".join(text.upper().split())
+        best = min(((t != kind, e) for e, (c, t) in by_id.items() if c == canonical), default=None)
+        places = sorted((d, a) for e, d, _, a in seen if best and e == best[1])
+        if places and places[-1][0] < "d28":
+            others = sorted((e, o) for e, d, o, _ in seen if d == places[-1][0] and e != best[1])
+            here = {" ".join(t.upper().split()) for b, t, _ in asked if b == batch}
+            confidence = "possible" if best[0] else "exact" if any(o.upper() in here for _, o in others) else "likely"
+            want.append((batch, text, kind, best[1], confidence, places[-1][1], places[-1][0], [o for _, o in others[: graph.CO_ENTITIES]]))
+    assert {w[4] for w in want} == {"possible", "exact", "likely"}
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        for crowd in (1000, 10, 7, 1):
+            monkeypatch.setattr(graph, "CROWD", crowd, raising=False)
+            out = graph.matches(*frames)
+            assert sorted(map(tuple, out.collect())) == want
+            assert "hashpartitioning(batch" not in out._jdf.queryExecution().executedPlan().toString() or crowd < 1000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
