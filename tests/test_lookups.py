@@ -170,3 +170,13 @@ def test_what_matches_show_moves_for_names_not_for_batches(spark, monkeypatch):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_lookups_reach_every_entity(spark, tmp_path):
+    from tessera import queries
+
+    spark.createDataFrame([(k, k % 4) for k in range(9)], "o_orderkey long, o_custkey long").withColumn("o_orderdate", F.lit("2024-01-01").cast("timestamp")).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(k % 9, k % 12) for k in range(36)], "l_orderkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = queries.graph_lookups(spark, str(tmp_path)).collect()
+    assert {r.canonical for r in rows} == {f"CUSTOMER {k}" for k in range(4)} | {f"SUPPLIER {k}" for k in range(12)} and len(rows) == 16
+    assert all(r.document_count == r.confirmed == {"C": 2 + (r.canonical == "CUSTOMER 0"), "S": 3}[r.canonical[0]] for r in rows)
