@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Callable, Iterator
+from functools import cached_property
 from html import escape
 
 import numpy as np
@@ -30,6 +31,8 @@ HELD = 20_000
 
 #: Words that are sought one after another, since an automaton takes longer to make.
 FEW = 8
+#: The same of aliases, where a text is short: their number times its length at most.
+SHORT = 1 << 14
 
 
 class Few:
@@ -75,13 +78,16 @@ class Restorer:
             if r["alias"] and r["original"] is not None:
                 pairs[r["alias"]] = r["original"]
         self.pairs = sorted(pairs.items(), key=lambda p: -len(p[0]))
-        self.found = automaton([alias for alias, _ in self.pairs]) if pairs else None
         self.reach = max([reach, *map(len, pairs)])
         self.around = around
 
+    @cached_property
+    def found(self):
+        return automaton([alias for alias, _ in self.pairs])
+
     def __call__(self, text: str) -> str:
-        if self.found is None:
-            return text
+        if len(self.pairs) <= FEW or len(self.pairs) * len(text) <= SHORT:
+            return self.in_turn(text)
         spans = sorted((end - len(self.pairs[k][0]) + 1, end + 1) for end, k in self.found.iter(text))
         out, at, margin, n = [], 0, 4 * self.reach, len(text)
         clusters: list[list[int]] = []
@@ -112,20 +118,36 @@ class Restorer:
                 continue
             left, right = min(left, len(parts[0])), min(right, len(parts[-1]))
             text = original.join(parts)
-            at, end = 0, -1
-            for part in parts[:-1]:  # what has come into being is around what was put in
-                at += len(part)
-                low, high = max(at - self.reach, end - self.reach, 0), at + len(original) + self.reach
-                if self.around is not None:
-                    self.around.append(text[low:high])
-                for _, j in self.found.iter(text[low:high]):
+            for piece in self.changed(text, parts, original):
+                for _, j in self.found.iter(piece):
                     if j > k and j not in seen:
                         seen.add(j)
                         heapq.heappush(todo, j)
-                at += len(original)
-                end = high
         return text, left, right
 
+    def in_turn(self, text: str) -> str:
+        """The text restored by seeking each pair."""
+        for alias, original in self.pairs:
+            if alias in text:
+                parts = text.split(alias)
+                text = original.join(parts)
+                if self.around is not None:
+                    for _ in self.changed(text, parts, original):
+                        pass
+        return text
+
+    def changed(self, text: str, parts: list[str], original: str) -> Iterator[str]:
+        """What is around each original that was put between parts: what has come into being is there."""
+        at, end = 0, -1
+        for part in parts[:-1]:
+            at += len(part)
+            low, high = max(at - self.reach, end - self.reach, 0), at + len(original) + self.reach
+            if self.around is not None:
+                self.around.append(text[low:high])
+            yield text[low:high]
+            at += len(original)
+            end = high
+
 
 def folded(text: str) -> str:
     """The text with each character as its capital, where that is one character; ASCII and other letters stay apart."""
@@ -361,15 +383,12 @@ def joined_as(term: str) -> str:
 
 
 def by_found_terms(docs: DataFrame, table: DataFrame, key: str, term: str, make: Callable[[list[dict]], Callable[[str], str]], name: str) -> DataFrame:
-    """by_table() of tables (key, __row) of any size. A text gets the rows of the terms that occur in it, and for restoration
-    of those that come into being on the way, found round by round until no text gets any more."""
+    """by_table() of tables (key, __row) of any size. A text gets the rows of the terms that occur in it. Where restoration
+    makes further terms, it is done anew with these, for the texts that have them, round by round."""
     import pyarrow as pa
 
     restores = make is Restorer
     seen, same = (str, str) if restores else (folded, joined_as)
-    docs = tables.written(docs, "texts") if restores else docs
-    texts_of = tables.spread(docs)
-    asked_by = types.StructType([table.schema[key], types.StructField("__mark", types.BinaryType()), types.StructField("__same", types.StringType())])
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -385,51 +404,27 @@ def by_found_terms(docs: DataFrame, table: DataFrame, key: str, term: str, make:
         return docs.withColumn(name, F.col("text"))
     shared = docs.sparkSession.sparkContext.broadcast(bits)
     terms = terms.select(key, "__same", "__row")
-    mark = F.unhex(F.sha2("text", 256)).alias("__mark")
-    marked = texts_of.where(F.col(key).isNotNull() & F.col("text").isNotNull()).select(key, salted(key), mark, "text")
+    columns = docs.columns
+    added = types.StructField(name, types.StringType())
+    # Texts are numbered, so that what they ask for doesn't take more than its number along.
+    docs = tables.written(docs.withColumn("__id", F.monotonically_increasing_id()), "texts")
 
     def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """What texts have to ask for: parts that may be terms or, of those with rows, that replacements may have made."""
+        """The parts of texts that may be terms."""
         for batch in batches:
-            texts, salts, of = batch.column("text").to_pylist(), batch.column("__salt").to_numpy(), None
-            if "__rows" in batch.schema.names:
-                of, parts, known = [], [], []
-                for k, (text, rows) in enumerate(zip(texts, rows_of(batch.column("__rows")))):
-                    around: list[str] = []
-                    Restorer(sorted_rows(rows), shared.value.most, around)(text)
-                    of += [k] * len(around)
-                    parts += around
-                    known.append({r["alias"] for r in rows})
-                texts, salts = parts, salts[of]
-            wanted = {}
-            for k, start, end in shared.value.found(list(map(seen, texts)), salts):
-                doc, part = k if of is None else of[k], same(texts[k][start:end])
-                if of is None or part not in known[doc]:
-                    wanted[doc, part] = None
-            at = pa.array([doc for doc, _ in wanted], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(key).take(at), batch.column("__mark").take(at), pa.array([part for _, part in wanted], pa.string())], schema=to_arrow(batch))
-
-    def to_arrow(batch: pa.RecordBatch) -> pa.Schema:
-        return pa.schema([(key, batch.schema.field(key).type), ("__mark", batch.schema.field("__mark").type), ("__same", pa.string())])
-
-    def answered(texts: DataFrame) -> DataFrame:
-        rows = texts.mapInArrow(asks, asked_by).join(terms, [key, "__same"])
-        return rows.groupBy(key, "__mark").agg(F.collect_set("__row").alias("__rows"))
-
-    known = answered(marked)
-    if restores:
-        known = tables.written(known, "occurring")
-        changed = known
-        while True:
-            # Only texts that have got rows can have come to hold more.
-            more = tables.written(answered(marked.dropDuplicates([key, "__mark"]).join(changed, [key, "__mark"])), "occurring")
-            if more.isEmpty():
-                break
-            both = known.join(more.withColumnRenamed("__rows", "__more"), [key, "__mark"], "left")
-            known = tables.written(both.select(key, "__mark", F.when(F.col("__more").isNull(), F.col("__rows")).otherwise(F.concat("__rows", "__more")).alias("__rows"), F.col("__more").isNotNull().alias("__fresh")), "occurring")
-            changed, known = known.where("__fresh").drop("__fresh"), known.drop("__fresh")
-    rows = docs.withColumn("__mark", mark).join(known, [key, "__mark"], "left").drop("__mark")
-    columns = docs.columns
+            texts, wanted = batch.column("text").to_pylist(), {}
+            for k, start, end in shared.value.found(list(map(seen, texts)), batch.column("__salt").to_numpy()):
+                wanted[k, same(texts[k][start:end])] = None
+            at = pa.array([k for k, _ in wanted], pa.int64())
+            schema = pa.schema([batch.schema.field(key), batch.schema.field("__id"), ("__same", pa.string())])
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(at), batch.column("__id").take(at), pa.array([part for _, part in wanted], pa.string())], schema=schema)
+
+    def answered(asked: DataFrame) -> DataFrame:
+        return asked.join(terms, [key, "__same"]).groupBy("__id").agg(F.collect_set("__row").alias("__rows"))
+
+    asking = tables.spread(docs).where(F.col(key).isNotNull() & F.col("text").isNotNull()).select(key, salted(key), "__id", "text")
+    known = answered(asking.mapInArrow(asks, types.StructType([docs.schema[key], docs.schema["__id"], types.StructField("__same", types.StringType())])))
+    rows = docs.join(known, "__id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -437,7 +432,41 @@ def by_found_terms(docs: DataFrame, table: DataFrame, key: str, term: str, make:
             out = [make(sorted_rows(rows))(text) if rows else text for text, rows in zip(texts, of)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(out, pa.string())], names=[*columns, name])
 
-    return rows.select(*columns, "__rows").mapInArrow(run, types.StructType([*docs.schema.fields, types.StructField(name, types.StringType())]))
+    if not restores:
+        return rows.select(*columns, "__rows").mapInArrow(run, types.StructType([*docs.schema.fields[:-1], added]))
+
+    def restore_and_ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts restored by the rows they have, and the parts that may be further aliases where replacements came about."""
+        for batch in batches:
+            texts, rows = batch.column("text").to_pylist(), rows_of(batch.column("__rows"))
+            out, of, parts = [], [], []
+            for k, (text, own) in enumerate(zip(texts, rows)):
+                around: list[str] = []
+                out.append(Restorer(sorted_rows(own), shared.value.most, around)(text) if own else text)
+                of += [k] * len(around)
+                parts += around
+            wanted: list[dict] = [{} for _ in texts]
+            for k, start, end in shared.value.found(parts, batch.column("__salt").to_numpy()[of]) if parts else ():
+                wanted[of[k]][parts[k][start:end]] = None
+            wanted = [[part for part in w if all(part != r["alias"] for r in own)] if w else [] for w, own in zip(wanted, rows)]
+            arrays = [*[batch.column(c) for c in (*columns, "__id", "__rows")], pa.array(out, pa.string()), pa.array(wanted, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "__id", "__rows", name, "__wanted"])
+
+    done = None
+    while True:
+        given = rows.select(*columns, "__id", "__rows", salted(key))
+        schema = types.StructType([*given.schema.fields[:-1], added, types.StructField("__wanted", types.ArrayType(types.StringType()))])
+        out = given.mapInArrow(restore_and_ask, schema)
+        # Only texts that ask for more are held against the table again.
+        out = tables.written(out.withColumn("__rows", F.when(F.size("__wanted") > 0, F.col("__rows"))), "restored")
+        more = tables.written(answered(out.select(key, "__id", F.explode("__wanted").alias("__same"))), "occurring")
+        last = more.isEmpty()
+        settled = (out if last else out.join(more, "__id", "left_anti")).select(*columns, name)
+        done = settled if done is None else done.unionByName(settled)
+        if last:
+            return done
+        again = more.withColumnRenamed("__rows", "__more")
+        rows = out.join(again, "__id").select(*columns, "__id", F.concat("__rows", "__more").alias("__rows"))
 
 
 def rows_of(column) -> list[list[dict]]:
@@ -453,8 +482,10 @@ def rows_of(column) -> list[list[dict]]:
 
 def sorted_rows(rows: list[dict]) -> list[dict]:
     """Rows by their columns in turn, nulls first, as Spark orders structs."""
-    if len(rows) < 2:
-        return rows
+    try:
+        return sorted(rows, key=lambda r: tuple(r.values()))
+    except TypeError:  # a null beside another value
+        pass
     return sorted(rows, key=lambda r: [(v is not None, v.encode() if isinstance(v, str) else v) if v is not None else (False,) for v in r.values()])
 
 

@@ -30,6 +30,12 @@ def test_chained_restoration():
         assert got == one_after_another(text, rows), (rows, text)
 
 
+def test_chained_restoration_by_an_automaton(monkeypatch):
+    monkeypatch.setattr(automata, "FEW", 0)
+    monkeypatch.setattr(automata, "SHORT", 0, raising=False)
+    test_chained_restoration()
+
+
 def test_terms_are_an_alternation():
     rng = random.Random(2)
     for _ in range(1500):
@@ -100,3 +106,19 @@ def test_large_tables_meet_texts_by_what_occurs_in_them(spark, monkeypatch):
     monkeypatch.setattr(automata, "by_whole_table", refused)
     for (f, of), rows in zip(ways, expected):
         assert get(f(docs, of, "session")) == rows and len(rows) == 169
+
+
+def test_texts_are_restored_where_they_are_asked_for_more(spark, monkeypatch):
+    """Restoring and finding what it makes is one pass: texts don't move again, nor are they restored twice, for a round in
+    which nothing comes up; those that do get more take a round for each level."""
+    monkeypatch.setattr(automata, "HELD", 5)
+    chain = [("s", f"<{k + 1}>", f"<{k}>", 9 - k) for k in range(9)]
+    pairs = spark.createDataFrame(chain, "session string, original string, alias string, ord int")
+    docs = spark.createDataFrame([(1, "s", "to <8> and <3>"), (2, "s", "none"), (3, "s", None), (4, None, "<1>"), (5, "t", "<1>")], "doc_id long, session string, text string")
+    rounds, written = [], automata.tables.written
+    monkeypatch.setattr(automata.tables, "written", lambda df, name, *more: rounds.append(name) or written(df, name, *more))
+    plain = docs.where("text IS NULL OR NOT contains(text, '<3>')")
+    assert "MapInArrow" not in automata.restore(plain, pairs, "session")._jdf.queryExecution().optimizedPlan().toString() and rounds.count("restored") == 1
+    got = {r.doc_id: r.restored for r in automata.restore(docs, pairs, "session").collect()}
+    own = [(o, a) for _, o, a, n in sorted(chain, key=lambda t: t[3])]
+    assert got == {1: one_after_another("to <8> and <3>", own), 2: "none", 3: None, 4: "<1>", 5: "<1>"}
